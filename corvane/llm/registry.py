@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from .jaccard_join import op2_ngram_jaccard_join
+from .token_counts import op1_token_counts
+from .url_filters import OP5_SQL, op5_url_filters
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op5_url_filters": op5_url_filters,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_url_filters": OP5_SQL,
+}

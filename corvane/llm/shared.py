@@ -41,11 +41,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so that long texts need no more memory; a
-    value that the session already has stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("", "-1"):
-        spark.conf.set(key, str(BATCH_BYTES))
+    """Bound Arrow batches by bytes, so that long texts need no more memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
