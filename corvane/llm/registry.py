@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from .decontamination import OP8_SQL, op8_benchmark_decontamination
 from .jaccard_join import op2_ngram_jaccard_join
 from .token_counts import op1_token_counts
+from .toxicity import op7_toxicity
 from .url_filters import OP5_SQL, op5_url_filters
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op5_url_filters": op5_url_filters,
+    "op7_toxicity": op7_toxicity,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op5_url_filters": OP5_SQL,
+    "op8_benchmark_decontamination": OP8_SQL,
 }
