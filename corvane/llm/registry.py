@@ -5,6 +5,8 @@ from __future__ import annotations
 from .decontamination import OP8_SQL, op8_benchmark_decontamination
 from .fingerprints import op4_document_fingerprints
 from .jaccard_join import op2_ngram_jaccard_join
+from .lm_scoring import op6_lm_scoring
+from .mixing import op3_source_mixing
 from .pii import op9_pii
 from .token_counts import op1_token_counts
 from .toxicity import op7_toxicity
@@ -13,8 +15,10 @@ from .url_filters import OP5_SQL, op5_url_filters
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_source_mixing": op3_source_mixing,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_url_filters": op5_url_filters,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_toxicity": op7_toxicity,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_pii": op9_pii,
