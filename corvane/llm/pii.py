@@ -240,15 +240,14 @@ def personal_data(documents: DataFrame, id_column: str = "doc_id", text_column:
     other columns are not read. An empty table gives an empty result.
     """
     listed = list_spans(documents, id_column, text_column)
-    model = documents.sparkSession.sparkContext.broadcast((fit_spans(listed), accept))
+    classifier = fit_spans(listed)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classifier, least = model.value
         for batch in batches:
             columns: list[list] = [[] for _ in range(7)]
             for spans in batch.column("spans").to_pylist():
                 base = [(s["kind"], s["start"], s["stop"]) for s in spans if s["base"]]
-                chosen = accepted(spans, classifier, least)
+                chosen = accepted(spans, classifier, accept)
                 for k in range(4):
                     columns[k].append(sum(s[0] == k for s in base))
                 columns[4].append(hashlib.sha256(_write(base).encode()).hexdigest())
@@ -275,19 +274,17 @@ def accepted(spans: list[dict], classifier: SpanModel, least: float) -> list[tup
 def masked_texts(documents: DataFrame, text_column: str = "text", accept: float = ACCEPT) -> DataFrame:
     """The same rows and columns with each span replaced by its kind in brackets;
     null texts stay null. Two passes: candidates are counted, then masked."""
-    spark = documents.sparkSession
     numbered = documents.select(F.lit(0).cast("long").alias("id"), F.col(text_column).alias("text"))
     listed = list_spans(numbered, "id", "text")
-    model = spark.sparkContext.broadcast((fit_spans(listed), accept))
+    classifier = fit_spans(listed)
     at = documents.columns.index(text_column)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classifier, least = model.value
         names = [f.name for f in _ARROW.value_type]
         for batch in blocks(batches, text_column):
             texts = []
             for text in batch.column(at).to_pylist():
-                spans = accepted([dict(zip(names, row, strict=True)) for row in candidates(text)], classifier, least) if text else []
+                spans = accepted([dict(zip(names, row, strict=True)) for row in candidates(text)], classifier, accept) if text else []
                 parts, done = [], 0
                 for kind, start, stop in sorted(spans, key=lambda s: (s[1], -s[2])):
                     if start >= done:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP8_SQL, op8_benchmark_decontamination
 from .fingerprints import op4_document_fingerprints
 from .jaccard_join import op2_ngram_jaccard_join
+from .language_id import op10_language_id
 from .lm_scoring import op6_lm_scoring
 from .mixing import op3_source_mixing
 from .pii import op9_pii
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_pii": op9_pii,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {

@@ -187,31 +187,46 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds:
     return weights, model.bias
 
 
-def toxicity_scores(documents: DataFrame, model: tuple[np.ndarray, float], id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, score (0 to 1), predicted (score >= 0.5), and columns to carry.
+def _scored(array: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
+    weights, bias = model
+    if np.isinf(bias):
+        return np.zeros(len(array))
+    return 1 / (1 + np.exp(-np.clip(text_scores(array, weights) + bias, -700, 700)))
+
+
+def toxicity_scores(documents: DataFrame, model: tuple[np.ndarray, float], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per row: id, score (0 to 1), predicted (score >= 0.5).
 
     Null and empty texts get the score of no feature at all. Repeated rows and null
-    ids each keep a row. Without any training row every score is 0.
+    ids each keep a row; other columns are not read. Without any training row every
+    score is 0.
     """
     spark = documents.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = [documents.schema[c] for c in carry]
-    source = documents.select(F.col(id_column).cast("long").alias("_id"), F.coalesce(text_column, F.lit("")).alias("_text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
-        for batch in blocks(batches, "_text"):
-            margin = np.clip(text_scores(batch.column("_text"), weights) + bias, -700, 700)
-            score = 0.0 if np.isinf(bias) else 1 / (1 + np.exp(-margin))
-            score = np.broadcast_to(score, len(margin))
-            columns = [batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_score", "_predicted", *batch.schema.names[2:]])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType()), *(T.StructField(f"_c{i}", f.dataType) for i, f in enumerate(kept))])
-    return source.mapInArrow(run, schema).toDF(id_column, "score", "predicted", *carry)
+        for batch in blocks(batches, "text"):
+            score = _scored(batch.column("text"), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
+
+    source = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
+    return source.mapInArrow(run, "id long, score double, predicted int").withColumnRenamed("id", id_column)
+
+
+def without_toxic(documents: DataFrame, model: tuple[np.ndarray, float], text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores below 0.5; rows without
+    text stay."""
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, text_column):
+            texts = batch.column(text_column)
+            yield batch.filter(pa.array((_scored(texts, shared.value) < 0.5) | texts.is_null().to_numpy(zero_copy_only=False)))
+
+    return documents.mapInArrow(run, documents.schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
