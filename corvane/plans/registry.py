@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import audit, governance, quality, versions  # noqa: F401
+from . import audit, evaluation, governance, quality, versions  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
