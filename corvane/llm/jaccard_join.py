@@ -9,10 +9,11 @@ expanded. Among entities:
    only make it rare-first, so frequent shingles leave the prefixes.
 2. The first n - ceil(t n) + 1 shingles of an entity are its prefix. Linked
    entities share a prefix shingle, so entities meet in the lists of such shingles.
-3. A list is never paired with itself. Its members are first compared with its
-   smallest member; the links found are contracted into components. Then only
-   members of different components still have to meet: those outside a list's
-   most common component against the others. Nothing else can change the result.
+3. A list is never paired with itself. Each entity is first compared with one of
+   the smallest members of its lists, then with all of them that lie in another
+   component; the links found are contracted into components. Then only members of
+   different components still have to meet: those outside a list's most common
+   component against the others. Nothing else can change the result.
 4. Pairs pass a length filter, a positional filter (what is left behind the common
    position) and a suffix filter (shingles counted in classes by hash), all upper
    bounds, and are then compared exactly, once per pair.
@@ -176,10 +177,11 @@ def _verify(threshold: Fraction):
 
 
 def _filters(threshold: Fraction) -> str:
-    """Length and positional filter on rows with (na, pa) and (nb, pb). Before the
-    common shingle at most min(pa, pb) others are common, behind it the shorter rest."""
+    """Length and positional filter on rows with (na, pa) and (nb, pb). At the first
+    shingle that a pair has in common, no more than the shorter rest can be common;
+    every linked pair passes in the list of that shingle, others need not be met."""
     p, q = threshold.numerator, threshold.denominator
-    most = "(least(pa, pb) + 1 + least(na - pa, nb - pb) - 1)"
+    most = "least(na - pa, nb - pb)"
     return f"least(na, nb) * {q} >= greatest(na, nb) * {p} and {most} * {p + q} >= (na + nb) * {p}"
 
 
@@ -207,6 +209,29 @@ def _links(pairs: DataFrame, facts: DataFrame, documents: DataFrame, k: int, thr
     return links
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("e", "h").alias("a"), F.greatest("e", "h").alias("b")).distinct()
+
+
+def _placed(lists: DataFrame, components: DataFrame) -> DataFrame:
+    """The lists with each entity's component c, itself at least."""
+    return lists.join(components.withColumnRenamed("node", "ent"), "ent", "left").withColumn("c", F.coalesce("component", "ent")).drop("component")
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Lists that hold several components, with the most common one."""
+    sizes = placed.groupBy("token", "c").agg(F.count("*").alias("size"))
+    sizes = sizes.groupBy("token").agg(F.max(F.struct("size", "c")).alias("most"), F.count("*").alias("kinds"))
+    return sizes.where("kinds > 1").select("token", F.col("most.c").alias("main"))
+
+
+def _against_heads(placed: DataFrame, threshold: Fraction) -> DataFrame:
+    """Each list's members e against its smallest member h, if that is in another component."""
+    heads = placed.groupBy("token").agg(F.min(F.struct("n", "ent", "pos", "c")).alias("head"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    heads = heads.select("token", F.col("head.n").alias("nb"), F.col("head.ent").alias("h"), F.col("head.pos").alias("pb"), F.col("head.c").alias("ch"))
+    return placed.withColumnsRenamed({"ent": "e", "n": "na", "pos": "pa"}).join(heads, "token").where("c <> ch").where(_filters(threshold))
+
+
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per row of documents: id, n_shingles (size of its set) and
     component_id (the smallest id that links reach, its own included).
@@ -229,34 +254,31 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     lists = keep(postings.join(heads, "token").distinct(), "lists")
     forget(postings)
 
-    # Round 1: every list against its smallest member.
-    first = lists.groupBy("token").agg(F.min(F.struct("n", "ent", "pos")).alias("head"))
-    star = (
-        lists.withColumnsRenamed({"ent": "e", "n": "na", "pos": "pa"})
-        .join(first.select("token", F.col("head.n").alias("nb"), F.col("head.ent").alias("h"), F.col("head.pos").alias("pb")), "token")
-        .where("e <> h").where(_filters(exact))
-    )
-    tried = keep(star.select(F.least("e", "h").alias("a"), F.greatest("e", "h").alias("b")).distinct(), "tried")
+    # Round 1: every entity against one list's smallest member.
+    alone = lists.withColumn("c", F.col("ent"))
+    star = _against_heads(alone, exact).groupBy("e").agg(F.min(F.struct("nb", "h")).alias("head")).select("e", F.col("head.h").alias("h"))
+    tried = keep(_pairs(star), "tried")
     links = _links(tried, facts, source, k, exact)
     components = keep(connected_components(links.toDF("u", "v")), "components")
 
-    # Round 2: what still lies in different components of a list.
-    placed = lists.join(components.withColumnRenamed("node", "ent"), "ent", "left").withColumn("c", F.coalesce("component", "ent")).drop("component")
-    placed = keep(placed, "placed")
-    mixed = (
-        placed.groupBy("token", "c").agg(F.count("*").alias("size"))
-        .groupBy("token").agg(F.max(F.struct("size", "c")).alias("most"), F.count("*").alias("kinds"))
-        .where("kinds > 1").select("token", F.col("most.c").alias("main"))
-    )
-    open_lists = keep(placed.join(mixed, "token"), "open")
-    forget(placed)
+    # Round 2: against the smallest members that lie in another component.
+    placed = keep(_placed(lists, components), "placed")
+    second = keep(_pairs(_against_heads(placed, exact)).join(tried, ["a", "b"], "left_anti"), "tried")
+    more = _links(second, facts, source, k, exact)
+    joined = keep(connected_components(components.toDF("u", "v").union(more.toDF("u", "v"))), "components")
+    for table in (placed, links, more, components):
+        forget(table)
+
+    # Round 3: what still lies in different components of a list.
+    placed = keep(_placed(lists, joined), "placed")
+    open_lists = keep(placed.join(_mixed(placed), "token"), "open")
     few = open_lists.where("c <> main").select("token", F.col("ent").alias("e"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ce"))
     others = open_lists.select("token", F.col("ent").alias("h"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("ch"), "main")
     rest = few.join(others, "token").where("ce <> ch and (ch = main or e < h)").where(_filters(exact))
-    rest = rest.select(F.least("e", "h").alias("a"), F.greatest("e", "h").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _links(rest, facts, source, k, exact)
-    final = keep(connected_components(links.union(more).toDF("u", "v")), "components")
-    for table in (tried, links, more, components, open_lists, lists):
+    rest = _pairs(rest).join(tried.union(second), ["a", "b"], "left_anti")
+    last = _links(rest, facts, source, k, exact)
+    final = keep(connected_components(joined.toDF("u", "v").union(last.toDF("u", "v"))), "components")
+    for table in (placed, tried, second, last, joined, open_lists, lists):
         forget(table)
 
     classes = facts.where("ent is not null").groupBy("ent").agg(F.min("id").alias("least_id"))
