@@ -225,9 +225,14 @@ def abstain_reason(df: DataFrame) -> DataFrame:
     return df.withColumn("reason", F.when(F.col("hits") == 0, "NO_EVIDENCE").when(~F.col("sufficient"), "INSUFFICIENT_EVIDENCE").when(F.col("valid_citations") == 0, "NO_VALID_CITATION"))
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def nfkc(column: Column) -> Column:
+    """NFKC form; made when called, as a UDF needs a session."""
+
+    @F.pandas_udf("string")
+    def form(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return form(column)
 
 
 def normalise_quote(column: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_NEWEST = (F.col("effective_date").desc(), F.col("version").desc(), F.col("version_id").asc())
+def _newest() -> tuple:
+    return F.col("effective_date").desc(), F.col("version").desc(), F.col("version_id").asc()
 
 
 def version_metadata(df: DataFrame) -> DataFrame:
@@ -31,12 +32,13 @@ def _chain(df: DataFrame, takes_part, order) -> DataFrame:
 def version_chain(df: DataFrame) -> DataFrame:
     """Confirmed versions of a document, newest first: the first is ACTIVE, each
     other SUPERSEDED by the one before. WITHDRAWN and UNKNOWN rows keep their status."""
-    return _chain(df, F.col("status").isin("CONFIRMED", "ACTIVE", "SUPERSEDED"), _NEWEST)
+    return _chain(df, F.col("status").isin("CONFIRMED", "ACTIVE", "SUPERSEDED"), _newest())
 
 
 def reconcile_chain(df: DataFrame) -> DataFrame:
     """As version_chain over dated rows only; ties also go by the latest retrieval."""
-    order = (_NEWEST[0], _NEWEST[1], F.col("retrieved_at").desc(), _NEWEST[2])
+    date, version, last = _newest()
+    order = (date, version, F.col("retrieved_at").desc(), last)
     return _chain(df, F.col("status").isin("CONFIRMED", "ACTIVE", "SUPERSEDED") & F.col("effective_date").isNotNull(), order)
 
 

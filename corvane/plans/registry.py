@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import audit, budget, chunks, clinical, deid, evaluation, governance, ingest, metrics, quality, search, versions  # noqa: F401
+from . import audit, budget, chunks, clinical, deid, evaluation, governance, ingest, metrics, quality, search, streams, versions  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
