@@ -10,7 +10,7 @@ UTF-8 bytes if the vocabulary has byte pieces, else a run of them counts as one.
 
 Text is prepared as usual for such vocabularies: U+2581 for each space and one in
 front. Where no piece holds U+2581 behind another character, no path crosses the
-start of a word, so a text's count is the sum over its words; each task then
+start of a word, so a text's count is the sum over its words; each worker then
 remembers counts of the words that it has seen, and the recursion runs once for
 each. (With scores that are not integers, sums over whole texts may round
 otherwise than sums over words; ties then differ.)
@@ -33,7 +33,7 @@ MARK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Penalty of an unknown character below the least score.
 UNKNOWN_PENALTY = 10.0
-#: Words remembered in each task; beyond it the memory starts anew.
+#: Words remembered in each worker; beyond it the memory starts anew.
 REMEMBERED = 500_000
 
 
@@ -94,25 +94,31 @@ class UnigramCounter:
             close(end, [])
         return count[n]
 
+    def word(self, word: str) -> int:
+        pieces = self.known.get(word)
+        if pieces is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            pieces = self.known[word] = self.best(MARK + word)
+        return pieces
+
     def count(self, text: str) -> int:
         if not text:
             return 0
         text = MARK + text.replace(" ", MARK)
         if not self.by_word:
             return self.best(text)
-        known, total, run = self.known, 0, 0
+        if MARK + MARK not in text and text[-1] != MARK:  # plain words: most texts
+            found = list(map(self.known.get, words := text.split(MARK)[1:]))
+            return sum(found) if None not in found else sum(self.word(w) if c is None else c for w, c in zip(words, found, strict=True))
+        total, run = 0, 0
         for word in text.split(MARK)[1:]:
             if not word:  # further marks belong to the word behind them
                 run += 1
                 continue
             word = MARK * run + word if run else word
             run = 0
-            pieces = known.get(word)
-            if pieces is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                pieces = known[word] = self.best(MARK + word)
-            total += pieces
+            total += self.word(word)
         return total + (self.best(MARK * run) if run else 0)
 
 
@@ -125,10 +131,13 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, id_column:
     """
     spark = documents.sparkSession
     bounded_batches(spark)
-    pieces = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+    pieces, unknown = read_vocabulary(vocabulary)
+    shared = spark.sparkContext.broadcast({"pieces": pieces, "unknown": unknown})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = UnigramCounter(*pieces.value)
+        held = shared.value  # one for each worker, so what it remembers outlives a task
+        counter = held.setdefault("counter", None) or UnigramCounter(held["pieces"], held["unknown"])
+        held["counter"] = counter
         for batch in blocks(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             sizes = np.array([len(t) for t in texts], np.int64)
