@@ -8,6 +8,7 @@ from .jaccard_join import op2_ngram_jaccard_join
 from .language_id import op10_language_id
 from .lm_scoring import op6_lm_scoring
 from .mixing import op3_source_mixing
+from .oracles import OP2_SQL
 from .pii import op9_pii
 from .token_counts import op1_token_counts
 from .toxicity import op7_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": OP2_SQL,
     "op5_url_filters": OP5_SQL,
     "op8_benchmark_decontamination": OP8_SQL,
 }
