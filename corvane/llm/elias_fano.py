@@ -3,7 +3,7 @@
 A sequence of n values below a bound keeps the low bits of each value packed, and
 the high bits as a unary bit row: bit (high + index) is set for each value. The bit
 row has a running count of ones at each 64-bit word; select finds the word by binary
-search and the bit by the counts of its bytes. All arrays may be memory-mapped.
+search and the bit by the running counts of its bytes. All arrays may be memory-mapped.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ for _b in range(256):
     for _k, _i in enumerate(i for i in range(8) if _b >> i & 1):
         _NTH[_b, _k] = _i
 U64 = np.uint64
+_PAIRS, _QUADS, _NIBBLES = U64(0x5555555555555555), U64(0x3333333333333333), U64(0x0F0F0F0F0F0F0F0F)
+_EACH, _TOPS = U64(0x0101010101010101), U64(0x8080808080808080)
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -42,7 +44,7 @@ def encode(values: np.ndarray, bound: int) -> dict[str, np.ndarray]:
     packed = np.packbits(bits, bitorder="little")
     ones = _ONES[packed].reshape(-1, 8).sum(axis=1, dtype=np.uint64)
     low = values & U64((1 << width) - 1)
-    return {"head": np.array([n, width], np.uint64), "low": _pack(low, width), "high": packed, "rank": np.concatenate([[U64(0)], np.cumsum(ones)[:-1]]).astype(np.uint64)}
+    return {"head": np.array([n, width], np.uint64), "low": _pack(low, width), "high": packed.view(np.uint64), "rank": np.concatenate([[U64(0)], np.cumsum(ones)[:-1]]).astype(np.uint64)}
 
 
 class EliasFano:
@@ -54,19 +56,18 @@ class EliasFano:
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Place of the k-th (from 0) set, or unset, bit."""
         counts = self.rank if ones else np.arange(len(self.rank), dtype=np.uint64) * U64(64) - self.rank
-        word = np.searchsorted(counts, k.astype(np.uint64), "right") - 1
-        left = (k.astype(np.uint64) - counts[word]).astype(np.int64)
-        at = word * 8
-        for _ in range(7):
-            here = self.high[at] if ones else ~self.high[at]
-            own = _ONES[here].astype(np.int64)
-            on = left >= own
-            left -= np.where(on, own, 0)
-            at = at + on
-            if not on.any():
-                break
-        here = self.high[at] if ones else ~self.high[at]
-        return at * 8 + _NTH[here, left]
+        k = k.astype(np.uint64)
+        word = np.searchsorted(counts, k, "right") - 1
+        left = k - counts[word]
+        bits = self.high[word] if ones else ~self.high[word]
+        # running counts of the word's bytes, each in its own byte
+        x = bits - ((bits >> U64(1)) & _PAIRS)
+        x = (x & _QUADS) + ((x >> U64(2)) & _QUADS)
+        upto = ((x + (x >> U64(4))) & _NIBBLES) * _EACH
+        byte = ((((left * _EACH) | _TOPS) - upto) & _TOPS) >> U64(7)
+        at = ((byte * _EACH) >> U64(56)) << U64(3)  # bytes whose running count is not above left
+        before = ((upto << U64(8)) >> at) & U64(255)
+        return word * 64 + at.astype(np.int64) + _NTH[(bits >> at) & U64(255), (left - before).astype(np.int64)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -88,7 +89,7 @@ class EliasFano:
         if not len(values) or not self.n:
             return np.zeros(len(values), np.int64)
         high = (values >> U64(self.width)).astype(np.int64)
-        zeros = len(self.high) * 8 - self.n
+        zeros = len(self.high) * 64 - self.n
         beyond = high + 1 >= zeros
         high = np.minimum(high, zeros - 2)
         begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - (high - 1), 0)

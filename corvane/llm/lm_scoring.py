@@ -42,15 +42,17 @@ from pyspark.sql import functions as F
 from .elias_fano import EliasFano, encode
 from .shared import Words, blocks, bounded_batches, forget, keep, mix64, shared_folder
 
-SHARDS = 64
+#: Shards of each level: a power of two, about one for SHARD_TOKENS training tokens.
+SHARD_TOKENS, MOST_SHARDS = 16_000_000, 4096
 LEAST_COUNT = 2
 DISCOUNT = 0.75
 SMOOTH = 0.1
 #: Width of a probability code in log10 units.
 STEP = 0.03
 _END = np.uint64(0xE5D1F3A7C9B8264D)
-#: Bytes of text that are counted together before their counts leave a task.
-COUNT_BYTES = 16 << 20
+#: Bytes of text that are counted together before their counts leave a task, and that
+#: are scored together: what a task's memory is bounded by.
+COUNT_BYTES, SCORE_BYTES = 3 << 20, 2 << 20
 
 
 # --- token sequences -----------------------------------------------------------
@@ -120,7 +122,7 @@ def _read(folder: str, name: str) -> dict[str, np.ndarray]:
     if system.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
         return {}
     if isinstance(system, fs.LocalFileSystem):
-        data = np.memmap(f"{path}/{name}", np.uint8, "r")
+        data = np.asarray(np.memmap(f"{path}/{name}", np.uint8, "r")).view(np.ndarray)
     else:
         with system.open_input_file(f"{path}/{name}") as file:
             data = np.frombuffer(file.read(), np.uint8)
@@ -151,15 +153,15 @@ def _code(p: np.ndarray) -> np.ndarray:
 _VALUE = np.append(10.0 ** (-STEP * np.arange(255)), 0.0)
 
 
-def shard_of(keys: np.ndarray) -> np.ndarray:
-    return (mix64(keys.astype(np.uint64) + np.uint64(0x5EED)) >> np.uint64(40)).astype(np.int64) % SHARDS
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (mix64(keys.astype(np.uint64) + np.uint64(0x5EED)) >> np.uint64(40)).astype(np.int64) % shards
 
 
 class Level:
     """Contexts with their successors, over all shards."""
 
-    def __init__(self, folder: str, level: str):
-        self.shards = [_read(folder, f"{level}-{s}") for s in range(SHARDS)]
+    def __init__(self, folder: str, level: str, shards: int):
+        self.shards = [_read(folder, f"{level}-{s}") for s in range(shards)]
         self.open: dict[int, tuple[EliasFano, EliasFano, EliasFano]] = {}
 
     @staticmethod
@@ -185,9 +187,9 @@ class Level:
         context) of each (context, word); pairs in which either is negative are absent."""
         p, backoff = np.zeros(len(context)), np.ones(len(context))
         known = np.flatnonzero(context >= 0)
-        shard = shard_of(context[known])
+        shard = shard_of(context[known], len(self.shards))
         order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(SHARDS + 1))
+        ends = np.searchsorted(shard[order], np.arange(len(self.shards) + 1))
         for s in np.flatnonzero(np.diff(ends)):
             arrays = self.shards[s]
             if not arrays:
@@ -214,6 +216,11 @@ class Level:
         return p, backoff
 
 
+def _starts(shards: int) -> np.ndarray:
+    """First hash of each shard of the words."""
+    return np.array([i * (2**64 // shards) for i in range(shards)], np.uint64)
+
+
 class Vocabulary:
     """Number and count of each word; numbers follow the hashes within a shard."""
 
@@ -224,7 +231,7 @@ class Vocabulary:
         """Number (-1: unknown) and count of each hash."""
         own, index = np.unique(hashes, return_inverse=True)
         ids, counts = np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64)
-        ends = np.searchsorted(own, np.arange(SHARDS, dtype=np.uint64) << np.uint64(58))
+        ends = np.searchsorted(own, _starts(len(self.offsets)))
         for s, (a, b) in enumerate(zip(ends, [*ends[1:], len(own)], strict=True)):
             if a == b:
                 continue
@@ -245,7 +252,7 @@ class Vocabulary:
 # --- training ----------------------------------------------------------------------
 
 
-def _build_shards(rows: DataFrame, columns: list[str], build, folder: str, level: str) -> DataFrame:
+def _build_shards(rows: DataFrame, columns: list[str], build, folder: str, level: str, shards: int) -> DataFrame:
     """rows with a shard column -> one file for each shard; (shard, size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +276,7 @@ def _build_shards(rows: DataFrame, columns: list[str], build, folder: str, level
             close()
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sizes], pa.int32()), pa.array([n for _, n in sizes], pa.int64())], names=["shard", "n"])
 
-    return rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", *columns[:2]).mapInArrow(run, "shard int, n long")
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard", *columns[:2]).mapInArrow(run, "shard int, n long")
 
 
 def train(texts: DataFrame, text_column: str = "text") -> dict:
@@ -278,20 +285,23 @@ def train(texts: DataFrame, text_column: str = "text") -> dict:
     bounded_batches(spark)
     folder = f"{shared_folder(spark)}/trie-{uuid.uuid4().hex}"
     source = texts.select(F.coalesce(text_column, F.lit("")).alias("text"))
+    guess = (source.agg(F.sum(F.length("text")).alias("n")).first().n or 0) // 6
+    bits = max(1, min(MOST_SHARDS.bit_length() - 1, (guess // SHARD_TOKENS).bit_length()))
+    shards = 1 << bits
 
     def count_words(tokens: Sequence):
         values, counts = np.unique(tokens.hashes, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(counts)], names=["hash", "n"])
 
     words = _tokens(source, count_words, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    words = words.withColumn("shard", F.shiftrightunsigned("hash", 58).cast("int"))
+    words = words.withColumn("shard", F.shiftrightunsigned("hash", 64 - bits).cast("int"))
 
     def word_shard(hashes: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
         hashes = hashes.astype(np.uint64)  # of one sign within a shard, so the order holds
         return {**_named("hash", encode(hashes, 2**64 - 1)), "count": counts.astype(np.int64)}
 
-    sizes = dict(keep(_build_shards(words, ["hash", "n"], word_shard, folder, "words"), "sizes").collect())
-    offsets = [sum(sizes.get(j, 0) for j in range(s)) for s in range(SHARDS)]
+    sizes = dict(keep(_build_shards(words, ["hash", "n"], word_shard, folder, "words", shards), "sizes").collect())
+    offsets = [sum(sizes.get(j, 0) for j in range(s)) for s in range(shards)]
     n_words = sum(sizes.values())
     if n_words >= 2**31:
         raise ValueError("word numbers need 31 bits")
@@ -307,9 +317,11 @@ def train(texts: DataFrame, text_column: str = "text") -> dict:
     n_tokens = spark.createDataFrame([(s,) for s in sizes], "shard int").mapInArrow(totals, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
 
     def count_pairs(tokens: Sequence):
-        ids, _ = vocabulary_of().find(tokens.hashes)
+        ids, often = vocabulary_of().find(tokens.hashes)
         end, _ = vocabulary_of().find(np.array([_END]))
         one, _ = tokens.contexts(ids, int(end[0]))
+        both = (often >= LEAST_COUNT) & np.where(tokens.within > 0, np.roll(often >= LEAST_COUNT, 1), True)
+        one, ids = one[both], ids[both]  # rarer words have no pair that stays
         values, counts = np.unique(one << 31 | ids, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["gram", "n"])
 
@@ -327,30 +339,36 @@ def train(texts: DataFrame, text_column: str = "text") -> dict:
     def shard(context):
         import pandas as pd
 
-        return pd.Series(shard_of(context.to_numpy()).astype(np.int32))
+        return pd.Series(shard_of(context.to_numpy(), shards).astype(np.int32))
 
     def pair_shard(context, word, n):
         own, index = np.unique(context, return_inverse=True)
         total = _count_of(folder, offsets, own)[index]
         return Level.build(context, word, n, total, n_words + 1, n_words)
 
-    keep(_build_shards(pairs.withColumn("shard", shard("context")), ["context", "word", "n"], pair_shard, folder, "pairs"), "sizes")
+    keep(_build_shards(pairs.withColumn("shard", shard("context")), ["context", "word", "n"], pair_shard, folder, "pairs", shards), "sizes")
 
     levels: list[Level] = []
 
     def count_triples(tokens: Sequence):
         if not levels:
-            levels.append(Level(folder, "pairs"))
-        ids, _ = vocabulary_of().find(tokens.hashes)
+            levels.append(Level(folder, "pairs", shards))
+        ids, often = vocabulary_of().find(tokens.hashes)
         end, _ = vocabulary_of().find(np.array([_END]))
         one, two = tokens.contexts(ids, int(end[0]))
-        pair, index = np.unique(one << 31 | ids, return_inverse=True)
-        known = (levels[0].find(pair >> 31, pair & 2147483647)[0] > 0)[index]
+        both = (often >= LEAST_COUNT) & np.where(tokens.within > 0, np.roll(often >= LEAST_COUNT, 1), True)
+        pair, index = np.unique((one << 31 | ids)[both], return_inverse=True)
+        known = np.zeros(len(ids), bool)
+        known[both] = (levels[0].find(pair >> 31, pair & 2147483647)[0] > 0)[index]
         # the pair in front of a place ends one place back
         before = np.where(tokens.within > 0, np.roll(known, 1), False)
         at = np.flatnonzero(known & before & (two >= 0))
-        grams, counts = np.unique(np.stack([two[at] << 31 | one[at], ids[at]]), axis=1, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(grams[0]), pa.array(grams[1]), pa.array(counts)], names=["context", "word", "n"])
+        context, word = two[at] << 31 | one[at], ids[at]
+        order = np.lexsort((word, context))
+        context, word = context[order], word[order]
+        first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))) if len(at) else at
+        counts = np.diff(np.append(first, len(at)))
+        yield pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(word[first]), pa.array(counts)], names=["context", "word", "n"])
 
     triples = _tokens(source, count_triples, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
     triples = triples.join(pairs.select(F.expr("context << 31 | word").alias("context"), F.col("n").alias("total")), "context")
@@ -358,7 +376,7 @@ def train(texts: DataFrame, text_column: str = "text") -> dict:
     def triple_shard(context, word, n, total):
         return Level.build(context, word, n, total, n_words * 2**31 + 2**31, n_words)
 
-    keep(_build_shards(triples.withColumn("shard", shard("context")), ["context", "word", "n", "total"], triple_shard, folder, "triples"), "sizes")
+    keep(_build_shards(triples.withColumn("shard", shard("context")), ["context", "word", "n", "total"], triple_shard, folder, "triples", shards), "sizes")
     forget(pairs)
     return {"folder": folder, "offsets": offsets, "words": n_words, "tokens": n_tokens}
 
@@ -376,13 +394,13 @@ def _count_of(folder: str, offsets: list[int], ids: np.ndarray) -> np.ndarray:
 # --- scoring -------------------------------------------------------------------------
 
 
-def _distinct(a: np.ndarray, b: np.ndarray, level: Level) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(context: np.ndarray, word: np.ndarray, level: Level) -> tuple[np.ndarray, np.ndarray]:
     """level.find() of pairs, each looked up once."""
-    order = np.lexsort((b, a))
-    x, y = a[order], b[order]
+    order = np.argsort(mix64(context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)))
+    x, y = context[order], word[order]
     new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])) if len(x) else np.zeros(0, bool)
     p, backoff = level.find(x[new], y[new])
-    index = np.empty(len(a), np.int64)
+    index = np.empty(len(x), np.int64)
     index[order] = np.cumsum(new) - 1
     return p[index], backoff[index]
 
@@ -390,7 +408,7 @@ def _distinct(a: np.ndarray, b: np.ndarray, level: Level) -> tuple[np.ndarray, n
 class Scorer:
     def __init__(self, model: dict):
         self.model, self.vocabulary = model, Vocabulary(model["folder"], model["offsets"])
-        self.pairs, self.triples = Level(model["folder"], "pairs"), Level(model["folder"], "triples")
+        self.pairs, self.triples = Level(model["folder"], "pairs", len(model["offsets"])), Level(model["folder"], "triples", len(model["offsets"]))
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """Of each text: tokens, known tokens, base score, score."""
@@ -399,7 +417,9 @@ class Scorer:
         end, _ = self.vocabulary.find(np.array([_END]))
         base = (counts + SMOOTH) / (self.model["tokens"] + SMOOTH * (self.model["words"] + 1))
         one, two = tokens.contexts(ids, int(end[0]))
-        p2, g2 = _distinct(one, ids, self.pairs)
+        p2, g2 = np.zeros(len(ids)), np.ones(len(ids))
+        often = np.where(tokens.within > 0, np.roll(counts >= LEAST_COUNT, 1), True)  # rarer contexts are not in the trie
+        p2[often], g2[often] = _distinct(one[often], np.where(counts[often] >= LEAST_COUNT, ids[often], -1), self.pairs)
         pair = np.where((two >= 0) & (one >= 0), two << 31 | one, -1)
         p3, g3 = np.zeros(len(ids)), np.ones(len(ids))
         before = np.where(tokens.within > 0, np.roll(p2 > 0, 1), False)
@@ -422,7 +442,7 @@ def scores(documents: DataFrame, model: dict, id_column: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in blocks(batches, "text", COUNT_BYTES):
+        for batch in blocks(batches, "text", SCORE_BYTES):
             n, known, base, full = scorer.score(batch.column("text"))
             total = np.full(len(n), model["tokens"], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, (n.astype(np.int64), known, total, base, full))], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
