@@ -96,15 +96,17 @@ def fit(buckets: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray,
         return weights, -np.inf
     if labels.min() == labels.max():
         return weights, 20.0 if labels[0] else -20.0
-    row = np.repeat(np.arange(len(labels)), [len(b) for b in buckets])
-    col, val = np.concatenate(buckets), np.concatenate(values).astype(float)
-    toxic = labels[row] == 1
-    frequent = np.bincount(col, minlength=BUCKETS) >= LEAST_TEXTS
-    p, q = (SMOOTHING + np.bincount(col[m], val[m], BUCKETS) for m in (toxic, ~toxic))
+    texts = np.zeros(BUCKETS)
+    p, q = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
+    for own, value, label in zip(buckets, values, labels, strict=True):  # a bucket occurs once in a text
+        texts[own] += 1
+        (p if label == 1 else q)[own] += value
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio = np.where(frequent & (ratio >= LEAST_Z * np.sqrt(1 / p + 1 / q)), ratio, 0.0)
-    used = ratio[col] != 0
-    row, col, val = row[used], col[used], val[used] * ratio[col[used]]
+    ratio = np.where((texts >= LEAST_TEXTS) & (ratio >= LEAST_Z * np.sqrt(1 / p + 1 / q)), ratio, 0.0)
+    chosen = [ratio[own] != 0 for own in buckets]
+    row = np.repeat(np.arange(len(labels)), [int(c.sum()) for c in chosen])
+    col = np.concatenate([own[c] for own, c in zip(buckets, chosen, strict=True)]).astype(np.int64)
+    val = np.concatenate([value[c] for value, c in zip(values, chosen, strict=True)]).astype(float) * ratio[col]
     columns, col = np.unique(col, return_inverse=True)
     n, size = len(labels), len(columns)
 
@@ -170,14 +172,14 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds:
         for batch in blocks(batches, "text"):
             found = text_features(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array([b.astype(np.int32).tobytes() for b, _ in found], pa.binary()), pa.array([v.astype(np.int32).tobytes() for _, v in found], pa.binary())], names=["label", "buckets", "counts"]
+                [batch.column("label"), pa.array([b.astype(np.int32).tobytes() for b, _ in found], pa.binary()), pa.array([np.minimum(v, 65535).astype(np.uint16).tobytes() for _, v in found], pa.binary())], names=["label", "buckets", "counts"]
             )
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         rows.sort()  # the order of arrival must not matter
         labels_, buckets, counts = zip(*rows, strict=True) if rows else ((), (), ())
-        weights, bias = fit([np.frombuffer(b, np.int32).astype(np.int64) for b in buckets], [np.frombuffer(c, np.int32) for c in counts], np.array(labels_))
+        weights, bias = fit([np.frombuffer(b, np.int32) for b in buckets], [np.frombuffer(c, np.uint16) for c in counts], np.array(labels_))
         used = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array([used.astype(np.int32).tobytes()]), pa.array([weights[used].tobytes()]), pa.array([bias])], names=["used", "weights", "bias"])
 
