@@ -34,8 +34,10 @@ from pyspark.sql import types as T
 from .components import connected_components
 from .shared import Words, blocks, bounded_batches, checked_broadcast, distinct_per_row, forget, keep, mix64, shingles
 
-#: Frequency counters: a power of two. One byte of each is broadcast (4 MB).
-COUNTERS = 1 << 22
+#: Frequency counters: a power of two, about one for SHARE shingles, within bounds. A
+#: byte of each is broadcast (32 MB at most); beyond that counters are shared by more
+#: shingles, which costs candidates but no links.
+LEAST_COUNTERS, MOST_COUNTERS, SHARE = 1 << 20, 1 << 25, 8
 _CHUNK = 1 << 16
 #: Classes of the suffix filter.
 CLASSES = 64
@@ -63,17 +65,25 @@ def _entity(values: np.ndarray) -> int:
         return int((np.sum(mix64(values + np.uint64(77))) ^ mix64(np.uint64([len(values)]))[0]).astype(np.int64))
 
 
-def _facts(k: int):
+def _n_counters(source: DataFrame) -> int:
+    """From the number of characters, at six or so for a word."""
+    words = (source.agg(F.sum(F.length("text")).alias("n")).first().n or 0) // 6
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (words // SHARE).bit_length()))
+
+
+def _facts(k: int, n_counters: int):
     """A row of id, set size, entity and class counts per document; then, per task,
     the shingle counters in compressed chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, np.uint32)
+        counters, waiting = np.zeros(n_counters, np.uint32), []
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("ent", pa.int64()), ("classes", pa.list_(pa.int32())), ("chunk", pa.int32()), ("counts", pa.binary())])
         for batch in blocks(batches, "text"):
             sets = _sets(batch, k)
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            counters += np.bincount((every & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            waiting.append((every & np.uint64(n_counters - 1)).astype(np.uint32))
+            if sum(map(len, waiting)) > 1 << 22:
+                _add(counters, waiting)
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             by_class = np.bincount(owner * CLASSES + (every >> np.uint64(58)).astype(np.int64), minlength=CLASSES * len(sets)).reshape(-1, CLASSES)
             rows = len(sets)
@@ -88,7 +98,8 @@ def _facts(k: int):
                 ],
                 schema=schema,
             )
-        chunks = [c for c in range(COUNTERS // _CHUNK) if counters[c * _CHUNK : (c + 1) * _CHUNK].any()]
+        _add(counters, waiting)
+        chunks = [c for c in range(n_counters // _CHUNK) if counters[c * _CHUNK : (c + 1) * _CHUNK].any()]
         none = len(chunks)
         yield pa.RecordBatch.from_arrays(
             [
@@ -97,7 +108,7 @@ def _facts(k: int):
                 pa.nulls(none, pa.int64()),
                 pa.nulls(none, pa.list_(pa.int32())),
                 pa.array(chunks, pa.int32()),
-                pa.array([zlib.compress(counters[c * _CHUNK : (c + 1) * _CHUNK].tobytes(), 1) for c in chunks], pa.binary()),
+                pa.array([zlib.compress(np.minimum(counters[c * _CHUNK : (c + 1) * _CHUNK], 65535).astype(np.uint16).tobytes(), 1) for c in chunks], pa.binary()),
             ],
             schema=schema,
         )
@@ -105,21 +116,28 @@ def _facts(k: int):
     return run
 
 
+def _add(counters: np.ndarray, waiting: list[np.ndarray]) -> None:
+    if waiting:
+        places, counts = np.unique(np.concatenate(waiting), return_counts=True)
+        counters[places] += counts.astype(np.uint32)
+        waiting.clear()
+
+
 def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum the counters of each chunk of this task and round them to 1/8 of a doubling."""
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            add = np.frombuffer(zlib.decompress(counts), np.uint32)
+            add = np.frombuffer(zlib.decompress(counts), np.uint16)
             totals[chunk] = totals.get(chunk, np.zeros(_CHUNK, np.uint64)) + add
     levels = [np.minimum(8 * np.log2(t.astype(float) + 1), 255).astype(np.uint8).tobytes() for t in totals.values()]
     yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "levels"])
 
 
-def _rank_levels(facts: DataFrame) -> np.ndarray:
-    """One byte per counter, at most COUNTERS bytes, whatever the input's size."""
+def _rank_levels(facts: DataFrame, n_counters: int) -> np.ndarray:
+    """One byte per counter, at most MOST_COUNTERS bytes, whatever the input's size."""
     chunks = facts.where("chunk is not null").select("chunk", "counts").repartition(16, "chunk")
-    levels = np.zeros(COUNTERS, np.uint8)
+    levels = np.zeros(n_counters, np.uint8)
     for row in chunks.mapInArrow(_add_chunks, "chunk int, levels binary").collect():
         levels[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.frombuffer(bytes(row.levels), np.uint8)
     return levels
@@ -140,7 +158,7 @@ def _postings(k: int, threshold: Fraction, levels):
                 if len(seen) < 1_000_000:
                     seen.add(ent)
                 size = prefix_length(len(values), threshold)
-                level = levels.value[(values & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                level = levels.value[(values & np.uint64(len(levels.value) - 1)).astype(np.int64)]
                 order = np.argsort(level, kind="stable")[:size]  # values ascend, so ties go by hash
                 parts.append((values[order].astype(np.int64), np.full(len(order), ent), np.full(len(order), len(values)), np.arange(len(order))))
             if parts:
@@ -246,9 +264,10 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     spark = documents.sparkSession
     bounded_batches(spark)
     source = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    told = keep(source.mapInArrow(_facts(k), _FACTS), "facts")
+    n_counters = _n_counters(source)
+    told = keep(source.mapInArrow(_facts(k, n_counters), _FACTS), "facts")
     facts = told.where("chunk is null").select("id", "n", "ent", "classes")
-    levels = spark.sparkContext.broadcast(_rank_levels(told))
+    levels = spark.sparkContext.broadcast(_rank_levels(told, n_counters))
     postings = keep(source.mapInArrow(_postings(k, exact, levels), "token long, ent long, n long, pos long"), "postings")
     heads = postings.groupBy("token").agg(F.min("ent").alias("lo"), F.max("ent").alias("hi")).where("lo <> hi").select("token")
     lists = keep(postings.join(heads, "token").distinct(), "lists")
