@@ -28,9 +28,10 @@ BUCKETS = 1 << 18
 SIZES = (3, 4, 5, 6)
 SMOOTHING = 1.0
 PENALTY = 1e-4
-#: Standard errors by which a ratio must favour the toxic side. The others (signs of
-#: clean text, and noise) would outweigh a few insults in a long text.
-LEAST_Z = 5.0
+#: Log-likelihood ratio by which counts must favour the toxic side (chance exceeds it
+#: once in a hundred). The others (signs of clean text, and noise) would outweigh a few
+#: insults in a long text.
+LEAST_EVIDENCE = 6.63
 #: An n-gram must occur in this many training texts.
 LEAST_TEXTS = 3
 
@@ -89,6 +90,17 @@ def text_features(array: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def evidence(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each n-gram's counts in the two classes against one rate
+    for both; a count may be 0, so it asks for no size of the sample."""
+    share = toxic.sum() / max(toxic.sum() + clean.sum(), 1)
+    out, both = np.zeros(len(toxic)), toxic + clean
+    for count, part in ((toxic, share), (clean, 1 - share)):
+        some = count > 0
+        out[some] += 2 * count[some] * np.log(count[some] / (both[some] * part))
+    return out
+
+
 def fit(buckets: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
     """Weights per bucket (ratio included) and bias."""
     weights = np.zeros(BUCKETS)
@@ -102,7 +114,7 @@ def fit(buckets: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray,
         texts[own] += 1
         (p if label == 1 else q)[own] += value
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio = np.where((texts >= LEAST_TEXTS) & (ratio >= LEAST_Z * np.sqrt(1 / p + 1 / q)), ratio, 0.0)
+    ratio = np.where((texts >= LEAST_TEXTS) & (ratio > 0) & (evidence(p - SMOOTHING, q - SMOOTHING) >= LEAST_EVIDENCE), ratio, 0.0)
     chosen = [ratio[own] != 0 for own in buckets]
     row = np.repeat(np.arange(len(labels)), [int(c.sum()) for c in chosen])
     col = np.concatenate([own[c] for own, c in zip(buckets, chosen, strict=True)]).astype(np.int64)

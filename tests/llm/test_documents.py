@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm import decontamination, fingerprints, jaccard_join, language_id, lm_scoring, mixing, pii, toxicity
@@ -196,6 +197,25 @@ def test_toxicity(spark, odd, data):
     assert {r.score for r in toxicity.toxicity_scores(odd, empty).collect()} == {0.0}
 
 
+def test_toxicity_of_a_small_sample(spark, data):
+    """Insults that a few toxic and no clean texts hold are features in a small sample."""
+    small = data.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    for word in ("trash", "idiot", "stupid", "moron"):
+        buckets, _ = toxicity.word_grams(toxicity.Words(pa.array([word])), np.array([0]))
+        assert (model[0][buckets] != 0).mean() > 0.5, word
+    out = toxicity.toxicity_scores(docs, model).join(labels, "doc_id").where(toxicity.held_out("doc_id", 5)).toPandas()
+    assert (out[out.toxic == 0].predicted == 0).mean() > 0.98 and (out[out.toxic == 1].predicted == 1).mean() > 0.8
+
+
+def test_evidence():
+    toxic, clean = np.array([17.0, 93.0, 96.0, 0.0, 1.0, 0.0]), np.array([0.0, 0.0, 56.0, 9.0, 9.0, 2000.0])
+    got = toxicity.evidence(toxic, clean)
+    share = toxic.sum() / (toxic.sum() + clean.sum())
+    assert np.allclose(got[:2], -2 * toxic[:2] * math.log(share)) and got[0] > 6.63 and got[1] > got[2] > got[4]
+
+
 @pytest.mark.parametrize(("n", "bound"), [(0, 10), (1, 1), (5, 6), (1000, 3000), (1000, 10**15), (5000, 2**63), (300, 200)])
 def test_elias_fano(n, bound):
     rng = np.random.default_rng(n)
