@@ -15,7 +15,7 @@ there are words). Of each level a shard holds
 - pairs and triples: sorted contexts (Elias-Fano); monotone pointers to the range of
   each context (Elias-Fano); the successors of all ranges, each range's numbers
   offset by the last value of the range before so that all is monotone (Elias-Fano);
-  discounted probabilities and back-off weights in one byte each.
+  discounted probabilities in two bytes each and back-off weights in one.
 
 An n-gram is found by its context's position, the context's range, and a successor
 search relative to the range. Probabilities interpolate with absolute discounting:
@@ -143,14 +143,13 @@ def _named(name: str, parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {f"{name}.{k}": v for k, v in parts.items()}
 
 
-def _code(p: np.ndarray) -> np.ndarray:
-    """log10 p in steps, rounded down; 255 stands for 0."""
-    with np.errstate(divide="ignore"):
-        steps = np.ceil(-np.log10(p) / STEP)
-    return np.where(np.isfinite(steps) & (steps < 255), np.maximum(steps, 0), 255).astype(np.uint8)
+def _code(p: np.ndarray, kind: type) -> np.ndarray:
+    """log10 of p > 0 in steps, rounded down. A byte holds any back-off weight (1e-7 at
+    least), two bytes the share of any 64-bit count."""
+    return np.maximum(np.ceil(-np.log10(p) / STEP), 0).astype(kind)
 
 
-_VALUE = np.append(10.0 ** (-STEP * np.arange(255)), 0.0)
+_VALUE = 10.0 ** (-STEP * np.arange(1024))
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -172,20 +171,21 @@ class Level:
         tops = np.cumsum(word[first + sizes - 1] + 1)  # each range starts above the one before
         base = np.concatenate([[0], tops[:-1]])
         relative = word + np.repeat(base, sizes)
-        share = np.maximum(count - DISCOUNT, 0) / total
+        share = (count - DISCOUNT) / total
         rest = np.clip(1 - np.add.reduceat(share, first), 1e-7, 1)
         return {
             **_named("context", encode(context[first], bound)),
             **_named("pointer", encode(np.append(first, len(context)), len(context) + 1)),
             **_named("next", encode(relative, int(tops[-1]) + 1)),
-            "p": _code(share),
-            "backoff": _code(rest),
+            "p": _code(share, np.uint16),
+            "backoff": _code(rest, np.uint8),
         }
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Discounted probability (0 if absent) and back-off weight (1 for an absent
-        context) of each (context, word); pairs in which either is negative are absent."""
-        p, backoff = np.zeros(len(context)), np.ones(len(context))
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Discounted probability (0 if absent), back-off weight (1 for an absent
+        context) and presence of each (context, word); pairs in which either is negative
+        are absent."""
+        p, backoff, present = np.zeros(len(context)), np.ones(len(context)), np.zeros(len(context), bool)
         known = np.flatnonzero(context >= 0)
         shard = shard_of(context[known], len(self.shards))
         order = np.argsort(shard, kind="stable")
@@ -213,7 +213,8 @@ class Level:
             inside = found < end[index[asked]]
             inside[inside] = following.get(found[inside]) == target[inside]
             p[rows[asked[inside]]] = _VALUE[arrays["p"][found[inside]]]
-        return p, backoff
+            present[rows[asked[inside]]] = True
+        return p, backoff, present
 
 
 def _starts(shards: int) -> np.ndarray:
@@ -359,7 +360,7 @@ def train(texts: DataFrame, text_column: str = "text") -> dict:
         both = (often >= LEAST_COUNT) & np.where(tokens.within > 0, np.roll(often >= LEAST_COUNT, 1), True)
         pair, index = np.unique((one << 31 | ids)[both], return_inverse=True)
         known = np.zeros(len(ids), bool)
-        known[both] = (levels[0].find(pair >> 31, pair & 2147483647)[0] > 0)[index]
+        known[both] = levels[0].find(pair >> 31, pair & 2147483647)[2][index]
         # the pair in front of a place ends one place back
         before = np.where(tokens.within > 0, np.roll(known, 1), False)
         at = np.flatnonzero(known & before & (two >= 0))
@@ -394,15 +395,15 @@ def _count_of(folder: str, offsets: list[int], ids: np.ndarray) -> np.ndarray:
 # --- scoring -------------------------------------------------------------------------
 
 
-def _distinct(context: np.ndarray, word: np.ndarray, level: Level) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(context: np.ndarray, word: np.ndarray, level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """level.find() of pairs, each looked up once."""
     order = np.argsort(mix64(context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)))
     x, y = context[order], word[order]
     new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])) if len(x) else np.zeros(0, bool)
-    p, backoff = level.find(x[new], y[new])
+    p, backoff, present = level.find(x[new], y[new])
     index = np.empty(len(x), np.int64)
     index[order] = np.cumsum(new) - 1
-    return p[index], backoff[index]
+    return p[index], backoff[index], present[index]
 
 
 class Scorer:
@@ -417,14 +418,14 @@ class Scorer:
         end, _ = self.vocabulary.find(np.array([_END]))
         base = (counts + SMOOTH) / (self.model["tokens"] + SMOOTH * (self.model["words"] + 1))
         one, two = tokens.contexts(ids, int(end[0]))
-        p2, g2 = np.zeros(len(ids)), np.ones(len(ids))
+        p2, g2, known = np.zeros(len(ids)), np.ones(len(ids)), np.zeros(len(ids), bool)
         often = np.where(tokens.within > 0, np.roll(counts >= LEAST_COUNT, 1), True)  # rarer contexts are not in the trie
-        p2[often], g2[often] = _distinct(one[often], np.where(counts[often] >= LEAST_COUNT, ids[often], -1), self.pairs)
+        p2[often], g2[often], known[often] = _distinct(one[often], np.where(counts[often] >= LEAST_COUNT, ids[often], -1), self.pairs)
         pair = np.where((two >= 0) & (one >= 0), two << 31 | one, -1)
         p3, g3 = np.zeros(len(ids)), np.ones(len(ids))
-        before = np.where(tokens.within > 0, np.roll(p2 > 0, 1), False)
+        before = np.where(tokens.within > 0, np.roll(known, 1), False)
         at = np.flatnonzero(before & (pair >= 0))
-        p3[at], g3[at] = _distinct(pair[at], ids[at], self.triples)
+        p3[at], g3[at], _ = _distinct(pair[at], ids[at], self.triples)
         full = p3 + g3 * (p2 + g2 * base)
         n = len(texts)
         add = lambda x: np.bincount(tokens.doc, x, n)

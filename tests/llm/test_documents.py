@@ -263,6 +263,16 @@ def test_lm_scores(spark, odd):
     assert {round(r.base_score, 9) for r in lm_scoring.scores(odd, none).collect()} == {0.0}
 
 
+def test_lm_successors_of_a_frequent_context(tmp_path):
+    """A share below 10^-7.62 is present, with its value, and not a 0."""
+    context, word, count, total = np.array([5, 5, 5, 6]), np.array([1, 2, 4, 1]), np.array([2, 3, 10**8 - 9, 2]), np.array([10**8] * 3 + [10**10])
+    lm_scoring._write(str(tmp_path), "pairs-0", lm_scoring.Level.build(context, word, count, total, 10, 9))
+    p, _, present = lm_scoring.Level(str(tmp_path), "pairs", 1).find(np.append(context, [5, 7]), np.append(word, [3, 1]))
+    assert present.tolist() == [True] * 4 + [False] * 2 and p[4:].tolist() == [0, 0]
+    low = np.log10((count - 0.75) / total) - np.log10(p[:4])
+    assert (low > -1e-9).all() and (low < 0.0301).all()
+
+
 def test_languages(spark, odd):
     docs = spark.createDataFrame([("the and of this that", "en")] * 5 + [("der die das und nicht", "de")] * 5 + [(None, "xx"), ("zz", None)], "text string, lang string")
     pages = [(1, "http://a.b.de/x", '<html lang="de"><p>das ist nicht der'), (2, "http://a.b.de/y", None), (3, None, "<p>this and that"), (None, "bad", ""), (4, "http://a.b.de/z", "<html lang='en'><b>und die das der nicht")]
