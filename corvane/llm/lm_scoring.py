@@ -2,9 +2,10 @@
 
 Training is three counting passes over the training texts, each pre-counted per
 batch and summed by Spark: words, then word pairs, then word triples. A pair or
-triple stays in the model if it occurs at least twice; as a triple cannot occur
-twice unless both its pairs do, triples are only counted where the pair level, by
-then on disk, has both. Counts cover all training texts.
+triple stays in the model if it occurs at least `least_count` times; the query keeps
+all (1). As a triple cannot occur twice unless both its pairs do, with a higher bound
+triples are only counted where the pair level, by then on disk, has both. Counts
+cover all training texts.
 
 The model is a folder in the shared storage that tasks map into memory; nothing of
 it passes through the driver but shard sizes. Levels are cut into shards by hash so
@@ -43,7 +44,7 @@ from .elias_fano import EliasFano, encode
 from .shared import Words, blocks, bounded_batches, forget, keep, mix64, shared_folder
 
 #: Shards of each level: a power of two, about one for SHARD_TOKENS training tokens.
-SHARD_TOKENS, MOST_SHARDS = 16_000_000, 4096
+SHARD_TOKENS, MOST_SHARDS = 8_000_000, 4096
 LEAST_COUNT = 2
 DISCOUNT = 0.75
 SMOOTH = 0.1
@@ -280,8 +281,9 @@ def _build_shards(rows: DataFrame, columns: list[str], build, folder: str, level
     return rows.repartition(shards, "shard").sortWithinPartitions("shard", *columns[:2]).mapInArrow(run, "shard int, n long")
 
 
-def train(texts: DataFrame, text_column: str = "text") -> dict:
-    """A small description of the model: its folder, shard offsets and totals."""
+def train(texts: DataFrame, text_column: str = "text", least_count: int = LEAST_COUNT) -> dict:
+    """A small description of the model: its folder, shard offsets and totals. Pairs and
+    triples that occur less than least_count times are left to the back-off."""
     spark = texts.sparkSession
     bounded_batches(spark)
     folder = f"{shared_folder(spark)}/trie-{uuid.uuid4().hex}"
@@ -321,7 +323,7 @@ def train(texts: DataFrame, text_column: str = "text") -> dict:
         ids, often = vocabulary_of().find(tokens.hashes)
         end, _ = vocabulary_of().find(np.array([_END]))
         one, _ = tokens.contexts(ids, int(end[0]))
-        both = (often >= LEAST_COUNT) & np.where(tokens.within > 0, np.roll(often >= LEAST_COUNT, 1), True)
+        both = (often >= least_count) & np.where(tokens.within > 0, np.roll(often >= least_count, 1), True)
         one, ids = one[both], ids[both]  # rarer words have no pair that stays
         values, counts = np.unique(one << 31 | ids, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["gram", "n"])
@@ -333,8 +335,9 @@ def train(texts: DataFrame, text_column: str = "text") -> dict:
             opened.append(vocabulary())
         return opened[0]
 
-    pairs = _tokens(source, count_pairs, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
-    pairs = keep(pairs.select(F.expr("shiftright(gram, 31)").alias("context"), F.expr("gram & 2147483647").alias("word"), "n"), "pairs")
+    pairs = _tokens(source, count_pairs, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
+    pairs = pairs.select(F.expr("shiftright(gram, 31)").alias("context"), F.expr("gram & 2147483647").alias("word"), "n")
+    pairs = keep(pairs, "pairs") if least_count > 1 else pairs
 
     @F.pandas_udf("int")
     def shard(context):
@@ -352,15 +355,15 @@ def train(texts: DataFrame, text_column: str = "text") -> dict:
     levels: list[Level] = []
 
     def count_triples(tokens: Sequence):
-        if not levels:
+        if not levels and least_count > 1:
             levels.append(Level(folder, "pairs", shards))
         ids, often = vocabulary_of().find(tokens.hashes)
         end, _ = vocabulary_of().find(np.array([_END]))
         one, two = tokens.contexts(ids, int(end[0]))
-        both = (often >= LEAST_COUNT) & np.where(tokens.within > 0, np.roll(often >= LEAST_COUNT, 1), True)
-        pair, index = np.unique((one << 31 | ids)[both], return_inverse=True)
-        known = np.zeros(len(ids), bool)
-        known[both] = levels[0].find(pair >> 31, pair & 2147483647)[2][index]
+        known = (often >= least_count) & np.where(tokens.within > 0, np.roll(often >= least_count, 1), True)
+        if levels:
+            pair, index = np.unique((one << 31 | ids)[known], return_inverse=True)
+            known[known] = levels[0].find(pair >> 31, pair & 2147483647)[2][index]
         # the pair in front of a place ends one place back
         before = np.where(tokens.within > 0, np.roll(known, 1), False)
         at = np.flatnonzero(known & before & (two >= 0))
@@ -371,15 +374,22 @@ def train(texts: DataFrame, text_column: str = "text") -> dict:
         counts = np.diff(np.append(first, len(at)))
         yield pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(word[first]), pa.array(counts)], names=["context", "word", "n"])
 
-    triples = _tokens(source, count_triples, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
-    triples = triples.join(pairs.select(F.expr("context << 31 | word").alias("context"), F.col("n").alias("total")), "context")
+    triples = _tokens(source, count_triples, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
+    columns = ["context", "word", "n"]
+    if least_count > 1:
+        triples = triples.join(pairs.select(F.expr("context << 31 | word").alias("context"), F.col("n").alias("total")), "context")
+        columns.append("total")
 
-    def triple_shard(context, word, n, total):
+    def triple_shard(context, word, n, total=None):
+        if total is None:  # a pair that is a context is always followed, so its triples sum to it
+            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(n))))
         return Level.build(context, word, n, total, n_words * 2**31 + 2**31, n_words)
 
-    keep(_build_shards(triples.withColumn("shard", shard("context")), ["context", "word", "n", "total"], triple_shard, folder, "triples", shards), "sizes")
-    forget(pairs)
-    return {"folder": folder, "offsets": offsets, "words": n_words, "tokens": n_tokens}
+    keep(_build_shards(triples.withColumn("shard", shard("context")), columns, triple_shard, folder, "triples", shards), "sizes")
+    if least_count > 1:
+        forget(pairs)
+    return {"folder": folder, "offsets": offsets, "words": n_words, "tokens": n_tokens, "least_count": least_count}
 
 
 def _count_of(folder: str, offsets: list[int], ids: np.ndarray) -> np.ndarray:
@@ -419,8 +429,9 @@ class Scorer:
         base = (counts + SMOOTH) / (self.model["tokens"] + SMOOTH * (self.model["words"] + 1))
         one, two = tokens.contexts(ids, int(end[0]))
         p2, g2, known = np.zeros(len(ids)), np.ones(len(ids)), np.zeros(len(ids), bool)
-        often = np.where(tokens.within > 0, np.roll(counts >= LEAST_COUNT, 1), True)  # rarer contexts are not in the trie
-        p2[often], g2[often], known[often] = _distinct(one[often], np.where(counts[often] >= LEAST_COUNT, ids[often], -1), self.pairs)
+        least = self.model["least_count"]
+        often = np.where(tokens.within > 0, np.roll(counts >= least, 1), True)  # rarer contexts are not in the trie
+        p2[often], g2[often], known[often] = _distinct(one[often], np.where(counts[often] >= least, ids[often], -1), self.pairs)
         pair = np.where((two >= 0) & (one >= 0), two << 31 | one, -1)
         p3, g3 = np.zeros(len(ids)), np.ones(len(ids))
         before = np.where(tokens.within > 0, np.roll(known, 1), False)
@@ -453,8 +464,9 @@ def scores(documents: DataFrame, model: dict, id_column: str = "doc_id", text_co
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    """Scores of all documents by a model of those outside the held-out tenth."""
+    """Scores of all documents by a model of those outside the held-out tenth, with all
+    their pairs and triples."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     aside = F.expr("crc32(cast(doc_id as string)) % 10 = 0")
-    scored = scores(documents, train(documents.where(~F.coalesce(aside, F.lit(False)))))
+    scored = scores(documents, train(documents.where(~F.coalesce(aside, F.lit(False))), least_count=1))
     return scored.select("doc_id", F.coalesce(aside, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

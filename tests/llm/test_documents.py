@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -263,6 +264,42 @@ def test_lm_scores(spark, odd):
     assert {round(r.base_score, 9) for r in lm_scoring.scores(odd, none).collect()} == {0.0}
 
 
+def whole_lm(train, texts):
+    """Scores by all pairs and triples, those that occur once too, in coded steps."""
+    coded = lambda x: 10 ** (-0.03 * math.ceil(-math.log10(x) / 0.03)) if x > 0 else 0.0
+    one, two, three = Counter(), Counter(), Counter()
+    for t in train:
+        s = ["</s>", *words(t), "</s>"]
+        one.update(s[1:]), two.update(zip(s, s[1:])), three.update(zip(s, s[1:], s[2:]))
+    n, v, g2, g3 = sum(one.values()), len(one), Counter(), Counter()
+    for (a, _), c in two.items():
+        g2[a] += (c - 0.75) / one[a]
+    for (a, b, _), c in three.items():
+        g3[a, b] += (c - 0.75) / two[a, b]
+    out = []
+    for t in texts:
+        s, full = ["</s>", *words(t), "</s>"], 0.0
+        for i in range(1, len(s)):
+            p = (one[s[i]] + 0.1) / (n + 0.1 * (v + 1))
+            p = coded(max(two[s[i - 1], s[i]] - 0.75, 0) / max(one[s[i - 1]], 1)) + coded(max(1 - g2[s[i - 1]], 1e-7)) * p
+            if i > 1:
+                k = s[i - 2], s[i - 1]
+                p = coded(max(three[*k, s[i]] - 0.75, 0) / max(two[k], 1)) + coded(max(1 - g3[k], 1e-7)) * p
+            full += math.log10(p)
+        out.append((len(s) - 1, full))
+    return out
+
+
+def test_lm_query_keeps_all_pairs_and_triples(spark, odd, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(r.text, r.doc_id) for r in odd.collect()]
+    train = [t for t, i in rows if i is None or zlib.crc32(str(i).encode()) % 10]
+    want = sorted(whole_lm(train, [t for t, _ in rows]))
+    got = sorted((r.n_tokens, r.score) for r in lm_scoring.op6_lm_scoring(spark, str(tmp_path)).collect())
+    for a, b in zip(got, want, strict=True):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 * a[0]
+
+
 def test_lm_successors_of_a_frequent_context(tmp_path):
     """A share below 10^-7.62 is present, with its value, and not a 0."""
     context, word, count, total = np.array([5, 5, 5, 6]), np.array([1, 2, 4, 1]), np.array([2, 3, 10**8 - 9, 2]), np.array([10**8] * 3 + [10**10])
