@@ -21,25 +21,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among ids, which are broadcast if few enough."""
-    ids = keep(ids.select(F.col("doc_id").alias("_id")), "ids")
-    return docs.join(checked_broadcast(ids, ids.count()), docs.doc_id.eqNullSafe(F.col("_id")), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, a digest of the text: ids may be null or shared by texts, so
+    verdicts go by text and never by id alone."""
+    return docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; of rows that
-    repeat an id and its text, one."""
-    groups = keep(jaccard_join.near_duplicates(docs), "groups")
-    kept = _without(docs, groups.where("not (doc_id <=> component_id)").distinct())
-    repeated = not groups.groupBy("doc_id").count().where("count > 1").isEmpty()
+    """The document with the smallest id of each near-duplicate group (a null id is
+    last); of rows that repeat an id and its text, one. Wordless texts group with none."""
+    rows = _keyed(docs)
+    groups = jaccard_join.near_duplicates(rows.select("_key", "text"), id_column="_key").where("n_shingles > 0").select("_key", "component_id").distinct()
+    texts = rows.groupBy("_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"), F.count("*").alias("n"))
+    texts = keep(texts.join(groups, "_key").select("_key", "component_id", "n", "least.none", "least.doc_id"), "texts")
+    heads = texts.groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "_key")).alias("head"))
+    told = texts.join(heads, "component_id").select("_key", (F.col("head._key") == F.col("_key")).alias("_first"), F.col("head.doc_id").alias("_id"), "n")
+    told = keep(told.where("not _first or n > 1").drop("n"), "told")
+    kept = rows.join(checked_broadcast(told, told.count()), "_key", "left").where("_first is null or (_first and doc_id <=> _id)").select(*docs.columns)
+    repeated = not rows.groupBy("doc_id", "_key").count().where("count > 1").isEmpty()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with the benchmark."""
-    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated").distinct())
+    rows = _keyed(docs)
+    found = decontamination.contamination(rows.select("_key", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column="_key")
+    found = keep(found.where("contaminated").select("_key").distinct(), "contaminated")
+    return rows.join(checked_broadcast(found, found.count()), "_key", "left_anti").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,6 +218,7 @@ def _links(pairs: DataFrame, facts: DataFrame, documents: DataFrame, k: int, thr
     rows = needed.count()
     reps = needed.join(of.select("ent", "rep"), "ent").select(F.col("rep").alias("id")).distinct()
     texts = documents.join(checked_broadcast(reps, rows), "id", "left_semi")
+    texts = texts.union(documents.where("id is null"))  # sets that only null ids hold
     sets = texts.mapInArrow(_set_bytes(k), "ent long, shingles binary").join(checked_broadcast(needed, rows), "ent", "left_semi").dropDuplicates(["ent"])
     sets = keep(sets, "sets")
     both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")

@@ -335,3 +335,31 @@ def test_pipeline_stages(spark, data):
     mixed = corpus_pipeline.mix_sources(spark, docs, data)
     copies = Counter(r.doc_id for r in mixed.collect())
     assert copies == {r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies}
+
+
+def _prose(seed, n=60):
+    return " ".join(f"w{seed}x{i}" for i in range(n))
+
+
+def test_near_duplicates_of_null_ids(spark):
+    """A set that only null ids hold is compared as any other."""
+    text = _prose(1)
+    docs = spark.createDataFrame([(None, text), (20, text + " more"), (None, _prose(2))], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(20, 57, 20), (None, 56, 20), (None, 56, None)], key=str)
+
+
+def test_pipeline_verdicts_go_by_row(spark, tmp_path):
+    """Null ids and shared ids: a verdict on one row does not remove another."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, _prose(3, 30)), (2, _prose(4, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leaks = {(None, _prose(3)), (7, _prose(4))}
+    clean = {(1, _prose(5)), (None, _prose(6)), (7, _prose(7)), (None, None), (8, "")}
+    copies = {(None, _prose(5) + " more"), (9, _prose(5)), (7, _prose(5) + " again")}
+    nulls = {(None, _prose(8)), (None, _prose(8) + " more")}
+    docs = spark.createDataFrame([*leaks, *clean, *clean, *copies, *nulls], "doc_id long, text string")
+    one = Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect())
+    assert set(one.values()) == {1} and len(set(one) & nulls) == 1 and set(one) - nulls == leaks | clean
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()}
+    assert kept == clean | copies | nulls
