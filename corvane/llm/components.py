@@ -69,9 +69,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     given = keep(given.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     forest = keep(given.groupBy("u").agg(F.min("v").alias("v")), "edges")
     first = keep(_contract(forest), "components")
+    forget(forest)
+    # the smaller end of an edge may be nobody's smallest neighbour
+    nodes = given.select(F.col("u").alias("node")).union(given.select("v")).distinct()
+    placed = nodes.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     rest = keep(_mapped(given, first), "edges")
+    if rest.isEmpty():
+        return placed
     second = keep(_contract(rest), "components")
-    nodes = given.select(F.explode(F.array("u", "v")).alias("node")).distinct()  # some are nobody's smallest neighbour
-    placed = nodes.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    forget(rest)
     joined = placed.join(second.toDF("component", "whole"), "component", "left")
     return joined.select("node", F.coalesce("whole", "component").alias("component"))

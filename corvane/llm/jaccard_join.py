@@ -9,11 +9,13 @@ expanded. Among entities:
    only make it rare-first, so frequent shingles leave the prefixes.
 2. The first n - ceil(t n) + 1 shingles of an entity are its prefix. Linked
    entities share a prefix shingle, so entities meet in the lists of such shingles.
-3. A list is never paired with itself. Each entity is first compared with one of
-   the smallest members of its lists, then with all of them that lie in another
-   component; the links found are contracted into components. Then only members of
-   different components still have to meet: those outside a list's most common
-   component against the others. Nothing else can change the result.
+3. A list is never paired with itself. Its head is the member in which the list's
+   shingle stands earliest: the one with the fewest rarer shingles of its own, as a
+   group's original has. Each entity is first compared with one head of its lists,
+   then with all heads that lie in another component; the links found are contracted
+   into components. Then only members of different components still have to meet:
+   those outside a list's most common component against the others. Nothing else can
+   change the result.
 4. Pairs pass a length filter, a positional filter (what is left behind the common
    position) and a suffix filter (shingles counted in classes by hash), all upper
    bounds, and are then compared exactly, once per pair.
@@ -45,6 +47,7 @@ CLASSES = 64
 _FACTS = T.StructType(
     [
         T.StructField("id", T.LongType()),
+        T.StructField("key", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("ent", T.LongType()),
         T.StructField("classes", T.ArrayType(T.IntegerType())),
@@ -72,17 +75,17 @@ def _n_counters(source: DataFrame) -> int:
 
 
 def _facts(k: int, n_counters: int):
-    """A row of id, set size, entity and class counts per document; then, per task,
-    the shingle counters in compressed chunks."""
+    """A row of id, text key, set size, entity and class counts per document; then,
+    per task, the shingle counters in compressed chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, waiting = np.zeros(n_counters, np.uint32), []
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("ent", pa.int64()), ("classes", pa.list_(pa.int32())), ("chunk", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("ent", pa.int64()), ("classes", pa.list_(pa.int32())), ("chunk", pa.int32()), ("counts", pa.binary())])
         for batch in blocks(batches, "text"):
             sets = _sets(batch, k)
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             waiting.append((every & np.uint64(n_counters - 1)).astype(np.uint32))
-            if sum(map(len, waiting)) > 1 << 22:
+            if sum(map(len, waiting)) > 1 << 20:
                 _add(counters, waiting)
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             by_class = np.bincount(owner * CLASSES + (every >> np.uint64(58)).astype(np.int64), minlength=CLASSES * len(sets)).reshape(-1, CLASSES)
@@ -90,6 +93,7 @@ def _facts(k: int, n_counters: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").cast(pa.int64()),
+                    batch.column("key").cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_entity(s) if len(s) else None for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * CLASSES, pa.int32()), pa.array(by_class.ravel(), pa.int32())).cast(pa.list_(pa.int32())),
@@ -103,9 +107,7 @@ def _facts(k: int, n_counters: int):
         none = len(chunks)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.nulls(none, pa.int64()),
-                pa.nulls(none, pa.int64()),
-                pa.nulls(none, pa.int64()),
+                *(pa.nulls(none, pa.int64()) for _ in range(4)),
                 pa.nulls(none, pa.list_(pa.int32())),
                 pa.array(chunks, pa.int32()),
                 pa.array([zlib.compress(np.minimum(counters[c * _CHUNK : (c + 1) * _CHUNK], 65535).astype(np.uint16).tobytes(), 1) for c in chunks], pa.binary()),
@@ -205,7 +207,7 @@ def _filters(threshold: Fraction) -> str:
 
 def _links(pairs: DataFrame, facts: DataFrame, documents: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     """pairs(a, b), distinct, of entities -> those that link. Kept as a table."""
-    of = facts.where("ent is not null").groupBy("ent").agg(F.first("classes").alias("classes"), F.min("id").alias("rep"))
+    of = facts.where("ent is not null").groupBy("ent").agg(F.first("classes").alias("classes"), F.min(F.struct("key", "id")).alias("rep"))
     a, b = (of.select(F.col("ent").alias(x), F.col("classes").alias(f"classes_{x}")) for x in "ab")
     lo, hi = (f"aggregate(zip_with(classes_a, classes_b, (x, y) -> {f}(x, y)), 0, (s, x) -> s + x)" for f in ("least", "greatest"))
     near = (
@@ -216,9 +218,9 @@ def _links(pairs: DataFrame, facts: DataFrame, documents: DataFrame, k: int, thr
     near = keep(near, "pairs")
     needed = keep(near.select(F.col("a").alias("ent")).union(near.select("b")).distinct(), "needed")
     rows = needed.count()
-    reps = needed.join(of.select("ent", "rep"), "ent").select(F.col("rep").alias("id")).distinct()
-    texts = documents.join(checked_broadcast(reps, rows), "id", "left_semi")
-    texts = texts.union(documents.where("id is null"))  # sets that only null ids hold
+    # one row of each set is read again, told by its text's key and its id, which may be null
+    reps = needed.join(of.select("ent", "rep"), "ent").select(F.col("rep.key").alias("rkey"), F.col("rep.id").alias("rid")).distinct()
+    texts = documents.join(checked_broadcast(reps, rows), F.expr("key = rkey and id <=> rid"), "left_semi").select("id", "text")
     sets = texts.mapInArrow(_set_bytes(k), "ent long, shingles binary").join(checked_broadcast(needed, rows), "ent", "left_semi").dropDuplicates(["ent"])
     sets = keep(sets, "sets")
     both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
@@ -245,8 +247,8 @@ def _mixed(placed: DataFrame) -> DataFrame:
 
 
 def _against_heads(placed: DataFrame, threshold: Fraction) -> DataFrame:
-    """Each list's members e against its smallest member h, if that is in another component."""
-    heads = placed.groupBy("token").agg(F.min(F.struct("n", "ent", "pos", "c")).alias("head"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    """Each list's members e against its head h, if that is in another component."""
+    heads = placed.groupBy("token").agg(F.min(F.struct("pos", "ent", "n", "c")).alias("head"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
     heads = heads.select("token", F.col("head.n").alias("nb"), F.col("head.ent").alias("h"), F.col("head.pos").alias("pb"), F.col("head.c").alias("ch"))
     return placed.withColumnsRenamed({"ent": "e", "n": "na", "pos": "pa"}).join(heads, "token").where("c <> ch").where(_filters(threshold))
 
@@ -258,30 +260,30 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     Null and wordless texts have size 0, link with nothing and are their own
     component. Rows with the same text are one class, whatever their ids; an id
     that occurs on several rows has a row for each. A null id takes part, but a
-    component's id is its smallest non-null one. Other columns are not read. An
+    component's id is its smallest non-null one (null if there is none). Other columns are not read. An
     empty table gives an empty result.
     """
     exact = Fraction(str(threshold))
     spark = documents.sparkSession
     bounded_batches(spark)
-    source = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    source = documents.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("key"), F.col(text_column).alias("text"))
     n_counters = _n_counters(source)
     told = keep(source.mapInArrow(_facts(k, n_counters), _FACTS), "facts")
-    facts = told.where("chunk is null").select("id", "n", "ent", "classes")
+    facts = told.where("chunk is null").select("id", "key", "n", "ent", "classes")
     levels = spark.sparkContext.broadcast(_rank_levels(told, n_counters))
     postings = keep(source.mapInArrow(_postings(k, exact, levels), "token long, ent long, n long, pos long"), "postings")
     heads = postings.groupBy("token").agg(F.min("ent").alias("lo"), F.max("ent").alias("hi")).where("lo <> hi").select("token")
     lists = keep(postings.join(heads, "token").distinct(), "lists")
     forget(postings)
 
-    # Round 1: every entity against one list's smallest member.
+    # Round 1: every entity against one head, that of its earliest list.
     alone = lists.withColumn("c", F.col("ent"))
-    star = _against_heads(alone, exact).groupBy("e").agg(F.min(F.struct("nb", "h")).alias("head")).select("e", F.col("head.h").alias("h"))
+    star = _against_heads(alone, exact).groupBy("e").agg(F.min(F.struct("pa", "pb", "h")).alias("head")).select("e", F.col("head.h").alias("h"))
     tried = keep(_pairs(star), "tried")
     links = _links(tried, facts, source, k, exact)
     components = keep(connected_components(links.toDF("u", "v")), "components")
 
-    # Round 2: against the smallest members that lie in another component.
+    # Round 2: against all heads that lie in another component.
     placed = keep(_placed(lists, components), "placed")
     second = keep(_pairs(_against_heads(placed, exact)).join(tried, ["a", "b"], "left_anti"), "tried")
     more = _links(second, facts, source, k, exact)
