@@ -1,27 +1,30 @@
 """Scores of texts under a trigram model held in an Elias-Fano trie.
 
-Training is three counting passes over the training texts, each pre-counted per
-batch and summed by Spark: words, then word pairs, then word triples. A pair or
-triple stays in the model if it occurs at least `least_count` times; the query keeps
-all (1). As a triple cannot occur twice unless both its pairs do, with a higher bound
-triples are only counted where the pair level, by then on disk, has both. Counts
-cover all training texts.
+All pairs and triples of the training texts are kept. Three passes over the texts:
 
-The model is a folder in the shared storage that tasks map into memory; nothing of
-it passes through the driver but shard sizes. Levels are cut into shards by hash so
-that no context is too large for a task (a context has at most as many successors as
-there are words). Of each level a shard holds
+1. Words are counted and numbered: sorted hashes (Elias-Fano) in shards by hash.
+2. Pairs (b, w) are counted and dealt to slots by b; each task builds the pair level
+   of its slots.
+3. Every token is dealt with its two words of context (a, b) to the slot of b, for
+   training and for scoring in one shuffle. The slot's task counts the triples, builds
+   the triple level, and answers the slot's tokens from the trie: from its own triples
+   and from the pair file of the same slot. What leaves it is a sum for each text.
 
-- words: sorted hashes (Elias-Fano), giving each word its number; counts
-- pairs and triples: sorted contexts (Elias-Fano); monotone pointers to the range of
-  each context (Elias-Fano); the successors of all ranges, each range's numbers
-  offset by the last value of the range before so that all is monotone (Elias-Fano);
-  discounted probabilities in two bytes each and back-off weights in one.
+A slot holds about SLOT_TOKENS tokens and is all that a task opens of a level. A word
+with more tokens than that is split by a (pairs: by w), so frequent words burden no
+single task. Blocks of tokens travel as packed columns, distinct triples once a block.
 
-An n-gram is found by its context's position, the context's range, and a successor
-search relative to the range. Probabilities interpolate with absolute discounting:
+Of each level a file holds, for its contexts: sorted contexts (Elias-Fano); monotone
+pointers to the range of each context (Elias-Fano); the successors of all ranges,
+each range's numbers offset by the last value of the range before so that all is
+monotone (Elias-Fano); discounted probabilities in one byte each, back-off weights in
+one (pairs: four). An n-gram is found by its context's position, the context's range,
+and a successor search relative to the range. Files lie in the shared folder and are
+mapped into memory where that is mounted, else read.
 
-    p(w|h) = (c(hw) - D) / c(h) [if kept] + g(h) p(w|shorter h),  g(h) = 1 - sum of the kept terms
+Probabilities interpolate with absolute discounting:
+
+    p(w|h) = (c(hw) - D) / c(h) [if seen] + g(h) p(w|shorter h),  g(h) = D * successors(h) / c(h)
 
 down to the base (c + 0.1) / (N + 0.1 (V + 1)). Codes round down, so that
 probabilities never sum to more than 1. A text is read from the mark that ends the
@@ -37,31 +40,32 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano, encode
 from .shared import Words, blocks, bounded_batches, forget, keep, mix64, shared_folder
 
-#: Shards of each level: a power of two, about one for SHARD_TOKENS training tokens.
-SHARD_TOKENS, MOST_SHARDS = 8_000_000, 4096
-LEAST_COUNT = 2
+#: Tokens of a slot and words of a vocabulary shard, about.
+SLOT_TOKENS, SHARD_WORDS = 2_000_000, 4_000_000
+#: Slots that the successors of one frequent word are dealt to at most; they are no
+#: more than there are words.
+MOST_SPLITS = 64
 DISCOUNT = 0.75
 SMOOTH = 0.1
-#: Width of a probability code in log10 units.
-STEP = 0.03
 _END = np.uint64(0xE5D1F3A7C9B8264D)
-#: Bytes of text that are counted together before their counts leave a task, and that
-#: are scored together: what a task's memory is bounded by.
-COUNT_BYTES, SCORE_BYTES = 3 << 20, 2 << 20
+#: Bytes of text that are handled together, and counts that wait in a task.
+BLOCK, WAITING = 4 << 20, 1 << 20
+#: Scores are summed as whole numbers of this size, so that no order of tasks shows.
+UNIT = 1e9
 
 
 # --- token sequences -----------------------------------------------------------
 
 
 class Sequence:
-    """Hashes of the tokens of a batch: per text its words and the end mark.
-    previous(j) is the place j tokens back, or -1 before the mark in front."""
+    """Hashes of the tokens of a batch: per text its words and the end mark."""
 
     def __init__(self, texts: pa.Array):
         words = Words(texts)
@@ -79,12 +83,33 @@ class Sequence:
         return one, two
 
 
-def _tokens(texts: DataFrame, count, schema: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", COUNT_BYTES):
-            yield from count(Sequence(batch.column("text")))
+# --- packed columns ---------------------------------------------------------------
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Whole-number columns by byte planes, compressed."""
+    head, body = [len(columns)], []
+    for column in columns:
+        head += [len(column), column.dtype.itemsize]
+        body.append(np.ascontiguousarray(column.view(np.uint8).reshape(len(column), -1).T).tobytes())
+    plain = b"".join(body)
+    return np.array([*head, len(plain)], np.int64).tobytes() + pa.compress(plain, "zstd", asbytes=True)
 
-    return texts.mapInArrow(run, schema)
+
+def unpack(packed: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(packed, np.int64, 1)[0])
+    head = np.frombuffer(packed, np.int64, 2 * n + 2)[1:]
+    plain = pa.decompress(packed[16 * n + 16 :], int(head[-1]), "zstd", asbytes=True)
+    out, at = [], 0
+    for size, width in head[:-1].reshape(n, 2):
+        planes = np.frombuffer(plain, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(f"i{width}").ravel())
+        at += size * width
+    return out
+
+
+def _gaps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=np.int64(0))
 
 
 # --- files of the model ----------------------------------------------------------
@@ -144,78 +169,70 @@ def _named(name: str, parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {f"{name}.{k}": v for k, v in parts.items()}
 
 
-def _code(p: np.ndarray, kind: type) -> np.ndarray:
-    """log10 of p > 0 in steps, rounded down. A byte holds any back-off weight (1e-7 at
-    least), two bytes the share of any 64-bit count."""
-    return np.maximum(np.ceil(-np.log10(p) / STEP), 0).astype(kind)
-
+#: Values of the one-byte codes: steps of 0.03 in log10 down to 1e-4, then steps that
+#: reach 1e-19, below the share of any 64-bit count.
+_VALUE = 10.0 ** -np.concatenate([np.arange(134) * 0.03, 3.99 + np.arange(1, 123) * 0.125])
+_FALLING = -np.log10(_VALUE)
 
-_VALUE = 10.0 ** (-STEP * np.arange(1024))
 
-
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (mix64(keys.astype(np.uint64) + np.uint64(0x5EED)) >> np.uint64(40)).astype(np.int64) % shards
+def _code(p: np.ndarray) -> np.ndarray:
+    """The code of the largest value that is not above p."""
+    return np.minimum(np.searchsorted(_FALLING, -np.log10(p) - 1e-12, "left"), 255).astype(np.uint8)
 
 
 class Level:
-    """Contexts with their successors, over all shards."""
+    """Contexts with their successors, in one file."""
 
-    def __init__(self, folder: str, level: str, shards: int):
-        self.shards = [_read(folder, f"{level}-{s}") for s in range(shards)]
-        self.open: dict[int, tuple[EliasFano, EliasFano, EliasFano]] = {}
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.arrays = arrays
+        if arrays:
+            self.contexts, self.pointer, self.following = (_sequence(arrays, name) for name in ("context", "pointer", "next"))
 
     @staticmethod
-    def build(context: np.ndarray, word: np.ndarray, count: np.ndarray, total: np.ndarray, bound: int, words: int) -> dict[str, np.ndarray]:
-        """Rows in order of (context, word); total: occurrences of the row's context."""
+    def build(context: np.ndarray, word: np.ndarray, count: np.ndarray, total: np.ndarray, bound: int, coded: bool) -> dict[str, np.ndarray]:
+        """Distinct rows in order of (context, word); total: occurrences of the row's
+        context, in this file or not. coded: back-off weights take a byte."""
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
         sizes = np.diff(np.append(first, len(context)))
         tops = np.cumsum(word[first + sizes - 1] + 1)  # each range starts above the one before
-        base = np.concatenate([[0], tops[:-1]])
-        relative = word + np.repeat(base, sizes)
-        share = (count - DISCOUNT) / total
-        rest = np.clip(1 - np.add.reduceat(share, first), 1e-7, 1)
+        relative = word + np.repeat(np.concatenate([[0], tops[:-1]]), sizes)
+        rest = DISCOUNT * sizes / total[first]
         return {
             **_named("context", encode(context[first], bound)),
             **_named("pointer", encode(np.append(first, len(context)), len(context) + 1)),
             **_named("next", encode(relative, int(tops[-1]) + 1)),
-            "p": _code(share, np.uint16),
-            "backoff": _code(rest, np.uint8),
+            "p": _code((count - DISCOUNT) / total),
+            "backoff": _code(rest) if coded else rest.astype(np.float32),
         }
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Discounted probability (0 if absent), back-off weight (1 for an absent
-        context) and presence of each (context, word); pairs in which either is negative
-        are absent."""
-        p, backoff, present = np.zeros(len(context)), np.ones(len(context)), np.zeros(len(context), bool)
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Discounted probability (0 if absent) of each (context, word) and back-off
+        weight of its context (0 if absent here). Negative ones are absent."""
+        p, backoff = np.zeros(len(context)), np.zeros(len(context))
         known = np.flatnonzero(context >= 0)
-        shard = shard_of(context[known], len(self.shards))
-        order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(len(self.shards) + 1))
-        for s in np.flatnonzero(np.diff(ends)):
-            arrays = self.shards[s]
-            if not arrays:
-                continue
-            if s not in self.open:
-                self.open[s] = tuple(_sequence(arrays, name) for name in ("context", "pointer", "next"))
-            contexts, pointer, following = self.open[s]
-            rows = known[order[ends[s] : ends[s + 1]]]
-            own, index = np.unique(context[rows], return_inverse=True)
-            at = contexts.successor(own.astype(np.uint64))
-            there = at < contexts.n
-            there[there] = contexts.get(at[there]) == own[there].astype(np.uint64)
-            at = np.where(there, at, 0)
-            begin, end = pointer.get(at).astype(np.int64), pointer.get(at + 1).astype(np.int64)
-            base = np.where(begin > 0, following.get(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
-            hit = there[index]
-            backoff[rows[hit]] = _VALUE[arrays["backoff"][at[index[hit]]]]
-            asked = np.flatnonzero(hit & (word[rows] >= 0))
-            target = base[index[asked]] + word[rows[asked]].astype(np.uint64)
-            found = following.successor(target)
-            inside = found < end[index[asked]]
-            inside[inside] = following.get(found[inside]) == target[inside]
-            p[rows[asked[inside]]] = _VALUE[arrays["p"][found[inside]]]
-            present[rows[asked[inside]]] = True
-        return p, backoff, present
+        if not self.arrays or not len(known):
+            return p, backoff
+        own, index = np.unique(context[known], return_inverse=True)
+        at = self.contexts.successor(own.astype(np.uint64))
+        there = at < self.contexts.n
+        there[there] = self.contexts.get(at[there]) == own[there].astype(np.uint64)
+        at = np.where(there, at, 0)
+        begin, end = self.pointer.get(at).astype(np.int64), self.pointer.get(at + 1).astype(np.int64)
+        base = np.where(begin > 0, self.following.get(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
+        codes = self.arrays["backoff"][at]
+        weights = _VALUE[codes] if codes.dtype == np.uint8 else codes.astype(float)
+        hit = there[index]
+        backoff[known[hit]] = weights[index[hit]]
+        asked = np.flatnonzero(hit & (word[known] >= 0))
+        target = base[index[asked]] + word[known[asked]].astype(np.uint64)
+        found = self.following.successor(target)
+        inside = found < end[index[asked]]
+        inside[inside] = self.following.get(found[inside]) == target[inside]
+        p[known[asked[inside]]] = _VALUE[self.arrays["p"][found[inside]]]
+        return p, backoff
+
+
+# --- words -------------------------------------------------------------------------
 
 
 def _starts(shards: int) -> np.ndarray:
@@ -229,20 +246,21 @@ class Vocabulary:
     def __init__(self, folder: str, offsets: list[int]):
         self.folder, self.offsets, self.open = folder, offsets, {}
 
+    def _shard(self, s: int):
+        if s not in self.open:
+            arrays = _read(self.folder, f"words-{s}")
+            self.open[s] = arrays and (_sequence(arrays, "hash"), arrays["count"])
+        return self.open[s]
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1: unknown) and count of each hash."""
         own, index = np.unique(hashes, return_inverse=True)
         ids, counts = np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64)
         ends = np.searchsorted(own, _starts(len(self.offsets)))
         for s, (a, b) in enumerate(zip(ends, [*ends[1:], len(own)], strict=True)):
-            if a == b:
+            if a == b or not self._shard(s):
                 continue
-            if s not in self.open:
-                arrays = _read(self.folder, f"words-{s}")
-                self.open[s] = arrays and (_sequence(arrays, "hash"), arrays["count"])
-            if not self.open[s]:
-                continue
-            sequence, count = self.open[s]
+            sequence, count = self._shard(s)
             at = sequence.successor(own[a:b])
             there = np.flatnonzero(at < sequence.n)
             there = there[sequence.get(at[there]) == own[a:b][there]]
@@ -250,197 +268,350 @@ class Vocabulary:
             counts[a + there] = count[at[there]]
         return ids[index], counts[index]
 
-
-# --- training ----------------------------------------------------------------------
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of word numbers; 0 for negative ones."""
+        own, index = np.unique(ids, return_inverse=True)
+        out = np.zeros(len(own), np.int64)
+        shard = np.searchsorted(self.offsets, own, "right") - 1
+        for s in np.unique(shard[own >= 0]):
+            rows = (shard == s) & (own >= 0)
+            out[rows] = self._shard(s)[1][own[rows] - self.offsets[s]]
+        return out[index]
 
 
-def _build_shards(rows: DataFrame, columns: list[str], build, folder: str, level: str, shards: int) -> DataFrame:
-    """rows with a shard column -> one file for each shard; (shard, size)."""
+def _per_task(texts: DataFrame, count, schema: str) -> DataFrame:
+    """Rows that count(tokens, waiting) has gathered in a task; waiting is settled
+    whenever it holds WAITING rows, and at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, sizes = None, [], []
+        gather, settle = count()
+        for batch in blocks(batches, "text", BLOCK):
+            if gather(Sequence(batch.column("text"))) > WAITING:
+                yield from settle()
+        yield from settle()
+
+    return texts.mapInArrow(run, schema)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with their summed counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    own, index = np.unique(keys, return_inverse=True)
+    return own, np.bincount(index, counts, len(own)).astype(np.int64)
+
+
+def _number_words(source: DataFrame, folder: str, shards: int) -> tuple[list[int], int, int]:
+    """Writes the word files; the first number of each shard, words and tokens."""
+
+    def count():
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def gather(tokens: Sequence) -> int:
+            parts.append(np.unique(tokens.hashes, return_counts=True))
+            if len(parts) > 8:
+                parts[:] = [_summed(parts)]
+            return sum(len(k) for k, _ in parts)
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if parts:
+                keys, counts = _summed(parts)
+                parts.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], names=["hash", "n"])
+
+        return gather, settle
+
+    words = _per_task(source, count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    bits = shards.bit_length() - 1
+    words = words.withColumn("shard", F.shiftrightunsigned("hash", 64 - bits).cast("int"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        shard, sizes = None, []
 
         def close() -> None:
-            arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
-            _write(folder, f"{level}-{shard}", build(*arrays))
-            sizes.append((shard, len(arrays[0])))
+            hashes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            _write(folder, f"words-{shard}", {**_named("hash", encode(hashes.astype(np.uint64), 2**64 - 1)), "count": counts})
+            sizes.append((shard, len(hashes), int(counts.sum())))
+            held.clear()
 
         for batch in batches:
-            shards = batch.column("shard").to_numpy()
-            for own in np.unique(shards):  # ascending, as the rows are
-                part = batch.filter(pa.array(shards == own))
-                if own != shard:
-                    if held:
-                        close()
-                    shard, held = int(own), []
-                held.append([part.column(c).to_numpy() for c in columns])
+            of = batch.column("shard").to_numpy()
+            for own in np.unique(of):  # ascending, as the rows are
+                if own != shard and held:
+                    close()
+                shard = int(own)
+                part = batch.filter(pa.array(of == own))
+                held.append((part.column("hash").to_numpy(), part.column("n").to_numpy()))
         if held:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sizes], pa.int32()), pa.array([n for _, n in sizes], pa.int64())], names=["shard", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*sizes, strict=True) if sizes else ((), (), ()), (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["shard", "n", "tokens"])
 
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", *columns[:2]).mapInArrow(run, "shard int, n long")
+    # hashes of a shard have one sign, so the signed order is theirs
+    found = words.repartition(shards, "shard").sortWithinPartitions("shard", "hash").mapInArrow(write, "shard int, n long, tokens long").collect()
+    sizes = {r.shard: r.n for r in found}
+    offsets = [sum(sizes.get(j, 0) for j in range(s)) for s in range(shards)]
+    if sum(sizes.values()) >= 2**31:
+        raise ValueError("word numbers need 31 bits")
+    return offsets, sum(sizes.values()), sum(r.tokens for r in found)
 
 
-def train(texts: DataFrame, text_column: str = "text", least_count: int = LEAST_COUNT) -> dict:
-    """A small description of the model: its folder, shard offsets and totals. Pairs and
-    triples that occur less than least_count times are left to the back-off."""
-    spark = texts.sparkSession
-    bounded_batches(spark)
-    folder = f"{shared_folder(spark)}/trie-{uuid.uuid4().hex}"
-    source = texts.select(F.coalesce(text_column, F.lit("")).alias("text"))
-    guess = (source.agg(F.sum(F.length("text")).alias("n")).first().n or 0) // 6
-    bits = max(1, min(MOST_SHARDS.bit_length() - 1, (guess // SHARD_TOKENS).bit_length()))
-    shards = 1 << bits
+# --- slots ---------------------------------------------------------------------------
 
-    def count_words(tokens: Sequence):
-        values, counts = np.unique(tokens.hashes, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(counts)], names=["hash", "n"])
 
-    words = _tokens(source, count_words, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    words = words.withColumn("shard", F.shiftrightunsigned("hash", 64 - bits).cast("int"))
+def _place(b: np.ndarray, part: np.ndarray, slots: int) -> np.ndarray:
+    return (mix64(b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part) % np.uint64(slots)).astype(np.int64)
 
-    def word_shard(hashes: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-        hashes = hashes.astype(np.uint64)  # of one sign within a shard, so the order holds
-        return {**_named("hash", encode(hashes, 2**64 - 1)), "count": counts.astype(np.int64)}
 
-    sizes = dict(keep(_build_shards(words, ["hash", "n"], word_shard, folder, "words", shards), "sizes").collect())
-    offsets = [sum(sizes.get(j, 0) for j in range(s)) for s in range(shards)]
-    n_words = sum(sizes.values())
-    if n_words >= 2**31:
-        raise ValueError("word numbers need 31 bits")
+def _slot(b: np.ndarray, salt: np.ndarray, count: np.ndarray, slots: int, most: int | None = None) -> np.ndarray:
+    """Slot of each word b, which occurs count times; a word with more tokens than a
+    slot's is dealt by the salt."""
+    splits = -(-count // SLOT_TOKENS)
+    splits = np.maximum(splits if most is None else np.minimum(splits, most), 1).astype(np.uint64)
+    part = np.where(splits > 1, mix64(salt.astype(np.uint64) + np.uint64(0x5A17)) % splits, np.uint64(0))
+    return _place(b, part, slots)
+
+
+def _by_slot(slot: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of each slot, in their order."""
+    order = np.argsort(slot, kind="stable")
+    own, first = np.unique(slot[order], return_index=True)
+    for s, rows in zip(own.tolist(), np.split(order, first[1:]), strict=True):
+        yield s, rows
+
 
-    def vocabulary() -> Vocabulary:
-        return Vocabulary(folder, offsets)
+def _each_slot(packed: DataFrame, slots: int, work, schema: str) -> DataFrame:
+    """work(slot, its blobs) for each slot, one at a time in a task."""
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, held = None, []
         for batch in batches:
-            for s in batch.column("shard").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([int(_read(folder, f"words-{s}")["count"].sum())])], names=["n"])
-
-    n_tokens = spark.createDataFrame([(s,) for s in sizes], "shard int").mapInArrow(totals, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-
-    def count_pairs(tokens: Sequence):
-        ids, often = vocabulary_of().find(tokens.hashes)
-        end, _ = vocabulary_of().find(np.array([_END]))
-        one, _ = tokens.contexts(ids, int(end[0]))
-        both = (often >= least_count) & np.where(tokens.within > 0, np.roll(often >= least_count, 1), True)
-        one, ids = one[both], ids[both]  # rarer words have no pair that stays
-        values, counts = np.unique(one << 31 | ids, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["gram", "n"])
-
-    opened: list[Vocabulary] = []
-
-    def vocabulary_of() -> Vocabulary:
-        if not opened:
-            opened.append(vocabulary())
-        return opened[0]
-
-    pairs = _tokens(source, count_pairs, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
-    pairs = pairs.select(F.expr("shiftright(gram, 31)").alias("context"), F.expr("gram & 2147483647").alias("word"), "n")
-    pairs = keep(pairs, "pairs") if least_count > 1 else pairs
-
-    @F.pandas_udf("int")
-    def shard(context):
-        import pandas as pd
-
-        return pd.Series(shard_of(context.to_numpy(), shards).astype(np.int32))
-
-    def pair_shard(context, word, n):
-        own, index = np.unique(context, return_inverse=True)
-        total = _count_of(folder, offsets, own)[index]
-        return Level.build(context, word, n, total, n_words + 1, n_words)
-
-    keep(_build_shards(pairs.withColumn("shard", shard("context")), ["context", "word", "n"], pair_shard, folder, "pairs", shards), "sizes")
-
-    levels: list[Level] = []
-
-    def count_triples(tokens: Sequence):
-        if not levels and least_count > 1:
-            levels.append(Level(folder, "pairs", shards))
-        ids, often = vocabulary_of().find(tokens.hashes)
-        end, _ = vocabulary_of().find(np.array([_END]))
-        one, two = tokens.contexts(ids, int(end[0]))
-        known = (often >= least_count) & np.where(tokens.within > 0, np.roll(often >= least_count, 1), True)
-        if levels:
-            pair, index = np.unique((one << 31 | ids)[known], return_inverse=True)
-            known[known] = levels[0].find(pair >> 31, pair & 2147483647)[2][index]
-        # the pair in front of a place ends one place back
-        before = np.where(tokens.within > 0, np.roll(known, 1), False)
-        at = np.flatnonzero(known & before & (two >= 0))
-        context, word = two[at] << 31 | one[at], ids[at]
-        order = np.lexsort((word, context))
-        context, word = context[order], word[order]
-        first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))) if len(at) else at
-        counts = np.diff(np.append(first, len(at)))
-        yield pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(word[first]), pa.array(counts)], names=["context", "word", "n"])
-
-    triples = _tokens(source, count_triples, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
-    columns = ["context", "word", "n"]
-    if least_count > 1:
-        triples = triples.join(pairs.select(F.expr("context << 31 | word").alias("context"), F.col("n").alias("total")), "context")
-        columns.append("total")
-
-    def triple_shard(context, word, n, total=None):
-        if total is None:  # a pair that is a context is always followed, so its triples sum to it
-            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-            total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(n))))
-        return Level.build(context, word, n, total, n_words * 2**31 + 2**31, n_words)
-
-    keep(_build_shards(triples.withColumn("shard", shard("context")), columns, triple_shard, folder, "triples", shards), "sizes")
-    if least_count > 1:
-        forget(pairs)
-    return {"folder": folder, "offsets": offsets, "words": n_words, "tokens": n_tokens, "least_count": least_count}
-
-
-def _count_of(folder: str, offsets: list[int], ids: np.ndarray) -> np.ndarray:
-    """Counts of word numbers (ascending)."""
-    out = np.zeros(len(ids), np.int64)
-    shard = np.searchsorted(offsets, ids, "right") - 1
-    for s in np.unique(shard):
-        own = shard == s
-        out[own] = _read(folder, f"words-{s}")["count"][ids[own] - offsets[s]]
-    return out
+            for own, blob in zip(batch.column("slot").to_pylist(), batch.column("blob"), strict=True):
+                if own != slot and held:
+                    yield from work(slot, held)
+                    held = []
+                slot = own
+                held.append(blob.as_py())
+        if held:
+            yield from work(slot, held)
+
+    return packed.repartition(slots, "slot").sortWithinPartitions("slot").mapInArrow(run, schema)
+
+
+def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["slot", "blob"])
+
+
+def _build_pairs(source: DataFrame, model: dict) -> None:
+    """Writes the pair level."""
+    slots = model["slots"]
 
+    def count():
+        vocabulary = Vocabulary(model["folder"], model["offsets"])
+        end = int(vocabulary.find(np.array([_END]))[0][0])
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-# --- scoring -------------------------------------------------------------------------
+        def gather(tokens: Sequence) -> int:
+            ids, _ = vocabulary.find(tokens.hashes)
+            one, _ = tokens.contexts(ids, end)
+            parts.append(np.unique(one << 31 | ids, return_counts=True))
+            return sum(len(k) for k, _ in parts)
 
+        def settle() -> Iterator[pa.RecordBatch]:
+            if not parts:
+                return
+            keys, counts = _summed(parts)
+            parts.clear()
+            b, w = keys >> 31, keys & (2**31 - 1)
+            slot = _slot(b, w, vocabulary.counts(b), slots, MOST_SPLITS)
+            yield _blobs([(s, pack(_gaps(b[rows]).astype(np.int32), w[rows].astype(np.int32), counts[rows].astype(np.int64))) for s, rows in _by_slot(slot)])
 
-def _distinct(context: np.ndarray, word: np.ndarray, level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """level.find() of pairs, each looked up once."""
-    order = np.argsort(mix64(context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)))
-    x, y = context[order], word[order]
-    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])) if len(x) else np.zeros(0, bool)
-    p, backoff, present = level.find(x[new], y[new])
-    index = np.empty(len(x), np.int64)
-    index[order] = np.cumsum(new) - 1
-    return p[index], backoff[index], present[index]
+        return gather, settle
 
+    def build(slot: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        vocabulary, parts = Vocabulary(model["folder"], model["offsets"]), []
+        for b, w, n in map(unpack, blobs):
+            parts.append((np.cumsum(b.astype(np.int64)) << 31 | w, n))
+            if sum(len(k) for k, _ in parts) > 8 * WAITING:
+                parts[:] = [_summed(parts)]
+        keys, n = _summed(parts)
+        b, w = keys >> 31, keys & (2**31 - 1)
+        # each occurrence of a word, and each text's start, is followed by a token
+        _write(model["folder"], f"pairs-{slot}", Level.build(b, w, n, vocabulary.counts(b), model["words"] + 1, False))
+        yield pa.RecordBatch.from_arrays([pa.array([len(keys)])], names=["n"])
+
+    packed = _per_task(source, count, "slot int, blob binary")
+    _each_slot(packed, slots, build, "n long").agg(F.sum("n")).collect()
+
+
+class Answers:
+    """What a slot's task needs besides its own triples."""
 
-class Scorer:
     def __init__(self, model: dict):
         self.model, self.vocabulary = model, Vocabulary(model["folder"], model["offsets"])
-        self.pairs, self.triples = Level(model["folder"], "pairs", len(model["offsets"])), Level(model["folder"], "triples", len(model["offsets"]))
-
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
-        """Of each text: tokens, known tokens, base score, score."""
-        tokens = Sequence(texts)
-        ids, counts = self.vocabulary.find(tokens.hashes)
-        end, _ = self.vocabulary.find(np.array([_END]))
-        base = (counts + SMOOTH) / (self.model["tokens"] + SMOOTH * (self.model["words"] + 1))
-        one, two = tokens.contexts(ids, int(end[0]))
-        p2, g2, known = np.zeros(len(ids)), np.ones(len(ids)), np.zeros(len(ids), bool)
-        least = self.model["least_count"]
-        often = np.where(tokens.within > 0, np.roll(counts >= least, 1), True)  # rarer contexts are not in the trie
-        p2[often], g2[often], known[often] = _distinct(one[often], np.where(counts[often] >= least, ids[often], -1), self.pairs)
-        pair = np.where((two >= 0) & (one >= 0), two << 31 | one, -1)
-        p3, g3 = np.zeros(len(ids)), np.ones(len(ids))
-        before = np.where(tokens.within > 0, np.roll(known, 1), False)
-        at = np.flatnonzero(before & (pair >= 0))
-        p3[at], g3[at], _ = _distinct(pair[at], ids[at], self.triples)
-        full = p3 + g3 * (p2 + g2 * base)
-        n = len(texts)
-        add = lambda x: np.bincount(tokens.doc, x, n)
-        return np.bincount(tokens.doc, minlength=n), add(counts > 0).astype(np.int64), add(np.log10(base)), add(np.log10(full))
+        self.pairs: dict[int, Level] = {}
+        self.total: dict[int, float] = {}
+
+    def _pairs(self, slot: int) -> Level:
+        if slot not in self.pairs:
+            if len(self.pairs) >= MOST_SPLITS + 1:
+                self.pairs.pop(next(iter(self.pairs)))
+            self.pairs[slot] = Level(_read(self.model["folder"], f"pairs-{slot}"))
+        return self.pairs[slot]
+
+    def _backoff(self, b: int, count: int) -> float:
+        """Of a word whose successors are dealt to several slots."""
+        if b not in self.total:
+            splits = min(-(-count // SLOT_TOKENS), MOST_SPLITS)
+            parts = _place(np.full(splits, b), np.arange(splits, dtype=np.uint64), self.model["slots"])
+            self.total[b] = sum(float(self._pairs(int(s)).find(np.array([b]), np.array([-1]))[1][0]) for s in np.unique(parts))
+        return self.total[b]
+
+    def base(self, w: np.ndarray) -> np.ndarray:
+        return self.base_of(self.vocabulary.counts(w))
+
+    def base_of(self, counts: np.ndarray) -> np.ndarray:
+        return (counts + SMOOTH) / (self.model["tokens"] + SMOOTH * (self.model["words"] + 1))
+
+    def shorter(self, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """p(w|b) of words b that are known."""
+        key, index = np.unique(b << 31 | (w + 1), return_inverse=True)
+        b, w = key >> 31, (key & (2**31 - 1)) - 1
+        count = self.vocabulary.counts(b)
+        p, g = np.zeros(len(b)), np.zeros(len(b))
+        for slot, rows in _by_slot(_slot(b, w, count, self.model["slots"], MOST_SPLITS)):
+            p[rows], g[rows] = self._pairs(slot).find(b[rows], w[rows])
+        for x in np.unique(b[count > SLOT_TOKENS]):
+            rows = b == x
+            g[rows] = self._backoff(int(x), int(count[np.argmax(rows)]))
+        return (p + np.where(g > 0, g, 1.0) * self.base(w))[index]
+
+
+# --- dealing and answering -----------------------------------------------------------
+
+
+_OUT = "row long, id long, n_tokens long, n_known long, base_score double, score long"
+
+
+def _deal(documents: DataFrame, model: dict) -> DataFrame:
+    """documents(id, text, learn) -> packed tokens by slot; slot -1-s carries what is
+    known of a text at once, and is answered by the task of slot s."""
+    slots = model["slots"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers = Answers(model)
+        vocabulary = answers.vocabulary
+        end = int(vocabulary.find(np.array([_END]))[0][0])
+        row = TaskContext.get().partitionId() << 40
+        for batch in blocks(batches, "text", BLOCK):
+            tokens, n = Sequence(batch.column("text")), batch.num_rows
+            ids, counts = vocabulary.find(tokens.hashes)
+            one, two = tokens.contexts(ids, end)
+            base = np.log10(answers.base_of(counts))
+            known = one >= 0
+            alone = np.bincount(tokens.doc[~known], np.rint(base[~known] * UNIT), n).astype(np.int64)
+            learn = batch.column("learn").to_numpy(zero_copy_only=False)[tokens.doc]
+            # of known contexts: order by context, word; then cut by slot
+            a, b, w, doc, learn = two[known], one[known], ids[known], tokens.doc[known], learn[known]
+            context = b << 31 | (a + 1)
+            order = np.lexsort((w, context))
+            a, b, w, doc, learn, context = (x[order] for x in (a, b, w, doc, learn, context))
+            slot = _slot(b, np.where(a >= 0, a, w), vocabulary.counts(b), slots)
+            out = []
+            for s, rows in _by_slot(slot.astype(np.uint16 if slots < 65536 else np.int64)):
+                c, x = context[rows], w[rows]
+                first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (x[1:] != x[:-1])))
+                size = np.diff(np.append(first, len(rows)))
+                aside = size - np.add.reduceat(learn[rows].astype(np.int64), first)
+                out.append((s, pack(np.array([row], np.int64), _gaps(c[first]), x[first].astype(np.int32), size.astype(np.int32), aside.astype(np.int32), doc[rows].astype(np.int16 if n < 32768 else np.int32))))
+            of = np.bincount(tokens.doc, minlength=n)
+            meta = pa.RecordBatch.from_arrays(
+                list(map(pa.array, (np.arange(row, row + n), batch.column("id"), of.astype(np.int64), np.bincount(tokens.doc, counts > 0, n).astype(np.int64), np.bincount(tokens.doc, base, n), alone))),
+                names=["row", "id", "n_tokens", "n_known", "base_score", "score"],
+            )
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, meta.schema) as stream:
+                stream.write_batch(meta)
+            out.append((-1 - int(mix64(np.array([row], np.uint64))[0] % np.uint64(slots)), sink.getvalue()))
+            yield _blobs(out)
+            row += n
+
+    return documents.mapInArrow(run, "slot int, blob binary")
+
+
+def _answer(packed: DataFrame, model: dict, build: bool, tell: bool = True) -> DataFrame:
+    """Builds the triple level from the packed tokens or opens it, and answers them."""
+    names = [f.split()[0] for f in _OUT.split(", ")]
+
+    def work(slot: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if slot < 0:  # known at once
+            for blob in blobs:
+                yield from pa.ipc.open_stream(blob)
+            return
+        answers, held = Answers(model), [unpack(blob) for blob in blobs]
+        context = np.concatenate([np.cumsum(x[1]) for x in held])
+        word = np.concatenate([x[2] for x in held]).astype(np.int64)
+        seen = np.concatenate([x[3].astype(np.int64) - x[4] for x in held])
+        order = np.lexsort((word, context))
+        context, word = context[order], word[order]
+        new = np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))
+        index = np.empty(len(order), np.int32)
+        index[order] = np.cumsum(new) - 1
+        context, word, n = context[new], word[new], np.add.reduceat(seen[order], np.flatnonzero(new))
+        del order, seen
+        # a context ends in 0 where there is no second word
+        if build:
+            rows = (n > 0) & (context & (2**31 - 1) > 0)
+            if rows.any():
+                c = context[rows]
+                start = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+                total = np.repeat(np.add.reduceat(n[rows], start), np.diff(np.append(start, len(c))))
+                _write(model["folder"], f"triples-{slot}", Level.build(c, word[rows], n[rows], total, (model["words"] + 1) << 31, True))
+        if not tell:
+            return
+        p, g = Level(_read(model["folder"], f"triples-{slot}")).find(np.where(context & (2**31 - 1) > 0, context, -1), word)
+        full = p + np.where(g > 0, g, 1.0) * answers.shorter(context >> 31, word)
+        value = np.rint(np.log10(full) * UNIT)
+        at = 0
+        for first, _, own, size, _, doc in held:
+            texts, local = np.unique(doc, return_inverse=True)
+            score = np.bincount(local, np.repeat(value[index[at : at + len(own)]], size), len(texts)).astype(np.int64)
+            at += len(own)
+            none = pa.nulls(len(texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(first[0] + texts.astype(np.int64)), none, none, none, pa.nulls(len(texts), pa.float64()), pa.array(score)], names=names)
+
+    return _each_slot(packed, model["slots"], work, _OUT)
+
+
+def _texts(documents: DataFrame, id_column: str, text_column: str, learn: Column) -> DataFrame:
+    return documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text_column, F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+
+
+def _prepare(source: DataFrame) -> dict:
+    """Words and pairs of the texts to learn from: the model without its triples."""
+    spark = source.sparkSession
+    folder = f"{shared_folder(spark)}/trie-{uuid.uuid4().hex}"
+    chars = source.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    shards = 2 << (chars // 30 // SHARD_WORDS).bit_length()  # a new word in five is a high guess
+    learned = source.where("learn").select("text")
+    offsets, words, tokens = _number_words(learned, folder, shards)
+    model = {"folder": folder, "offsets": offsets, "words": words, "tokens": tokens, "slots": max(8, -(-(chars // 6) // SLOT_TOKENS))}
+    _build_pairs(learned, model)
+    return model
+
+
+def _totals(answered: DataFrame, model: dict, id_column: str) -> DataFrame:
+    """One row for each text from its parts."""
+    sums = answered.groupBy("row").agg(F.max("id").alias(id_column), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    return sums.select(id_column, "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", (F.col("score") / UNIT).alias("score"))
+
+
+def train(texts: DataFrame, text_column: str = "text") -> dict:
+    """A small description of the model: its folder, totals and the numbers of slots."""
+    bounded_batches(texts.sparkSession)
+    source = _texts(texts.withColumn("_none", F.lit(None)), "_none", text_column, F.lit(True))
+    model = _prepare(source)
+    _answer(_deal(source, model), model, build=True, tell=False).agg(F.count("*")).collect()
+    return model
 
 
 def scores(documents: DataFrame, model: dict, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -451,22 +622,29 @@ def scores(documents: DataFrame, model: dict, id_column: str = "doc_id", text_co
     every token has probability 1 under the base.
     """
     bounded_batches(documents.sparkSession)
+    source = _texts(documents, id_column, text_column, F.lit(False))
+    return _totals(_answer(_deal(source, model), model, build=False), model, id_column)
+
+
+def train_and_score(documents: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, dict]:
+    """scores() of all documents by a model of those for which learn is true (null is
+    false), and the model, with one shuffle of the tokens for both."""
+    bounded_batches(documents.sparkSession)
+    source = _texts(documents, id_column, text_column, learn)
+    model = _prepare(source)
+    return keep(_totals(_answer(_deal(source, model), model, build=True), model, id_column), "scores"), model
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
-        for batch in blocks(batches, "text", SCORE_BYTES):
-            n, known, base, full = scorer.score(batch.column("text"))
-            total = np.full(len(n), model["tokens"], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, (n.astype(np.int64), known, total, base, full))], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    source = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
-    return source.mapInArrow(run, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_column)
+def drop_model(spark, model: dict) -> None:
+    """Delete a model's files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(model["folder"])
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    """Scores of all documents by a model of those outside the held-out tenth, with all
-    their pairs and triples."""
+    """Scores of all documents by a model of those outside the held-out tenth."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    aside = F.expr("crc32(cast(doc_id as string)) % 10 = 0")
-    scored = scores(documents, train(documents.where(~F.coalesce(aside, F.lit(False))), least_count=1))
-    return scored.select("doc_id", F.coalesce(aside, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    aside = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 10 = 0"), F.lit(False))
+    scored, model = train_and_score(documents, ~aside)
+    drop_model(spark, model)
+    return scored.select("doc_id", aside.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
