@@ -2,7 +2,9 @@
 
 All pairs and triples of the training texts are kept. Three passes over the texts:
 
-1. Words are counted and numbered: sorted hashes (Elias-Fano) in shards by hash.
+1. Words are counted and numbered, frequent ones first by the power of two in their
+   count, which keeps the numbers of most tokens short: sorted hashes (Elias-Fano) in
+   shards by hash.
 2. Pairs (b, w) are counted and dealt to slots by b; each task builds the pair level
    of its slots.
 3. Every token is dealt with its two words of context (a, b) to the slot of b, for
@@ -14,12 +16,13 @@ A slot holds about SLOT_TOKENS tokens and is all that a task opens of a level. A
 with more tokens than that is split by a (pairs: by w), so frequent words burden no
 single task. Blocks of tokens travel as packed columns, distinct triples once a block.
 
-Of each level a file holds, for its contexts: sorted contexts (Elias-Fano); monotone
-pointers to the range of each context (Elias-Fano); the successors of all ranges,
+Of each level a file holds the sorted words b (Elias-Fano); for triples the words a
+of each b; and the words w of each context. Such children are kept as monotone
+pointers to the range of each parent (Elias-Fano) and the children of all ranges,
 each range's numbers offset by the last value of the range before so that all is
-monotone (Elias-Fano); discounted probabilities in one byte each, back-off weights in
-one (pairs: four). An n-gram is found by its context's position, the context's range,
-and a successor search relative to the range. Files lie in the shared folder and are
+monotone (Elias-Fano). Beside them lie discounted probabilities in one byte each and
+back-off weights in one (pairs: four). An n-gram is found by its parent's position,
+the parent's range, and a successor search relative to the range. Files lie in the shared folder and are
 mapped into memory where that is mounted, else read.
 
 Probabilities interpolate with absolute discounting:
@@ -45,10 +48,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano, encode
-from .shared import Words, blocks, bounded_batches, forget, keep, mix64, shared_folder
+from .shared import Words, blocks, bounded_batches, keep, mix64, shared_folder
 
 #: Tokens of a slot and words of a vocabulary shard, about.
-SLOT_TOKENS, SHARD_WORDS = 2_000_000, 4_000_000
+SLOT_TOKENS, SHARD_WORDS = 1_500_000, 1_000_000
 #: Slots that the successors of one frequent word are dealt to at most; they are no
 #: more than there are words.
 MOST_SPLITS = 64
@@ -56,7 +59,7 @@ DISCOUNT = 0.75
 SMOOTH = 0.1
 _END = np.uint64(0xE5D1F3A7C9B8264D)
 #: Bytes of text that are handled together, and counts that wait in a task.
-BLOCK, WAITING = 4 << 20, 1 << 20
+BLOCK, WAITING = 6 << 20, 1 << 20
 #: Scores are summed as whole numbers of this size, so that no order of tasks shows.
 UNIT = 1e9
 
@@ -91,7 +94,7 @@ def pack(*columns: np.ndarray) -> bytes:
     head, body = [len(columns)], []
     for column in columns:
         head += [len(column), column.dtype.itemsize]
-        body.append(np.ascontiguousarray(column.view(np.uint8).reshape(len(column), -1).T).tobytes())
+        body.append(np.ascontiguousarray(column.view(np.uint8).reshape(len(column), column.dtype.itemsize).T).tobytes())
     plain = b"".join(body)
     return np.array([*head, len(plain)], np.int64).tobytes() + pa.compress(plain, "zstd", asbytes=True)
 
@@ -180,55 +183,77 @@ def _code(p: np.ndarray) -> np.ndarray:
     return np.minimum(np.searchsorted(_FALLING, -np.log10(p) - 1e-12, "left"), 255).astype(np.uint8)
 
 
+def _children(first: np.ndarray, child: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    """Children of parents whose ranges begin at first, ascending in each range."""
+    sizes = np.diff(np.append(first, len(child)))
+    tops = np.cumsum(child[first + sizes - 1] + 1)  # each range starts above the one before
+    relative = child + np.repeat(np.concatenate([[0], tops[:-1]]), sizes)
+    return {**_named(f"{name}.pointer", encode(np.append(first, len(child)), len(child) + 1)), **_named(f"{name}.child", encode(relative, int(tops[-1]) + 1))}
+
+
+class Children:
+    def __init__(self, arrays: dict[str, np.ndarray], name: str):
+        self.pointer, self.child = _sequence(arrays, f"{name}.pointer"), _sequence(arrays, f"{name}.child")
+
+    def find(self, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """Position of each child of a parent's position; -1 if either is absent."""
+        out = np.full(len(parent), -1, np.int64)
+        asked = np.flatnonzero((parent >= 0) & (child >= 0))
+        own, index = np.unique(parent[asked], return_inverse=True)
+        begin, end = self.pointer.get(own).astype(np.int64), self.pointer.get(own + 1).astype(np.int64)
+        base = np.where(begin > 0, self.child.get(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
+        target = base[index] + child[asked].astype(np.uint64)
+        found = self.child.successor(target)
+        inside = found < end[index]
+        inside[inside] = self.child.get(found[inside]) == target[inside]
+        out[asked[inside]] = found[inside]
+        return out
+
+
 class Level:
-    """Contexts with their successors, in one file."""
+    """Words with their successors, or pairs with theirs, in one file."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.arrays = arrays
         if arrays:
-            self.contexts, self.pointer, self.following = (_sequence(arrays, name) for name in ("context", "pointer", "next"))
+            self.words, self.successors = _sequence(arrays, "word"), Children(arrays, "next")
+            self.before = Children(arrays, "before") if "before.child.head" in arrays else None
 
     @staticmethod
-    def build(context: np.ndarray, word: np.ndarray, count: np.ndarray, total: np.ndarray, bound: int, coded: bool) -> dict[str, np.ndarray]:
-        """Distinct rows in order of (context, word); total: occurrences of the row's
-        context, in this file or not. coded: back-off weights take a byte."""
-        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-        sizes = np.diff(np.append(first, len(context)))
-        tops = np.cumsum(word[first + sizes - 1] + 1)  # each range starts above the one before
-        relative = word + np.repeat(np.concatenate([[0], tops[:-1]]), sizes)
-        rest = DISCOUNT * sizes / total[first]
+    def build(b: np.ndarray, a: np.ndarray | None, w: np.ndarray, count: np.ndarray, total: np.ndarray, bound: int) -> dict[str, np.ndarray]:
+        """Distinct rows in order of (b, a, w), words below bound; total: occurrences of
+        the row's context, in this file or not. The weights of pairs take a byte."""
+        new = np.append(True, b[1:] != b[:-1])
+        own = np.flatnonzero(new)  # of each b
+        first = own if a is None else np.flatnonzero(new | np.append(True, a[1:] != a[:-1]))  # of each context
+        rest = DISCOUNT * np.diff(np.append(first, len(b))) / total[first]
         return {
-            **_named("context", encode(context[first], bound)),
-            **_named("pointer", encode(np.append(first, len(context)), len(context) + 1)),
-            **_named("next", encode(relative, int(tops[-1]) + 1)),
+            **_named("word", encode(b[own], bound)),
+            **({} if a is None else _children(np.searchsorted(first, own), a[first], "before")),
+            **_children(first, w, "next"),
             "p": _code((count - DISCOUNT) / total),
-            "backoff": _code(rest) if coded else rest.astype(np.float32),
+            "backoff": rest.astype(np.float32) if a is None else _code(rest),
         }
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Discounted probability (0 if absent) of each (context, word) and back-off
-        weight of its context (0 if absent here). Negative ones are absent."""
-        p, backoff = np.zeros(len(context)), np.zeros(len(context))
-        known = np.flatnonzero(context >= 0)
-        if not self.arrays or not len(known):
+    def find(self, b: np.ndarray, a: np.ndarray | None, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Discounted probability (0 if absent) of each n-gram and back-off weight of its
+        context (0 if absent here). Negative words are absent."""
+        p, backoff = np.zeros(len(b)), np.zeros(len(b))
+        if not self.arrays or not len(b):
             return p, backoff
-        own, index = np.unique(context[known], return_inverse=True)
-        at = self.contexts.successor(own.astype(np.uint64))
-        there = at < self.contexts.n
-        there[there] = self.contexts.get(at[there]) == own[there].astype(np.uint64)
-        at = np.where(there, at, 0)
-        begin, end = self.pointer.get(at).astype(np.int64), self.pointer.get(at + 1).astype(np.int64)
-        base = np.where(begin > 0, self.following.get(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
-        codes = self.arrays["backoff"][at]
-        weights = _VALUE[codes] if codes.dtype == np.uint8 else codes.astype(float)
-        hit = there[index]
-        backoff[known[hit]] = weights[index[hit]]
-        asked = np.flatnonzero(hit & (word[known] >= 0))
-        target = base[index[asked]] + word[known[asked]].astype(np.uint64)
-        found = self.following.successor(target)
-        inside = found < end[index[asked]]
-        inside[inside] = self.following.get(found[inside]) == target[inside]
-        p[known[asked[inside]]] = _VALUE[self.arrays["p"][found[inside]]]
+        own, index = np.unique(np.maximum(b, 0), return_inverse=True)
+        at = self.words.successor(own.astype(np.uint64))
+        there = at < self.words.n
+        there[there] = self.words.get(at[there]) == own[there].astype(np.uint64)
+        at = np.where((b >= 0) & there[index], at[index], -1)
+        if a is not None:
+            at = self.before.find(at, a)
+        hit = np.flatnonzero(at >= 0)
+        codes = self.arrays["backoff"][at[hit]]
+        backoff[hit] = _VALUE[codes] if codes.dtype == np.uint8 else codes
+        found = self.successors.find(at, w)
+        hit = np.flatnonzero(found >= 0)
+        p[hit] = _VALUE[self.arrays["p"][found[hit]]]
         return p, backoff
 
 
@@ -241,43 +266,53 @@ def _starts(shards: int) -> np.ndarray:
 
 
 class Vocabulary:
-    """Number and count of each word; numbers follow the hashes within a shard."""
+    """Number and count of each word. Within a shard words stand by class (the power of
+    two in the count, falling), then hash; sizes[class][shard] counts them, and numbers
+    run over classes, then shards."""
 
-    def __init__(self, folder: str, offsets: list[int]):
-        self.folder, self.offsets, self.open = folder, offsets, {}
+    def __init__(self, model: dict):
+        self.folder, self.sizes, self.open = model["folder"], np.array(model["sizes"], np.int64), {}
+        self.offsets = np.concatenate([[0], np.cumsum(self.sizes.ravel())[:-1]]).reshape(self.sizes.shape)
+        self.starts = np.cumsum(self.sizes, axis=0) - self.sizes
 
     def _shard(self, s: int):
         if s not in self.open:
             arrays = _read(self.folder, f"words-{s}")
-            self.open[s] = arrays and (_sequence(arrays, "hash"), arrays["count"])
+            self.open[s] = arrays and (_sequence(arrays, "hash"), arrays["place"], arrays["count"])
         return self.open[s]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1: unknown) and count of each hash."""
         own, index = np.unique(hashes, return_inverse=True)
         ids, counts = np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64)
-        ends = np.searchsorted(own, _starts(len(self.offsets)))
+        ends = np.searchsorted(own, _starts(self.sizes.shape[1]))
         for s, (a, b) in enumerate(zip(ends, [*ends[1:], len(own)], strict=True)):
             if a == b or not self._shard(s):
                 continue
-            sequence, count = self._shard(s)
+            sequence, place, count = self._shard(s)
             at = sequence.successor(own[a:b])
             there = np.flatnonzero(at < sequence.n)
             there = there[sequence.get(at[there]) == own[a:b][there]]
-            ids[a + there] = self.offsets[s] + at[there]
-            counts[a + there] = count[at[there]]
+            local = place[at[there]].astype(np.int64)
+            of = np.searchsorted(self.starts[:, s], local, "right") - 1
+            ids[a + there] = self.offsets[of, s] + local - self.starts[of, s]
+            counts[a + there] = count[local]
         return ids[index], counts[index]
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Counts of word numbers; 0 for negative ones."""
         own, index = np.unique(ids, return_inverse=True)
         out = np.zeros(len(own), np.int64)
-        shard = np.searchsorted(self.offsets, own, "right") - 1
+        cell = np.searchsorted(self.offsets.ravel(), own, "right") - 1
+        of, shard = np.divmod(cell, self.sizes.shape[1])
         for s in np.unique(shard[own >= 0]):
-            rows = (shard == s) & (own >= 0)
-            out[rows] = self._shard(s)[1][own[rows] - self.offsets[s]]
+            rows = np.flatnonzero((shard == s) & (own >= 0))
+            out[rows] = self._shard(s)[2][own[rows] - self.offsets[of[rows], s] + self.starts[of[rows], s]]
         return out[index]
 
+    def end(self) -> int:
+        return int(self.find(np.array([_END]))[0][0])
+
 
 def _per_task(texts: DataFrame, count, schema: str) -> DataFrame:
     """Rows that count(tokens, waiting) has gathered in a task; waiting is settled
@@ -300,15 +335,16 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return own, np.bincount(index, counts, len(own)).astype(np.int64)
 
 
-def _number_words(source: DataFrame, folder: str, shards: int) -> tuple[list[int], int, int]:
-    """Writes the word files; the first number of each shard, words and tokens."""
+def _number_words(source: DataFrame, folder: str, shards: int) -> tuple[list[list[int]], int]:
+    """Writes the word files; their sizes by class and shard, and the number of tokens."""
+    bits = shards.bit_length() - 1
 
     def count():
         parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def gather(tokens: Sequence) -> int:
             parts.append(np.unique(tokens.hashes, return_counts=True))
-            if len(parts) > 8:
+            if len(parts) > 4:
                 parts[:] = [_summed(parts)]
             return sum(len(k) for k, _ in parts)
 
@@ -316,43 +352,38 @@ def _number_words(source: DataFrame, folder: str, shards: int) -> tuple[list[int
             if parts:
                 keys, counts = _summed(parts)
                 parts.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], names=["hash", "n"])
+                of = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                yield _blobs([(s, pack(_gaps(keys[rows].astype(np.int64)), counts[rows])) for s, rows in _by_slot(of)])
 
         return gather, settle
 
-    words = _per_task(source, count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    bits = shards.bit_length() - 1
-    words = words.withColumn("shard", F.shiftrightunsigned("hash", 64 - bits).cast("int"))
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        shard, sizes = None, []
+    def write(shard: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        # hashes of a shard have one sign, so the signed order is theirs
+        keys, n = _merged((np.cumsum(gaps), n) for gaps, n in map(unpack, blobs))
+        of = 63 - np.log2(n.astype(float)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        _write(folder, f"words-{shard}", {**_named("hash", encode(keys.astype(np.uint64), 2**64 - 1)), "place": place, "count": n[order].astype(np.int32 if n.max() < 2**31 else np.int64)})
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.bincount(of, minlength=64).tolist()], pa.list_(pa.int64())), pa.array([int(n.sum())])], names=["shard", "sizes", "tokens"])
+
+    found = _each_slot(_per_task(source, count, "slot int, blob binary"), shards, write, "shard int, sizes array<long>, tokens long").collect()
+    sizes = np.zeros((64, shards), np.int64)
+    for r in found:
+        sizes[:, r.shard] = r.sizes
+    if sizes.sum() >= 2**31:
+        raise ValueError("word numbers need 31 bits")
+    return sizes.tolist(), sum(r.tokens for r in found)
 
-        def close() -> None:
-            hashes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            _write(folder, f"words-{shard}", {**_named("hash", encode(hashes.astype(np.uint64), 2**64 - 1)), "count": counts})
-            sizes.append((shard, len(hashes), int(counts.sum())))
-            held.clear()
 
-        for batch in batches:
-            of = batch.column("shard").to_numpy()
-            for own in np.unique(of):  # ascending, as the rows are
-                if own != shard and held:
-                    close()
-                shard = int(own)
-                part = batch.filter(pa.array(of == own))
-                held.append((part.column("hash").to_numpy(), part.column("n").to_numpy()))
-        if held:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*sizes, strict=True) if sizes else ((), (), ()), (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["shard", "n", "tokens"])
-
-    # hashes of a shard have one sign, so the signed order is theirs
-    found = words.repartition(shards, "shard").sortWithinPartitions("shard", "hash").mapInArrow(write, "shard int, n long, tokens long").collect()
-    sizes = {r.shard: r.n for r in found}
-    offsets = [sum(sizes.get(j, 0) for j in range(s)) for s in range(shards)]
-    if sum(sizes.values()) >= 2**31:
-        raise ValueError("word numbers need 31 bits")
-    return offsets, sum(sizes.values()), sum(r.tokens for r in found)
+def _merged(parts) -> tuple[np.ndarray, np.ndarray]:
+    """_summed of parts that come one by one, summed again and again as they gather."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in parts:
+        held.append(part)
+        if len(held) > 1 and sum(len(k) for k, _ in held[1:]) > max(WAITING, len(held[0][0])):
+            held = [_summed(held)]
+    return _summed(held)
 
 
 # --- slots ---------------------------------------------------------------------------
@@ -375,8 +406,8 @@ def _by_slot(slot: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Rows of each slot, in their order."""
     order = np.argsort(slot, kind="stable")
     own, first = np.unique(slot[order], return_index=True)
-    for s, rows in zip(own.tolist(), np.split(order, first[1:]), strict=True):
-        yield s, rows
+    for s, begin, end in zip(own.tolist(), first, np.append(first, len(order))[1:], strict=True):
+        yield s, order[begin:end]
 
 
 def _each_slot(packed: DataFrame, slots: int, work, schema: str) -> DataFrame:
@@ -406,8 +437,8 @@ def _build_pairs(source: DataFrame, model: dict) -> None:
     slots = model["slots"]
 
     def count():
-        vocabulary = Vocabulary(model["folder"], model["offsets"])
-        end = int(vocabulary.find(np.array([_END]))[0][0])
+        vocabulary = Vocabulary(model)
+        end = vocabulary.end()
         parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def gather(tokens: Sequence) -> int:
@@ -428,15 +459,10 @@ def _build_pairs(source: DataFrame, model: dict) -> None:
         return gather, settle
 
     def build(slot: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        vocabulary, parts = Vocabulary(model["folder"], model["offsets"]), []
-        for b, w, n in map(unpack, blobs):
-            parts.append((np.cumsum(b.astype(np.int64)) << 31 | w, n))
-            if sum(len(k) for k, _ in parts) > 8 * WAITING:
-                parts[:] = [_summed(parts)]
-        keys, n = _summed(parts)
+        keys, n = _merged((np.cumsum(b.astype(np.int64)) << 31 | w, n) for b, w, n in map(unpack, blobs))
         b, w = keys >> 31, keys & (2**31 - 1)
         # each occurrence of a word, and each text's start, is followed by a token
-        _write(model["folder"], f"pairs-{slot}", Level.build(b, w, n, vocabulary.counts(b), model["words"] + 1, False))
+        _write(model["folder"], f"pairs-{slot}", Level.build(b, None, w, n, Vocabulary(model).counts(b), model["words"] + 1))
         yield pa.RecordBatch.from_arrays([pa.array([len(keys)])], names=["n"])
 
     packed = _per_task(source, count, "slot int, blob binary")
@@ -447,7 +473,7 @@ class Answers:
     """What a slot's task needs besides its own triples."""
 
     def __init__(self, model: dict):
-        self.model, self.vocabulary = model, Vocabulary(model["folder"], model["offsets"])
+        self.model, self.vocabulary = model, Vocabulary(model)
         self.pairs: dict[int, Level] = {}
         self.total: dict[int, float] = {}
 
@@ -463,7 +489,7 @@ class Answers:
         if b not in self.total:
             splits = min(-(-count // SLOT_TOKENS), MOST_SPLITS)
             parts = _place(np.full(splits, b), np.arange(splits, dtype=np.uint64), self.model["slots"])
-            self.total[b] = sum(float(self._pairs(int(s)).find(np.array([b]), np.array([-1]))[1][0]) for s in np.unique(parts))
+            self.total[b] = sum(float(self._pairs(int(s)).find(np.array([b]), None, np.array([-1]))[1][0]) for s in np.unique(parts))
         return self.total[b]
 
     def base(self, w: np.ndarray) -> np.ndarray:
@@ -479,7 +505,7 @@ class Answers:
         count = self.vocabulary.counts(b)
         p, g = np.zeros(len(b)), np.zeros(len(b))
         for slot, rows in _by_slot(_slot(b, w, count, self.model["slots"], MOST_SPLITS)):
-            p[rows], g[rows] = self._pairs(slot).find(b[rows], w[rows])
+            p[rows], g[rows] = self._pairs(slot).find(b[rows], None, w[rows])
         for x in np.unique(b[count > SLOT_TOKENS]):
             rows = b == x
             g[rows] = self._backoff(int(x), int(count[np.argmax(rows)]))
@@ -489,7 +515,7 @@ class Answers:
 # --- dealing and answering -----------------------------------------------------------
 
 
-_OUT = "row long, id long, n_tokens long, n_known long, base_score double, score long"
+_OUT = "id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def _deal(documents: DataFrame, model: dict) -> DataFrame:
@@ -500,7 +526,7 @@ def _deal(documents: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers = Answers(model)
         vocabulary = answers.vocabulary
-        end = int(vocabulary.find(np.array([_END]))[0][0])
+        end = vocabulary.end()
         row = TaskContext.get().partitionId() << 40
         for batch in blocks(batches, "text", BLOCK):
             tokens, n = Sequence(batch.column("text")), batch.num_rows
@@ -524,14 +550,10 @@ def _deal(documents: DataFrame, model: dict) -> DataFrame:
                 aside = size - np.add.reduceat(learn[rows].astype(np.int64), first)
                 out.append((s, pack(np.array([row], np.int64), _gaps(c[first]), x[first].astype(np.int32), size.astype(np.int32), aside.astype(np.int32), doc[rows].astype(np.int16 if n < 32768 else np.int32))))
             of = np.bincount(tokens.doc, minlength=n)
-            meta = pa.RecordBatch.from_arrays(
-                list(map(pa.array, (np.arange(row, row + n), batch.column("id"), of.astype(np.int64), np.bincount(tokens.doc, counts > 0, n).astype(np.int64), np.bincount(tokens.doc, base, n), alone))),
-                names=["row", "id", "n_tokens", "n_known", "base_score", "score"],
-            )
-            sink = io.BytesIO()
-            with pa.ipc.new_stream(sink, meta.schema) as stream:
-                stream.write_batch(meta)
-            out.append((-1 - int(mix64(np.array([row], np.uint64))[0] % np.uint64(slots)), sink.getvalue()))
+            own = batch.column("id")
+            none, own = own.is_null().to_numpy(zero_copy_only=False).astype(np.int8), own.fill_null(0).to_numpy()
+            told = pack(np.array([row], np.int64), own, none, of, np.bincount(tokens.doc, counts > 0, n).astype(np.int64), np.bincount(tokens.doc, base, n).view(np.int64), alone)
+            out.append((-1 - int(mix64(np.array([row], np.uint64))[0] % np.uint64(slots)), told))
             yield _blobs(out)
             row += n
 
@@ -539,47 +561,54 @@ def _deal(documents: DataFrame, model: dict) -> DataFrame:
 
 
 def _answer(packed: DataFrame, model: dict, build: bool, tell: bool = True) -> DataFrame:
-    """Builds the triple level from the packed tokens or opens it, and answers them."""
-    names = [f.split()[0] for f in _OUT.split(", ")]
+    """Builds the triple level from the packed tokens or opens it, and answers them:
+    rows of a block's first row and packed sums of its texts."""
+
+    def sums(blocks_: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), pa.array(blobs, pa.binary())], names=["slot", "blob"])
 
     def work(slot: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         if slot < 0:  # known at once
-            for blob in blobs:
-                yield from pa.ipc.open_stream(blob)
+            yield sums([int(unpack(blob)[0][0]) for blob in blobs], blobs)
             return
         answers, held = Answers(model), [unpack(blob) for blob in blobs]
+        blobs.clear()
         context = np.concatenate([np.cumsum(x[1]) for x in held])
-        word = np.concatenate([x[2] for x in held]).astype(np.int64)
-        seen = np.concatenate([x[3].astype(np.int64) - x[4] for x in held])
+        word = np.concatenate([x[2] for x in held])
+        seen = np.concatenate([x[3] - x[4] for x in held])
+        held = [(int(x[0][0]), x[3], x[5]) for x in held]
         order = np.lexsort((word, context))
-        context, word = context[order], word[order]
+        context, word = context[order], word[order].astype(np.int64)
         new = np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))
         index = np.empty(len(order), np.int32)
-        index[order] = np.cumsum(new) - 1
-        context, word, n = context[new], word[new], np.add.reduceat(seen[order], np.flatnonzero(new))
-        del order, seen
-        # a context ends in 0 where there is no second word
+        index[order] = np.cumsum(new, dtype=np.int32) - 1
+        n = np.add.reduceat(seen[order].astype(np.int64), np.flatnonzero(new))
+        context, word = context[new], word[new]
+        del order, seen, new
+        b, a = context >> 31, (context & (2**31 - 1)) - 1  # -1 where there is no second word
+        del context
         if build:
-            rows = (n > 0) & (context & (2**31 - 1) > 0)
-            if rows.any():
-                c = context[rows]
-                start = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-                total = np.repeat(np.add.reduceat(n[rows], start), np.diff(np.append(start, len(c))))
-                _write(model["folder"], f"triples-{slot}", Level.build(c, word[rows], n[rows], total, (model["words"] + 1) << 31, True))
+            rows = np.flatnonzero((n > 0) & (a >= 0))
+            if len(rows):
+                x, y = b[rows], a[rows]
+                start = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+                total = np.repeat(np.add.reduceat(n[rows], start), np.diff(np.append(start, len(x))))
+                _write(model["folder"], f"triples-{slot}", Level.build(x, y, word[rows], n[rows], total, model["words"] + 1))
+        del n
         if not tell:
             return
-        p, g = Level(_read(model["folder"], f"triples-{slot}")).find(np.where(context & (2**31 - 1) > 0, context, -1), word)
-        full = p + np.where(g > 0, g, 1.0) * answers.shorter(context >> 31, word)
-        value = np.rint(np.log10(full) * UNIT)
-        at = 0
-        for first, _, own, size, _, doc in held:
+        full = answers.shorter(b, word)
+        p, g = Level(_read(model["folder"], f"triples-{slot}")).find(b, a, word)
+        value = np.rint(np.log10(p + np.where(g > 0, g, 1.0) * full) * UNIT)
+        out, at = [], 0
+        for _, size, doc in held:
             texts, local = np.unique(doc, return_inverse=True)
-            score = np.bincount(local, np.repeat(value[index[at : at + len(own)]], size), len(texts)).astype(np.int64)
-            at += len(own)
-            none = pa.nulls(len(texts), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(first[0] + texts.astype(np.int64)), none, none, none, pa.nulls(len(texts), pa.float64()), pa.array(score)], names=names)
+            score = np.bincount(local, np.repeat(value[index[at : at + len(size)]], size), len(texts)).astype(np.int64)
+            at += len(size)
+            out.append(pack(np.diff(texts, prepend=texts.dtype.type(0)), score))
+        yield sums([first for first, _, _ in held], out)
 
-    return _each_slot(packed, model["slots"], work, _OUT)
+    return _each_slot(packed, model["slots"], work, "slot long, blob binary")
 
 
 def _texts(documents: DataFrame, id_column: str, text_column: str, learn: Column) -> DataFrame:
@@ -591,18 +620,29 @@ def _prepare(source: DataFrame) -> dict:
     spark = source.sparkSession
     folder = f"{shared_folder(spark)}/trie-{uuid.uuid4().hex}"
     chars = source.agg(F.sum(F.length("text")).alias("n")).first().n or 0
-    shards = 2 << (chars // 30 // SHARD_WORDS).bit_length()  # a new word in five is a high guess
+    shards = 2 << (chars // 120 // SHARD_WORDS).bit_length()  # a new word in twenty
     learned = source.where("learn").select("text")
-    offsets, words, tokens = _number_words(learned, folder, shards)
-    model = {"folder": folder, "offsets": offsets, "words": words, "tokens": tokens, "slots": max(8, -(-(chars // 6) // SLOT_TOKENS))}
+    sizes, tokens = _number_words(learned, folder, shards)
+    model = {"folder": folder, "sizes": sizes, "words": sum(map(sum, sizes)), "tokens": tokens, "slots": max(8, -(-(chars // 6) // SLOT_TOKENS))}
     _build_pairs(learned, model)
     return model
 
 
 def _totals(answered: DataFrame, model: dict, id_column: str) -> DataFrame:
-    """One row for each text from its parts."""
-    sums = answered.groupBy("row").agg(F.max("id").alias(id_column), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    return sums.select(id_column, "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", (F.col("score") / UNIT).alias("score"))
+    """One row for each text, from the sums of its block."""
+
+    def work(block: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack(blob) for blob in blobs]
+        _, ids, none, n, known, base, alone = next(x for x in parts if len(x) == 7)
+        score = alone.copy()
+        for x in parts:
+            if len(x) == 2:
+                score[np.cumsum(x[0], dtype=np.int64)] += x[1]
+        names = [f.split()[0] for f in _OUT.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=none.astype(bool)), pa.array(n), pa.array(known), pa.array(base.view(np.float64)), pa.array(score / UNIT)], names=names)
+
+    told = _each_slot(answered, model["slots"], work, _OUT)
+    return told.select(F.col("id").alias(id_column), "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def train(texts: DataFrame, text_column: str = "text") -> dict:

@@ -287,8 +287,9 @@ def test_lm_query(spark, odd, tmp_path):
 def test_lm_successors_of_a_frequent_context():
     """A share below 10^-4 is present, with its value, and not a 0."""
     context, word, count, total = np.array([5, 5, 5, 6]), np.array([1, 2, 4, 1]), np.array([2, 3, 10**8 - 9, 2]), np.array([10**8] * 3 + [10**18])
-    level = lm_scoring.Level(lm_scoring.Level.build(context, word, count, total, 10, True))
-    p, _ = level.find(np.append(context, [5, 7]), np.append(word, [3, 1]))
+    before = np.array([3, 3, 3, 0])
+    level = lm_scoring.Level(lm_scoring.Level.build(context, before, word, count, total, 10))
+    p, _ = level.find(np.append(context, [5, 7]), np.append(before, [3, 0]), np.append(word, [3, 1]))
     assert (p[:4] > 0).all() and p[4:].tolist() == [0, 0]
     low = np.log10((count - 0.75) / total) - np.log10(p[:4])
     assert (low > -1e-9).all() and (low < 0.1251).all()
