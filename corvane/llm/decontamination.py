@@ -13,7 +13,7 @@ window. To find occurrences without listing every window of every document:
    item position). Along it the exact words are compared and runs of equal words
    kept that reach the window's length.
 
-The first step hashes words in lower case of any script, which only adds
+The first step hashes each word in lower case of any script, which only adds
 candidates; the second compares words with A-Z alone lower-cased. Texts are
 identified by digest there, so copies are extended once, and each group is bounded
 by one text and one item. The benchmark's side is broadcast if its counted rows
@@ -25,14 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checked_broadcast, forget, keep
+from .shared import BROADCAST_BYTES, checked_broadcast, forget, keep
 
 SPAN, K = 10, 7
 _GAP = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _WORD = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Result rows that are broadcast to the documents (about 150 bytes each).
-_RESULT_ROWS = 200_000
+#: Bytes of a row of the result and of one of the fingerprints looked for.
+_RESULT_WIDTH, _PRINT_WIDTH = 160, 120
 
 
 def _words(text: str) -> Column:
@@ -46,7 +46,7 @@ def _paired(array: str, shift: int, other: str, function: str) -> Column:
 
 def _grams(df: DataFrame, words: str, k: int, out: str) -> DataFrame:
     """Hashes of all k-grams of an array of words, from hashes of half as many words."""
-    df, have = df.withColumn("_g1", F.expr(f"transform({words}, w -> xxhash64(w))")), 1
+    df, have = df.withColumn("_g1", F.expr(f"transform({words}, w -> xxhash64(lower(w)))")), 1
     while have < k:
         step = min(have, k - have)
         df = df.withColumn(f"_g{have + step}", _paired(f"_g{have}", step, f"_g{have}", "xxhash64"))
@@ -76,11 +76,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     if not k <= span:
         raise ValueError("k must not exceed span")
     items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text).alias("t")).where("item is not null and t is not null")
-    items = items.select("item", _words(f"translate(t, '{_UPPER}', '{_LOWER}')").alias("iw"), _words("lower(t)").alias("low")).where("size(iw) > 0")
+    items = items.select("item", _words(f"translate(t, '{_UPPER}', '{_LOWER}')").alias("iw"), F.length("t").alias("chars")).where("size(iw) > 0")
     items = keep(items.withColumn("ikey", F.expr("md5(concat_ws(' ', item, array_join(iw, ' ')))")).dropDuplicates(["ikey"]), "items")
-    long_items = _minima(_grams(items.where(f"size(iw) >= {span}"), "low", k, "g"), "g", span - k + 1, "m")
+    long_items = _minima(_grams(items.where(f"size(iw) >= {span}"), "iw", k, "g"), "g", span - k + 1, "m")
     prints = keep(long_items.select("item", "ikey", F.posexplode("g").alias("q", "print"), "m").where("array_contains(m, print)").select("item", "ikey", "q", "print"), "prints")
-    short = items.where(f"size(iw) < {span}").select("item", "ikey", F.expr("size(iw)").alias("length"), "low")
+    short = items.where(f"size(iw) < {span}").select("item", "ikey", F.expr("size(iw)").alias("length"), "iw")
     lengths = sorted(r.length for r in short.select("length").distinct().collect())  # below span values at most
 
     def short_prints(df: DataFrame, words: str, length: int, out: str) -> DataFrame:
@@ -89,16 +89,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
 
     kept_short = None
     for length in lengths:
-        one = short_prints(short.where(F.col("length") == length), "low", length, "_p").select("item", "ikey", F.lit(0).alias("q"), F.explode("_p").alias("print"))
+        one = short_prints(short.where(F.col("length") == length), "iw", length, "_p").select("item", "ikey", F.lit(0).alias("q"), F.explode("_p").alias("print"))
         kept_short = one if kept_short is None else kept_short.union(one)
     wanted = prints if kept_short is None else prints.union(kept_short)
     wanted = keep(wanted, "wanted")
     n_wanted = wanted.count()
     wanted_prints = checked_broadcast(wanted.select("print").distinct(), n_wanted)
+    item_bytes = items.agg(F.sum(F.expr("4 * chars + 24 * size(iw) + 100"))).first()[0] or 0  # at most
 
     # 1. texts that share a fingerprint
     source = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text_column, F.lit("")).alias("t"))
-    worded = source.select(F.xxhash64("t").alias("key"), _words("lower(t)").alias("low"))
+    worded = source.select(F.xxhash64("t").alias("key"), _words("t").alias("low"))
     marked = _minima(_grams(worded, "low", k, "g"), "g", span - k + 1, "m")
     emitted = F.expr(f"if(size(low) >= {span}, m, array())")
     for length in lengths:
@@ -111,13 +112,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     # 2. extension in those texts
     texts = source.withColumn("key", F.xxhash64("t")).join(checked_broadcast(met, n_met), "key", "left_semi")
     texts = keep(texts.select(F.md5("t").alias("tid"), "t").dropDuplicates(["tid"]), "texts")
-    grams = _grams(texts.select("tid", _words("lower(t)").alias("low")), "low", k, "g")
+    grams = _grams(texts.select("tid", _words("t").alias("low")), "low", k, "g")
     found = grams.select("tid", F.posexplode("g").alias("p", "print"))
     for length in lengths:
         found = found.union(short_prints(grams, "low", length, "_p").select("tid", F.posexplode("_p").alias("p", "print")))
-    seeds = found.join(checked_broadcast(wanted, n_wanted), "print").selectExpr("tid", "item", "ikey", "p - q as d").distinct()
+    seeds = found.join(checked_broadcast(wanted, n_wanted, _PRINT_WIDTH), "print").selectExpr("tid", "item", "ikey", "p - q as d").distinct()
     worded = texts.select("tid", _words(f"translate(t, '{_UPPER}', '{_LOWER}')").alias("dw"))
-    sides = seeds.join(worded, "tid").join(checked_broadcast(items.select("ikey", "iw"), n_wanted), "ikey")
+    side = items.select("ikey", "iw")
+    sides = seeds.join(worded, "tid").join(F.broadcast(side) if item_bytes <= BROADCAST_BYTES else side, "ikey")
     begin, length = "greatest(0, -d)", "least(size(iw), size(dw) - d) - greatest(0, -d)"
     equal = f"zip_with(slice(iw, {begin} + 1, {length}), slice(dw, {begin} + d + 1, {length}), (x, y) -> x = y)"
     cells = sides.selectExpr("tid", "item", "ikey", "d", f"least({span}, size(iw)) as need", f"{begin} as b", f"posexplode({equal}) as (q, same)").where("same")
@@ -134,7 +136,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
         forget(table)
 
     every = source.select("id", F.expr(f"cast(regexp_count(t, '{_WORD}') as long)").alias("n_words"), F.md5("t").alias("tid"))
-    return every.join(checked_broadcast(result, result.count(), _RESULT_ROWS), "tid", "left").select(
+    return every.join(checked_broadcast(result, result.count(), _RESULT_WIDTH), "tid", "left").select(
         F.col("id").alias(id_column),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),

@@ -5,7 +5,7 @@ weights; a source's target stops at `most` times its size and the excess is shar
 again by weight. That is min(most * size, theta * weight) with one theta, found from
 running sums over the sources in order of size / weight.
 
-Rates: each document gets the rate most like its base rate (1, or a column) under
+Rates: each document gets the rate most like its base rate (by length, or a column) under
 which its source's words come to the target: the entropy of the rates relative to
 the base rates is maximal under the token constraints, with rates between 0 and
 `most`. The solution is an exponential tilt, rate = most * w / (1 + w) with
@@ -71,14 +71,13 @@ def _rate(base: Column, tilt: Column, most: int) -> Column:
 def solve_tilts(histogram: DataFrame, needs: DataFrame, most: int = MOST, steps: int = NEWTON_STEPS) -> DataFrame:
     """histogram(source, base, words), needs(source, need) -> (source, tilt); null
     where all documents get the full rate or none. Newton's method on the dual, a
-    step limited to 2; the start is exact if a source's base rates are equal."""
+    step limited to 2, until every source's words are within a millionth of its need;
+    a start from the mean base rate is near already if base rates differ little."""
     totals = histogram.groupBy("source").agg(F.sum("words").alias("words"), F.try_divide(F.sum(F.col("base") * F.col("words")), F.sum("words")).alias("mean"))
     state = _join_source(totals, needs)
     share, mean = F.try_divide("need", F.col("words") * F.lit(float(most))), F.col("mean") / float(most)
     inside = (F.col("words") > 0) & (share > 1e-12) & (share < 1 - 1e-12)
     state = state.select("source", "need", F.when(inside, F.ln(share / (1 - share)) - F.ln(mean / (1 - mean))).alias("tilt"))
-    if histogram.where("base <> 1").isEmpty():
-        return state.select("source", "tilt")
     for step in range(steps):
         rated = _join_source(histogram, state).withColumn("rate", _rate(F.col("base"), F.col("tilt"), most))
         sums = rated.groupBy("source").agg(
@@ -86,12 +85,31 @@ def solve_tilts(histogram: DataFrame, needs: DataFrame, most: int = MOST, steps:
             F.sum(F.col("words") * F.col("rate") * (1 - F.col("rate") / most)).alias("curve"),
         )
         move = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col("need") - F.col("got")) / F.greatest("curve", F.lit(1e-12))))
-        state = sums.select("source", "need", (F.col("tilt") + move).alias("tilt"))
-        if step % 4 == 3:
-            state = keep(state, "tilts")
+        state = sums.select("source", "need", (F.col("tilt") + move).alias("tilt"), F.try_divide(F.abs(F.col("need") - F.col("got")), "need").alias("off"))
+        if step % 3 == 2:
+            told, state = state, keep(state, "tilts")
+            if state.where("off > 1e-6").isEmpty():
+                break
+            state = state.drop("off")
+        else:
+            state = state.drop("off")
     return state.select("source", "tilt")
 
 
+def length_rate(words: Column) -> Column:
+    """Base rate by length in sixteenths: half a copy for fragments, rising to one and a
+    half for long texts, which carry more context for a word taken."""
+    return F.round((F.lit(0.5) + words / (words + F.lit(64.0))) * 16) / 16
+
+
+def row_key(id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> Column:
+    """Digest of a row's id, source and text, nulls told from other values."""
+    parts = [F.coalesce(F.col(text_column), F.lit(""))]
+    for c in (id_column, source_column):
+        parts += [F.col(c), F.col(c).isNull()]
+    return F.xxhash64(*parts)
+
+
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", base_column: str | None = None) -> DataFrame:
     """Per row: id, size (words), source_size, target (both of its source), taken
     (words taken, repeats counted), copies (taken = copies * size), source, row_key.
@@ -103,8 +121,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     """
     words = F.expr(f"cast(regexp_count(coalesce({text_column}, ''), '{_WORD}') as long)")
     base = F.col(base_column).cast("double") if base_column else F.lit(1.0)
-    slim = documents.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), words.alias("size"), base.alias("base"), F.xxhash64(F.coalesce(text_column, F.lit(""))).alias("row_key"))
-    slim = keep(slim, "sizes")
+    slim = documents.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), words.alias("size"), base.alias("base"), row_key(id_column, text_column, source_column).alias("row_key"))
+    slim = keep(slim if base_column else slim.withColumn("base", length_rate(F.col("size"))), "sizes")
     # sizes of a hot source are summed before the shuffle
     sizes = keep(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
     targets = keep(source_targets(sizes.select("source", "source_size"), weights, budget, most), "targets")

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at once; a longer text is one step.
 BLOCK_BYTES = 2 << 20
-#: Rows of ids that may be broadcast (8 bytes each); beyond it a shuffled join is used.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that may be broadcast, as counted rows times a row's width; beyond it a
+#: shuffled join is used.
+BROADCAST_BYTES = 32 << 20
 
 
 #: Bytes of one Arrow batch on its way to a Python worker.
@@ -32,10 +33,12 @@ BATCH_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only if it is unset."""
+    """The folder named by spark.checkpoint.dir. Only if it is unset one of our own: in
+    the warehouse, which a cluster shares, or in the temporary folder of a local master."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = f"file://{os.path.join(tempfile.gettempdir(), 'corvane-shared')}"
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        folder = f"file://{os.path.join(tempfile.gettempdir(), 'corvane-shared')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/corvane-shared"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -61,9 +64,9 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def checked_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint if the counted rows fit the limit; else the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+def checked_broadcast(df: DataFrame, rows: int, width: int = 16) -> DataFrame:
+    """Broadcast hint if the counted rows of `width` bytes fit; else the join shuffles."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 # --- words on byte buffers -----------------------------------------------------

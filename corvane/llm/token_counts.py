@@ -12,8 +12,9 @@ Text is prepared as usual for such vocabularies: U+2581 for each space and one i
 front. Where no piece holds U+2581 behind another character, no path crosses the
 start of a word, so a text's count is the sum over its words; each worker then
 remembers counts of the words that it has seen, and the recursion runs once for
-each. (With scores that are not integers, sums over whole texts may round
-otherwise than sums over words; ties then differ.)
+each. That is done only if all scores are whole numbers, whose sums are exact: else
+sums over whole texts may round otherwise than sums over words and ties differ, and
+the recursion runs over whole texts.
 
 No shuffle, no state between tasks: a lost executor's tasks simply run again.
 """
@@ -56,7 +57,8 @@ class UnigramCounter:
             if piece:
                 self.machine.add_word(piece, (len(piece), score))
         self.machine.make_automaton()
-        self.by_word = not any(MARK in piece.lstrip(MARK) for piece in scores)
+        whole = all(float(score).is_integer() for score in scores.values())
+        self.by_word = whole and not any(MARK in piece.lstrip(MARK) for piece in scores)
         self.known: dict[str, int] = {}
 
     def best(self, text: str) -> int:

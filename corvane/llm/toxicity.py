@@ -101,6 +101,40 @@ def evidence(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     return out
 
 
+def minimise(loss, size: int, steps: int) -> np.ndarray:
+    """Limited-memory quasi-Newton steps with halving; loss gives value and gradient."""
+    w, memory = np.zeros(size), []
+    value, grad = loss(w)
+    for _ in range(steps):
+        direction, kept = grad.copy(), []
+        for s, y in reversed(memory):
+            a = s @ direction / (s @ y)
+            kept.append(a)
+            direction -= a * y
+        if memory:
+            s, y = memory[-1]
+            direction *= (s @ y) / (y @ y)
+        for (s, y), a in zip(memory, reversed(kept), strict=True):
+            direction += (a - y @ direction / (s @ y)) * s
+        step = 1.0 if memory else min(1.0, 1 / (np.abs(grad).sum() + 1e-12))
+        for _ in range(20):
+            after = w - step * direction
+            now, slope = loss(after)
+            if now <= value - 1e-4 * step * (grad @ direction):
+                break
+            step /= 2
+        else:
+            break
+        s, y = after - w, slope - grad
+        if s @ y > 1e-12:
+            memory = [*memory[-7:], (s, y)]
+        done = value - now < 1e-7
+        w, value, grad = after, now, slope
+        if done:
+            break
+    return w
+
+
 def fit(buckets: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
     """Weights per bucket (ratio included) and bias."""
     weights = np.zeros(BUCKETS)
@@ -130,35 +164,7 @@ def fit(buckets: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray,
         grad = np.append(np.bincount(col, val * slope[row], size), slope.sum()) / n + PENALTY * own
         return float(np.logaddexp(0, -sign * margin).mean() + PENALTY / 2 * own @ own), grad
 
-    w, memory = np.zeros(size + 1), []
-    value, grad = loss(w)
-    for _ in range(steps):  # limited-memory quasi-Newton steps with halving
-        direction, kept = grad.copy(), []
-        for s, y in reversed(memory):
-            a = s @ direction / (s @ y)
-            kept.append(a)
-            direction -= a * y
-        if memory:
-            s, y = memory[-1]
-            direction *= (s @ y) / (y @ y)
-        for (s, y), a in zip(memory, reversed(kept), strict=True):
-            direction += (a - y @ direction / (s @ y)) * s
-        step = 1.0 if memory else min(1.0, 1 / (np.abs(grad).sum() + 1e-12))
-        for _ in range(20):
-            after = w - step * direction
-            now, slope = loss(after)
-            if now <= value - 1e-4 * step * (grad @ direction):
-                break
-            step /= 2
-        else:
-            break
-        s, y = after - w, slope - grad
-        if s @ y > 1e-12:
-            memory = [*memory[-7:], (s, y)]
-        done = value - now < 1e-7
-        w, value, grad = after, now, slope
-        if done:
-            break
+    w = minimise(loss, size + 1, steps)
     weights[columns] = w[:-1] * ratio[columns]
     return weights, float(w[-1])
 
