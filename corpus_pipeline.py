@@ -8,11 +8,11 @@ stage makes several passes. The last stage repeats documents by their copies.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import decontamination, jaccard_join, mixing, pii, toxicity
-from corvane.llm.shared import checked_broadcast, keep
+from corvane.llm.shared import checked_broadcast, forget, keep
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _key, a digest of the text: ids may be null or shared by texts, so
-    verdicts go by text and never by id alone."""
-    return docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """docs as a struct row, doc_id, text and key, a digest of the text: ids may be null
+    or shared by texts, so verdicts go by text and never by id alone."""
+    return docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     heads = texts.groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "_key")).alias("head"))
     told = texts.join(heads, "component_id").select("_key", (F.col("head._key") == F.col("_key")).alias("_first"), F.col("head.doc_id").alias("_id"), "n")
     told = keep(told.where("not _first or n > 1").drop("n"), "told")
-    kept = rows.join(checked_broadcast(told, told.count()), "_key", "left").where("_first is null or (_first and doc_id <=> _id)").select(*docs.columns)
+    kept = rows.join(checked_broadcast(told, told.count()), "_key", "left").where("_first is null or (_first and doc_id <=> _id)").select("row.*")
     repeated = not rows.groupBy("doc_id", "_key").count().where("count > 1").isEmpty()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
@@ -47,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = _keyed(docs)
     found = decontamination.contamination(rows.select("_key", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column="_key")
     found = keep(found.where("contaminated").select("_key").distinct(), "contaminated")
-    return rows.join(checked_broadcast(found, found.count()), "_key", "left_anti").select(*docs.columns)
+    return rows.join(checked_broadcast(found, found.count()), "_key", "left_anti").select("row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +58,17 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks: the columns of documents,
-    copies and copy (from 1)."""
-    copies = mixing.mix(docs).where("copies > 0").selectExpr("doc_id as _id", "row_key as _key", "copies as _copies")
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    mixed = keyed.join(copies.dropDuplicates(["_id", "_key"]), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
-    return mixed.select(*docs.columns, F.col("_copies").alias("copies"), F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
+    copies and copy (from 1); columns of these names are replaced. Rows that repeat
+    id, source and text share the copies of all of them evenly."""
+    mixed = mixing.mix(docs).groupBy("row_key").agg(F.sum("copies").alias("total"), F.count("*").alias("rows")).where("total > 0")
+    docs = docs.drop("copies", "copy")
+    keyed = docs.select(F.struct("*").alias("row"), mixing.row_key().alias("row_key"))
+    mixed = keep(mixed, "copies")
+    dealt = keyed.join(mixed, "row_key").withColumn("nth", F.lit(1))
+    if not mixed.where("rows > 1").isEmpty():
+        dealt = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")))
+    dealt = dealt.withColumn("copies", F.expr("(total * nth) div rows - (total * (nth - 1)) div rows")).where("copies > 0")
+    return dealt.select("row.*", "copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
 
 
 STAGES = [
@@ -78,7 +84,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
