@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import BROADCAST_BYTES, checked_broadcast, forget, keep
 
 SPAN, K = 10, 7
-_GAP = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_GAP = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"  # A-Z are lower-cased later
 _WORD = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of a row of the result and of one of the fingerprints looked for.

@@ -4,7 +4,9 @@ A feature is a hashed n-gram of a word with its edges marked; its value in a tex
 the number of distinct words of the text that hold it, so a repeated word counts
 once and long texts need no cut. Values are multiplied with the n-gram's log-count
 ratio between toxic and clean training texts, and a logistic regression with an L2
-penalty is fitted on the scaled values.
+penalty is fitted on the scaled values. N-grams that favour the toxic side add up; those
+that favour the clean side enter as their mean in the text, for the clean words of a long
+text would outweigh a few insults by their number alone.
 
 The fit uses at most `sample` labelled rows (a documented bound: those with the
 least hash of doc_id), which is what the broadcast of their ids, the one fitting
@@ -28,9 +30,8 @@ BUCKETS = 1 << 18
 SIZES = (3, 4, 5, 6)
 SMOOTHING = 1.0
 PENALTY = 1e-4
-#: Log-likelihood ratio by which counts must favour the toxic side (chance exceeds it
-#: once in a hundred). The others (signs of clean text, and noise) would outweigh a few
-#: insults in a long text.
+#: Log-likelihood ratio by which counts must favour a side (chance exceeds it once in a
+#: hundred); the others are noise.
 LEAST_EVIDENCE = 6.63
 #: An n-gram must occur in this many training texts.
 LEAST_TEXTS = 3
@@ -69,12 +70,17 @@ def distinct_words(array: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.n
     return words, place, pairs // max(len(place), 1), pairs % max(len(place), 1)
 
 
-def text_scores(array: pa.Array, weights: np.ndarray) -> np.ndarray:
-    """Sum of the weights of each text's features."""
+def text_scores(array: pa.Array, weights: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each text's toxic features and mean of its clean ones."""
     words, place, row, word = distinct_words(array)
     buckets, owner = word_grams(words, place)
-    of_word = np.bincount(owner, weights[buckets], len(place)) if len(place) else np.zeros(0)
-    return np.bincount(row, of_word[word], len(array)) if len(row) else np.zeros(len(array))
+    if not len(place):
+        return np.zeros(len(array))
+
+    def total(values: np.ndarray) -> np.ndarray:
+        return np.bincount(row, np.bincount(owner, values[buckets], len(place))[word], len(array))
+
+    return total(np.where(clean, 0.0, weights)) + total(np.where(clean, weights, 0.0)) / np.maximum(total(clean.astype(float)), 1)
 
 
 def text_features(array: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -135,24 +141,30 @@ def minimise(loss, size: int, steps: int) -> np.ndarray:
     return w
 
 
-def fit(buckets: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Weights per bucket (ratio included) and bias."""
-    weights = np.zeros(BUCKETS)
+Model = tuple[np.ndarray, np.ndarray, float]
+
+
+def fit(buckets: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, steps: int = 60) -> Model:
+    """Weights per bucket (ratio included), which of them favour the clean side, bias."""
+    weights, clean = np.zeros(BUCKETS), np.zeros(BUCKETS, bool)
     if not len(labels):
-        return weights, -np.inf
+        return weights, clean, -np.inf
     if labels.min() == labels.max():
-        return weights, 20.0 if labels[0] else -20.0
+        return weights, clean, 20.0 if labels[0] else -20.0
     texts = np.zeros(BUCKETS)
     p, q = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
     for own, value, label in zip(buckets, values, labels, strict=True):  # a bucket occurs once in a text
         texts[own] += 1
         (p if label == 1 else q)[own] += value
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio = np.where((texts >= LEAST_TEXTS) & (ratio > 0) & (evidence(p - SMOOTHING, q - SMOOTHING) >= LEAST_EVIDENCE), ratio, 0.0)
+    ratio = np.where((texts >= LEAST_TEXTS) & (evidence(p - SMOOTHING, q - SMOOTHING) >= LEAST_EVIDENCE), ratio, 0.0)
+    clean = ratio < 0
     chosen = [ratio[own] != 0 for own in buckets]
     row = np.repeat(np.arange(len(labels)), [int(c.sum()) for c in chosen])
     col = np.concatenate([own[c] for own, c in zip(buckets, chosen, strict=True)]).astype(np.int64)
-    val = np.concatenate([value[c] for value, c in zip(values, chosen, strict=True)]).astype(float) * ratio[col]
+    val = np.concatenate([value[c] for value, c in zip(values, chosen, strict=True)]).astype(float)
+    calm = np.maximum(np.bincount(row, val * clean[col], len(labels)), 1)
+    val = val * ratio[col] / np.where(clean[col], calm[row], 1.0)
     columns, col = np.unique(col, return_inverse=True)
     n, size = len(labels), len(columns)
 
@@ -166,15 +178,15 @@ def fit(buckets: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray,
 
     w = minimise(loss, size + 1, steps)
     weights[columns] = w[:-1] * ratio[columns]
-    return weights, float(w[-1])
+    return weights, clean, float(w[-1])
 
 
 def held_out(id_column: str, folds: int) -> str:
     return f"crc32(cast({id_column} as string)) % {folds} = 0"
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> tuple[np.ndarray, float]:
-    """Weights and bias. documents, labels: id and text, id and 0/1. Rows of the
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
+    """Weights, clean sides and bias. documents, labels: id and text, id and 0/1. Rows of the
     held-out fold, null ids and null labels are not used; an id with several labels
     takes the largest. The sample's features meet in one task, bounded by `sample`."""
     chosen = (
@@ -197,24 +209,24 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds:
         rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         rows.sort()  # the order of arrival must not matter
         labels_, buckets, counts = zip(*rows, strict=True) if rows else ((), (), ())
-        weights, bias = fit([np.frombuffer(b, np.int32) for b in buckets], [np.frombuffer(c, np.uint16) for c in counts], np.array(labels_))
+        weights, clean, bias = fit([np.frombuffer(b, np.int32) for b in buckets], [np.frombuffer(c, np.uint16) for c in counts], np.array(labels_))
         used = np.flatnonzero(weights)
-        yield pa.RecordBatch.from_arrays([pa.array([used.astype(np.int32).tobytes()]), pa.array([weights[used].tobytes()]), pa.array([bias])], names=["used", "weights", "bias"])
+        yield pa.RecordBatch.from_arrays([pa.array([used.astype(np.int32).tobytes()]), pa.array([weights[used].tobytes()]), pa.array([clean[used].tobytes()]), pa.array([bias])], names=["used", "weights", "clean", "bias"])
 
-    model = texts.mapInArrow(features, "label int, buckets binary, counts binary").repartition(1).mapInArrow(solve, "used binary, weights binary, bias double").first()
-    weights = np.zeros(BUCKETS)
-    weights[np.frombuffer(bytes(model.used), np.int32)] = np.frombuffer(bytes(model.weights))
-    return weights, model.bias
+    model = texts.mapInArrow(features, "label int, buckets binary, counts binary").repartition(1).mapInArrow(solve, "used binary, weights binary, clean binary, bias double").first()
+    weights, clean, used = np.zeros(BUCKETS), np.zeros(BUCKETS, bool), np.frombuffer(bytes(model.used), np.int32)
+    weights[used], clean[used] = np.frombuffer(bytes(model.weights)), np.frombuffer(bytes(model.clean), bool)
+    return weights, clean, model.bias
 
 
-def _scored(array: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
-    weights, bias = model
+def _scored(array: pa.Array, model: Model) -> np.ndarray:
+    weights, clean, bias = model
     if np.isinf(bias):
         return np.zeros(len(array))
-    return 1 / (1 + np.exp(-np.clip(text_scores(array, weights) + bias, -700, 700)))
+    return 1 / (1 + np.exp(-np.clip(text_scores(array, weights, clean) + bias, -700, 700)))
 
 
-def toxicity_scores(documents: DataFrame, model: tuple[np.ndarray, float], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def toxicity_scores(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, score (0 to 1), predicted (score >= 0.5).
 
     Null and empty texts get the score of no feature at all. Repeated rows and null
@@ -234,7 +246,7 @@ def toxicity_scores(documents: DataFrame, model: tuple[np.ndarray, float], id_co
     return source.mapInArrow(run, "id long, score double, predicted int").withColumnRenamed("id", id_column)
 
 
-def without_toxic(documents: DataFrame, model: tuple[np.ndarray, float], text_column: str = "text") -> DataFrame:
+def without_toxic(documents: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text scores below 0.5; rows without
     text stay."""
     spark = documents.sparkSession
@@ -253,4 +265,4 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of the labels outside the held-out fifth."""
     documents, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity_scores(documents, train(documents, labels))
-    return scored.select("doc_id", F.expr(held_out("doc_id", 5)).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(F.expr(held_out("doc_id", 5)), F.lit(False)).alias("held_out"), "score", "predicted")

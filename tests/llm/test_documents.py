@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from corvane.llm import decontamination, fingerprints, jaccard_join, language_id, lm_scoring, mixing, pii, toxicity
 from corvane.llm.components import connected_components
 from corvane.llm.elias_fano import EliasFano, encode
@@ -153,6 +154,9 @@ def test_contamination(spark, odd):
     assert got[1] == [(11, 1, True)] and got[2] == [(11, 1, True)] * 2 and got[3] == [(10, 1, True)]
     assert (1, 1, True) in got[7] and got[8] == [(1, 1, True)] and got[4] == got[5] == [(0, 0, False)]
     assert got[11] == [(0, 0, False)]  # É is not é: only A-Z is lower-cased
+    greek = spark.createDataFrame([(1, "a b c d ΟΔΟΣ.Α e f g h")], "doc_id long, text string")  # a capital sigma's lower form depends on what follows
+    spaced = spark.createDataFrame([("g", "a b c d ΟΔΟΣ Α e f g h")], "item_id string, text string")
+    assert decontamination.contamination(greek, spaced).first().n_hit == 10
     assert decontamination.contamination(odd, bench.limit(0)).where("contaminated").count() == 0
     assert decontamination.contamination(odd.limit(0), bench).count() == 0
 
@@ -179,6 +183,25 @@ def test_base_rules(text):
     assert pii.base_spans(text) == {k: [m.span() for m in re.finditer(p, text) if ok(k, m[0])] for k, p in rules.items()}
 
 
+def test_long_runs_are_linear():
+    """Digits beyond what int() takes, and long words before, in and behind brackets."""
+    assert pii.base_spans("0" * 5000 + ".1.2.3")["ip"] == [(0, 5006)] and pii.base_spans("9" * 5000 + ".1.2.3")["ip"] == []
+    assert pii.candidates("0" * 5000 + ".1.2.3")[0][:4] == (1, 0, 5006, True)
+    for text in ("(" + "a" * 1_000_000, "a(at)" * 100_000, "a(at)" + "b" * 500_000, "1." * 300_000, "+1" * 300_000):
+        pii.candidates(text)
+    assert pii._spelt("mail joe.b (at) ex (dot) org now") == [(5, 28)]
+
+
+def test_repeated_rows_share_their_copies(spark):
+    """Rows equal in id, source and text: all copies of theirs are dealt to them."""
+    rows = [(1, "a b c d", "s0", "x", "y")] * 3 + [(i, f"w{i} v", "s0", "x", "y") for i in range(2, 40)] + [(None, "n n", "s1", "x", "y")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _row string, copies string")
+    want = {r.row_key: r.total for r in mixing.mix(docs).groupBy("row_key").agg({"copies": "sum"}).withColumnRenamed("sum(copies)", "total").collect()}
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    got = {r.row_key: r["count"] for r in mixed.withColumn("row_key", mixing.row_key()).groupBy("row_key").count().collect()}
+    assert got == {k: v for k, v in want.items() if v} and mixed.columns == ["doc_id", "text", "source", "_row", "copies", "copy"]
+
+
 def test_reliabilities_follow_the_votes():
     rows = np.array([[0, 1, 1, 1, 0, 0, 2], [0, 1, 1, 1, 1, 0, 2], [0, 1, -1, -1, -1, 0, 2], [0, -1, -1, -1, 0, 1, 1]])
     model = pii.SpanModel(rows, np.array([400, 300, 200, 100]))

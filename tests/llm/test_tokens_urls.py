@@ -77,3 +77,14 @@ def test_machine_wider_than_a_word():
     patterns = ["*abc*", "x" * 70 + "*", "a*b/*c", "*"]
     got = GlobMachine(patterns).matches([b"zzabczz", b"x" * 75, b"a--b/--c", b"", b"x" * 69])
     assert got.tolist() == [[True, False, False, True], [False, True, False, True], [False, False, True, False], [False, False, False, True], [False, False, False, True]]
+
+
+def test_scores_that_are_not_whole_are_not_split():
+    """Sums over words may round otherwise than sums over the text: no split then."""
+    pieces = [("<unk>", 0.0), ("\u2581", -1.1), ("a", -0.7), ("b", -0.9), ("ab", -1.6), ("\u2581a", -1.8)]
+    part, whole = UnigramCounter(pieces), UnigramCounter([(p, 10 * s) for p, s in pieces])
+    assert not part.by_word
+    assert UnigramCounter([(p, float(round(s))) for p, s in pieces]).by_word
+    for text in ("ab a b ab", "a  b", "ba ab"):
+        prepared = MARK + text.replace(" ", MARK)
+        assert part.count(text) == part.best(prepared) and whole.count(text) == whole.best(prepared)
