@@ -3,27 +3,26 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Payload keys that may be kept.
-PAYLOAD_KEYS = ("count", "decision", "domain", "duration_ms", "format", "k", "outcome_code", "policy_version", "reason_code", "source")
+PAYLOAD_KEYS = ("requestId", "traceId", "policyVersion", "reasonCode", "entityType", "entityCount", "resultCode", "obligation", "contentDomain", "durationMs")
 GENESIS = ""
 
 
 def classify_event(df: DataFrame) -> DataFrame:
-    """category from keywords in action and resource; the first that fits counts."""
-    text = F.lower(F.concat_ws(" ", "action", "resource"))
-    cases = (("SECURITY", ("error", "denied", "auth")), ("DATA_ACCESS", ("view", "read", "search")), ("CONFIGURATION", ("signup", "config", "policy")), ("TRANSACTION", ("purchase", "order")))
-    out = None
-    for name, words in cases:
-        test = F.lit(False)
-        for word in words:
-            test = test | F.contains(text, F.lit(word))
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return df.withColumn("category", out.otherwise("OTHER"))
+    """category from words in action and resource_type; the first that fits counts."""
+    action, resource = F.upper("action"), F.upper("resource_type")
+    auth = F.when(action.contains("Z") | action.contains("POLICY"), "AUTHORIZATION").otherwise("AUTHENTICATION")
+    category = (
+        F.when(action.contains("AUTH"), auth).when(action.contains("EXPORT") | action.contains("DEID"), "PHI_SAFETY").when(resource.contains("AUDIT") | resource.contains("POLICY"), "GOVERNANCE")
+        .when(resource.contains("DATA") | resource.contains("DOCUMENT") | resource.contains("VIEW"), "DATA_ACCESS").otherwise("SYSTEM")
+    )
+    return df.withColumn("category", category)
 
 
 def validate_payload(df: DataFrame, keys: tuple[str, ...] = PAYLOAD_KEYS) -> DataFrame:
@@ -31,22 +30,41 @@ def validate_payload(df: DataFrame, keys: tuple[str, ...] = PAYLOAD_KEYS) -> Dat
     there and each value is non-blank, one line and at most 256 characters."""
     allowed = ", ".join(f"'{k}'" for k in keys)
     out = df.withColumn("kept", F.expr(f"map_filter(payload, (k, v) -> k in ({allowed}))"))
-    return out.withColumn("valid", F.expr(f"size(kept) = size(payload) and forall(map_entries(payload), e -> coalesce(trim(e.value) <> '' and length(e.value) <= 256 and not contains(e.value, chr(10)), false))"))
+    safe = "coalesce(trim(e.value) <> '' and length(e.value) <= 256 and not contains(e.value, chr(10)) and not contains(e.value, chr(13)), false)"
+    return out.withColumn("valid", F.expr(f"size(kept) = size(payload) and forall(map_entries(payload), e -> {safe})"))
 
 
 def _json(value: str) -> str:
-    """SQL for a JSON string of a column, with the escapes of the canonical form."""
-    return f"concat('\"', replace(replace(replace({value}, '\\\\', '\\\\\\\\'), '\"', '\\\\\"'), chr(10), '\\\\n'), '\"')"
+    """SQL for a JSON string of a column: short escapes where there are any, hex ones for
+    other control characters."""
+    escapes = [("\\\\", "\\\\\\\\"), ('"', '\\\\"')]
+    out = value
+    for a, b in escapes:
+        out = f"replace({out}, '{a}', '{b}')"
+    for code in range(32):
+        short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}.get(code, f"u{code:04x}")
+        out = f"replace({out}, chr({code}), '\\\\{short}')" if code else out
+    return f"concat('\"', if({value} rlike '[\\\\x00-\\\\x1F\"\\\\\\\\]', {out}, {value}), '\"')"
+
+
+_FIELDS = (("eventId", "event_id"), ("timestamp", "occurred_at"), ("actor", "actor"), ("category", "category"), ("role", "role"), ("action", "action"), ("resourceType", "resource_type"), ("resourceId", "resource_id"), ("outcome", "outcome"))
 
 
 def canonical_hash(df: DataFrame) -> DataFrame:
-    """payload_json with sorted keys, payload_hash, and canonical: all fields in
-    fixed order as JSON; event_hash is its SHA-256."""
+    """payload_json with sorted keys, payload_hash, unsealed (all fields in their fixed
+    order as JSON, up to the payload's hash; no comma stands before the payload) and
+    event_hash: the SHA-256 of the event that follows prev_hash, a column or none."""
     payload = f"concat('{{', array_join(transform(array_sort(map_entries(payload)), e -> concat({_json('e.key')}, ':', {_json('e.value')})), ','), '}}')"
     out = df.withColumn("payload_json", F.expr(payload)).withColumn("payload_hash", F.sha2("payload_json", 256))
-    fields = ", ',', ".join(f"'\"{c}\":', {_json(f'cast({c} as string)')}" for c in ("event_id", "occurred_at", "actor", "action", "resource"))
-    out = out.withColumn("canonical", F.expr(f"concat('{{', {fields}, ',\"payload\":', payload_json, '}}')"))
-    return out.withColumn("event_hash", F.sha2("canonical", 256))
+    fields = ", ',', ".join(f"'\"{name}\":', {_json(f'cast({c} as string)')}" for name, c in _FIELDS)
+    out = out.withColumn("unsealed", F.expr(f"concat('{{', {fields}, '\"payload\":', payload_json, ',\"payloadHash\":\"', payload_hash, '\"')"))
+    before = F.coalesce("prev_hash", F.lit(GENESIS)) if "prev_hash" in df.columns else F.lit(GENESIS)
+    return out.withColumn("event_hash", F.sha2(sealed_text(before), 256))
+
+
+def sealed_text(previous: Column) -> Column:
+    """The canonical event with the hash of the event before it."""
+    return F.concat("unsealed", F.lit(',"previousHash":"'), previous, F.lit('"}'))
 
 
 def transport_check(df: DataFrame) -> DataFrame:
@@ -63,33 +81,32 @@ def dedupe_events(df: DataFrame, key: str = "event_id", order: tuple[str, ...] =
     return least.select(key, *(F.col(f"_first.{c}").alias(c) for c in (*order, *rest))).select(*df.columns)
 
 
-def _link(prev: str, content: str) -> str:
-    return hashlib.sha256(f"{prev}|{content}".encode()).hexdigest()
-
-
-def seal_chain(df: DataFrame, chain_key: str, order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """prev_hash and hash of each event of a chain, in order: hash = SHA-256 of
-    previous hash and content. Sequential within a chain, so chains must be bounded
-    (an actor and day, not a tenant); chains run in parallel."""
+def seal_chain(df: DataFrame, chain_key: str, order: str = "seq") -> DataFrame:
+    """prev_hash and hash of each event (with its unsealed text) of a chain, in order. A
+    chain is a sequence by its nature; its rows stream through one task in batches of
+    which only the last hash is kept, so its length costs no memory. Chains run in parallel."""
 
-    def seal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order))
-        prev, before, after = GENESIS, [], []
-        for content in rows["content"]:
-            before.append(prev)
-            prev = _link(prev, content)
-            after.append(prev)
-        return rows.assign(prev_hash=before, hash=after)
+    def seal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, prev = None, GENESIS
+        for rows in batches:
+            before, after = [], []
+            for own, text in zip(rows[chain_key].tolist(), rows["unsealed"], strict=True):
+                if own != chain:
+                    chain, prev = own, GENESIS
+                before.append(prev)
+                prev = hashlib.sha256(f'{text},"previousHash":"{prev}"}}'.encode()).hexdigest()
+                after.append(prev)
+            yield rows.assign(prev_hash=before, hash=after)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", prev_hash string, hash string"
-    return df.groupBy(chain_key).applyInPandas(seal, schema)
+    return df.repartition(chain_key).sortWithinPartitions(chain_key, order).mapInPandas(seal, schema)
 
 
 def chain_breaks(df: DataFrame, chain_key: str, order: str = "seq") -> DataFrame:
     """Each event with expected values beside it; fully parallel over a chain's rows."""
     before = F.coalesce(F.lag("hash").over(Window.partitionBy(chain_key).orderBy(order)), F.lit(GENESIS))
     out = df.withColumn("expected_prev", before)
-    own = F.sha2(F.concat_ws("|", "prev_hash", "content"), 256)
+    own = F.sha2(sealed_text(F.col("prev_hash")), 256)
     return out.withColumn("problem", F.when(F.col("prev_hash") != F.col("expected_prev"), "PREVIOUS_HASH").when(F.col("hash") != own, "HASH"))
 
 

@@ -11,23 +11,30 @@ from pyspark.sql import functions as F
 #: One pattern for each entity type.
 PATTERNS = {
     "EMAIL": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
-    "URL": r"\bhttps?://[^\s<>\"]+",
-    "PHONE": r"(?<![\w.])(?:\+?1[-. ]?)?\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}\b",
+    "URL": r"(?i)\bhttps?://[^\s<>\"]+",
+    "PHONE": r"\b(?:\+?1[-.\s]?)?(?:\(\d{3}\)|\d{3})[-.\s]\d{3}[-.\s]\d{4}\b",
     "SSN": r"\b\d{3}-\d{2}-\d{4}\b",
     "IP_ADDRESS": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
-    "MRN": r"\bMRN[:# ]*\d{5,10}\b",
-    "ACCOUNT_NUMBER": r"\b(?:Account|Acct)[:# ]*\d{6,12}\b",
-    "ENCOUNTER_ID": r"\bENC[:#-]*\d{4,10}\b",
-    "DEVICE_ID": r"\bDEV[:#-]*[A-Z0-9]{4,12}\b",
-    "FACILITY": r"\b[A-Z][a-z]+ (?:Hospital|Clinic|Medical Center)\b",
-    "ZIP": r"(?<!\d)\d{5}(?:-\d{4})?(?!\d)",
-    "DATE": r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})\b",
-    "AGE": r"\b\d{1,3}[- ]year[- ]old\b",
+    "MRN": r"(?i)\b(?:MRN|MR#|Medical Record (?:Number|No)|Patient (?:ID|Number)|Pt\.?\s*ID)[:#\s-]*[A-Za-z0-9][A-Za-z0-9-]{3,}\b",
+    "ACCOUNT_NUMBER": r"(?i)\b(?:account|acct|FIN)\s*(?:number|no\.?|#)?\s*[:#-]?\s*[A-Za-z0-9-]{4,}\b",
+    "ENCOUNTER_ID": r"(?i)\b(?:encounter|visit|CSN)\s*(?:number|no\.?|#)?\s*[:#-]?\s*[A-Za-z0-9-]{4,}\b",
+    "DEVICE_ID": r"(?i)\b(?:device|serial|UDI)\s*(?:serial|number|no\.?|id|#)?\s*[:#-]?\s*[A-Za-z0-9-]{5,}\b",
+    "FACILITY": r"\b(?:[A-Z][A-Za-z0-9&'/-]*\s+){0,6}(?:Hospital|Medical Center|Clinic|Health System|Healthcare)\b",
+    "ZIP": r"\b\d{5}(?:-\d{4})?\b",
+    "DATE": r"(?i)\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2}[/-]\d{1,2}|(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+\d{1,2},\s+\d{4})\b",
+    "AGE": r"(?i)\b(?:age\s*[:=]?\s*)?\d{1,3}(?:\s*[- ]?year[- ]old|\s*y/o|\s*years?\s*old)\b",
 }
-SCORE = 0.95
-_ALIASES = {"EMAIL_ADDRESS": "EMAIL", "PHONE_NUMBER": "PHONE", "US_SSN": "SSN", "IP": "IP_ADDRESS", "DATE_TIME": "DATE", "ZIP_CODE": "ZIP", "LOCATION": "FACILITY", "MEDICAL_RECORD_NUMBER": "MRN"}
+#: Names of types that have another name here.
+_ALIASES = {"EMAIL_ADDRESS": "EMAIL", "PHONE_NUMBER": "PHONE", "US_SSN": "SSN", "US_ZIP_CODE": "ZIP", "DATE_TIME": "DATE"}
 #: Three-digit zip areas with few residents.
-SMALL_ZIPS = ("036", "059", "102", "203", "556", "692", "821", "823", "878", "879", "884", "893")
+SMALL_ZIPS = ("036", "059", "063", "102", "203", "556", "692", "821", "823", "878", "879", "884", "893")
+SCORE = 0.95
+#: What a text must hold for a pattern to fit, so that most texts are searched for few.
+_NEEDS = {
+    "EMAIL": ("@",), "URL": ("://",), "MRN": ("mr", "medical record", "patient", "pt"), "ACCOUNT_NUMBER": ("acc", "fin"), "ENCOUNTER_ID": ("encounter", "vi\u017fit", "visit", "csn"),
+    "DEVICE_ID": ("device", "\u017ferial", "serial", "udi"), "FACILITY": ("hospital", "medical center", "clinic", "health system", "healthcare"),
+}
+_DIGITS = ("PHONE", "SSN", "IP_ADDRESS", "ZIP", "DATE", "AGE")
 SPANS = "array<struct<entity_type:string,start:int,stop:int,score:double,text:string>>"
 
 
@@ -48,7 +55,10 @@ def detect_entities(df: DataFrame, column: str, overlaps: bool = False) -> DataF
     @F.pandas_udf(SPANS)
     def find(texts: pd.Series) -> pd.Series:
         def one(text):
-            found = [(k, m.start(), m.end(), SCORE, m[0]) for k, p in patterns.items() for m in p.finditer(text or "")]
+            low = (text or "").lower()
+            digits = re.search(r"\d", low) is not None
+            fit = [k for k in patterns if (digits if k in _DIGITS else any(x in low for x in _NEEDS[k]))]
+            found = [(k, m.start(), m.end(), SCORE, m[0]) for k in fit for m in patterns[k].finditer(text)]
             found = found if overlaps else resolve(found)
             return [dict(zip(("entity_type", "start", "stop", "score", "text"), s, strict=True)) for s in found]
 
@@ -89,38 +99,74 @@ def hmac_sha256(message: str, key: bytes) -> str:
     return f"sha2(concat(unhex('{outer}'), unhex(sha2(concat(unhex('{inner}'), encode({message}, 'UTF-8')), 256))), 256)"
 
 
-def surrogate(df: DataFrame, salt: bytes, column: str = "text") -> DataFrame:
-    """Spans become TYPE_ and 16 hex digits that depend on type, value and salt only."""
-    value = hmac_sha256("concat(s.entity_type, ':', s.text)", salt)
-    return df.withColumn(column, _rebuild(column, f"s.entity_type, '_', substring({value}, 1, 16)"))
-
-
-_FORMATS = (("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"), ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"), ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"), ("dd.MM.yyyy", r"^\d{2}\.\d{2}\.\d{4}$"), ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"), ("d MMMM yyyy", r"^\d{1,2} [A-Z][a-z]{3,} \d{4}$"), ("MMMM d, yyyy", r"^[A-Z][a-z]{3,} \d{1,2}, \d{4}$"), ("d MMM yyyy", r"^\d{1,2} [A-Z][a-z]{2} \d{4}$"))
+#: Month names.
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+
+
+def date_sql(text: str, key: str, salt: bytes) -> str:
+    """SQL: a date moved by -365 to 365 days that the key fixes, in its own style (month
+    and day first or year first with slashes or dashes, two- or four-digit years, long or
+    short month names, May being long); without a key its year; what is no date gives its first
+    four-digit year, or [DATE]."""
+    names = "|".join([*_MONTHS, *(m[:3] for m in _MONTHS)])
+    american = r"'^(\\d{1,2})([/-])(\\d{1,2})([/-])(\\d{4}|\\d{2})$'"
+    iso, worded = r"'^(\\d{4})([/-])(\\d{1,2})([/-])(\\d{1,2})$'", rf"'(?i)^({names})\\s+(\\d{{1,2}}),\\s+(\\d{{4}})$'"
+    part = lambda pattern, i: f"regexp_extract({text}, {pattern}, {i})"
+    month = "element_at(map(" + ", ".join(f"'{m[:3].lower()}', '{i + 1:02d}'" for i, m in enumerate(_MONTHS)) + f"), lower(substring({part(worded, 1)}, 1, 3)))"
+    year = f"case when length({part(american, 5)}) = 4 then {part(american, 5)} when {part(american, 5)} >= '69' then concat('19', {part(american, 5)}) else concat('20', {part(american, 5)}) end"
+    parsed = (
+        f"try_to_date(case when {part(american, 2)} <> '' and {part(american, 2)} = {part(american, 4)} then concat({year}, '-', lpad({part(american, 1)}, 2, '0'), '-', lpad({part(american, 3)}, 2, '0')) "
+        f"when {part(iso, 2)} <> '' and {part(iso, 2)} = {part(iso, 4)} then concat({part(iso, 1)}, '-', lpad({part(iso, 3)}, 2, '0'), '-', lpad({part(iso, 5)}, 2, '0')) "
+        f"when {part(worded, 1)} <> '' then concat({part(worded, 3)}, '-', {month}, '-', lpad({part(worded, 2)}, 2, '0')) end, 'yyyy-MM-dd')"
+    )
+    days = f"cast(cast(conv(substring({hmac_sha256(f"concat('date-shift:', {key})", salt)}, 1, 8), 16, 10) as bigint) % 731 - 365 as int)"
+    moved = f"date_add({parsed}, {days})"
+    shown = (
+        f"case when {part(american, 2)} <> '' then date_format({moved}, concat('MM', {part(american, 2)}, 'dd', {part(american, 2)}, if(length({part(american, 5)}) = 4, 'yyyy', 'yy'))) "
+        f"when {part(iso, 2)} <> '' then date_format({moved}, concat('yyyy', {part(iso, 2)}, 'MM', {part(iso, 2)}, 'dd')) "
+        f"else date_format({moved}, if(length({part(worded, 1)}) = 3 and lower({part(worded, 1)}) <> 'may', 'MMM dd, yyyy', 'MMMM dd, yyyy')) end"
+    )
+    alone = rf"coalesce(nullif(regexp_extract({text}, '\\b(\\d{{4}})\\b', 1), ''), '[DATE]')"
+    return f"case when {parsed} is null then {alone} when {key} is null then lpad(cast(year({parsed}) as string), 4, '0') else {shown} end"
+
+
+def age_sql(text: str) -> str:
+    """SQL: 90+ for a span whose number is over 89, else the span."""
+    return rf"if(try_cast(regexp_extract({text}, '\\b(\\d{{1,3}})\\b', 1) as int) > 89, '90+', {text})"
+
+
+def zip_sql(text: str) -> str:
+    """SQL: the first three of five digits; 000 for small areas and without five digits."""
+    five = rf"regexp_extract({text}, '\\d{{5}}', 0)"
+    return f"if({five} = '' or substring({five}, 1, 3) in ({', '.join(repr(z) for z in SMALL_ZIPS)}), '000', substring({five}, 1, 3))"
+
+
+def surrogate(df: DataFrame, salt: bytes, column: str = "text", key_column: str | None = None) -> DataFrame:
+    """Spans by type: dates moved by the document's key (key_column, else its first
+    record-like span), ages over 89 capped, zips cut to their area; all others become TYPE_
+    and 16 hex digits that depend on type, value and salt only."""
+    given = F.col(key_column) if key_column else F.lit(None).cast("string")
+    keyed = context_key(df.withColumn("_given", given), "_given")
+    kind = "coalesce(element_at(map(" + ", ".join(f"'{x}'" for p in _ALIASES.items() for x in p) + "), upper(s.entity_type)), upper(s.entity_type))"
+    digest = hmac_sha256(f"concat({kind}, ':', s.text)", salt)
+    value = (
+        f"case {kind} when 'DATE' then {date_sql('s.text', 'context_key', salt)} when 'AGE' then {age_sql('s.text')} when 'ZIP' then {zip_sql('s.text')} "
+        f"else concat({kind}, '_', substring({digest}, 1, 16)) end"
+    )
+    return keyed.withColumn(column, _rebuild(column, value)).drop("_given", "context_key")
 
 
 def shift_dates(df: DataFrame, column: str, key_column: str, salt: bytes) -> DataFrame:
-    """shifted: the date moved by -365 to 365 days that the key fixes, in its own style;
-    without a key its year; what is no date gives its year, or [DATE]."""
-    days = F.expr(f"cast(conv(substring({hmac_sha256(f'concat({chr(39)}date-shift:{chr(39)}, {key_column})', salt)}, 1, 8), 16, 10) as bigint) % 731 - 365").cast("int")
-    value, style = F.lit(None).cast("string"), F.lit(None).cast("date")
-    for fmt, pattern in reversed(_FORMATS):
-        parsed = F.expr(f"try_to_date({column}, '{fmt}')")
-        fits = F.col(column).rlike(pattern) & parsed.isNotNull()
-        value = F.when(fits, F.date_format(F.date_add(parsed, days), fmt)).otherwise(value)
-        style = F.when(fits, parsed).otherwise(style)
-    year = F.nullif(F.regexp_extract(column, r"((?:18|19|20)\d{2})", 1), F.lit(""))
-    return df.withColumn("shifted", F.when(F.coalesce(F.col(key_column), F.lit("")) == "", F.coalesce(F.year(style).cast("string"), year, F.lit("[DATE]"))).otherwise(F.coalesce(value, year, F.lit("[DATE]"))))
+    """shifted: date_sql of a column; an empty key is none."""
+    return df.withColumn("shifted", F.expr(date_sql(column, f"nullif({key_column}, '')", salt)))
 
 
 def cap_age(column: str) -> Column:
-    """The first number, if over 89, becomes 90+."""
-    number = F.regexp_extract(column, r"(\d{1,3})", 1)
-    return F.when(F.expr(f"try_cast(regexp_extract({column}, '([0-9]{{1,3}})', 1) as int)") > 89, F.regexp_replace(F.col(column), F.concat(F.lit("^(\\D*)"), number), F.lit("$190+"))).otherwise(F.col(column))
+    return F.expr(age_sql(column))
 
 
 def zip3(column: str) -> Column:
-    digits = F.substring(F.regexp_replace(column, r"[^0-9]", ""), 1, 3)
-    return F.when(digits.isin(*SMALL_ZIPS), "000").otherwise(digits)
+    return F.expr(zip_sql(column))
 
 
 def context_key(df: DataFrame, key_column: str = "document_key") -> DataFrame:
@@ -174,13 +220,26 @@ def _java(pattern: str) -> str:
 
 #: Categories of sensitive content.
 SENSITIVE = {
-    "PHI_MARKER": r"(?i)\b(?:diagnosed|patient|prescribed)\b", "PATIENT_ID": r"(?i)\b(?:mrn|patient[ _-]?id)[:# ]*\d{3,}", "NAME": r"\b(?:Mr|Mrs|Ms|Dr)\.? [A-Z][a-z]+", "EXACT_DATE": r"\b\d{4}-\d{2}-\d{2}\b",
-    "ADDRESS": r"(?i)\b\d{1,5} [a-z]+ (?:street|st|avenue|ave|road|rd)\b", "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "PHONE": r"\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}", "SSN": r"\b\d{3}-\d{2}-\d{4}\b",
-}
-INJECTION = {
-    "IGNORE_INSTRUCTIONS": r"(?i)ignore (?:all |any )?(?:previous|prior|above) (?:instructions|rules)", "SYSTEM_PROMPT": r"(?i)(?:reveal|show|print) (?:the |your )?system prompt", "ROLE_CHANGE": r"(?i)you are now|act as (?:an? )?(?:admin|developer|system)", "TOOL_ABUSE": r"(?i)(?:call|execute|run) (?:the )?(?:tool|function|command)",
-    "EXFILTRATION": r"(?i)send (?:all |the )?(?:data|records|documents) to", "DELIMITER": r"(?i)<\|?(?:system|assistant|im_start)\|?>", "ENCODED": r"(?i)base64[: ]|\\u00[0-9a-f]{2}",
-}
+    "PHI_MARKER": r"(?i)\b(?:phi|protected health information|personal health information)\b",
+    "PATIENT_ID": r"(?i)\b(?:patient|pt|mrn|medical record|patient[-_ ]?(?:id|number|no))\s*[:=#-]?\s*[A-Z0-9][A-Z0-9-]{2,}\b",
+    "NAME": r"(?i:\b(?:patient|name|mr|mrs|ms)\b)\s*[:=]?\s+\b\p{Lu}\p{Ll}{2,}\b|\b\p{Lu}\p{Ll}{2,}\s+\p{Lu}\p{Ll}{2,}\b",
+    "EXACT_DATE": r"\b(?:19|20)\d{2}[-/.]\d{1,2}[-/.]\d{1,2}\b|\b\d{1,2}[-/.]\d{1,2}[-/.](?:19|20)?\d{2}\b|(?i)\b(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{1,2}(?:st|nd|rd|th)?[,]?\s+(?:19|20)\d{2}\b",
+    "FULL_ADDRESS": r"(?i)\b(?:full\s+)?address\s*[:=]\s*[^,;\n]{6,}|\b\d{1,6}\s+\p{L}[\p{L}.'-]*(?:\s+\p{L}[\p{L}.'-]*){0,5}\s+(?:street|st|road|rd|avenue|ave|boulevard|blvd|lane|ln|drive|dr)\b",
+    "EMAIL": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
+    "PHONE": r"(?<!\d)(?:\+?\d[\d ()-]{7,}\d)(?!\d)",
+    "SOCIAL_SECURITY_NUMBER": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
+}
+#: Categories of attempts to steer a model; several patterns may serve one.
+INJECTION = (
+    ("INSTRUCTION_HIJACK", r"(?ius)\b(?:ignore|disregard|forget|override|do not follow)\b.{0,80}\b(?:previous|prior|above|system|developer|all)\b.{0,40}\b(?:instruction|prompt|rule|message)s?\b"),
+    ("INSTRUCTION_HIJACK", r"(?ius)\b(?:you must|you should|do not|never|always)\b.{0,100}\b(?:ignore|reveal|follow|send|call|execute|delete|disclose|output)\b"),
+    ("PROMPT_EXFILTRATION", r"(?ius)\b(?:reveal|show|print|output|display|leak|disclose|share)\b.{0,80}\b(?:system|hidden|original|developer|full|internal)?\s*(?:prompt|instruction|secret|api\s*key|token|credential)s?\b"),
+    ("SAFETY_BYPASS", r"(?ius)\b(?:bypass|disable|override|evade|circumvent|remove|turn\s+off)\b.{0,80}\b(?:safety|security|guardrail|policy|restriction|filter|validation)s?\b"),
+    ("ROLE_HIJACK", r"(?iu)\b(?:you are now|act as|pretend to be|roleplay as|developer mode|unrestricted assistant|jailbreak)\b"),
+    ("TOOL_ABUSE", r"(?ius)\b(?:call|use|invoke|run|execute)\b.{0,80}\b(?:tool|sql|structured\s+query|database|query)\b"),
+    ("BOUNDARY_SPOOFING", r"(?iu)(?:<\s*/?\s*(?:system|developer|assistant|instructions?)\s*>|\[\s*(?:system|developer|assistant)\s*\]|#{2,}\s*(?:system|developer|instructions?))"),
+    ("ENCODING_OBFUSCATION", r"(?ius)\b(?:decode|decipher|decrypt|base64|rot13|hex)\b.{0,80}\b(?:instruction|prompt|command|secret)s?\b|\b[A-Za-z0-9+/]{96,}={0,2}\b"),
+)
 
 
 def _categories(column: Column, patterns: dict[str, str]) -> Column:
@@ -195,8 +254,9 @@ def injection_findings(df: DataFrame, column: str = "text") -> DataFrame:
     """Categories on NFKC text without format characters; no text is INVALID_INPUT."""
     from .search import nfkc
 
-    clean = F.regexp_replace(nfkc(F.col(column)), r"\p{Cf}", "")
-    return df.withColumn("findings", F.when(F.coalesce(F.trim(column), F.lit("")) == "", F.array(F.lit("INVALID_INPUT"))).otherwise(_categories(clean, INJECTION)))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(nfkc(F.col(column)), r"\p{Cf}", ""), r"\s+", " "))
+    found = F.array_distinct(F.array_compact(F.array(*(F.when(clean.rlike(p), F.lit(k)) for k, p in INJECTION))))
+    return df.withColumn("findings", F.when(F.coalesce(F.trim(column), F.lit("")) == "", F.array(F.lit("INVALID_INPUT"))).otherwise(found))
 
 
 def egress_decisions(df: DataFrame, destinations: dict[str, bool], classes: dict[str, bool]) -> DataFrame:

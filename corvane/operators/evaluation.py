@@ -54,7 +54,10 @@ def category_metrics(df: DataFrame) -> DataFrame:
 
 
 def failed_checks(df: DataFrame) -> DataFrame:
-    tests = {"ABSTAIN": (F.col("expected") == "abstain") != F.col("abstained"), "CITATION": F.col("valid_citations") < F.col("citations"), "RECALL": (F.col("expected") != "abstain") & ~F.col("recall_10"), "UNAUTHORIZED": F.col("unauthorized") > 0}
+    tests = {
+        "abstain_when_expected": (F.col("expected") == "abstain") & ~F.col("abstained"), "citation_validity": F.col("valid_citations") < F.col("citations"), "false_abstain_rate": (F.col("expected") != "abstain") & F.col("abstained"),
+        "recall_at_10": ~F.col("recall_10"), "recall_at_5": ~F.col("recall_5"), "unauthorized_violations": F.col("unauthorized") > 0,
+    }
     return df.withColumn("failed", F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests.items()))))
 
 
@@ -149,9 +152,9 @@ def deid_prf(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def deid_confusion(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Spans with equal ranges by gold and predicted type."""
+    """Spans with equal ranges and another type, by gold and predicted type."""
     p = predicted.select("document_id", "start", "stop", F.col("entity_type").alias("predicted_type"))
-    return gold.join(p, ["document_id", "start", "stop"]).groupBy("entity_type", "predicted_type").count()
+    return gold.join(p, ["document_id", "start", "stop"]).where("entity_type <> predicted_type").groupBy("entity_type", "predicted_type").count()
 
 
 def deid_missed(gold: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -160,10 +163,12 @@ def deid_missed(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def deid_direct_recall(gold: DataFrame, predicted: DataFrame, direct: tuple[str, ...]) -> DataFrame:
-    """Share of direct identifiers whose range was found, whatever the type."""
-    hit = predicted.select("document_id", "start", "stop").distinct().withColumn("hit", F.lit(1))
-    joined = gold.where(F.col("entity_type").isin(*direct)).join(hit, ["document_id", "start", "stop"], "left")
-    return joined.agg(F.count("*").alias("direct"), F.count("hit").alias("found")).withColumn("recall", _share(F.col("found"), F.col("direct")))
+    """Share of direct identifiers that were found with their type, by type and overall
+    (ALL)."""
+    hit = predicted.select(*_SPAN).distinct().withColumn("hit", F.lit(1))
+    joined = gold.where(F.col("entity_type").isin(*direct)).join(hit, _SPAN, "left")
+    out = joined.rollup("entity_type").agg(F.count("*").alias("direct"), F.count("hit").alias("found"))
+    return out.withColumn("entity_type", F.coalesce("entity_type", F.lit("ALL"))).withColumn("recall", _share(F.col("found"), F.col("direct")))
 
 
 def validate_spans(df: DataFrame) -> DataFrame:
@@ -191,8 +196,8 @@ def trajectory_gate(df: DataFrame) -> DataFrame:
 def assemble_trajectories(events: DataFrame, states: DataFrame) -> DataFrame:
     """events (trace_id, phase, duration_ms, tool), states (trace_id, expected_class,
     actual_class, allowed_tools, termination): one row per trace."""
-    per = events.groupBy("trace_id").agg(F.coalesce(F.sum(F.when(F.col("phase") == "EXIT", F.col("duration_ms"))), F.lit(0)).alias("latency_ms"), F.array_sort(F.collect_set("tool")).alias("tools"))
-    out = states.join(per, "trace_id", "left").withColumn("unauthorized", F.array_except(F.coalesce("tools", F.array().cast("array<string>")), "allowed_tools"))
+    per = events.groupBy("trace_id").agg(F.coalesce(F.sum(F.when(F.col("phase") == "EXIT", F.col("duration_ms"))), F.lit(0)).alias("latency_ms"), F.array_sort(F.collect_list("tool")).alias("tools"))
+    out = states.join(per, "trace_id", "left").withColumn("unauthorized", F.filter(F.coalesce("tools", F.array().cast("array<string>")), lambda t: ~F.array_contains("allowed_tools", t)))
     reason = F.when(F.col("termination") == "TIMEOUT", "TIME_LIMIT").when(F.col("termination") == "ABSTAIN", "NO_EVIDENCE")
     return out.select("trace_id", F.coalesce("latency_ms", F.lit(0)).alias("latency_ms"), "unauthorized", F.when(F.col("expected_class").isNotNull(), F.col("expected_class").eqNullSafe(F.col("actual_class"))).alias("route_correct"), reason.alias("abstain_reason"))
 

@@ -33,20 +33,26 @@ def schema_drift(observed: DataFrame, declared: DataFrame, exempt: DataFrame) ->
 
 
 def decide(requests: DataFrame, rules: DataFrame) -> DataFrame:
-    """requests (id, role, action, resource, attributes map) x rules (place, role,
-    action, resource, effect, required array): the first rule by place whose required
-    attributes are present; else DENY with NO_RULE or MISSING_ATTRIBUTES."""
-    joined = requests.join(rules, ["role", "action", "resource"], "left")
-    joined = joined.withColumn("ok", F.expr("place is not null and forall(required, a -> array_contains(map_keys(attributes), a))"))
-    best = joined.groupBy("id").agg(F.min_by("effect", F.when(F.col("ok"), F.col("place"))).alias("effect"), F.count("place").alias("rules"))
-    return best.select("id", F.coalesce("effect", F.lit("DENY")).alias("decision"), F.when(F.col("effect").isNotNull(), "RULE").when(F.col("rules") == 0, "NO_RULE").otherwise("MISSING_ATTRIBUTES").alias("reason"))
+    """requests (id, role, action, resource, attributes map) x rules (place, role, action,
+    resource, obligations, required map): ALLOW by the first rule by place whose required
+    attributes have the request's values; else DENY, with UNDECLARED for a role, action
+    or resource that no rule names, or NO_RULE. Rules are a configuration table."""
+    known = {c: rules.select(F.col(c)).distinct().withColumn(f"_{c}", F.lit(True)) for c in ("role", "action", "resource")}
+    for c, table in known.items():
+        requests = requests.join(table, c, "left")
+    declared = F.col("_role").isNotNull() & F.col("_action").isNotNull() & F.col("_resource").isNotNull()
+    joined = requests.withColumn("declared", declared).join(rules, ["role", "action", "resource"], "left")
+    joined = joined.withColumn("ok", F.expr("place is not null and forall(map_entries(required), e -> coalesce(attributes[e.key] = e.value, false))"))
+    best = joined.groupBy("id").agg(F.min_by("obligations", F.when(F.col("ok"), F.col("place"))).alias("obligations"), F.bool_or("ok").alias("ok"), F.first("declared").alias("declared"))
+    reason = F.when(~F.col("declared"), "UNDECLARED").when(F.col("ok"), "RULE").otherwise("NO_RULE")
+    return best.select("id", F.when(F.col("ok"), "ALLOW").otherwise("DENY").alias("decision"), reason.alias("reason"), "obligations")
 
 
 def allowed_tools(requests: DataFrame, tools: DataFrame) -> DataFrame:
     """requests (id, role, query_class, question) x tools (tool, role, query_class,
     aggregate_only): tools open to each request, sorted; aggregate-only ones need an
     aggregation word; out of scope, none."""
-    asks = F.lower("question").rlike(r"count|average|sum|how many|the")
+    asks = F.lower("question").rlike(r"count|average|sum|how many")
     fit = requests.where("query_class <> 'OUT_OF_SCOPE'").withColumn("asks", asks).join(tools, ["role", "query_class"]).where("asks or not aggregate_only")
     found = fit.groupBy("id").agg(F.array_sort(F.collect_set("tool")).alias("tools"))
     return requests.select("id").join(found, "id", "left").withColumn("tools", F.coalesce("tools", F.array().cast("array<string>")))

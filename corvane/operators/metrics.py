@@ -107,15 +107,23 @@ def dashboard_snapshot(df: DataFrame, kind: str, start: str, end: str, alert_abo
 
 #: Attribute keys that may leave a service.
 SPAN_ATTRIBUTES = (
-    "http.method", "http.route", "http.status_code", "rpc.service", "rpc.method", "rpc.grpc.status_code", "db.system", "db.operation", "messaging.system", "messaging.operation", "service.name", "service.version",
-    "span.kind", "error", "error.type", "retry.count", "cache.hit", "model.name", "model.version", "query.class", "route", "k", "source", "outcome", "reason.code", "stage", "strategy",
+    "app.role", "batch.size", "client.address", "db.system.name", "degradation.code", "degradation.fallback_mode", "degradation.stage", "error.type", "exception.type", "gen_ai.operation.name", "gen_ai.provider.name",
+    "gen_ai.request.model", "gen_ai.usage.input_tokens", "gen_ai.usage.output_tokens", "http.request.method", "http.response.status_code", "http.route", "model.name", "network.protocol.name", "network.protocol.version",
+    "outcome", "process.model", "queue.capacity", "queue.name", "retrieval.mode", "retrieval.result_count", "rpc.grpc.status_code", "rpc.method", "rpc.service", "rpc.system", "server.address", "server.port",
+    "session.state", "url.scheme", "worker.count", "workload",
 )
+#: Keys and values that never leave, whatever the list says.
+BLOCKED_KEYS = r"(?i).*(authorization|cookie|token|secret|password|query|prompt|content|document|chunk|patient|user\.id|session\.id).*"
+BLOCKED_VALUES = r"(?i).*bearer\s+[a-z0-9._~+/=-]+.*"
 
 
 def redact_attributes(spans: DataFrame, keys: tuple[str, ...] = SPAN_ATTRIBUTES) -> DataFrame:
-    """attributes (map): only allowed keys, none that look secret, no credential-like value."""
+    """attributes (map): only allowed keys of which none is blocked; a value that holds a
+    bearer token becomes asterisks."""
     allowed = ", ".join(f"'{k}'" for k in keys)
-    return spans.withColumn("attributes", F.expr(f"map_filter(attributes, (k, v) -> k in ({allowed}) and not k rlike '(?i)password|secret|token|authorization|cookie' and not coalesce(v rlike '(?i)bearer |api[_-]?key|^eyJ', false))"))
+    key, value = BLOCKED_KEYS.replace("\\", "\\\\"), BLOCKED_VALUES.replace("\\", "\\\\")
+    kept = f"map_filter(attributes, (k, v) -> k in ({allowed}) and not k rlike '{key}')"
+    return spans.withColumn("attributes", F.expr(f"transform_values({kept}, (k, v) -> regexp_replace(v, '{value}', '****'))"))
 
 
 def governance_metrics(frames: dict[str, DataFrame], grain: str) -> DataFrame:

@@ -54,13 +54,19 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     blocks of QUERY_BLOCK; each batch of vectors is one matrix product, of which each
     task keeps k rows per query, so what is shuffled is bounded by tasks * queries * k."""
     spark = vectors.sparkSession
-    rows = [(r.query_id, list(r.vector)) for r in queries.select("query_id", "vector").where("vector is not null").toLocalIterator()]
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").where("vector is not null")
+    # block ends by approximate quantiles: only one block's vectors are on the driver at a time
+    n = asked.count()
+    shares = [i * QUERY_BLOCK / n for i in range(1, -(-n // QUERY_BLOCK))]
+    ends = asked.agg(F.percentile_approx("query_id", shares, 10_000)).first()[0] if shares else []
+    bounds = [None, *sorted(set(ends)), None]
     schema = "query_id long, chunk_id long, score double"
     source = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").where("embedding is not null")
     out = None
-    for at in range(0, max(len(rows), 1), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
-        shared = spark.sparkContext.broadcast(([q for q, _ in block], np.array([v for _, v in block], np.float64)))
+    for low, high in zip(bounds, bounds[1:]):
+        own = asked if low is None else asked.where(F.col("query_id") > low)
+        block = (own if high is None else own.where(F.col("query_id") <= high)).collect()
+        shared = spark.sparkContext.broadcast(([r.query_id for r in block], np.array([r.vector for r in block], np.float64)))
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
@@ -89,10 +95,22 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return _ranked(out, k, [F.col("score").desc(), F.col("chunk_id")])
 
 
-def build_postings(chunks: DataFrame) -> DataFrame:
-    """(token, chunk_id, tf, positions): lower-cased runs of letters and digits."""
-    tokens = chunks.select("chunk_id", F.posexplode(F.expr(rf"regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+', 0)")).alias("position", "token"))
-    return tokens.groupBy("token", "chunk_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+_TOKENS = r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0)"
+
+
+def build_postings(chunks: DataFrame, wanted: DataFrame | None = None, positions: bool = True) -> DataFrame:
+    """(token, chunk_id, tf, positions): lower-cased runs of letters and digits; of the
+    tokens of wanted only, if given, which leaves the others before any shuffle."""
+    tokens = chunks.select("chunk_id", F.posexplode(F.expr(_TOKENS)).alias("position", "token"))
+    if wanted is not None:
+        tokens = tokens.join(wanted.select("token").distinct(), "token", "left_semi")
+    more = [F.array_sort(F.collect_list("position")).alias("positions")] if positions else []
+    return tokens.groupBy("token", "chunk_id").agg(F.count("*").alias("tf"), *more)
+
+
+def wanted_tokens(queries: DataFrame) -> DataFrame:
+    """Tokens of the queries' terms."""
+    return queries.select(F.explode("terms").alias("token")).distinct()
 
 
 def parse_search(queries: DataFrame) -> DataFrame:
@@ -112,12 +130,13 @@ def lexical_topk(queries: DataFrame, postings: DataFrame, chunks: DataFrame, k:
     postings, tf damped), ties by chunk id. Frequent terms are met last: the rarest
     term of each query selects the chunks, the others are looked up in those."""
     total = chunks.agg(F.count("*").alias("n_chunks"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("token")).withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
+    wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("token"), F.size(F.array_distinct("terms")).alias("n_terms"))
     df = postings.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    scored = wanted.join(df, "token").join(F.broadcast(total))
-    rarest = scored.groupBy("query_id").agg(F.min(F.struct("df", "token")).alias("r")).select("query_id", F.col("r.token").alias("token"))
-    first = rarest.join(postings, "token").select("query_id", "chunk_id")
-    hits = first.join(scored, "query_id").join(postings.select("token", "chunk_id", "tf"), ["token", "chunk_id"])
+    # a query with a term that is nowhere has no hit; the rarest term selects the chunks
+    scored = wanted.join(df, "token", "left")
+    rarest = scored.groupBy("query_id").agg(F.min(F.struct("df", "token")).alias("r"), F.count("df").alias("known"), F.first("n_terms").alias("n")).where("known = n")
+    first = rarest.select("query_id", F.col("r.token").alias("token")).join(postings, "token").select("query_id", "chunk_id")
+    hits = first.join(scored, "query_id").join(postings.select("token", "chunk_id", "tf"), ["token", "chunk_id"]).join(F.broadcast(total))
     weight = F.ln(1 + F.col("n_chunks") / F.col("df")) * F.col("tf") / (F.col("tf") + 1)
     ranked = hits.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"), F.count("*").alias("met"), F.first("n_terms").alias("n_terms")).where("met = n_terms")
     return _ranked(ranked.select("query_id", "chunk_id", F.round("score", 9).alias("score")), k, [F.col("score").desc(), F.col("chunk_id")])
@@ -235,10 +254,14 @@ def nfkc(column: Column) -> Column:
     return form(column)
 
 
+#: Quotes and dashes that count as one.
+_QUOTES = {"\u2018\u2019\u02bc": "'", "\u201c\u201d\u00ab\u00bb": '"', "\u2010\u2011\u2012\u2013\u2014\u2212": "-"}
+
+
 def normalise_quote(column: Column) -> Column:
     """NFKC, lower case, one kind of spaces, quotes, dashes and ellipsis."""
-    out = F.translate(F.lower(nfkc(column)), "‘’‚‛“”„‟«»‐‑‒–—―−", "''''\"\"\"\"\"\"-------")
-    return F.trim(F.regexp_replace(F.replace(out, F.lit("…"), F.lit("...")), r"[\s ]+", " "))
+    out = F.translate(F.lower(nfkc(column)), "".join(_QUOTES), "".join(v * len(k) for k, v in _QUOTES.items()))
+    return F.trim(F.regexp_replace(F.replace(out, F.lit("\u2026"), F.lit("...")), r"[\s\p{Z}]+", " "))
 
 
 def validate_citations(citations: DataFrame, hits: DataFrame) -> DataFrame:
@@ -252,10 +275,14 @@ def validate_citations(citations: DataFrame, hits: DataFrame) -> DataFrame:
 
 def citation_coverage(assertions: DataFrame, citations: DataFrame, least: float = 0.8) -> DataFrame:
     """assertions (query_id, assertion_id), citations (query_id, assertion_id, valid):
-    share with a valid citation -> VALID, INVALID_CITATION, INSUFFICIENT_COVERAGE."""
+    share of assertions with a valid citation. With enough of them (or no assertion) any
+    bad citation gives INVALID_CITATION, else VALID; with too few INVALID_CITATION if no
+    citation is valid, else INSUFFICIENT_COVERAGE."""
     per = citations.groupBy("query_id", "assertion_id").agg(F.bool_or("valid").alias("ok"), F.bool_or(~F.col("valid")).alias("bad"))
-    sums = assertions.join(per, ["query_id", "assertion_id"], "left").groupBy("query_id").agg((F.count_if("ok") / F.count("*")).alias("coverage"), F.coalesce(F.bool_or("bad"), F.lit(False)).alias("bad"))
-    return sums.select("query_id", "coverage", F.when(F.col("bad"), "INVALID_CITATION").when(F.col("coverage") < least, "INSUFFICIENT_COVERAGE").otherwise("VALID").alias("status"))
+    joined = assertions.join(per, ["query_id", "assertion_id"], "left")
+    sums = joined.groupBy("query_id").agg((F.count_if("ok") / F.count("*")).alias("coverage"), F.coalesce(F.bool_or("bad"), F.lit(False)).alias("bad"), F.coalesce(F.bool_or("ok"), F.lit(False)).alias("any"))
+    status = F.when(F.col("coverage") >= least, F.when(F.col("bad"), "INVALID_CITATION").otherwise("VALID")).when(~F.col("any"), "INVALID_CITATION").otherwise("INSUFFICIENT_COVERAGE")
+    return sums.select("query_id", "coverage", status.alias("status"))
 
 
 def split_assertions(df: DataFrame, column: str = "answer") -> DataFrame:
@@ -264,14 +291,31 @@ def split_assertions(df: DataFrame, column: str = "answer") -> DataFrame:
     return df.select(*(c for c in df.columns if c != column), F.posexplode(parts).alias("place", "assertion"))
 
 
+#: What drafts and evidence are compared by, besides full-width forms.
+_DRAFT = {"\u2018\u2019\u201a\u201b": "'", "\u201c\u201d\u201e\u201f": '"', "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63": "-"}
+
+
+def draft_text(column: Column) -> Column:
+    """Lower case with one kind of quotes, dashes, widths and spaces; native throughout."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    plain = "".join(chr(ord(c) - 0xFEE0) for c in wide)
+    folded = F.translate(column, "".join(_DRAFT) + wide, "".join(v * len(k) for k, v in _DRAFT.items()) + plain)
+    return F.lower(F.trim(F.regexp_replace(F.replace(folded, F.lit("\u2026"), F.lit("...")), r"[\s\p{Z}]+", " ")))
+
+
 def verify_drafts(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """drafts (draft_id, query_id, chunk_ids, quotes, aggregate), evidence (query_id,
-    chunk_id, text): ACCEPT, RETRY or REJECT."""
-    texts = evidence.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("chunk_id", F.lower("text").alias("t")))).alias("known"))
+    """drafts (draft_id, query_id, answer, chunk_ids, quotes, aggregates), evidence
+    (query_id, chunk_id, text). Without evidence a citation is REJECTed, and the answer is
+    accepted only if it holds one of the aggregate values; with evidence the draft is
+    tried again (RETRY) if it cites nothing, a chunk twice, or words that are not there."""
+    texts = evidence.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("chunk_id", draft_text(F.col("text")).alias("t")))).alias("known"))
     d = drafts.join(texts, "query_id", "left").withColumn("known", F.coalesce("known", F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<string>"))))
+    d = d.withColumn("quotes", F.transform("quotes", lambda q: draft_text(q)))
     repeated = F.size(F.array_distinct("chunk_ids")) < F.size("chunk_ids")
-    loose = F.exists(F.arrays_zip("chunk_ids", "quotes"), lambda x: F.coalesce(~F.col("known")[x["chunk_ids"]].contains(F.lower(x["quotes"])), F.lit(True)))
-    verdict = F.when((F.size("known") == 0) & (F.size("chunk_ids") > 0), "REJECT").when(F.col("aggregate").isNotNull(), "ACCEPT").when(repeated | loose, "RETRY").otherwise("ACCEPT")
+    loose = F.exists(F.arrays_zip("chunk_ids", "quotes"), lambda x: F.coalesce(~F.col("known")[x["chunk_ids"]].contains(x["quotes"]) | (x["quotes"] == ""), F.lit(True)))
+    told = F.exists("aggregates", lambda v: (F.trim(v) != "") & F.col("answer").contains(v))
+    alone = F.when((F.size("chunk_ids") == 0) & F.coalesce(told, F.lit(False)), "ACCEPT").otherwise("REJECT")
+    verdict = F.when(F.size("known") == 0, alone).when((F.size("chunk_ids") == 0) | repeated | loose, "RETRY").otherwise("ACCEPT")
     return d.select("draft_id", verdict.alias("verdict"))
 
 

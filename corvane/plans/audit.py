@@ -1,43 +1,55 @@
 """A: events are audit events; a chain is a user."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.operators import audit as op
 
 from .base import query
 
-EVENTS = "select event_id, ts, user_id as actor, event_type as action, case when event_id % 4 = 0 then 'policy' else 'page' end as resource, props from {events}"
-_K = "json_extract_string(props, '$.k')"
+_ACTION = "case event_type when 'error' then 'authn_failed' when 'signup' then 'authz.decide' when 'purchase' then 'record_export' else event_type end"
+_RESOURCE = "case event_id % 5 when 0 then 'policy' when 1 then 'dataset' when 2 then 'Document' when 3 then 'audit log' else 'queue' end"
+_COMMON = f"event_id, user_id as actor, {_ACTION} as action, {_RESOURCE} as resource_type, cast(event_id % 100 as varchar(9)) as resource_id, concat('r', cast(user_id % 3 as varchar(3))) as role, case when value > 50 then 'DENIED' else 'OK' end as outcome, ts"
+EVENTS = "select " + _COMMON + " from {events}"
+_VALUE = "case when event_id % 10 = 0 then ' ' when event_id % 9 = 0 then concat('a', chr(13), 'b') else concat('s\"', event_type) end"
+_KEY2 = "case when event_id % 6 = 0 then 'unknown' else 'entityType' end"
 PAYLOADS = (
-    EVENTS.replace("props from", "map('k', get_json_object(props, '$.k'), case when event_id % 6 = 0 then 'extra' else 'source' end, case when event_id % 10 = 0 then ' ' else concat('s\"', event_type) end) as payload, date_format(ts, 'yyyy-MM-dd HH:mm:ss') as occurred_at from"),
-    EVENTS.replace("props from", f"{_K} as k, case when event_id % 6 = 0 then 'extra' else 'source' end as k2, case when event_id % 10 = 0 then ' ' else concat('s\"', event_type) end as v2, strftime(ts, '%Y-%m-%d %H:%M:%S') as occurred_at from"),
+    "select " + _COMMON + f", map('requestId', get_json_object(props, '$.k'), {_KEY2}, {_VALUE}) as payload, concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), 'Z') as occurred_at from {{events}}",
+    "select " + _COMMON + f", json_extract_string(props, '$.k') as k, {_KEY2} as k2, {_VALUE} as v2, concat(strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'Z') as occurred_at from {{events}}",
 )
-SEALED = "select event_id as seq, user_id as actor, event_type as content, case when event_id % 97 = 0 then 'x' else '' end as broken from {events}"
+_CATEGORY = "case when action = 'authn_failed' then 'AUTHENTICATION' when action = 'authz.decide' then 'AUTHORIZATION' when action = 'record_export' then 'PHI_SAFETY' when resource_type in ('policy', 'audit log') then 'GOVERNANCE' when resource_type in ('dataset', 'Document') then 'DATA_ACCESS' else 'SYSTEM' end"
+SEALED = (PAYLOADS[0].replace("event_id, user_id", "event_id, event_id as seq, user_id", 1), PAYLOADS[1].replace("event_id, user_id", "event_id, event_id as seq, user_id", 1))
 
 
-@query("a01_classify_event", "select event_id, case when action = 'error' then 'SECURITY' when action = 'view' then 'DATA_ACCESS' when action = 'signup' or resource = 'policy' then 'CONFIGURATION' when action = 'purchase' then 'TRANSACTION' else 'OTHER' end as category from events_", events_=EVENTS)
+@query("a01_classify_event", f"select event_id, {_CATEGORY} as category from events_", events_=EVENTS)
 def _(events_):
     return op.classify_event(events_).select("event_id", "category")
 
 
-@query("a02_validate_payload", "select event_id, case when k2 = 'extra' then 1 else 2 end as n_kept, k2 <> 'extra' and trim(v2) <> '' as valid from payloads", payloads=PAYLOADS)
+@query("a02_validate_payload", "select event_id, case when k2 = 'unknown' then 1 else 2 end as n_kept, k2 <> 'unknown' and trim(v2) <> '' and not contains(v2, chr(13)) as valid from payloads", payloads=PAYLOADS)
 def _(payloads):
     return op.validate_payload(payloads).select("event_id", F.size("kept").alias("n_kept"), "valid")
 
 
-_CANON = """with j as (select *, case when k2 < 'k' then concat('{"', k2, '":"', replace(v2, '"', '\\"'), '","k":"', k, '"}') else concat('{"k":"', k, '","', k2, '":"', replace(v2, '"', '\\"'), '"}') end as payload_json from payloads),
-c as (select event_id, sha256(payload_json) as payload_hash, sha256(concat('{"event_id":"', event_id, '","occurred_at":"', occurred_at, '","actor":"', actor, '","action":"', action, '","resource":"', resource, '","payload":', payload_json, '}')) as event_hash from j)
+_V2 = "replace(replace(v2, '\"', '\\\"'), chr(13), '\\r')"
+_CANON = f"""with j as (select *, {_CATEGORY} as category, case when k2 < 'requestId' then concat('{{"', k2, '":"', {_V2}, '","requestId":"', k, '"}}') else concat('{{"requestId":"', k, '","', k2, '":"', {_V2}, '"}}') end as payload_json from payloads),
+u as (select *, sha256(payload_json) as payload_hash, concat('{{"eventId":"', event_id, '","timestamp":"', occurred_at, '","actor":"', actor, '","category":"', category, '","role":"', role, '","action":"', action, '","resourceType":"', resource_type, '","resourceId":"', resource_id, '","outcome":"', outcome, '""payload":', payload_json, ',"payloadHash":"', sha256(payload_json), '"') as unsealed from j),
+c as (select event_id, payload_hash, sha256(concat(unsealed, ',"previousHash":""}}')) as event_hash from u)
 """
 
 
+def _canonical(payloads):
+    return op.canonical_hash(op.classify_event(payloads))
+
+
 @query("a03_canonical_hash", _CANON + "select * from c", payloads=PAYLOADS)
 def _(payloads):
-    return op.canonical_hash(payloads).select("event_id", "payload_hash", "event_hash")
+    return _canonical(payloads).select("event_id", "payload_hash", "event_hash")
 
 
 @query("a04_transport_check", _CANON + "select event_id, case when event_id % 13 = 0 then 'PAYLOAD_HASH' when event_id % 17 = 0 then 'CHAIN_FIELDS' end as reason from c", payloads=PAYLOADS)
 def _(payloads):
-    sent = op.canonical_hash(payloads).withColumn("sent_hash", F.when(F.col("event_id") % 13 == 0, "x").otherwise(F.col("payload_hash")))
+    sent = _canonical(payloads).withColumn("sent_hash", F.when(F.col("event_id") % 13 == 0, "x").otherwise(F.col("payload_hash")))
     sent = sent.withColumn("prev_hash", F.lit(None).cast("string")).withColumn("hash", F.when(F.col("event_id") % 17 == 0, "y"))
     return op.transport_check(sent).select("event_id", "reason")
 
@@ -48,7 +60,10 @@ def _(rows_):
 
 
 def _sealed(rows):
-    return op.seal_chain(rows, "actor")
+    return op.seal_chain(_canonical(rows).select("actor", "seq", "unsealed"), "actor")
+
+
+_FIRST = _CANON.replace("from payloads)", "from sealed)") + ", f as (select actor, seq, unsealed, lag(unsealed) over w as before, row_number() over w as place from u window w as (partition by actor order by seq))"
 
 
 @query("a06_seal_chain", sealed=SEALED)
@@ -56,9 +71,17 @@ def _(sealed):
     return _sealed(sealed).select("actor", "seq", "prev_hash", "hash")
 
 
-@query("a07_verify_chain", "select actor, count(*) as checked, min(seq) filter (broken = 'x') as broken_at, case when count(*) filter (broken = 'x') > 0 then 'HASH' end as reason from sealed group by 1", sealed=SEALED)
+@query("a06_first_links", _FIRST + """, h as (select actor, place, seq, unsealed, case when place = 2 then sha256(concat(before, ',"previousHash":""}')) else '' end as prev_hash from f where place <= 2)
+select actor, seq, prev_hash, sha256(concat(unsealed, ',"previousHash":"', prev_hash, '"}')) as hash from h""", sealed=SEALED)
+def _(sealed):
+    """The first two events of each chain, whose hashes SQL can follow."""
+    place = F.row_number().over(Window.partitionBy("actor").orderBy("seq"))
+    return _sealed(sealed).withColumn("place", place).where("place <= 2").select("actor", "seq", "prev_hash", "hash")
+
+
+@query("a07_verify_chain", "select actor, count(*) as checked, min(seq) filter (seq % 97 = 0) as broken_at, case when count(*) filter (seq % 97 = 0) > 0 then 'HASH' end as reason from sealed group by 1", sealed=SEALED)
 def _(sealed):
-    tampered = _sealed(sealed).withColumn("content", F.concat("content", "broken"))
+    tampered = _sealed(sealed).withColumn("unsealed", F.concat("unsealed", F.when(F.col("seq") % 97 == 0, "x").otherwise("")))
     return op.verify_chain(tampered, "actor")
 
 

@@ -51,7 +51,8 @@ def _(spans, hits, records):
     return _rounded(op.category_metrics(_per_record(spans, hits, records)))
 
 
-@query("e05_worst_cases", "with " + _RM + """, f as (select record_id, list_filter([case when (expected = 'abstain') <> abstained then 'ABSTAIN' end, case when valid_citations < citations then 'CITATION' end, case when expected <> 'abstain' and not recall_10 then 'RECALL' end, case when unauthorized > 0 then 'UNAUTHORIZED' end], lambda x: x is not null) as failed from m)
+@query("e05_worst_cases", "with " + _RM + """, f as (select record_id, list_filter([case when expected = 'abstain' and not abstained then 'abstain_when_expected' end, case when valid_citations < citations then 'citation_validity' end, case when expected <> 'abstain' and abstained then 'false_abstain_rate' end,
+case when not recall_10 then 'recall_at_10' end, case when not recall_5 then 'recall_at_5' end, case when unauthorized > 0 then 'unauthorized_violations' end], lambda x: x is not null) as failed from m)
 select record_id, array_to_string(failed, ',') as failed from f where len(failed) > 0 order by len(failed) desc, cast(record_id as varchar) limit 10""", spans=SPANS, hits=HITS, records=RECORDS)
 def _(spans, hits, records):
     return op.worst_cases(_per_record(spans, hits, records)).withColumn("failed", F.array_join("failed", ","))
@@ -121,7 +122,7 @@ def _(gold, pred):
     return _rounded(op.deid_prf(gold, pred), ("precision", "recall", "f1"))
 
 
-@query("e14_deid_confusion", "select g.entity_type, p.entity_type as predicted_type, count(*) as count from gold g join pred p using (document_id, start, stop) group by 1, 2", gold=GOLD, pred=PRED)
+@query("e14_deid_confusion", "select g.entity_type, p.entity_type as predicted_type, count(*) as count from gold g join pred p using (document_id, start, stop) where g.entity_type <> p.entity_type group by 1, 2", gold=GOLD, pred=PRED)
 def _(gold, pred):
     return op.deid_confusion(gold, pred)
 
@@ -131,7 +132,7 @@ def _(gold, pred):
     return op.deid_missed(gold, pred)
 
 
-@query("e14_deid_direct_recall", "select count(*) as direct, count(h) as found, round(count(h) / count(*), 6) as recall from gold g left join (select distinct document_id, start, stop, 1 as h from pred) p using (document_id, start, stop) where entity_type in ('A', 'R')", gold=GOLD, pred=PRED)
+@query("e14_deid_direct_recall", "select coalesce(entity_type, 'ALL') as entity_type, count(*) as direct, count(h) as found, round(count(h) / count(*), 6) as recall from gold g left join (select distinct document_id, entity_type, start, stop, 1 as h from pred) p using (document_id, entity_type, start, stop) where entity_type in ('A', 'R') group by rollup (entity_type)", gold=GOLD, pred=PRED)
 def _(gold, pred):
     return _rounded(op.deid_direct_recall(gold, pred, ("A", "R")), ("recall",))
 
@@ -172,6 +173,6 @@ STATES = ("select distinct user_id as trace_id, case when user_id % 4 = 0 then n
           "select distinct user_id as trace_id, case when user_id % 4 = 0 then null when user_id % 4 = 1 then 'A' else 'B' end as expected_class, case when user_id % 3 = 0 then 'A' else 'B' end as actual_class, case user_id % 3 when 0 then 'TIMEOUT' when 1 then 'ABSTAIN' else 'DONE' end as termination from {events}")
 
 
-@query("e22_assemble_trajectories", "with p as (select trace_id, coalesce(sum(duration_ms) filter (phase = 'EXIT'), 0) as latency_ms, coalesce(string_agg(distinct tool, ',' order by tool) filter (tool not in ('view', 'click', 'purchase')), '') as unauthorized from te group by 1) select trace_id, cast(coalesce(latency_ms, 0) as bigint) as latency_ms, coalesce(unauthorized, '') as unauthorized, case when expected_class is not null then expected_class = actual_class end as route_correct, case termination when 'TIMEOUT' then 'TIME_LIMIT' when 'ABSTAIN' then 'NO_EVIDENCE' end as abstain_reason from states left join p using (trace_id)", te=TRACE_EVENTS, states=STATES)
+@query("e22_assemble_trajectories", "with p as (select trace_id, coalesce(sum(duration_ms) filter (phase = 'EXIT'), 0) as latency_ms, coalesce(string_agg(tool, ',' order by tool) filter (tool not in ('view', 'click', 'purchase')), '') as unauthorized from te group by 1) select trace_id, cast(coalesce(latency_ms, 0) as bigint) as latency_ms, coalesce(unauthorized, '') as unauthorized, case when expected_class is not null then expected_class = actual_class end as route_correct, case termination when 'TIMEOUT' then 'TIME_LIMIT' when 'ABSTAIN' then 'NO_EVIDENCE' end as abstain_reason from states left join p using (trace_id)", te=TRACE_EVENTS, states=STATES)
 def _(te, states):
     return op.assemble_trajectories(te, states).withColumn("unauthorized", F.array_join("unauthorized", ","))

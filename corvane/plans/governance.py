@@ -32,27 +32,27 @@ def _(observed, declared, exempt):
 
 
 REQUESTS = (
-    "select event_id as id, user_id % 3 as role, event_type as action, case when event_id % 2 = 0 then 'doc' else 'chart' end as resource, case when event_id % 5 = 0 then map('reason', 'x') else map('other', 'y') end as attributes from {events}",
-    "select event_id as id, user_id % 3 as role, event_type as action, case when event_id % 2 = 0 then 'doc' else 'chart' end as resource, event_id % 5 = 0 as has_reason from {events}",
+    "select event_id as id, user_id % 3 as role, event_type as action, case when event_id % 2 = 0 then 'doc' else 'chart' end as resource, map('reason', case when event_id % 5 = 0 then 'care' else 'other' end, 'unit', 'u1') as attributes from {events}",
+    "select event_id as id, user_id % 3 as role, event_type as action, case when event_id % 2 = 0 then 'doc' else 'chart' end as resource, event_id % 5 = 0 as care from {events}",
 )
-_VALUES = "(1, 0, 'view', 'doc', 'ALLOW', {none}), (2, 1, 'view', 'doc', 'ALLOW', {reason}), (3, 1, 'view', 'doc', 'AUDIT', {both}), (4, 2, 'click', 'chart', 'DENY', {none}), (5, 2, 'purchase', 'chart', 'ALLOW', {reason})"
+_VALUES = "(1, 0, 'view', 'doc', 'none', {none}), (2, 1, 'view', 'doc', 'mask', {reason}), (3, 1, 'view', 'doc', 'log', {unit}), (4, 2, 'click', 'chart', 'never', {both}), (5, 2, 'purchase', 'chart', 'log', {reason})"
 RULES = (
-    "select * from (values " + _VALUES.replace("{none}", "cast(array() as array<string>)").replace("{reason}", "array('reason')").replace("{both}", "array('reason', 'ticket')") + ") as r(place, role, action, resource, effect, required)",
-    "select * from (values " + _VALUES.replace("{none}", "0").replace("{reason}", "1").replace("{both}", "2") + ") as r(place, role, action, resource, effect, need)",
+    "select * from (values " + _VALUES.replace("{none}", "cast(map() as map<string, string>)").replace("{reason}", "map('reason', 'care')").replace("{unit}", "map('unit', 'u1')").replace("{both}", "map('reason', 'care', 'ticket', 't')") + ") as r(place, role, action, resource, obligations, required)",
+    "select * from (values " + _VALUES.replace("{none}", "0").replace("{reason}", "1").replace("{unit}", "0").replace("{both}", "2") + ") as r(place, role, action, resource, obligations, need)",
 )
 
 
-@query("g07_decide", """with j as (select id, place, effect, place is not null and (need = 0 or need = 1 and has_reason) as ok from requests left join rules using (role, action, resource)),
-b as (select id, arg_min(effect, place) filter (ok) as effect, count(place) as n from j group by 1)
-select id, coalesce(effect, 'DENY') as decision, case when effect is not null then 'RULE' when n = 0 then 'NO_RULE' else 'MISSING_ATTRIBUTES' end as reason from b""", requests=REQUESTS, rules=RULES)
+@query("g07_decide", """with j as (select id, place, obligations, place is not null and (need = 0 or need = 1 and care) as ok, action in ('view', 'click', 'purchase') as declared from requests left join rules using (role, action, resource)),
+b as (select id, arg_min(obligations, place) filter (ok) as obligations, bool_or(ok) as ok, bool_and(declared) as declared from j group by 1)
+select id, case when ok then 'ALLOW' else 'DENY' end as decision, case when not declared then 'UNDECLARED' when ok then 'RULE' else 'NO_RULE' end as reason, obligations from b""", requests=REQUESTS, rules=RULES)
 def _(requests, rules):
     return op.decide(requests, rules)
 
 
-ASKS = "select conv_id * 100 + turn as id, conv_id % 3 as role, case turn % 4 when 0 then 'CLINICAL' when 1 then 'STRUCTURED' when 2 then 'OUT_OF_SCOPE' else 'POLICY' end as query_class, text as question from {conversations}"
+ASKS = "select conv_id * 100 + turn as id, conv_id % 3 as role, case turn % 4 when 0 then 'CLINICAL' when 1 then 'STRUCTURED' when 2 then 'OUT_OF_SCOPE' else 'POLICY' end as query_class, concat(case when (conv_id + turn) % 3 = 0 then 'How many ' when (conv_id + turn) % 3 = 1 then 'Average ' else '' end, role) as question from {conversations}"
 TOOLS = "select * from (values ('search', 0, 'CLINICAL', false), ('search', 1, 'CLINICAL', false), ('aggregate', 0, 'STRUCTURED', true), ('lookup', 0, 'STRUCTURED', false), ('policy', 2, 'POLICY', false), ('aggregate', 2, 'STRUCTURED', true)) as t(tool, role, query_class, aggregate_only)"
 
 
-@query("g09_allowed_tools", "with f as (select distinct id, tool from requests join tools using (role, query_class) where query_class <> 'OUT_OF_SCOPE' and (not aggregate_only or regexp_matches(lower(question), 'count|average|sum|how many|the'))), t as (select id, string_agg(tool, ',' order by tool) as tools from f group by 1) select id, coalesce(tools, '') as tools from requests left join t using (id)", requests=ASKS, tools=TOOLS)
+@query("g09_allowed_tools", "with f as (select distinct id, tool from requests join tools using (role, query_class) where query_class <> 'OUT_OF_SCOPE' and (not aggregate_only or regexp_matches(lower(question), 'count|average|sum|how many'))), t as (select id, string_agg(tool, ',' order by tool) as tools from f group by 1) select id, coalesce(tools, '') as tools from requests left join t using (id)", requests=ASKS, tools=TOOLS)
 def _(requests, tools):
     return op.allowed_tools(requests, tools).withColumn("tools", F.array_join("tools", ","))

@@ -86,10 +86,11 @@ def _(ev):
     return parts[0].union(parts[1]).withColumn("mean", F.round("mean", 6))
 
 
-@query("w11_redact_attributes", "select event_id, case when event_id % 3 = 0 then 'source' else 'k,source' end as kept from ev", ev=EV)
+@query("w11_redact_attributes", "select event_id, case when event_id % 3 = 0 then 'app.role=****,outcome=web' else concat('app.role=', event_type, ',outcome=web') end as kept from ev", ev=EV)
 def _(ev):
-    spans = ev.withColumn("attributes", F.expr("map('k', if(event_id % 3 = 0, 'Bearer x', event_type), 'source', 'web', 'auth.token', 'y', 'other', 'z')"))
-    return op.redact_attributes(spans).select("event_id", F.array_join(F.array_sort(F.map_keys("attributes")), ",").alias("kept"))
+    attributes = "map('app.role', if(event_id % 3 = 0, 'Bearer x', event_type), 'outcome', 'web', 'gen_ai.usage.input_tokens', '7', 'auth.token', 'y', 'k', 'z', 'source', 's')"
+    redacted = op.redact_attributes(ev.withColumn("attributes", F.expr(attributes)))
+    return redacted.select("event_id", F.expr("array_join(transform(array_sort(map_entries(attributes)), e -> concat(e.key, '=', e.value)), ',')").alias("kept"))
 
 
 @query("w12_governance_metrics", "select date_trunc('day', ts) as period, 'egress_blocked' as metric, event_type as label, count(*) as n, count(*) filter (failed) as hits, round(count(*) filter (failed) / count(*), 6) as rate from ev group by 1, 3 union all select date_trunc('day', ts), 'slow', cast(user_id % 5 as varchar), count(*), count(*) filter (value > 50), round(count(*) filter (value > 50) / count(*), 6) from ev group by 1, 3", ev=EV)

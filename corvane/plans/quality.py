@@ -8,11 +8,11 @@ from .base import query
 
 ITEMS = """select d.source as batch_id, d.doc_id, coalesce(l.quality, 1) = 1 as accepted, coalesce(l.toxic, 0) = 1 as residual,
  case when d.doc_id % 5 = 0 then 'EMAIL' when d.doc_id % 7 = 0 then 'PHONE' end as entity_type, md5(d.text) as content_hash from {documents} d left join {labels} l on d.doc_id = l.doc_id"""
-RULES = """select * from (values ('Q1', 'BLOCKING', 'ACCEPTANCE_RATE', 'AT_LEAST', 0.85), ('Q2', 'WARNING', 'RESIDUAL_PHI', 'AT_MOST', 2.0), ('Q3', 'WARNING', 'DOCUMENT_COUNT', 'AT_LEAST', 50.0),
- ('Q4', 'BLOCKING', 'REJECTION_RATE', 'AT_MOST', 0.15), ('Q5', 'WARNING', 'UNIQUE_HASHES', 'AT_LEAST', cast(null as double))) as r(code, severity, metric, comparison, threshold)"""
+RULES = """select * from (values ('Q1', 'BLOCKING', 'ACCEPTANCE_RATE', 'AT_LEAST', 0.85), ('Q2', 'WARNING', 'RESIDUAL_PHI_COUNT', 'AT_MOST', 2.0), ('Q3', 'WARNING', 'TOTAL_RECORD_COUNT', 'AT_LEAST', 50.0),
+ ('Q4', 'BLOCKING', 'REJECTION_RATE', 'AT_MOST', 0.15), ('Q5', 'WARNING', 'UNIQUE_CONTENT_HASH_COUNT', 'AT_LEAST', cast(null as double))) as r(code, severity, metric, comparison, threshold)"""
 _SNAP = "s as (select batch_id, count(*) as total, count(*) filter (accepted) as accepted, count(*) filter (not accepted) as rejected, count(*) filter (residual) as residual_phi, count(distinct content_hash) as unique_hashes from items group by 1)"
-_MET = _SNAP + """, m as (select batch_id, 'DOCUMENT_COUNT' as metric, total::double as value from s union all select batch_id, 'ACCEPTANCE_RATE', accepted / total from s union all
- select batch_id, 'REJECTION_RATE', rejected / total from s union all select batch_id, 'RESIDUAL_PHI', residual_phi from s union all select batch_id, 'UNIQUE_HASHES', unique_hashes from s)"""
+_MET = _SNAP + """, m as (select batch_id, 'TOTAL_RECORD_COUNT' as metric, total::double as value from s union all select batch_id, 'ACCEPTANCE_RATE', accepted / total from s union all
+ select batch_id, 'REJECTION_RATE', rejected / total from s union all select batch_id, 'RESIDUAL_PHI_COUNT', residual_phi from s union all select batch_id, 'UNIQUE_CONTENT_HASH_COUNT', unique_hashes from s)"""
 _RES = _MET + ", r as (select batch_id, code, severity, metric, value, coalesce(case comparison when 'AT_LEAST' then value >= threshold else value <= threshold end, false) as passed from m join rules using (metric))"
 
 

@@ -14,7 +14,12 @@ from .base import ORACLES, QUERIES, query
 
 
 def _places(spark) -> tuple[str, str]:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or f"file://{os.path.join(tempfile.gettempdir(), 'corvane-streams')}"
+    """In the shared folder; only if it is unset in the warehouse, or in the temporary
+    folder of a local master."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        base = f"file://{os.path.join(tempfile.gettempdir(), 'corvane-streams')}" if local else spark.conf.get("spark.sql.warehouse.dir")
     run = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     return f"{run}/out", f"{run}/state"
 

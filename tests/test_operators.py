@@ -1,5 +1,9 @@
 """Edge cases that the tables do not hold."""
 
+import datetime
+import hashlib
+import re
+
 import pytest
 
 from corvane.operators import audit, chunking, clinical, deid, embedding, parsing, search, versions
@@ -50,11 +54,35 @@ def test_surrogates_are_hmac(spark):
     assert deid.surrogate(df, b"s" * 70).first().text == f"a EMAIL_{expected} b"
 
 
+def test_surrogates_by_type(spark):
+    """Dates keep their style and move with the record's key, ages over 89 and zips are cut."""
+    text = "MRN: A1234 born 03/05/1931, aged 93 years old, zip 06301 and 90210-1234, seen May 7, 2024"
+    out = deid.surrogate(deid.detect_entities(spark.createDataFrame([(text,)], "text string"), "text"), b"salt").first().text
+    found = re.fullmatch(r"MRN_[0-9a-f]{16} born (\d\d)/(\d\d)/(\d{4}), aged 90\+, zip 000 and 902, seen ([A-Z][a-z]+) (\d\d), (\d{4})", out)
+    assert found, out
+    moved = datetime.date(int(found[3]), int(found[1]), int(found[2])) - datetime.date(1931, 3, 5)
+    seen = datetime.datetime.strptime(f"{found[4]} {found[5]}, {found[6]}", "%B %d, %Y").date() - datetime.date(2024, 5, 7)
+    assert moved == seen and abs(moved.days) <= 365
+    alone = deid.surrogate(deid.detect_entities(spark.createDataFrame([("on 2024-02-30, 2/3/99 and 85 y/o",)], "text string"), "text"), b"salt").first().text
+    assert alone == "on 2024, 1999 and 85 y/o"
+
+
+def test_canonical_event(spark):
+    """Fields in their order, control characters escaped, the chain's hash inside."""
+    row = ("e1", "2024-01-01T00:00:00Z", "a\tb", "authn", "r", "VIEW", "7", "OK", {"traceId": 'q"\\', "requestId": "\u0001x"})
+    df = spark.createDataFrame([row], "event_id string, occurred_at string, actor string, action string, role string, resource_type string, resource_id string, outcome string, payload map<string,string>")
+    got = audit.canonical_hash(audit.classify_event(df)).first()
+    payload = '{"requestId":"\\u0001x","traceId":"q\\"\\\\"}'
+    assert got.payload_json == payload and got.payload_hash == hashlib.sha256(payload.encode()).hexdigest()
+    text = '{"eventId":"e1","timestamp":"2024-01-01T00:00:00Z","actor":"a\\tb","category":"AUTHENTICATION","role":"r","action":"authn","resourceType":"VIEW","resourceId":"7","outcome":"OK""payload":' + payload + f',"payloadHash":"{got.payload_hash}","previousHash":""}}'
+    assert got.event_hash == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_tampering_is_found_where_it_is(spark):
     rows = [(1, i, f"e{i}") for i in range(5)] + [(2, 0, "x")]
-    sealed = audit.seal_chain(spark.createDataFrame(rows, "chain long, seq long, content string"), "chain")
+    sealed = audit.seal_chain(spark.createDataFrame(rows, "chain long, seq long, unsealed string"), "chain")
     assert {r.chain: r.broken_at for r in audit.verify_chain(sealed, "chain").collect()} == {1: None, 2: None}
-    bad = sealed.selectExpr("chain", "seq", "if(chain = 1 and seq = 2, 'z', content) as content", "prev_hash", "hash")
+    bad = sealed.selectExpr("chain", "seq", "if(chain = 1 and seq = 2, 'z', unsealed) as unsealed", "prev_hash", "hash")
     assert {r.chain: (r.broken_at, r.reason) for r in audit.verify_chain(bad, "chain").collect()} == {1: (2, "HASH"), 2: (None, None)}
 
 
