@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,23 +63,41 @@ def demand_totals(costs: DataFrame) -> DataFrame:
 def admit(costs: DataFrame, limits: dict[str, float]) -> DataFrame:
     """costs (id, ts, day, month, role, user, cost): a charge is admitted iff none of
     the totals of its day and month - for all, role and user - would pass its limit;
-    rejected charges do not count. Ordered state, so a month is one group: charges are
-    requests with a price, at most a ledger's volume, and months run in parallel."""
-
-    def ledger(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "id"])
-        spent: dict[tuple, float] = {}
-        out = []
-        for r in rows.itertuples():
-            keys = [(g, s, k, p) for g, p in (("day", r.day), ("month", r.month)) for s, k in (("global", ""), ("role", r.role), ("user", r.user))]
-            ok = all(spent.get(key, 0.0) + r.cost <= limits.get(f"{key[0]}_{key[1]}", float("inf")) for key in keys)
-            if ok:
-                for key in keys:
-                    spent[key] = spent.get(key, 0.0) + r.cost
-            out.append(ok)
-        return pd.DataFrame({"id": rows["id"], "admitted": out})
-
-    return costs.groupBy("month").applyInPandas(ledger, "id long, admitted boolean")
+    rejected charges do not count. Null roles and users are keys of their own.
+
+    A total whose whole demand stays under its limit can reject nothing, so charges
+    that only such totals cover are admitted without order. The rest of a month is
+    ordered state: its rows stream through one task, sorted by Spark, and of them only
+    the running totals that can pass their limits are kept. Months run in parallel."""
+    scopes = [(name, limits[name], [p] + ([] if s == "global" else [s])) for p in ("day", "month") for s in ("global", "role", "user") if (name := f"{p}_{s}") in limits]
+    marked = costs
+    for name, limit, keys in scopes:
+        over = costs.groupBy(*keys).agg(F.sum(F.greatest("cost", F.lit(0))).alias("_demand")).where(F.col("_demand") > limit * (1 - 1e-9))
+        over = over.select(*(F.col(k).alias(f"_{k}") for k in keys), F.lit(True).alias(f"binds_{name}"))
+        same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+        marked = marked.join(over, same, "left").drop(*(f"_{k}" for k in keys))
+    binding = [f"binds_{name}" for name, _, _ in scopes]
+    marked = marked.select("id", "ts", "day", "month", "role", "user", "cost", *(F.coalesce(c, F.lit(False)).alias(c) for c in binding))
+    bound = reduce(lambda x, y: x | y, map(F.col, binding), F.lit(False))
+
+    def ledger(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        month, spent = "", {}
+        for rows in batches:
+            admitted = []
+            for r in rows.itertuples():
+                if r.month != month:
+                    month, spent = r.month, {}
+                totals = [((name, *(getattr(r, k) for k in keys)), limit) for name, limit, keys in scopes if getattr(r, f"binds_{name}")]
+                ok = all(spent.get(key, 0.0) + r.cost <= limit for key, limit in totals)
+                if ok:
+                    for key, _ in totals:
+                        spent[key] = spent.get(key, 0.0) + r.cost
+                admitted.append(ok)
+            yield pd.DataFrame({"id": rows["id"], "admitted": admitted})
+
+    texts = (F.col(k).cast("string").alias(k) for k in ("day", "month", "role", "user"))
+    ordered = marked.where(bound).select("id", "ts", *texts, "cost", *binding).repartition("month").sortWithinPartitions("month", "ts", "id")
+    return marked.where(~bound).select("id", F.lit(True).alias("admitted")).union(ordered.mapInPandas(ledger, "id long, admitted boolean"))
 
 
 def settle(reservations: DataFrame, outcomes: DataFrame) -> DataFrame:

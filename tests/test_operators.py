@@ -2,11 +2,12 @@
 
 import datetime
 import hashlib
+import random
 import re
 
 import pytest
 
-from corvane.operators import audit, chunking, clinical, deid, embedding, parsing, search, versions
+from corvane.operators import audit, budget, chunking, clinical, deid, embedding, parsing, search, versions
 from corvane.sources import files
 
 
@@ -86,6 +87,25 @@ def test_tampering_is_found_where_it_is(spark):
     assert {r.chain: (r.broken_at, r.reason) for r in audit.verify_chain(bad, "chain").collect()} == {1: (2, "HASH"), 2: (None, None)}
 
 
+def test_admission_equals_a_ledger(spark):
+    draw, limits = random.Random(5), {"day_global": 60, "day_user": 15, "month_role": 150, "month_user": 40}
+    rows = []
+    for i in range(400):
+        month, day = draw.choice(["m1", "m2", "m3"]), draw.randrange(4)
+        rows.append((i, draw.randrange(50), f"{month}-{day}", month, draw.choice(["a", "b", None]), draw.choice([1, 2, 3, 4, 5, 6, None]), draw.randrange(1, 6) if month != "m3" else draw.randrange(40) // 39))
+    spent, want = {}, {}
+    for i, _, day, month, role, user, cost in sorted(rows, key=lambda r: (r[3], r[1], r[0])):
+        keys = {"day_global": day, "day_user": (day, user), "month_role": (month, role), "month_user": (month, user)}
+        want[i] = all(spent.get((k, v), 0) + cost <= limits[k] for k, v in keys.items())
+        for k, v in keys.items():
+            spent[k, v] = spent.get((k, v), 0) + cost * want[i]
+    costs = spark.createDataFrame(rows, "id long, ts long, day string, month string, role string, user long, cost long")
+    assert {r.id: r.admitted for r in budget.admit(costs, limits).collect()} == want
+    assert 50 < sum(want.values()) < 350
+    assert budget.admit(costs.limit(0), limits).count() == 0
+    assert budget.admit(costs, {}).where("admitted").count() == 400
+
+
 def test_vectors(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "query_id long, vector array<float>")
     v = spark.createDataFrame([(7, [2.0, 0.0]), (5, [1.0, 0.0]), (9, [0.0, 3.0])], "chunk_id long, embedding array<float>")
