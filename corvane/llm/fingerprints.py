@@ -89,41 +89,58 @@ def fingerprints(documents: DataFrame, id_column: str = "doc_id", text_column: s
     return source.mapInArrow(run, "id long, fingerprint string").withColumnRenamed("id", id_column)
 
 
+def _cut_parts(cuts: np.ndarray, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Part of each row. cuts ascend; a key that stands there m times holds about m
+    parts' rows, which are split further into m ranges of the text's hash."""
+    low, high = np.searchsorted(cuts, keys, "left"), np.searchsorted(cuts, keys, "right")
+    m = high - low
+    step = np.array([2**64 // x if x > 1 else 2**64 - 1 for x in range(int(m.max(initial=1)) + 1)], np.uint64)[m]
+    nth = (hashes.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) // step
+    return (low + np.where(m > 0, np.minimum(nth.astype(np.int64), m - 1) + 1, 0)).astype(np.int32)
+
+
 def with_next(documents: DataFrame, id_column: str, text_column: str, parts: int) -> DataFrame:
     """Rows (part, copy, key, id, text) dealt by ranges of the id, so that each
     part, sorted by (copy, key, tie), holds consecutive rows and ends in a copy of
     the row that follows: the first of the next part, or of the first part.
 
-    Ranges come from approximate quantiles; only they and each part's least id
-    (`parts` numbers) reach the driver. Null ids come last.
+    Ranges come from approximate quantiles; only they and each part's least row
+    (`parts` pairs of numbers) reach the driver. Null ids come last. An id that holds
+    more rows than a part, as null may, is dealt by ranges of its texts' hashes.
     """
     spark = documents.sparkSession
     source = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text_column, F.lit("")).alias("text")).withColumn("key", F.coalesce("id", F.lit(2**63 - 1)))
     shares = [i / parts for i in range(1, parts)] or [0.5]
-    cuts = source.agg(F.percentile_approx("key", shares, 20 * parts).alias("cuts")).first().cuts
-    cuts = spark.sparkContext.broadcast(np.unique(np.array(cuts or [], np.int64)))
+    found = source.agg(F.percentile_approx("key", shares, 20 * parts).alias("cuts")).first().cuts
+    own, repeats = np.unique(np.array(found or [], np.int64), return_counts=True)
+    frequent = own[repeats > 1].tolist()
+    tie = F.when(F.col("key").isin(frequent), F.xxhash64("text")).otherwise(F.lit(0)) if frequent else F.lit(0)
+    source = source.withColumn("tie", tie.cast("long"))
+    cuts = spark.sparkContext.broadcast(np.repeat(own, repeats))
 
     def heads_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.sort(batch.column("key").to_numpy())
-            part, first = np.unique(np.searchsorted(cuts.value, keys, "right"), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(keys[first])], names=["part", "head"])
-
-    heads = source.select("key").mapInArrow(heads_of, "part int, head long").groupBy("part").agg(F.min("head").alias("head")).collect()
-    heads = sorted((r.part, r.head) for r in heads)
+            keys, ties = batch.column("key").to_numpy(), batch.column("tie").to_numpy()
+            order = np.lexsort((ties, keys))
+            keys, ties = keys[order], ties[order]
+            part, first = np.unique(_cut_parts(cuts.value, keys, ties), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(keys[first]), pa.array(ties[first])], names=["part", "head", "tie"])
+
+    heads = source.select("key", "tie").mapInArrow(heads_of, "part int, head long, tie long").groupBy("part").agg(F.min(F.struct("head", "tie")).alias("head")).collect()
+    heads = sorted((r.part, tuple(r.head)) for r in heads)
     before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}  # the first part follows the last
     before = spark.sparkContext.broadcast(before)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            part = np.searchsorted(cuts.value, keys, "right").astype(np.int32)
-            head = np.array([k in before.value for k in keys.tolist()], bool)
-            again = batch.filter(pa.array(head))
-            for rows, own, copy in ((batch, part, 0), (again, np.array([before.value[k] for k in again.column("key").to_pylist()], np.int32), 1)):
+            keys, ties = batch.column("key").to_numpy(), batch.column("tie").to_numpy()
+            part = _cut_parts(cuts.value, keys, ties)
+            ahead = [before.value.get(row) for row in zip(keys.tolist(), ties.tolist(), strict=True)]
+            again = batch.filter(pa.array([x is not None for x in ahead], pa.bool_()))
+            for rows, own, copy in ((batch, part, 0), (again, np.array([x for x in ahead if x is not None], np.int32), 1)):
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), copy, np.int32)), rows.column("key"), rows.column("id"), rows.column("text")], names=["part", "copy", "key", "id", "text"])
 
-    dealt = source.select("key", "id", "text").mapInArrow(deal, "part int, copy int, key long, id long, text string")
+    dealt = source.select("key", "tie", "id", "text").mapInArrow(deal, "part int, copy int, key long, id long, text string")
     return dealt.repartition(parts, "part").sortWithinPartitions("part", "copy", "key", F.xxhash64("text"), "text")
 
 

@@ -37,8 +37,14 @@ SEQUENCE_PRIOR, DECLARED_PRIOR, SUFFIX_PRIOR, HOST_PRIOR = 0.5, 20.0, 20.0, 8.0
 MOST_LANGUAGES = 500
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+#: What opens markup and, for each kind, what ends it; without its end a script, style or
+#: comment is a plain tag, and a tag without one is text.
+_OPENS = re.compile(r"<(?:(script|style)\b|!(--))?", re.I)
+_ENDS = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "--": re.compile("-->"), "": re.compile(">")}
+_HTML = re.compile(r"<html\b", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+#: A number of eight digits names no character, as longer ones.
+_NUMBER = re.compile(r"&#0*([0-9]{1,8})[0-9]*")
 
 
 def sequence_buckets(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +93,38 @@ def train(documents: DataFrame, text_column: str = "text", lang_column: str = "l
 
 
 def page_text(markup: str | None) -> str:
-    return html.unescape(_MARKUP.sub(" ", markup or ""))
+    """The text between markup. The next end of each kind is looked for once and kept
+    until the place has passed it, so the search is linear in the markup."""
+    markup, parts, at = markup or "", [], 0
+    ends: dict[str, re.Match | None] = {}
+
+    def end_of(kind: str, start: int) -> int | None:
+        if kind not in ends or ((known := ends[kind]) and known.start() < start):
+            ends[kind] = _ENDS[kind].search(markup, start)
+        return ends[kind].end() if ends[kind] else None
+
+    for opened in _OPENS.finditer(markup):
+        if opened.start() < at:
+            continue
+        kind = (opened[1] or opened[2] or "").lower()
+        end = end_of(kind, opened.end()) if kind in _ENDS else None
+        end = end if end is not None else end_of("", opened.start() + 1)
+        if end is not None:
+            parts += [markup[at : opened.start()], " "]
+            at = end
+    return html.unescape(_NUMBER.sub(r"&#\1", "".join(parts) + markup[at:]))
+
+
+def declared_language(markup: str | None) -> str | None:
+    """The language that the first html tag with one declares."""
+    at = 0
+    for opened in _HTML.finditer(markup or ""):
+        if opened.start() >= at:
+            at = markup.find(">", opened.end())
+            at = at if at >= 0 else len(markup)
+            if found := _LANG.search(markup, opened.end(), at):
+                return found[1].lower()
+    return None
 
 
 def host_of(url: str | None) -> str | None:
@@ -113,14 +150,14 @@ def _evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], id_column:
             support = np.stack([np.bincount(row, log[bucket], len(texts)) * scale for log in table], axis=1) if langs else np.zeros((len(texts), 0))
             hosts = [host_of(u) for u in batch.column("url").to_pylist()]
             labels = [(h or "").split(".") for h in hosts]
-            declared = [m and _DECLARED.search(m) for m in markup]
+            declared = [declared_language(m) for m in markup]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     pa.array(hosts, pa.string()),
                     pa.array([".".join(x[-2:]) if h else None for h, x in zip(hosts, labels, strict=True)], pa.string()),
                     pa.array([x[-1] if h else None for h, x in zip(hosts, labels, strict=True)], pa.string()),
-                    pa.array([d[1].lower() if d else None for d in declared], pa.string()),
+                    pa.array(declared, pa.string()),
                     pa.array(support.tolist(), pa.list_(pa.float64())),
                     pa.array([langs[s.argmax()] if c and langs else None for s, c in zip(support, n, strict=True)], pa.string()),
                 ],

@@ -1,14 +1,19 @@
 """The operators on documents: odd rows, and brute force where SQL cannot check."""
 
 import hashlib
+import html
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corvane.llm import decontamination, fingerprints, jaccard_join, language_id, lm_scoring, mixing, pii, toxicity
@@ -136,6 +141,25 @@ def test_fingerprints(spark, odd):
     assert fingerprints.edited_fingerprints(odd.limit(0)).count() == 0
 
 
+def test_next_rows_of_a_frequent_id(spark):
+    """Most rows without an id, one id on many: all parts together are one ring."""
+    rows = [(None, f"none {i} words of {i % 7}") for i in range(300)] + [(7, f"seven {i}") for i in range(200)] + [(i, f"own {i}") for i in range(100, 200)] + [(None, "again")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    parts = fingerprints.with_next(df, "doc_id", "text", 16)
+    sizes = [r["count"] for r in parts.where("copy = 0").groupBy("part").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 130
+    order = [(r.doc_id, r.text) for r in df.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text").collect()]
+    want, edited = Counter(), {}
+    signed = dict(zip((t for _, t in order), fingerprints.signatures(pa.array([t for _, t in order]))))
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
+        new = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        change = edited.setdefault(new, fingerprints.signatures(pa.array([new]))[0])
+        likeness = [float((signed[t] == other).mean()) for other in (change, signed[n])]
+        want[i, len(t), hashlib.sha256(new.encode()).hexdigest(), *likeness] += 1
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in fingerprints.edited_fingerprints(df).collect())
+    assert got == want
+
+
 def test_collision_rate_is_generalised_jaccard():
     import pyarrow as pa
 
@@ -334,6 +358,26 @@ def test_languages(spark, odd):
     assert none.where("lang is null").count() == 5
 
 
+_PIECES = ["<", ">", "<script", "</script>", "</SCRIPT  >", "<style>", "</style>", "<!--", "-->", "-", "!", "<html", " lang = 'de'", "lang=en", " ", "a", "&#65;", "&amp;", "/"]
+
+
+@given(st.lists(st.sampled_from(_PIECES), max_size=14).map("".join))
+def test_markup_by_one_expression(markup):
+    plain = html.unescape(re.sub(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", markup, flags=re.S | re.I))
+    assert language_id.page_text(markup) == plain
+    found = re.search(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", markup, re.I)
+    assert language_id.declared_language(markup) == (found and found[1].lower())
+
+
+def test_long_markup_is_linear():
+    began = time.time()
+    for piece in ("<script>", "<style ", "<!--", "<", "<html ", "<html lang", "</script ", "<script></style>"):
+        language_id.page_text(piece * (1_000_000 // len(piece)))
+        language_id.declared_language(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 20
+    assert language_id.page_text("&#" + "0" * 6000 + "65; &#" + "9" * 6000 + ";") == "A \ufffd"
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline
 
