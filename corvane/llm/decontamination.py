@@ -9,20 +9,25 @@ window. To find occurrences without listing every window of every document:
    sides. Document fingerprints meet the benchmark's in one join. Items shorter
    than `span` are looked up by the hash of their whole length instead.
 2. Extension. Only in texts with a common fingerprint, all k-grams are matched with
-   the items' fingerprints; each match fixes a diagonal (document position minus
-   item position). Along it the exact words are compared and runs of equal words
-   kept that reach the window's length.
+   the items' fingerprints. A window of `span` words that holds a k-gram reaches no
+   further than `span - k` words to either side of it, so each match is extended over
+   that context: words equal without a gap on both sides, the k-gram included, are a
+   hit if they reach the window's length. Every shared window holds a fingerprint, so
+   no other windows exist.
+
+An item's fingerprints with the same context are one, so an item that repeats its
+words adds no more than its distinct contexts, and a text as many matches as it has
+places. Contexts are cut from blocks of words: no row carries a whole text along.
 
 The first step hashes each word in lower case of any script, which only adds
 candidates; the second compares words with A-Z alone lower-cased. Texts are
-identified by digest there, so copies are extended once, and each group is bounded
-by one text and one item. The benchmark's side is broadcast if its counted rows
-fit; else the joins shuffle.
+identified by digest there, so copies are extended once. The benchmark's side is
+broadcast if its bytes fit; else the joins shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_BYTES, checked_broadcast, forget, keep
@@ -31,8 +36,10 @@ SPAN, K = 10, 7
 _GAP = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"  # A-Z are lower-cased later
 _WORD = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bytes of a row of the result and of one of the fingerprints looked for.
-_RESULT_WIDTH, _PRINT_WIDTH = 160, 120
+#: Bytes of a row of the result, and characters of text in a part of the second step.
+_RESULT_WIDTH, _PART_CHARS = 160, 2 << 20
+#: Words of a block that contexts are cut from.
+_BLOCK = 64
 
 
 def _words(text: str) -> Column:
@@ -41,7 +48,9 @@ def _words(text: str) -> Column:
 
 def _paired(array: str, shift: int, other: str, function: str) -> Column:
     """function(array[i], other[i + shift]) while both exist."""
-    return F.expr(f"zip_with(slice({array}, 1, greatest(size({other}) - {shift}, 0)), slice({other}, {shift + 1}, greatest(size({other}) - {shift}, 0)), (x, y) -> {function}(x, y))")
+    rest = f"greatest(size({other}) - {shift}, 0)"
+    left, right = f"slice({array}, 1, {rest})", f"slice({other}, {shift + 1}, {rest})"
+    return F.expr(f"zip_with({left}, {right}, (x, y) -> {function}(x, y))")
 
 
 def _grams(df: DataFrame, words: str, k: int, out: str) -> DataFrame:
@@ -64,7 +73,35 @@ def _minima(df: DataFrame, grams: str, width: int, out: str) -> DataFrame:
     return df.withColumn(out, F.expr(f"array_distinct(_m{width})"))
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+def _with_context(places: DataFrame, worded: DataFrame, key: str, reach: int, span: int) -> DataFrame:
+    """places(key, p, ...) with context, the words from p - reach to p + span as far as
+    they exist, and at, the place of p in it; worded(key, words) has one row a key."""
+    first = f"greatest(b * {_BLOCK} - {reach}, 0)"
+    cut = f"slice(words, {first} + 1, {_BLOCK + span + reach})"
+    numbers = f"sequence(0, (size(words) - 1) div {_BLOCK})"
+    cells = f"inline(transform({numbers}, b -> struct(cast(b as int) as b, {cut} as block)))"
+    blocks = worded.where("size(words) > 0").selectExpr(key, cells)
+    placed = places.withColumn("b", F.expr(f"cast(p div {_BLOCK} as int)")).join(blocks, [key, "b"])
+    placed = placed.withColumn("r", F.expr(f"p - {first}")).withColumn("at", F.expr(f"least(r, {reach})"))
+    return placed.withColumn("context", F.expr(f"slice(block, r - at + 1, at + {span})")).drop("b", "r", "block")
+
+
+def _run(x: str, y: str) -> str:
+    """How many elements of two arrays are equal before the first that are not."""
+    equal = f"zip_with({x}, {y}, (x, y) -> coalesce(x = y, false))"
+    return f"coalesce(nullif(array_position({equal}, false), 0) - 1, size({x}))"
+
+
+def contamination(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    span: int = SPAN,
+    k: int = K,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    item_column: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
     """One row per document row: id, n_words, n_hit, n_items, items_sha256 (of the
     item ids sorted as strings and comma-joined), contaminated (n_hit > 0).
 
@@ -75,64 +112,72 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     """
     if not k <= span:
         raise ValueError("k must not exceed span")
-    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text).alias("t")).where("item is not null and t is not null")
-    items = items.select("item", _words(f"translate(t, '{_UPPER}', '{_LOWER}')").alias("iw"), F.length("t").alias("chars")).where("size(iw) > 0")
-    items = keep(items.withColumn("ikey", F.expr("md5(concat_ws(' ', item, array_join(iw, ' ')))")).dropDuplicates(["ikey"]), "items")
-    long_items = _minima(_grams(items.where(f"size(iw) >= {span}"), "iw", k, "g"), "g", span - k + 1, "m")
-    prints = keep(long_items.select("item", "ikey", F.posexplode("g").alias("q", "print"), "m").where("array_contains(m, print)").select("item", "ikey", "q", "print"), "prints")
-    short = items.where(f"size(iw) < {span}").select("item", "ikey", F.expr("size(iw)").alias("length"), "iw")
+    reach = span - k
+    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text).alias("t"))
+    items = items.where("item is not null and t is not null")
+    items = items.select("item", _words(f"translate(t, '{_UPPER}', '{_LOWER}')").alias("words")).where("size(words) > 0")
+    named_words = F.expr("md5(concat_ws(' ', item, array_join(words, ' ')))")
+    items = keep(items.withColumn("ikey", named_words).dropDuplicates(["ikey"]), "items")
+    long_items = _grams(items.where(f"size(words) >= {span}"), "words", k, "g")
+    least = _minima(long_items, "g", reach + 1, "m").select("ikey", F.explode("m").alias("print"))
+    prints = long_items.select("ikey", F.posexplode("g").alias("p", "print")).join(least, ["ikey", "print"], "left_semi")
+    prints = prints.select("ikey", "p", "print")
+    short = items.where(f"size(words) < {span}").withColumn("length", F.size("words"))
     lengths = sorted(r.length for r in short.select("length").distinct().collect())  # below span values at most
 
     def short_prints(df: DataFrame, words: str, length: int, out: str) -> DataFrame:
         """Hashes of that length, apart from those of other lengths and of k-grams."""
         return _grams(df, words, length, "_s").withColumn(out, F.expr(f"transform(_s, x -> xxhash64(x, {length}))"))
 
-    kept_short = None
     for length in lengths:
-        one = short_prints(short.where(F.col("length") == length), "iw", length, "_p").select("item", "ikey", F.lit(0).alias("q"), F.explode("_p").alias("print"))
-        kept_short = one if kept_short is None else kept_short.union(one)
-    wanted = prints if kept_short is None else prints.union(kept_short)
+        whole = short_prints(short.where(F.col("length") == length), "words", length, "_p")
+        prints = prints.union(whole.select("ikey", F.lit(0).alias("p"), F.explode("_p").alias("print")))
+    known = items.select("ikey", "item", F.least(F.lit(span), F.size("words")).alias("need"))
+    wanted = _with_context(prints, items.select("ikey", "words"), "ikey", reach, span).join(known, "ikey")
+    wanted = wanted.select("print", "item", "need", F.col("at").alias("iat"), F.col("context").alias("ictx")).distinct()
     wanted = keep(wanted, "wanted")
-    n_wanted = wanted.count()
-    wanted_prints = checked_broadcast(wanted.select("print").distinct(), n_wanted)
-    item_bytes = items.agg(F.sum(F.expr("4 * chars + 24 * size(iw) + 100"))).first()[0] or 0  # at most
+    size = wanted.agg(F.count("*").alias("n"), F.sum(F.expr("4 * length(array_join(ictx, '')) + 24 * size(ictx) + 4 * length(item) + 100")).alias("bytes")).first()
+    wanted_prints = checked_broadcast(wanted.select("print").distinct(), size.n)
 
     # 1. texts that share a fingerprint
     source = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text_column, F.lit("")).alias("t"))
-    worded = source.select(F.xxhash64("t").alias("key"), _words("t").alias("low"))
-    marked = _minima(_grams(worded, "low", k, "g"), "g", span - k + 1, "m")
+    worded = source.select(F.xxhash64("t").alias("key"), F.length("t").alias("chars"), _words("t").alias("low"))
+    marked = _minima(_grams(worded, "low", k, "g"), "g", reach + 1, "m")
     emitted = F.expr(f"if(size(low) >= {span}, m, array())")
     for length in lengths:
         marked = short_prints(marked, "low", length, f"_p{length}")
         emitted = F.concat(emitted, F.array_distinct(f"_p{length}"))
-    met = marked.select("key", F.explode(emitted).alias("print")).join(wanted_prints, "print", "left_semi").select("key").distinct()
-    met = keep(met, "met")
-    n_met = met.count()
+    met = marked.select("key", "chars", F.explode(emitted).alias("print")).join(wanted_prints, "print", "left_semi")
+    met = keep(met.groupBy("key").agg(F.max("chars").alias("chars")), "met")
+    found = met.agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).first()
 
     # 2. extension in those texts
-    texts = source.withColumn("key", F.xxhash64("t")).join(checked_broadcast(met, n_met), "key", "left_semi")
-    texts = keep(texts.select(F.md5("t").alias("tid"), "t").dropDuplicates(["tid"]), "texts")
+    texts = source.withColumn("key", F.xxhash64("t")).join(checked_broadcast(met.select("key"), found.n), "key", "left_semi")
+    texts = texts.select(F.md5("t").alias("tid"), "t").dropDuplicates(["tid"])
+    texts = keep(texts.repartition((found.chars or 0) // _PART_CHARS + 1, "tid"), "texts")
     grams = _grams(texts.select("tid", _words("t").alias("low")), "low", k, "g")
-    found = grams.select("tid", F.posexplode("g").alias("p", "print"))
+    places = grams.select("tid", F.posexplode("g").alias("p", "print"))
     for length in lengths:
-        found = found.union(short_prints(grams, "low", length, "_p").select("tid", F.posexplode("_p").alias("p", "print")))
-    seeds = found.join(checked_broadcast(wanted, n_wanted, _PRINT_WIDTH), "print").selectExpr("tid", "item", "ikey", "p - q as d").distinct()
-    worded = texts.select("tid", _words(f"translate(t, '{_UPPER}', '{_LOWER}')").alias("dw"))
-    side = items.select("ikey", "iw")
-    sides = seeds.join(worded, "tid").join(F.broadcast(side) if item_bytes <= BROADCAST_BYTES else side, "ikey")
-    begin, length = "greatest(0, -d)", "least(size(iw), size(dw) - d) - greatest(0, -d)"
-    equal = f"zip_with(slice(iw, {begin} + 1, {length}), slice(dw, {begin} + d + 1, {length}), (x, y) -> x = y)"
-    cells = sides.selectExpr("tid", "item", "ikey", "d", f"least({span}, size(iw)) as need", f"{begin} as b", f"posexplode({equal}) as (q, same)").where("same")
-    runs = (
-        cells.withColumn("run", F.expr("q - row_number() over (partition by tid, ikey, d order by q)"))
-        .groupBy("tid", "item", "ikey", "d", "run").agg(F.min(F.expr("q + b + d")).alias("start"), F.count("*").alias("length"), F.first("need").alias("need"))
-        .where("length >= need").select("tid", "item", "start", "length")
-    )
+        places = places.union(short_prints(grams, "low", length, "_p").select("tid", F.posexplode("_p").alias("p", "print")))
+    places = keep(places.join(wanted_prints, "print", "left_semi").select("tid", "p", "print"), "places")
+    worded = texts.select("tid", _words(f"translate(t, '{_UPPER}', '{_LOWER}')").alias("words"))
+    seeds = _with_context(places, worded, "tid", reach, span)
+    seeds = seeds.join(F.broadcast(wanted) if (size.bytes or 0) <= BROADCAST_BYTES else wanted, "print")
+    before = _run("reverse(slice(ictx, 1, iat))", "reverse(slice(context, 1, at))")
+    after = _run(f"slice(ictx, iat + 1, {span})", f"slice(context, at + 1, {span})")
+    runs = seeds.selectExpr("tid", "item", "need", "p", f"{before} as before", f"{after} as after")
+    runs = runs.where("before + after >= need").selectExpr("tid", "item", "p - before as start", "p + after as end").distinct()
     runs = keep(runs, "runs")
-    covered = runs.select("tid", F.explode(F.expr("sequence(start, start + length - 1)")).alias("p")).distinct().groupBy("tid").agg(F.count("*").alias("n_hit"))
-    named = runs.select("tid", "item").distinct().groupBy("tid").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    earlier = Window.partitionBy("tid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = runs.select("tid", "start", "end").distinct().withColumn("reached", F.max("end").over(earlier))
+    fresh = F.expr("greatest(end - greatest(start, coalesce(reached, 0)), 0)")
+    covered = spans.groupBy("tid").agg(F.sum(fresh).alias("n_hit"))
+    every_item = F.array_join(F.array_sort(F.collect_list("item")), ",")
+    named = runs.select("tid", "item").distinct().groupBy("tid").agg(
+        F.count("*").alias("n_items"), F.sha2(every_item, 256).alias("items_sha256")
+    )
     result = keep(covered.join(named, "tid"), "hits")
-    for table in (wanted, prints, met, texts, runs, items):
+    for table in (wanted, met, texts, places, runs, items):
         forget(table)
 
     every = source.select("id", F.expr(f"cast(regexp_count(t, '{_WORD}') as long)").alias("n_words"), F.md5("t").alias("tid"))

@@ -185,6 +185,51 @@ def test_contamination(spark, odd):
     assert decontamination.contamination(odd.limit(0), bench).count() == 0
 
 
+def brute_hits(text, items, span=10):
+    """Hit words and items of a text, window by window."""
+    def cut(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+
+    mine, hit, named = cut(text), set(), set()
+    for item, other in items:
+        theirs = cut(other)
+        size = min(span, len(theirs))
+        windows = {tuple(theirs[s : s + size]) for s in range(len(theirs) - size + 1)} if theirs else set()
+        for start in range(len(mine) - size + 1):
+            if tuple(mine[start : start + size]) in windows:
+                named.add(item)
+                hit |= set(range(start, start + size))
+    return len(mine), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest()
+
+
+def test_contamination_against_windows(spark):
+    """Few different words, so that items repeat their own k-grams and texts hold many diagonals;
+    lengths about the window's, a block's borders, and long runs of one word."""
+    rng = np.random.default_rng(5)
+
+    def text(n, kinds):
+        return " ".join("abcdefgh"[i] for i in rng.integers(0, kinds, n))
+
+    items = [(f"i{j}", text(n, kinds)) for j, (n, kinds) in enumerate([(0, 1), (1, 1), (3, 2), (9, 2), (10, 2), (11, 2), (40, 2), (200, 3), (70, 1)])]
+    items += [("i7", text(30, 2)), ("i4", items[4][1]), ("far", " ".join(f"u{i}" for i in range(150)))]
+    texts = [text(n, kinds) for n in (0, 1, 9, 10, 13, 63, 64, 65, 140) for kinds in (1, 2, 3, 8)]
+    far = items[-1][1].split()
+    texts += [" ".join(["x"] * pad + far[start : start + n] + ["y"] * 70) for pad in (0, 1, 55, 61, 64, 127) for start, n in ((0, 10), (3, 9), (60, 12), (140, 10), (0, 150))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontamination.contamination(docs, bench).collect()}
+    assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
+
+
+def test_repeated_words_are_linear(spark):
+    """One word over and over on both sides: a match a place, not one for each pair of places."""
+    docs = spark.createDataFrame([(1, "spam " * 100_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([("i", "spam " * 10_000)], "item_id string, text string")
+    start = time.time()
+    row = decontamination.contamination(docs, bench).first()
+    assert (row.n_words, row.n_hit, row.n_items) == (100_000, 100_000, 1) and time.time() - start < 60
+
+
 def test_pii(spark, odd):
     got = {r.doc_id: r for r in pii.personal_data(odd).collect()}
     r = got[12]
