@@ -36,8 +36,11 @@ SPAN, K = 10, 7
 _GAP = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"  # A-Z are lower-cased later
 _WORD = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bytes of a row of the result, and characters of text in a part of the second step.
-_RESULT_WIDTH, _PART_CHARS = 160, 2 << 20
+#: Bytes of a row of the result.
+_RESULT_WIDTH = 160
+#: Characters of text in a part of the second step: so many at most, and no fewer than
+#: this where there are cores for more parts.
+_MOST_CHARS, _LEAST_CHARS = 32 << 20, 1 << 18
 #: Words of a block that contexts are cut from.
 _BLOCK = 64
 
@@ -119,8 +122,8 @@ def contamination(
     named_words = F.expr("md5(concat_ws(' ', item, array_join(words, ' ')))")
     items = keep(items.withColumn("ikey", named_words).dropDuplicates(["ikey"]), "items")
     long_items = _grams(items.where(f"size(words) >= {span}"), "words", k, "g")
-    least = _minima(long_items, "g", reach + 1, "m").select("ikey", F.explode("m").alias("print"))
-    prints = long_items.select("ikey", F.posexplode("g").alias("p", "print")).join(least, ["ikey", "print"], "left_semi")
+    least = _minima(long_items, "g", reach + 1, "m").select("ikey", F.explode_outer("m").alias("print"))
+    prints = long_items.select("ikey", F.posexplode_outer("g").alias("p", "print")).join(least, ["ikey", "print"], "left_semi")
     prints = prints.select("ikey", "p", "print")
     short = items.where(f"size(words) < {span}").withColumn("length", F.size("words"))
     lengths = sorted(r.length for r in short.select("length").distinct().collect())  # below span values at most
@@ -151,14 +154,17 @@ def contamination(
     met = keep(met.groupBy("key").agg(F.max("chars").alias("chars")), "met")
     found = met.agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).first()
 
-    # 2. extension in those texts
+    # 2. extension in those texts. An inner explode would test the hashes' number in a
+    # filter of its own that computes them anew; the joins drop the nulls of an outer one.
     texts = source.withColumn("key", F.xxhash64("t")).join(checked_broadcast(met.select("key"), found.n), "key", "left_semi")
     texts = texts.select(F.md5("t").alias("tid"), "t").dropDuplicates(["tid"])
-    texts = keep(texts.repartition((found.chars or 0) // _PART_CHARS + 1, "tid"), "texts")
+    chars, cores = found.chars or 0, documents.sparkSession.sparkContext.defaultParallelism
+    parts = max(chars // _MOST_CHARS, min(chars // _LEAST_CHARS, 4 * cores)) + 1
+    texts = keep(texts.repartition(parts, "tid"), "texts")
     grams = _grams(texts.select("tid", _words("t").alias("low")), "low", k, "g")
-    places = grams.select("tid", F.posexplode("g").alias("p", "print"))
+    places = grams.select("tid", F.posexplode_outer("g").alias("p", "print"))
     for length in lengths:
-        places = places.union(short_prints(grams, "low", length, "_p").select("tid", F.posexplode("_p").alias("p", "print")))
+        places = places.union(short_prints(grams, "low", length, "_p").select("tid", F.posexplode_outer("_p").alias("p", "print")))
     places = keep(places.join(wanted_prints, "print", "left_semi").select("tid", "p", "print"), "places")
     worded = texts.select("tid", _words(f"translate(t, '{_UPPER}', '{_LOWER}')").alias("words"))
     seeds = _with_context(places, worded, "tid", reach, span)
