@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corvane.operators import search as op
+from corvane.operators import websearch as web
 
 from .base import query
 
@@ -77,10 +78,74 @@ def _(v):
     return staleness(v, "2001-05-31").select("version_id", "stale")
 
 
+#: Web-style queries of whole items: every four words a group of a phrase of two, a word
+#: and a word that must not occur, groups joined by OR. The SQL takes the words alone.
+_WORDS_OF = (
+    "regexp_extract_all(lower(text), '[\\\\p{{L}}\\\\p{{N}}]+', 0)", "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+)
+_GROUP = (
+    "concat('\"', array_join(slice(w, 4 * i + 1, 2), ' '), '\" ', array_join(transform(slice(w, 4 * i + 3, 1), x -> if(x = 'or', '\"or\"', x)), ''),"
+    " if(size(w) > 4 * i + 3, concat(' -', w[4 * i + 3]), ''))"
+)
+WEB = (
+    f"select item_id as query_id, array_join(transform(sequence(0, (size(w) - 1) div 4), i -> {_GROUP}), ' OR ') as query"
+    f" from (select item_id, {_WORDS_OF[0]} as w from {{benchmark}}) where size(w) > 0",
+    f"select item_id as query_id, {_WORDS_OF[1]} as w from {{benchmark}}",
+)
+_WEB_LISTS = """
+wg as (
+  select query_id, g, w[4 * g + 1] as a, w[4 * g + 2] as b, w[4 * g + 3] as c, w[4 * g + 4] as d
+  from wq, lateral (select unnest(range(0, (len(w) + 3) // 4)) as g)),
+wtok as (
+  select chunk_id, unnest(t) as token, unnest(range(len(t))) as pos
+  from (select chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as t from docs)),
+occ as (
+  select query_id, g, x.chunk_id, 1 as clause, x.pos as s, coalesce(y.pos, x.pos) as e
+  from wg join wtok x on x.token = a left join wtok y on y.chunk_id = x.chunk_id and y.pos = x.pos + 1 and y.token = b
+  where b is null or y.token is not null
+  union all select query_id, g, chunk_id, 2, pos, pos from wg join wtok on token = c),
+met as (
+  select query_id, g, chunk_id from occ join wg using (query_id, g) group by 1, 2, 3
+  having count(distinct clause) = max(case when c is null then 1 else 2 end)),
+legal as (
+  select * from met where (query_id, g, chunk_id) not in (select query_id, g, chunk_id from wg join wtok on token = d)),
+ends as (
+  select distinct query_id, g, chunk_id, e,
+    least(max(s) filter (clause = 1) over w, case when c is null then 1e9 else max(s) filter (clause = 2) over w end) as low,
+    max(s) filter (clause = 1) over w is not null and (c is null or max(s) filter (clause = 2) over w is not null) as full_,
+    case when b is null then 1 else 2 end + case when c is null then 0 else 1 end as own
+  from occ join legal using (query_id, g, chunk_id) join wg using (query_id, g)
+  window w as (partition by query_id, g, chunk_id order by e range unbounded preceding)),
+covers as (select query_id, g, chunk_id, low, min(e) as e, max(own) as own from ends where full_ group by 1, 2, 3, 4),
+wscore as (
+  select query_id, chunk_id, round(sum(0.1::double / (1 + greatest(e - low + 1 - own, 0))), 9) as score from covers group by 1, 2),
+lt as (
+  select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from wscore qualify rank <= {k})"""
+
+
+@query(
+    "r06_web_clauses",
+    "with " + _WEB_LISTS.split(",\nwtok as")[0].strip() + """
+select query_id, g::int as grp, 'false:' || a || coalesce(' ' || b, '') as clause from wg
+union all select query_id, g::int, 'false:' || c from wg where c is not null
+union all select query_id, g::int, 'true:' || d from wg where d is not null""",
+    wq=WEB,
+)
+def _(wq):
+    said = F.concat(F.col("negated").cast("string"), F.lit(":"), F.array_join("tokens", " "))
+    return web.web_clauses(wq).select("query_id", "grp", said.alias("clause"))
+
+
+@query("r07_web_topk", "with " + _k(_WEB_LISTS, 10) + " select query_id, chunk_id, round(score, 6) as score, rank from lt", docs=DOCS, wq=WEB)
+def _(docs, wq):
+    return web.web_topk(wq, docs, 10).withColumn("score", F.round("score", 6))
+
+
 _FUSE = "f as (select coalesce(vt.query_id, lt.query_id) as query_id, coalesce(vt.chunk_id, lt.chunk_id) as chunk_id, vt.rank as vector_rank, lt.rank as lexical_rank, round(coalesce(1.0 / (60 + vt.rank), 0) + coalesce(1.0 / (60 + lt.rank), 0), 12) as score from vt full join lt on vt.query_id = lt.query_id and vt.chunk_id = lt.chunk_id), ft as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from f qualify rank <= 8)"
 #: Each item's query vector is the vector with its id.
 IQ = "select vec_id as query_id, embedding as vector from {embeddings} join {benchmark} on vec_id = item_id"
 _HYBRID = "with " + _k(_VTOP, 50) + ", " + _k(_LTOP, 50) + ", " + _FUSE
+_WEB_HYBRID = "with " + _k(_VTOP, 50) + ", " + _k(_WEB_LISTS, 50) + ", " + _FUSE
 
 
 @query("r09_rrf", _HYBRID + " select query_id, chunk_id, vector_rank, lexical_rank, round(score, 9) as score, rank from ft", docs=DOCS, q=QUERIES, vq=IQ, vec=VEC)
@@ -89,14 +154,20 @@ def _(docs, q, vq, vec):
     return out.select("query_id", "chunk_id", "vector_rank", "lexical_rank", F.round("score", 9).alias("score"), "rank")
 
 
-@query("r10_search", _HYBRID + " select query_id, chunk_id, rank from ft", docs=DOCS, q=QUERIES, vq=IQ, vec=VEC)
-def _(docs, q, vq, vec):
-    return op.search(q.join(vq, "query_id"), vec, op.build_postings(docs, op.wanted_tokens(q), False), docs).select("query_id", "chunk_id", "rank")
+@query("r10_search", _WEB_HYBRID + " select query_id, chunk_id, rank from ft", docs=DOCS, wq=WEB, vq=IQ, vec=VEC)
+def _(docs, wq, vq, vec):
+    return web.web_search(wq.join(vq, "query_id"), vec, docs).select("query_id", "chunk_id", "rank")
 
 
-@query("flagship_hybrid_search", _HYBRID + " select query_id, chunk_id, rank, round(score, 9) as score, case when lexical_rank is null then 'VECTOR_RRF' when vector_rank is null then 'LEXICAL_RRF' else 'VECTOR+LEXICAL_RRF' end as method from ft", docs=DOCS, q=QUERIES, vq=IQ, vec=VEC)
-def _(docs, q, vq, vec):
-    out = op.search(q.join(vq, "query_id"), vec, op.build_postings(docs, op.wanted_tokens(q), False), docs)
+_METHOD = """
+select query_id, chunk_id, rank, round(score, 9) as score,
+  case when lexical_rank is null then 'VECTOR_RRF' when vector_rank is null then 'LEXICAL_RRF' else 'VECTOR+LEXICAL_RRF' end as method
+from ft"""
+
+
+@query("flagship_hybrid_search", _WEB_HYBRID + _METHOD, docs=DOCS, wq=WEB, vq=IQ, vec=VEC)
+def _(docs, wq, vq, vec):
+    out = web.web_search(wq.join(vq, "query_id"), vec, docs)
     return out.select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"), "method")
 
 
@@ -111,11 +182,18 @@ def _(v, l, ch):  # noqa: E741
     return op.hybrid_with_fallback(v, l, ch, 3)
 
 
-@query("r12_rerank", _HYBRID + ", texts as (select q.query_id, ft.chunk_id, q.text as query, docs.text as text from ft join q using (query_id) join docs using (chunk_id)) select query_id, chunk_id, len(list_intersect(string_split_regex(trim(lower(query)), '\\s+'), string_split_regex(trim(lower(text)), '\\s+')))::double as rerank_score from texts", docs=DOCS, q=QUERIES, vq=IQ, vec=VEC)
-def _(docs, q, vq, vec):
+_RERANKED = """, texts as (
+  select it.query_id, ft.chunk_id, it.text as query, docs.text as text from ft join it using (query_id) join docs using (chunk_id))
+select query_id, chunk_id,
+  len(list_intersect(string_split_regex(trim(lower(query)), '\\s+'), string_split_regex(trim(lower(text)), '\\s+')))::double as rerank_score
+from texts"""
+
+
+@query("r12_rerank", _WEB_HYBRID + _RERANKED, docs=DOCS, wq=WEB, it="select item_id as query_id, text from {benchmark}", vq=IQ, vec=VEC)
+def _(docs, wq, it, vq, vec):
     """Each item against its own hits."""
-    hits = op.search(q.join(vq, "query_id"), vec, op.build_postings(docs, op.wanted_tokens(q), False), docs).select("query_id", "chunk_id")
-    pairs = hits.join(q.select("query_id", F.col("text").alias("query")), "query_id").join(docs, "chunk_id")
+    hits = web.web_search(wq.join(vq, "query_id"), vec, docs).select("query_id", "chunk_id")
+    pairs = hits.join(it.select("query_id", F.col("text").alias("query")), "query_id").join(docs, "chunk_id")
     return op.rerank(pairs).select("query_id", "chunk_id", "rerank_score")
 
 
