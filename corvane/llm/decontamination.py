@@ -15,9 +15,9 @@ window. To find occurrences without listing every window of every document:
    hit if they reach the window's length. Every shared window holds a fingerprint, so
    no other windows exist.
 
-An item's fingerprints with the same context are one, so an item that repeats its
-words adds no more than its distinct contexts, and a text as many matches as it has
-places. Contexts are cut from blocks of words: no row carries a whole text along.
+Fingerprints with the same context are one, whatever items hold them, so a line that
+many items and many texts share is matched once for each place, and the items are named
+once for each distinct set of contexts that a text matches. Contexts are cut from blocks of words: no row carries a whole text along.
 
 The first step hashes each word in lower case of any script, which only adds
 candidates; the second compares words with A-Z alone lower-cased. Texts are
@@ -137,9 +137,13 @@ def contamination(
         prints = prints.union(whole.select("ikey", F.lit(0).alias("p"), F.explode("_p").alias("print")))
     known = items.select("ikey", "item", F.least(F.lit(span), F.size("words")).alias("need"))
     wanted = _with_context(prints, items.select("ikey", "words"), "ikey", reach, span).join(known, "ikey")
-    wanted = wanted.select("print", "item", "need", F.col("at").alias("iat"), F.col("context").alias("ictx")).distinct()
-    wanted = keep(wanted, "wanted")
-    size = wanted.agg(F.count("*").alias("n"), F.sum(F.expr("4 * length(array_join(ictx, '')) + 24 * size(ictx) + 4 * length(item) + 100")).alias("bytes")).first()
+    wanted = wanted.select("print", "item", "need", F.col("at").alias("iat"), F.col("context").alias("ictx"))
+    # items that hold a k-gram in the same context are one class
+    kind = F.md5(F.concat_ws(" ", F.col("print"), F.col("need"), F.col("iat"), F.array_join("ictx", " ")))
+    named_classes = keep(wanted.select(kind.alias("kind"), "item", "print", "need", "iat", "ictx").distinct(), "classes")
+    members = named_classes.select("kind", "item")
+    wanted = keep(named_classes.drop("item").dropDuplicates(["kind"]), "wanted")
+    size = wanted.agg(F.count("*").alias("n"), F.sum(F.expr("4 * length(array_join(ictx, '')) + 24 * size(ictx) + 132")).alias("bytes")).first()
     wanted_prints = checked_broadcast(wanted.select("print").distinct(), size.n)
 
     # 1. texts that share a fingerprint
@@ -171,19 +175,22 @@ def contamination(
     seeds = seeds.join(F.broadcast(wanted) if (size.bytes or 0) <= BROADCAST_BYTES else wanted, "print")
     before = _run("reverse(slice(ictx, 1, iat))", "reverse(slice(context, 1, at))")
     after = _run(f"slice(ictx, iat + 1, {span})", f"slice(context, at + 1, {span})")
-    runs = seeds.selectExpr("tid", "item", "need", "p", f"{before} as before", f"{after} as after")
-    runs = runs.where("before + after >= need").selectExpr("tid", "item", "p - before as start", "p + after as end").distinct()
+    runs = seeds.selectExpr("tid", "kind", "need", "p", f"{before} as before", f"{after} as after")
+    runs = runs.where("before + after >= need").selectExpr("tid", "kind", "p - before as start", "p + after as end").distinct()
     runs = keep(runs, "runs")
     earlier = Window.partitionBy("tid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = runs.select("tid", "start", "end").distinct().withColumn("reached", F.max("end").over(earlier))
     fresh = F.expr("greatest(end - greatest(start, coalesce(reached, 0)), 0)")
     covered = spans.groupBy("tid").agg(F.sum(fresh).alias("n_hit"))
+    # items are named once for each distinct set of classes, not for each text
+    sets = runs.groupBy("tid").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).withColumn("set", F.md5(F.array_join("kinds", ",")))
+    sets = keep(sets, "sets")
     every_item = F.array_join(F.array_sort(F.collect_list("item")), ",")
-    named = runs.select("tid", "item").distinct().groupBy("tid").agg(
-        F.count("*").alias("n_items"), F.sha2(every_item, 256).alias("items_sha256")
-    )
+    items_of = sets.dropDuplicates(["set"]).select("set", F.explode("kinds").alias("kind")).join(members, "kind").select("set", "item").distinct()
+    items_of = items_of.groupBy("set").agg(F.count("*").alias("n_items"), F.sha2(every_item, 256).alias("items_sha256"))
+    named = sets.select("tid", "set").join(items_of, "set").drop("set")
     result = keep(covered.join(named, "tid"), "hits")
-    for table in (wanted, met, texts, places, runs, items):
+    for table in (wanted, named_classes, sets, met, texts, places, runs, items):
         forget(table)
 
     every = source.select("id", F.expr(f"cast(regexp_count(t, '{_WORD}') as long)").alias("n_words"), F.md5("t").alias("tid"))

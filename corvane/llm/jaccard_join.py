@@ -14,8 +14,11 @@ expanded. Among entities:
    group's original has. Each entity is first compared with one head of its lists,
    then with all heads that lie in another component; the links found are contracted
    into components. Then only members of different components still have to meet:
-   those outside a list's most common component against the others. Nothing else can
-   change the result.
+   those outside a list's most common component against the others. The filters that
+   pairs must pass depend on size and position alone, so a list is first collapsed to
+   its classes of equal size and position; classes are compared, by ranges of size, and
+   only the members of classes that pass meet. A list whose members are too unlike to
+   link, as of texts around one template, costs its classes and no pairs.
 4. Pairs pass a length filter, a positional filter (what is left behind the common
    position) and a suffix filter (shingles counted in classes by hash), all upper
    bounds, and are then compared exactly, once per pair.
@@ -205,8 +208,9 @@ def _filters(threshold: Fraction) -> str:
     return f"least(na, nb) * {q} >= greatest(na, nb) * {p} and {most} * {p + q} >= (na + nb) * {p}"
 
 
-def _links(pairs: DataFrame, facts: DataFrame, documents: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """pairs(a, b), distinct, of entities -> those that link. Kept as a table."""
+def _links(pairs: DataFrame, facts: DataFrame, documents: DataFrame, k: int, threshold: Fraction) -> DataFrame | None:
+    """pairs(a, b), distinct, of entities -> those that link, kept as a table; None
+    without a job over the texts if no pair passes the suffix filter."""
     of = facts.where("ent is not null").groupBy("ent").agg(F.first("classes").alias("classes"), F.min(F.struct("key", "id")).alias("rep"))
     a, b = (of.select(F.col("ent").alias(x), F.col("classes").alias(f"classes_{x}")) for x in "ab")
     lo, hi = (f"aggregate(zip_with(classes_a, classes_b, (x, y) -> {f}(x, y)), 0, (s, x) -> s + x)" for f in ("least", "greatest"))
@@ -216,6 +220,9 @@ def _links(pairs: DataFrame, facts: DataFrame, documents: DataFrame, k: int, thr
         .select("a", "b")
     )
     near = keep(near, "pairs")
+    if near.isEmpty():
+        forget(near)
+        return None
     needed = keep(near.select(F.col("a").alias("ent")).union(near.select("b")).distinct(), "needed")
     rows = needed.count()
     # one row of each set is read again, told by its text's key and its id, which may be null
@@ -253,6 +260,19 @@ def _against_heads(placed: DataFrame, threshold: Fraction) -> DataFrame:
     return placed.withColumnsRenamed({"ent": "e", "n": "na", "pos": "pa"}).join(heads, "token").where("c <> ch").where(_filters(threshold))
 
 
+def _class_pairs(open_lists: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs (token, na, pa, nb, pb) of a list's classes of size n and position pos that
+    pass the filters and hold more than one component. Sizes are dealt to ranges a
+    threshold wide, so that a class meets those of its own range and the two beside it."""
+    classes = open_lists.groupBy("token", "n", "pos").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    width = F.log(F.lit(threshold.denominator / threshold.numerator)) if threshold < 1 else F.lit(1.0)
+    ranged = classes.withColumn("range", F.floor(F.log("n") / width))
+    a = ranged.select("token", "range", F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("lo").alias("loa"), F.col("hi").alias("hia"))
+    b = ranged.select("token", F.explode(F.array(*(F.col("range") + i for i in (-1, 0, 1)))).alias("range"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("lo").alias("lob"), F.col("hi").alias("hib"))
+    met = a.join(b, ["token", "range"]).where(_filters(threshold)).where("least(loa, lob) <> greatest(hia, hib)")
+    return met.select("token", "na", "pa", "nb", "pb")
+
+
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per row of documents: id, n_shingles (size of its set) and
     component_id (the smallest id that links reach, its own included).
@@ -276,31 +296,40 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     lists = keep(postings.join(heads, "token").distinct(), "lists")
     forget(postings)
 
+    def contracted(known: DataFrame | None, links: DataFrame | None) -> DataFrame:
+        """Components of the links and of those known before."""
+        if links is None:
+            return spark.createDataFrame([], "node long, component long") if known is None else known
+        found = links.toDF("u", "v") if known is None else known.toDF("u", "v").union(links.toDF("u", "v"))
+        found = keep(connected_components(found), "components")
+        forget(links)
+        return found
+
     # Round 1: every entity against one head, that of its earliest list.
     alone = lists.withColumn("c", F.col("ent"))
     star = _against_heads(alone, exact).groupBy("e").agg(F.min(F.struct("pa", "pb", "h")).alias("head")).select("e", F.col("head.h").alias("h"))
     tried = keep(_pairs(star), "tried")
-    links = _links(tried, facts, source, k, exact)
-    components = keep(connected_components(links.toDF("u", "v")), "components")
+    components = contracted(None, _links(tried, facts, source, k, exact))
 
     # Round 2: against all heads that lie in another component.
     placed = keep(_placed(lists, components), "placed")
     second = keep(_pairs(_against_heads(placed, exact)).join(tried, ["a", "b"], "left_anti"), "tried")
     more = _links(second, facts, source, k, exact)
-    joined = keep(connected_components(components.toDF("u", "v").union(more.toDF("u", "v"))), "components")
-    for table in (placed, links, more, components):
-        forget(table)
+    joined = contracted(components, more)
 
     # Round 3: what still lies in different components of a list.
-    placed = keep(_placed(lists, joined), "placed")
+    if more is not None:
+        forget(placed)
+        placed = keep(_placed(lists, joined), "placed")
     open_lists = keep(placed.join(_mixed(placed), "token"), "open")
+    classes = keep(_class_pairs(open_lists, exact), "classes")
     few = open_lists.where("c <> main").select("token", F.col("ent").alias("e"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ce"))
     others = open_lists.select("token", F.col("ent").alias("h"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("ch"), "main")
-    rest = few.join(others, "token").where("ce <> ch and (ch = main or e < h)").where(_filters(exact))
+    met = few.join(classes, ["token", "na", "pa"]).join(others, ["token", "nb", "pb"])
+    rest = met.where("ce <> ch and (ch = main or e < h)")
     rest = _pairs(rest).join(tried.union(second), ["a", "b"], "left_anti")
-    last = _links(rest, facts, source, k, exact)
-    final = keep(connected_components(joined.toDF("u", "v").union(last.toDF("u", "v"))), "components")
-    for table in (placed, tried, second, last, joined, open_lists, lists):
+    final = contracted(joined, _links(rest, facts, source, k, exact))
+    for table in (placed, tried, second, open_lists, classes, lists):
         forget(table)
 
     classes = facts.where("ent is not null").groupBy("ent").agg(F.min("id").alias("least_id"))

@@ -35,7 +35,8 @@ MOST = 2
 CLASSES = (4096, 1024, 256, 64, 16, 0)
 #: Documents of one source that share a window.
 BUCKET = 4096
-NEWTON_STEPS = 8
+#: Newton steps before the fit is given up with an error.
+NEWTON_STEPS = 90
 _WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
@@ -70,30 +71,33 @@ def _rate(base: Column, tilt: Column, most: int) -> Column:
 
 def solve_tilts(histogram: DataFrame, needs: DataFrame, most: int = MOST, steps: int = NEWTON_STEPS) -> DataFrame:
     """histogram(source, base, words), needs(source, need) -> (source, tilt); null
-    where all documents get the full rate or none. Newton's method on the dual, a
-    step limited to 2, until every source's words are within a millionth of its need;
-    a start from the mean base rate is near already if base rates differ little."""
+    where all documents get the full rate or none. Newton's method on the dual until
+    every source's words are within a millionth of its need; a start from the mean base
+    rate is near already if base rates differ little. A step is at most 4, halved each
+    time that the gradient changes its sign, so steps cannot swing for ever; if they have
+    not met after `steps`, an error says so."""
     totals = histogram.groupBy("source").agg(F.sum("words").alias("words"), F.try_divide(F.sum(F.col("base") * F.col("words")), F.sum("words")).alias("mean"))
     state = _join_source(totals, needs)
     share, mean = F.try_divide("need", F.col("words") * F.lit(float(most))), F.col("mean") / float(most)
     inside = (F.col("words") > 0) & (share > 1e-12) & (share < 1 - 1e-12)
-    state = state.select("source", "need", F.when(inside, F.ln(share / (1 - share)) - F.ln(mean / (1 - mean))).alias("tilt"))
+    start = F.when(inside, F.ln(share / (1 - share)) - F.ln(mean / (1 - mean)))
+    state = state.select("source", "need", start.alias("tilt"), F.lit(4.0).alias("most_move"), F.lit(0.0).alias("sign"))
     for step in range(steps):
         rated = _join_source(histogram, state).withColumn("rate", _rate(F.col("base"), F.col("tilt"), most))
         sums = rated.groupBy("source").agg(
-            F.first("need").alias("need"), F.first("tilt").alias("tilt"), F.sum(F.col("rate") * F.col("words")).alias("got"),
+            *(F.first(c).alias(c) for c in ("need", "tilt", "most_move", "sign")), F.sum(F.col("rate") * F.col("words")).alias("got"),
             F.sum(F.col("words") * F.col("rate") * (1 - F.col("rate") / most)).alias("curve"),
         )
-        move = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col("need") - F.col("got")) / F.greatest("curve", F.lit(1e-12))))
-        state = sums.select("source", "need", (F.col("tilt") + move).alias("tilt"), F.try_divide(F.abs(F.col("need") - F.col("got")), "need").alias("off"))
+        sums = sums.withColumn("now", F.signum(F.col("need") - F.col("got")))
+        sums = sums.withColumn("most_move", F.when(F.col("now") * F.col("sign") < 0, F.col("most_move") / 2).otherwise(F.col("most_move")))
+        move = F.greatest(-F.col("most_move"), F.least("most_move", (F.col("need") - F.col("got")) / F.greatest("curve", F.lit(1e-12))))
+        off = F.try_divide(F.abs(F.col("need") - F.col("got")), "need")
+        state = sums.select("source", "need", (F.col("tilt") + move).alias("tilt"), "most_move", F.col("now").alias("sign"), off.alias("off"))
         if step % 3 == 2:
-            told, state = state, keep(state, "tilts")
+            state = keep(state, "tilts")
             if state.where("off > 1e-6").isEmpty():
-                break
-            state = state.drop("off")
-        else:
-            state = state.drop("off")
-    return state.select("source", "tilt")
+                return state.select("source", "tilt")
+    raise ArithmeticError(f"sources are not within a millionth of their targets after {steps} steps")
 
 
 def length_rate(words: Column) -> Column:

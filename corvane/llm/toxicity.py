@@ -188,7 +188,9 @@ def held_out(id_column: str, folds: int) -> str:
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
     """Weights, clean sides and bias. documents, labels: id and text, id and 0/1. Rows of the
     held-out fold, null ids and null labels are not used; an id with several labels
-    takes the largest. The sample's features meet in one task, bounded by `sample`."""
+    takes the largest, one with several texts the least of their features. The sample's
+    features meet in one task: at most `sample` rows of six bytes for each n-gram of a
+    text, of which there are BUCKETS at most."""
     chosen = (
         labels.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("int").alias("label"))
         .where("id is not null and label is not null").where(f"not ({held_out('id', folds)})")
@@ -196,13 +198,13 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds:
         .orderBy(F.xxhash64("id"), "id").limit(sample)
     )
     texts = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
-    texts = texts.join(F.broadcast(chosen), "id").select("label", "text")
+    texts = texts.join(F.broadcast(chosen), "id").select("id", "label", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             found = text_features(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array([b.astype(np.int32).tobytes() for b, _ in found], pa.binary()), pa.array([np.minimum(v, 65535).astype(np.uint16).tobytes() for _, v in found], pa.binary())], names=["label", "buckets", "counts"]
+                [batch.column("id"), batch.column("label"), pa.array([b.astype(np.int32).tobytes() for b, _ in found], pa.binary()), pa.array([np.minimum(v, 65535).astype(np.uint16).tobytes() for _, v in found], pa.binary())], names=["id", "label", "buckets", "counts"]
             )
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +215,9 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds:
         used = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array([used.astype(np.int32).tobytes()]), pa.array([weights[used].tobytes()]), pa.array([clean[used].tobytes()]), pa.array([bias])], names=["used", "weights", "clean", "bias"])
 
-    model = texts.mapInArrow(features, "label int, buckets binary, counts binary").repartition(1).mapInArrow(solve, "used binary, weights binary, clean binary, bias double").first()
+    rows = texts.mapInArrow(features, "id long, label int, buckets binary, counts binary")
+    rows = rows.groupBy("id").agg(F.first("label").alias("label"), F.min(F.struct("buckets", "counts")).alias("f")).select("label", "f.*")
+    model = rows.repartition(1).mapInArrow(solve, "used binary, weights binary, clean binary, bias double").first()
     weights, clean, used = np.zeros(BUCKETS), np.zeros(BUCKETS, bool), np.frombuffer(bytes(model.used), np.int32)
     weights[used], clean[used] = np.frombuffer(bytes(model.weights)), np.frombuffer(bytes(model.clean), bool)
     return weights, clean, model.bias
