@@ -8,11 +8,12 @@ stage makes several passes. The last stage repeats documents by their copies.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import decontamination, jaccard_join, mixing, pii, toxicity
 from corvane.llm.shared import checked_broadcast, forget, keep
+from corvane.operators.tables import numbered
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +65,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.drop("copies", "copy")
     keyed = docs.select(F.struct("*").alias("row"), mixing.row_key().alias("row_key"))
     mixed = keep(mixed, "copies")
-    dealt = keyed.join(mixed, "row_key").withColumn("nth", F.lit(1))
-    if not mixed.where("rows > 1").isEmpty():
-        dealt = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")))
+    dealt = keyed.join(mixed, "row_key")
+    if mixed.where("rows > 1").isEmpty():
+        dealt = dealt.withColumn("nth", F.lit(1))
+    else:  # equal rows take places by ranges, so no task holds them all
+        again = keep(dealt.where("rows > 1").withColumn("_row", F.monotonically_increasing_id()), "repeated")
+        again = numbered(again, [F.col("row_key").asc(), F.col("_row").asc()], "nth", ["row_key"]).drop("_row")
+        dealt = dealt.where("rows = 1").withColumn("nth", F.lit(1).cast("long")).unionByName(again)
     dealt = dealt.withColumn("copies", F.expr("(total * nth) div rows - (total * (nth - 1)) div rows")).where("copies > 0")
     return dealt.select("row.*", "copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
 
