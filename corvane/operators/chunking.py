@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,23 +54,47 @@ def units(df: DataFrame, max_tokens: int, column: str = "text", keep: tuple[str,
 
 def group_sizes(sizes: list[int], target: int, most: int, overlap: int) -> list[tuple[int, int]]:
     """Ranges [first, last) of units: extend while the sum stays within `most`, stop at
-    `target`; the next range goes back over whole units of at most `overlap` tokens,
-    but never to the first one again."""
+    `target`; the next range goes back over whole units of at most `overlap` tokens. Where
+    these would be all units of the range, the next one starts behind it. A unit over
+    `most` is a range of its own: callers tell such texts apart before."""
     out, first = [], 0
     while first < len(sizes):
         last, total = first, 0
-        while last < len(sizes) and total + sizes[last] <= most and (total < target or last == first):
+        while last < len(sizes) and total < target and total + sizes[last] <= most:
             total += sizes[last]
             last += 1
         last = max(last, first + 1)
         out.append((first, last))
-        if last >= len(sizes):
-            break
         back, seen = last, 0
-        while back - 1 > first and seen + sizes[back - 1] <= overlap:
+        while last < len(sizes) and back > first and seen + sizes[back - 1] <= overlap:
             back -= 1
             seen += sizes[back]
-        first = back
+        first = back if back > first else last
+    return out
+
+
+def semantic_sizes(sizes: list[int], alike: list[float], threshold: float, target: int, least: int, most: int, overlap: int) -> list[tuple[int, int]]:
+    """Ranges [first, last) of sentences: a break where the sum would pass `most`, or where
+    a sentence is less like the one before than threshold and the range has `least`
+    tokens. A range then begins with whole sentences of the one before it, of at most
+    `overlap` tokens, if both fit in `most`; one over `most` is split as by group_sizes."""
+    if not sizes:
+        return []
+    starts, total = [0], sizes[0]
+    for i in range(1, len(sizes)):
+        if total + sizes[i] > most or (alike[i] < threshold and total >= least):
+            starts.append(i)
+            total = 0
+        total += sizes[i]
+    out = []
+    for n, (first, last) in enumerate(zip(starts, [*starts[1:], len(sizes)], strict=True)):
+        back, seen, own = first, 0, sum(sizes[first:last])
+        while n and overlap and back > starts[n - 1] and seen + sizes[back - 1] <= overlap:
+            back -= 1
+            seen += sizes[back]
+        back = back if own + seen <= most else first
+        parts = [(0, last - back)] if sum(sizes[back:last]) <= most else group_sizes(sizes[back:last], target, most, overlap)
+        out += [(back + a, back + b) for a, b in parts]
     return out
 
 
@@ -89,46 +114,117 @@ def _in_order(df: DataFrame, keep: list[str], fields: list[str], arrange, schema
 def group_units(df: DataFrame, target: int = 512, most: int = 1024, least: int = 100, overlap: int = 50, keep: tuple[str, ...] = ("section_id",), joiner: str = " ") -> DataFrame:
     """Chunks of each section from its units (in order of place, part): ordinal, text,
     tokens, first and last unit. Sequential in a section, parallel over sections. A
-    last chunk under `least` joins the one before if both fit in `most`."""
+    section with a unit over `most` gives no chunk. `least` is for semantic chunks."""
 
     def arrange(rows: list[dict]) -> list[dict]:
         sizes, texts = [int(r["tokens"]) for r in rows], [r["text"] for r in rows]
-        ranges = group_sizes(sizes, target, most, overlap)
-        if len(ranges) > 1 and sum(sizes[slice(*ranges[-1])]) < least and sum(sizes[ranges[-2][0] : ranges[-1][1]]) <= most:
-            ranges[-2:] = [(ranges[-2][0], ranges[-1][1])]
+        ranges = group_sizes(sizes, target, most, overlap) if max(sizes, default=0) <= most else []
         return [{"ordinal": i, "text": joiner.join(texts[a:b]), "tokens": sum(sizes[a:b]), "first_unit": a, "last_unit": b - 1} for i, (a, b) in enumerate(ranges)]
 
     return _in_order(df, list(keep), ["place", "part", "text", "tokens"], arrange, "ordinal: int, text: string, tokens: int, first_unit: int, last_unit: int")
 
 
-def chunk_fixed(sections: DataFrame, keep: tuple[str, ...] = ("section_id",), **options: int) -> DataFrame:
-    """fixed-v1: sentences, grouped."""
-    parts = sentences(sections, options.get("most", 1024), keep=keep).where("status = 'OK'")
-    return group_units(parts.withColumn("part", F.lit(0)), keep=keep, **options)
-
-
-def chunk_structure(sections: DataFrame, keep: tuple[str, ...] = ("section_id",), **options: int) -> DataFrame:
-    """structure-v1: paragraphs, or their sentences where too long, grouped within a section."""
-    return group_units(units(sections, options.get("most", 1024), keep=keep).where("status = 'OK'"), keep=keep, **options)
-
-
-def chunk_semantic(sections: DataFrame, threshold: float, dim: int = 64, least: int = 100, most: int = 1024, keep: tuple[str, ...] = ("section_id",)) -> DataFrame:
-    """semantic-v1: a new chunk where the sum would pass `most`, or where neighbouring
-    sentences are less alike than threshold and the chunk has `least` tokens."""
-    from .embedding import cosine, hash_embed
-
-    s = hash_embed(sentences(sections, most, keep=keep).where("status = 'OK'"), "text", dim)
-    s = s.withColumn("_before", F.lag("embedding").over(Window.partitionBy(*keep).orderBy("place"))).withColumn("alike", F.when(F.col("_before").isNull(), 1.0).otherwise(cosine("_before", "embedding"))).drop("_before", "embedding")
-
-    def arrange(rows: list[dict]) -> list[dict]:
-        chunks: list[tuple[list[str], int]] = []
-        for r in rows:
-            if not chunks or chunks[-1][1] + r["tokens"] > most or (r["alike"] < threshold and chunks[-1][1] >= least):
-                chunks.append(([], 0))
-            chunks[-1] = ([*chunks[-1][0], r["text"]], chunks[-1][1] + r["tokens"])
-        return [{"ordinal": i, "text": " ".join(t), "tokens": n} for i, (t, n) in enumerate(chunks)]
-
-    return _in_order(s, list(keep), ["place", "text", "tokens", "alike"], arrange, "ordinal: int, text: string, tokens: int")
+_SENTENCE, _PARAGRAPH = r"(?<=[.!?])(?=\s)", r"(?=\R[^\S\n]*\R)"
+
+
+def unit_arrays(sections: DataFrame, strategy: str, most: int, column: str = "text", dim: int = 64) -> DataFrame:
+    """sections with what their units are grouped by: `_tokens`, `_spans` (start and stop
+    of each unit in the text) and, for semantic-v1, `_alike` (likeness of each sentence
+    to the one before). Units are sentences; for structure-v1 paragraphs, or the
+    sentences of those over `most`. All of a section stays in its row: no shuffle."""
+    text = F.coalesce(F.col(column), F.lit(""))
+    pieces = F.split(text, _SENTENCE)
+    if strategy == "structure-v1":
+        pieces = F.flatten(F.transform(F.split(text, _PARAGRAPH), lambda p: F.when(F.regexp_count(p, F.lit(TOKEN)) <= most, F.array(p)).otherwise(F.split(p, _SENTENCE))))
+
+    @F.pandas_udf("array<struct<start: int, stop: int>>")
+    def spans(lengths: pd.Series, leads: pd.Series, bodies: pd.Series) -> pd.Series:
+        def one(length, lead, body) -> list[dict]:
+            starts = np.cumsum(length) - length + lead
+            return [{"start": int(s), "stop": int(s + b)} for s, b in zip(starts, body, strict=True) if b]
+
+        return pd.Series([one(*x) for x in zip(lengths, leads, bodies, strict=True)])
+
+    cut = sections.withColumn("_p", pieces)
+    trimmed = F.transform("_p", lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    lead = F.transform("_p", lambda p: F.length(p) - F.length(F.regexp_replace(p, r"^\s+", "")))
+    cut = cut.withColumn("_spans", spans(F.transform("_p", lambda p: F.length(p)), lead, F.transform(trimmed, lambda p: F.length(p))))
+    cut = cut.withColumn("_p", F.filter(trimmed, lambda p: p != "")).withColumn("_tokens", F.transform("_p", lambda p: F.regexp_count(p, F.lit(TOKEN))))
+    if strategy == "semantic-v1":
+        from .embedding import likeness_to_previous
+
+        cut = cut.withColumn("_alike", likeness_to_previous("_p", dim))
+    return cut.drop("_p")
+
+
+def _ranges(strategy: str, threshold: float, least: int):
+    """UDF of (tokens, alike, target, most, overlap): ranges of units, null if one is
+    over `most`; made when called, as a UDF needs a session. Only numbers go to Python."""
+
+    @F.pandas_udf("array<struct<first: int, last: int, tokens: int>>")
+    def ranges(tokens: pd.Series, alike: pd.Series, target: pd.Series, most: pd.Series, overlap: pd.Series) -> pd.Series:
+        def one(sizes, near, target, most, overlap) -> list[dict] | None:
+            sizes = [int(n) for n in sizes]
+            if max(sizes, default=0) > most:
+                return None
+            found = semantic_sizes(sizes, near, threshold, target, least, most, overlap) if near is not None else group_sizes(sizes, target, most, overlap)
+            return [{"first": a, "last": b, "tokens": sum(sizes[a:b])} for a, b in found]
+
+        return pd.Series([one(*x) for x in zip(tokens, alike, target, most, overlap, strict=True)])
+
+    return ranges
+
+
+def _chunks(sections: DataFrame, strategy: str, keep: tuple[str, ...], target: int, least: int, most: int, overlap: int, threshold: float = 0.0, dim: int = 64) -> DataFrame:
+    units = unit_arrays(sections, strategy, most, dim=dim)
+    alike = F.col("_alike") if strategy == "semantic-v1" else F.lit(None).cast("array<double>")
+    ranged = units.withColumn("_r", _ranges(strategy, threshold, least)("_tokens", alike, F.lit(target), F.lit(most), F.lit(overlap)))
+    each = ranged.where("_r is null or size(_r) > 0").select(*keep, "text", "_spans", F.posexplode_outer("_r").alias("ordinal", "_c"))
+    start, stop = F.col("_spans")[F.col("_c.first")]["start"], F.col("_spans")[F.col("_c.last") - 1]["stop"]
+    return each.select(
+        *keep, F.coalesce("ordinal", F.lit(0)).alias("ordinal"), F.substring("text", start + 1, stop - start).alias("text"), F.col("_c.tokens").alias("tokens"),
+        F.col("_c.first").alias("first_unit"), (F.col("_c.last") - 1).alias("last_unit"), F.when(F.col("_c").isNull(), "UNCHUNKABLE").otherwise("OK").alias("status"),
+    )
+
+
+def chunk_fixed(sections: DataFrame, keep: tuple[str, ...] = ("section_id",), target: int = 512, most: int = 1024, least: int = 100, overlap: int = 50) -> DataFrame:
+    """fixed-v1: sentences, grouped. A chunk's text is the section's from the first unit's
+    start to the last one's end. A section with a sentence over `most` has one row, of the
+    status UNCHUNKABLE; a blank one has none."""
+    return _chunks(sections, "fixed-v1", keep, target, least, most, overlap)
+
+
+def chunk_structure(sections: DataFrame, keep: tuple[str, ...] = ("section_id",), target: int = 512, most: int = 1024, least: int = 100, overlap: int = 50) -> DataFrame:
+    """structure-v1: paragraphs, or their sentences where too long, grouped within a
+    section; else as chunk_fixed."""
+    return _chunks(sections, "structure-v1", keep, target, least, most, overlap)
+
+
+def chunk_semantic(sections: DataFrame, threshold: float, dim: int = 64, least: int = 100, most: int = 1024, keep: tuple[str, ...] = ("section_id",), target: int = 512, overlap: int = 50) -> DataFrame:
+    """semantic-v1: ranges of sentences as by semantic_sizes; else as chunk_fixed."""
+    return _chunks(sections, "semantic-v1", keep, target, least, most, overlap, threshold, dim)
+
+
+def ablation(sections: DataFrame, grid: DataFrame, most: int = 1024, least: int = 100, threshold: float = 0.05, dim: int = 64) -> DataFrame:
+    """sections (text), grid (run_id, strategy, target, overlap) -> per run: sections,
+    chunks, mean_tokens, max_tokens, unchunkable_share (of the sections with units).
+
+    Each strategy's units are found once for a section; the settings are data that join
+    them, so all runs are one plan. The grid is a fixed table of a few rows."""
+    kinds = []
+    for name in ("fixed-v1", "structure-v1", "semantic-v1"):
+        units = unit_arrays(sections, name, most, dim=dim)
+        alike = F.col("_alike") if name == "semantic-v1" else F.lit(None).cast("array<double>")
+        kinds.append(units.select(F.lit(name).alias("strategy"), "_tokens", alike.alias("_alike")))
+    every = kinds[0].union(kinds[1]).union(kinds[2]).where("size(_tokens) > 0").join(F.broadcast(grid), "strategy")
+    ranged = every.withColumn("_r", _ranges("", threshold, least)("_tokens", "_alike", "target", F.lit(most), "overlap"))
+    sums = ranged.select("run_id", F.col("_r").isNull().alias("bad"), F.expr("coalesce(transform(_r, c -> c.tokens), array())").alias("t"))
+    sums = sums.select("run_id", "bad", F.size("t").alias("n"), F.expr("aggregate(t, 0L, (s, x) -> s + x)").alias("total"), F.array_max("t").alias("top"))
+    out = sums.groupBy("run_id").agg(
+        F.count("*").alias("sections"), F.sum("n").alias("chunks"), F.try_divide(F.sum("total"), F.sum("n")).alias("mean_tokens"),
+        F.max("top").alias("max_tokens"), F.avg(F.col("bad").cast("int")).alias("unchunkable_share"),
+    )
+    return out
 
 
 def chunk_tables(tables: DataFrame, most: int) -> DataFrame:

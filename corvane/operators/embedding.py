@@ -17,25 +17,48 @@ def hash_embed(df: DataFrame, column: str, dim: int, kind: str = "passage") -> D
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        known: dict[str, tuple[int, int]] = {}
+        one = _hasher(dim, kind)
+        return texts.map(lambda t: one(t).astype(np.float32))
 
-        def place(word: str) -> tuple[int, int]:
-            if word not in known:
-                digest = hashlib.sha256(word.encode()).digest()
-                known[word] = int.from_bytes(digest[:4], "big") % dim, 1 if digest[4] % 2 == 0 else -1
-            return known[word]
+    return df.withColumn("embedding", embed(column))
 
-        def one(text) -> np.ndarray:
-            vector = np.zeros(dim)
-            for word in f"{kind}:{text or ''}".lower().split():
-                i, sign = place(word)
-                vector[i] += sign
-            norm = np.linalg.norm(vector)
-            return (vector / norm if norm else vector).astype(np.float32)
 
-        return texts.map(one)
+def _hasher(dim: int, kind: str) -> Callable[[str | None], np.ndarray]:
+    """text -> its vector; words met before are looked up."""
+    known: dict[str, tuple[int, int]] = {}
 
-    return df.withColumn("embedding", embed(column))
+    def place(word: str) -> tuple[int, int]:
+        if word not in known:
+            digest = hashlib.sha256(word.encode()).digest()
+            known[word] = int.from_bytes(digest[:4], "big") % dim, 1 if digest[4] % 2 == 0 else -1
+        return known[word]
+
+    def one(text: str | None) -> np.ndarray:
+        vector = np.zeros(dim)
+        for word in f"{kind}:{text or ''}".lower().split():
+            i, sign = place(word)
+            vector[i] += sign
+        norm = np.linalg.norm(vector)
+        return vector / norm if norm else vector
+
+    return one
+
+
+def likeness_to_previous(column: str, dim: int, kind: str = "passage") -> Column:
+    """array of texts -> cosine of each text's hash embedding with that of the one before
+    (the first: 1; of a zero vector: 0)."""
+
+    @F.pandas_udf("array<double>")
+    def alike(lists: pd.Series) -> pd.Series:
+        one = _hasher(dim, kind)
+
+        def row(texts) -> list[float]:
+            vectors = [one(t) for t in texts]
+            return [1.0, *(float(a @ b) for a, b in zip(vectors, vectors[1:]))][: len(vectors)]
+
+        return lists.map(row)
+
+    return alike(column)
 
 
 def hash_embed_native(df: DataFrame, column: str, id_column: str, dim: int, kind: str = "passage") -> DataFrame:

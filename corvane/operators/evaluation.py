@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,6 +206,24 @@ def assemble_trajectories(events: DataFrame, states: DataFrame) -> DataFrame:
     return out.select("trace_id", F.coalesce("latency_ms", F.lit(0)).alias("latency_ms"), "unauthorized", F.when(F.col("expected_class").isNotNull(), F.col("expected_class").eqNullSafe(F.col("actual_class"))).alias("route_correct"), reason.alias("abstain_reason"))
 
 
+#: The grid of the chunking experiment.
+ABLATION = {"strategy": ("fixed", "structure", "semantic"), "targetTokens": (256, 512, 1024), "overlapTokens": (0, 50, 128)}
+
+
+def ablation_plan(spark, controls: dict) -> DataFrame:
+    """run_id, strategy, target, overlap, config_hash of the 27 runs: all settings of
+    ABLATION. The hash is that of the sorted setting with its controls as JSON, so a run
+    keeps its id as long as neither changes."""
+    rows = []
+    for strategy, target, overlap in itertools.product(*ABLATION.values()):
+        if overlap >= target:
+            raise ValueError(f"overlap must be below target: {overlap} >= {target}")
+        setting = {"strategy": strategy, "targetTokens": target, "overlapTokens": overlap, "controls": controls}
+        digest = hashlib.sha256(json.dumps(setting, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        rows.append((f"m25-{strategy}-{target}-{overlap}-{digest[:12]}", f"{strategy}-v1", target, overlap, digest))
+    return spark.createDataFrame(rows, "run_id string, strategy string, target int, overlap int, config_hash string")
+
+
 def ablation_grid(strategies: list[str], targets: list[int], overlaps: list[int]) -> str:
     """SQL of the run grid: overlap below target; the id hashes the sorted setting."""
     rows = [f"('{s}', {t}, {o})" for s in strategies for t in targets for o in overlaps if o < t]

@@ -127,18 +127,11 @@ def _(u):
 
 @query("e19_ablation_run", s=SECTIONS)
 def _(s):
-    from corvane.operators.evaluation import ablation_grid
-
-    grid = s.sparkSession.sql(ablation_grid(["fixed-v1", "structure-v1"], [64, 128], [0, 16]))
-    runs = op.sentences(s, 256).where("status = 'OK'").withColumn("part", F.lit(0)).join(F.broadcast(grid), F.lit(True))  # a grid of a few rows
-    parts = []
-    for row in grid.collect():
-        own = runs.where(F.col("run_id") == row.run_id).drop("strategy", "target", "overlap")
-        parts.append(op.group_units(own, row.target, 2 * row.target, 0, row.overlap, ("run_id", "section_id")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out.groupBy("run_id").agg(F.count("*").alias("chunks"), F.avg("tokens").alias("mean_tokens"), F.max("tokens").alias("max_tokens"))
+    """All 27 settings over all documents in one plan."""
+    from corvane.operators.evaluation import ablation_plan
+
+    controls = {"source_corpus_version": "documents", "tokenizer": "words", "embedding_model": "hash", "embedding_dimension": 64, "seed": 42}
+    return op.ablation(s, ablation_plan(s.sparkSession, controls))
 
 
 VEC = "select vec_id as chunk_id, embedding, label from {embeddings}"
