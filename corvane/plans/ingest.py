@@ -1,8 +1,11 @@
 """I and P: documents as files, pages as raw markup."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corvane.operators import parsing as par
+from corvane.operators.tables import shared_folder
 from corvane.sources import files as op
 
 from .base import QUERIES, query
@@ -42,9 +45,22 @@ def _(c):
     return op.validate_files(rows, 5000, ("text/plain",)).select("uri", "status")
 
 
-@query("i06_file_manifest", "select source, count(*) as files, cast(sum(size) as bigint) as bytes, min(uri) as first_uri, max(uri) as last_uri from c group by 1", c=CUR)
+_DIGEST = "cast(sum(cast(concat('0x', left(sha256(concat(cast(uri as varchar), '|', h)), 15)) as bigint)) as varchar)"
+
+
+@query(
+    "i06_file_manifest",
+    f"""select source, count(*) as files, cast(sum(size) as bigint) as bytes, min(uri) as first_uri, max(uri) as last_uri, {_DIGEST} as digest
+from c group by 1""",
+    c=CUR,
+)
 def _(c):
-    return op.file_manifest(c)
+    return op.file_manifest(c.withColumnRenamed("h", "fingerprint"))
+
+
+@query("i06_file_records", "select source, uri, size, h as fingerprint, row_number() over (order by source, uri, h) as place from c", c=CUR)
+def _(c):
+    return op.file_records(c.withColumnRenamed("h", "fingerprint"))
 
 
 @query("i07_dedupe_by_key", "select source, h, min(uri) as uri from c group by 1, 2", c=CUR)
@@ -60,6 +76,94 @@ def _(d):
     return parsed.toDF(*op.clean_names(parsed.columns))
 
 
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query(
+    "i08_record_files",
+    """select 'csv' as kind, doc_id, upper(lang) as lang_code, false as corrupt from d
+union all select 'jsonl', case when doc_id % 10 > 0 then doc_id end, case when doc_id % 10 > 0 then upper(lang) end, doc_id % 10 = 0 from d
+union all select 'json', doc_id, upper(lang), false from d""",
+    d="select doc_id, lang, source from {documents}",
+)
+def _(d):
+    """Files written as CSV, as JSON lines of which every tenth is cut off, and as JSON
+    documents that hold a source's records in an array, read back by the reader."""
+    spark = d.sparkSession
+    out = _folder(spark)
+    named = d.select(F.col("doc_id").alias("Doc ID"), F.upper("lang").alias("Lang-Code"), "source")
+    named.drop("source").write.option("header", True).csv(f"{out}/csv")
+    line = F.to_json(F.struct("Doc ID", "Lang-Code"))
+    named.select(F.when(F.col("Doc ID") % 10 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(f"{out}/jsonl")
+    by_part = named.groupBy("source", F.floor(F.col("Doc ID") / 2000).alias("part")).agg(F.collect_list(F.struct("Doc ID", "Lang-Code")).alias("records"))
+    by_part.select("records", "source", "part").write.partitionBy("source", "part").json(f"{out}/json")
+    read = []
+    for kind, schema in (("csv", None), ("jsonl", "`Doc ID` bigint, `Lang-Code` string, _corrupt string"), ("json", None)):
+        rows = op.read_records(spark, f"{out}/json/*/*" if kind == "json" else f"{out}/{kind}", kind, schema)
+        corrupt = F.col("_corrupt").isNotNull() if "_corrupt" in rows.columns else F.lit(False)
+        read.append(rows.select(F.lit(kind).alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), "lang_code", corrupt.alias("corrupt")))
+    return read[0].union(read[1]).union(read[2])
+
+
+@query(
+    "i11_read_text_documents",
+    """select 'TXT' as suffix, source, 'PARSED' as status, sha256(string_agg(text || chr(10), '' order by doc_id)) as text_hash, true as same from d group by 2
+union all select 'CSV', source, 'RAW_ONLY', null, null from d group by 2""",
+    d="select doc_id, text, source from {documents}",
+)
+def _(d):
+    """A text file and a file of an unsupported kind for each source, read as bytes."""
+    spark = d.sparkSession
+    out = _folder(spark)
+    d.repartition("source").sortWithinPartitions("source", "doc_id").select("text", "source").write.partitionBy("source").text(f"{out}/text")
+    d.select("source", "doc_id").repartition("source").write.partitionBy("source").csv(f"{out}/other")
+    read = op.read_text_documents(spark, out)
+    source, hashed = F.regexp_extract("uri", "source=([^/]+)", 1), F.sha2("text", 256)
+    return read.select(
+        F.upper(F.regexp_extract("uri", r"\.([a-z]+)$", 1)).alias("suffix"), source.alias("source"), "status", hashed.alias("text_hash"), (hashed == F.col("fingerprint")).alias("same")
+    )
+
+
+_PATHS = "select concat('docs/', lang) as path, doc_id % 50 as record_index, cast(doc_id as varchar(20)) as document_id, text from {documents}"
+
+
+@query("i14_write_documents", "select document_id, md5(text) as h, row_number() over (order by path, record_index, document_id) as place from d", d=_PATHS)
+def _(d):
+    """Written twice, so that the second set takes the first one's place; read in file order."""
+    spark = d.sparkSession
+    out = f"{_folder(spark)}/set"
+    op.write_documents(d.where("record_index = 0"), out)
+    op.write_documents(d, out)
+    return op.read_in_order(spark.read.schema(d.schema).json(out)).select("document_id", F.md5("text").alias("h"), "place")
+
+
+@query(
+    "i17_publish_index",
+    """select 'documents' as table_name, uri as id, upper(h) as value, 2 as version from c
+union all select 'chunks', uri, source, 2 from c""",
+    c=CUR,
+)
+def _(c):
+    """A set, a newer one, one with a conflict and one that comes too late: the second is read."""
+    spark = c.sparkSession
+    out = _folder(spark)
+    documents, chunks = c.select(F.col("uri").alias("id"), F.col("h").alias("value")), c.select(F.col("uri").alias("id"), F.col("source").alias("value"))
+    newer = documents.withColumn("value", F.upper("value"))
+    op.publish_index(spark, {"documents": documents, "chunks": chunks.where("id % 2 = 0")}, [], out)
+    op.publish_index(spark, {"documents": newer, "chunks": chunks}, [], out, after=1)
+    conflicts = op.upsert_checked(newer, documents, ["id"], ["value"])[1]
+    for frames, found, after in (({"documents": documents}, [conflicts], None), ({"documents": documents}, [], 1)):
+        try:
+            op.publish_index(spark, frames, found, out, after)
+        except ValueError:
+            continue
+        raise AssertionError("a set that conflicts was published")
+    version = op.published_version(spark, out)[0]
+    read = [op.read_published(spark, out, t).select(F.lit(t).alias("table_name"), "id", "value", F.lit(version).alias("version")) for t in ("documents", "chunks")]
+    return read[0].union(read[1])
+
+
 @query("i09_normalise_records", "select record_index, case when record_index % 4 = 0 then concat('record-', lpad(cast(record_index as varchar), 6, '0')) else concat('d', record_index) end as id, case when record_index % 3 = 0 then concat('src record ', case when record_index % 4 = 0 then concat('record-', lpad(cast(record_index as varchar), 6, '0')) else concat('d', record_index) end) else source end as title, case when record_index % 5 = 0 then 'en' else lang end as language from d", d="select doc_id as record_index, source, lang, text from {documents}")
 def _(d):
     rows = d.selectExpr("record_index", "if(record_index % 4 = 0, ' ', concat('d', record_index)) as pmid", "if(record_index % 3 = 0, '', source) as name", "text as body", "if(record_index % 5 = 0, cast(null as string), lang) as lang")

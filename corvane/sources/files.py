@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.tables import numbered
+
 
 def list_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """uri, size, modified, mime of the files below a path, without reading them; a
@@ -42,8 +44,21 @@ def validate_files(df: DataFrame, max_bytes: int, types: tuple[str, ...]) -> Dat
 
 
 def file_manifest(df: DataFrame) -> DataFrame:
-    """Files, bytes and a digest of the sorted fingerprints per source."""
-    return df.groupBy("source").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.min("uri").alias("first_uri"), F.max("uri").alias("last_uri"))
+    """df (source, uri, size, fingerprint): files, bytes, first and last uri and a digest
+    per source. The digest adds up 60 bits of each record's SHA-256, so it does not
+    depend on an order and no task gathers a source's records."""
+    record = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("uri").cast("string"), "fingerprint"), 256), 1, 15), 16, 10)
+    return df.groupBy("source").agg(
+        F.count("*").alias("files"), F.sum("size").alias("bytes"), F.min("uri").alias("first_uri"), F.max("uri").alias("last_uri"),
+        F.sum(record.cast("decimal(38,0)")).cast("string").alias("digest"),
+    )
+
+
+def file_records(df: DataFrame) -> DataFrame:
+    """The manifest's records (source, uri, size, fingerprint) with their place in the
+    order of source and uri, nulls first."""
+    slim = df.select("source", "uri", "size", "fingerprint")
+    return numbered(slim, [F.col(c).asc_nulls_first() for c in ("source", "uri", "fingerprint")], "place")
 
 
 def dedupe_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -117,9 +132,33 @@ def license_gate(df: DataFrame, specs: DataFrame, purpose: str) -> DataFrame:
     return df.join(F.broadcast(specs.where(F.array_contains("purposes", purpose)).select("source")), "source", "left_semi")
 
 
+def _filesystem(spark: SparkSession, path: str):
+    """(file system, Path maker) of a path, whatever store it is in."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
 def write_documents(df: DataFrame, path: str) -> None:
-    """JSON lines in canonical order within each file; a failed write leaves nothing."""
-    df.sortWithinPartitions("path", "record_index", "document_id").write.mode("overwrite").json(path)
+    """JSON lines in canonical order (path, record_index, document_id): the order runs over
+    the files by their names and within each. Rows are dealt by ranges, so files are written
+    side by side. The set is staged beside path and takes its place when it is whole; a
+    failed write leaves the old set."""
+    spark, order = df.sparkSession, ("path", "record_index", "document_id")
+    staged, before = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("staged", "before"))
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.json(staged)
+    fs, at = _filesystem(spark, path)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(before)):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(at(staged), at(path)):
+        fs.rename(at(before), at(path))
+        raise OSError(f"{staged} could not take the place of {path}")
+    fs.delete(at(before), True)
+
+
+def read_in_order(df: DataFrame, out: str = "place") -> DataFrame:
+    """df read from files, with each row's place over the files in order of their names."""
+    at = df.select("*", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    return numbered(at, [F.col("_f").asc(), F.col("_b").asc(), F.col("_i").asc()], out).drop("_f", "_b", "_i")
 
 
 def insert_ignore(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,25 +178,81 @@ def upsert_checked(target: DataFrame, new: DataFrame, keys: list[str], compare:
     return merged, conflicts
 
 
-def publish_index(spark: SparkSession, frames: dict[str, DataFrame], conflicts: list[DataFrame], out: str) -> str:
-    """All frames as one new snapshot below out, then the pointer to it: readers see the
-    old set or the new one. Any conflict row stops it before the pointer moves."""
+def published_version(spark: SparkSession, out: str) -> tuple[int, str | None]:
+    """Number and folder of the set that readers see; 0 and None before the first."""
+    fs, at = _filesystem(spark, out)
+    if not fs.exists(at(f"{out}/pointers")):
+        return 0, None
+    names = sorted(f.getPath().getName() for f in fs.listStatus(at(f"{out}/pointers")))
+    if not names:
+        return 0, None
+    number, _, snapshot = names[-1].partition("=")
+    return int(number), f"{out}/{snapshot}"
+
+
+def publish_index(spark: SparkSession, frames: dict[str, DataFrame], conflicts: list[DataFrame], out: str, after: int | None = None) -> str:
+    """All frames as one new snapshot below out, then a pointer to it: readers see the
+    old set or the new one. Any conflict row stops it before anything is written.
+
+    A pointer is an empty file whose name holds a number and the snapshot, so it is there
+    at once or not at all, and the largest number counts. Each number is taken once: a
+    writer claims it by creating a file that must not exist yet. With `after` the set is
+    published only if that number is still the latest; else it lost to another writer."""
     if any(not c.isEmpty() for c in conflicts):
         raise ValueError("conflicting rows; nothing is published")
-    snapshot = f"{out}/snapshot-{uuid.uuid4().hex}"
-    for name, df in frames.items():
-        df.write.parquet(f"{snapshot}/{name}")
-    spark.createDataFrame([(snapshot,)], "path string").coalesce(1).write.mode("overwrite").text(f"{out}/current")
-    return snapshot
+    latest = published_version(spark, out)[0] if after is None else after
+    name = f"snapshot-{uuid.uuid4().hex}"
+    for table, df in frames.items():
+        df.write.parquet(f"{out}/{name}/{table}")
+    fs, at = _filesystem(spark, out)
+    fs.mkdirs(at(f"{out}/claims"))
+    fs.mkdirs(at(f"{out}/pointers"))
+    while published_version(spark, out)[0] == latest or after is None:
+        latest += 1
+        if fs.createNewFile(at(f"{out}/claims/{latest:012d}")):
+            fs.createNewFile(at(f"{out}/pointers/{latest:012d}={name}"))
+            return f"{out}/{name}"
+        if after is not None:
+            break
+    fs.delete(at(f"{out}/{name}"), True)
+    raise ValueError(f"another set was published after number {after}; nothing is published")
 
 
 def read_published(spark: SparkSession, out: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{spark.read.text(f'{out}/current').first().value}/{name}")
-
-
-def read_audit_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
-    """(valid, dead letters) of an event stream: an event needs an id, a time and a key
-    equal to its id. Times are cast from zone-less ones."""
-    raw = spark.readStream.format(fmt).schema(schema).load(path).withColumn("ts", F.col("ts").cast("timestamp"))
-    good = F.coalesce(F.col("event_id").isNotNull() & F.col("ts").isNotNull() & (F.col("key") == F.col("event_id").cast("string")), F.lit(False)) if "key" in raw.columns else F.col("event_id").isNotNull() & F.col("ts").isNotNull()
-    return raw.where(good), raw.where(~good)
+    snapshot = published_version(spark, out)[1]
+    if snapshot is None:
+        raise FileNotFoundError(f"nothing is published below {out}")
+    return spark.read.parquet(f"{snapshot}/{name}")
+
+
+def _audit_reason(columns: list[str]):
+    """Why an event is no valid one: the first of PARTITION (all of a chain's events come
+    through partition 0), UNDECODABLE (no id or no time) and KEY (not the id)."""
+    nothing = F.lit(None).cast("string")
+    elsewhere = F.when(F.coalesce(F.col("partition") != 0, F.lit(True)), "PARTITION") if "partition" in columns else nothing
+    broken = F.when(F.col("event_id").isNull() | F.col("ts").isNull(), "UNDECODABLE")
+    foreign = F.when(~F.col("key").eqNullSafe(F.col("event_id").cast("string")), "KEY") if "key" in columns else nothing
+    return F.coalesce(elsewhere, broken, foreign)
+
+
+def read_audit_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = 1) -> DataFrame:
+    """An event stream with `reason`, null for valid events. Times are cast from zone-less ones."""
+    raw = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(path)
+    raw = raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return raw.withColumn("reason", _audit_reason(raw.columns))
+
+
+def consume_audit(events: DataFrame, valid: str, dead: str, checkpoint: str, chain: str = "user_id") -> None:
+    """One pass over the events of read_audit_stream into two sinks. A chain's valid
+    events stay in one file of each batch, in order of time and id; the others go to the
+    dead letters with their reason. Batches are written by number, so one that is done
+    again after a failure takes the place of its first try."""
+
+    def both(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        good = batch.where("reason is null").drop("reason").repartition(F.col(chain)).sortWithinPartitions(chain, "ts", "event_id")
+        good.write.mode("overwrite").parquet(f"{valid}/batch={number}")
+        batch.where("reason is not null").write.mode("overwrite").parquet(f"{dead}/batch={number}")
+        batch.unpersist()
+
+    events.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

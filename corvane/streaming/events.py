@@ -50,10 +50,38 @@ def window_metrics(events: DataFrame, width: str = "1 hour", slide: str | None =
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "failed", "total")
 
 
-def session_traces(events: DataFrame, gap: str = "10 seconds", slow: float = 100.0, watermark: str = WATERMARK) -> DataFrame:
-    """Traces (by user) closed after a gap, kept if any event failed or was slow."""
-    out = events.withWatermark("ts", watermark).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.max("value").alias("longest"), F.bool_or(F.col("event_type") == "error").alias("failed"))
-    return out.where(F.col("failed") | (F.col("longest") > slow)).select("user_id", F.col("w.start").alias("since"), "n", "longest", "failed")
+def split_late(spans: DataFrame, on_time: str, late: str, tops: str, checkpoint: str, wait: str = "10 seconds", delay: str = WATERMARK) -> None:
+    """One pass over a stream of spans into two sinks: those whose decision is still open,
+    and those that come after it. A span is late if it lies `wait` and more behind the
+    watermark: `delay` before the latest time of the batches before its own, which `tops`
+    keeps. Batches are written by number, so a repeated one takes its first try's place."""
+
+    def both(batch: DataFrame, number: int) -> None:
+        spark, batch = batch.sparkSession, batch.persist()
+        known = spark.createDataFrame([], "number long, top timestamp") if number == 0 else spark.read.parquet(tops)
+        horizon = known.where(F.col("number") < number).agg(F.max("top").alias("top")).select(F.expr(f"top - interval {delay}").alias("horizon"))
+        told = batch.crossJoin(F.broadcast(horizon)).withColumn("late", F.coalesce(F.expr(f"ts + interval {wait} <= horizon"), F.lit(False))).drop("horizon")
+        told.where("not late").drop("late").write.mode("overwrite").parquet(f"{on_time}/batch={number}")
+        told.where("late").drop("late").write.mode("overwrite").parquet(f"{late}/batch={number}")
+        top = batch.agg(F.max("ts").alias("top")).select(F.lit(number).cast("long").alias("number"), "top")
+        top.write.mode("overwrite").parquet(f"{tops}/batch={number}")
+        batch.unpersist()
+
+    spans.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def session_traces(spans: DataFrame, percent: int = 0, wait: str = "10 seconds", slow: float = 1.0, delay: str = WATERMARK) -> DataFrame:
+    """spans (trace_id, event_id, ts, failed, latency), a stream -> trace_id, since,
+    event_id, kept. A trace's spans are decided together once `wait` has passed without
+    another: all are kept if one failed, was slower than `slow`, or the trace falls in a
+    stable share. A session of one trace is small; sessions that are not closed stay in
+    the state."""
+    part = F.conv(F.substring(F.sha2(F.col("trace_id").cast("string"), 256), 1, 8), 16, 10).cast("long") % 100
+    closed = spans.withWatermark("ts", delay).groupBy(F.session_window("ts", wait).alias("w"), "trace_id").agg(
+        F.collect_list("event_id").alias("spans"), F.max("latency").alias("latency"), F.bool_or("failed").alias("failed")
+    )
+    kept = F.col("failed") | (F.col("latency") > slow) | (part < percent)
+    return closed.select("trace_id", F.col("w.start").alias("since"), F.explode("spans").alias("event_id"), F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
 def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
