@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 _CODING = "array<struct<system:string,code:string,display:string>>"
 RESOURCE = (
-    f"struct<resourceType:string,id:string,birthDate:string,gender:string,address:array<struct<postalCode:string>>,extension:array<struct<url:string,valueString:string>>,status:string,"
+    f"struct<resourceType:string,id:string,meta:struct<profile:array<string>>,birthDate:string,gender:string,address:array<struct<postalCode:string>>,extension:array<struct<url:string,valueString:string>>,status:string,"
+    f"class:struct<system:string,code:string>,clinicalStatus:struct<coding:{_CODING}>,medicationReference:struct<reference:string>,effectivePeriod:struct<start:string>,"
+    f"valueCodeableConcept:struct<coding:{_CODING}>,valueString:string,valueBoolean:boolean,valueInteger:bigint,valueDateTime:string,"
     f"subject:struct<reference:string>,code:struct<coding:{_CODING}>,type:array<struct<coding:{_CODING}>>,medicationCodeableConcept:struct<coding:{_CODING}>,"
     "period:struct<start:string>,onsetDateTime:string,authoredOn:string,effectiveDateTime:string,valueQuantity:struct<value:double,unit:string>>"
 )
 BUNDLE = f"resourceType string, type string, fhirVersion string, entry array<struct<resource:{RESOURCE}>>"
-#: Three-digit areas with few residents.
-SMALL_AREAS = ("036", "059", "063", "102", "203", "556", "692", "790", "821", "823", "830", "831", "878", "879", "884", "890", "893")
 
 
 def explode_bundles(df: DataFrame) -> DataFrame:
@@ -37,21 +37,51 @@ def validate_bundles(df: DataFrame) -> DataFrame:
     return found.union(missing).union(patients.join(several, "id").selectExpr("source_id", "'DUPLICATE_PATIENT' as code").distinct())
 
 
-_REQUIRED = {"Patient": ("id", "gender", "birthDate"), "Encounter": ("id", "subject.reference", "period.start"), "Condition": ("id", "subject.reference", "code.coding"), "MedicationRequest": ("id", "subject.reference", "medicationCodeableConcept.coding"), "MedicationStatement": ("id", "subject.reference", "medicationCodeableConcept.coding"), "Observation": ("id", "subject.reference", "code.coding", "status")}
-
-
-def validate_resources(df: DataFrame) -> DataFrame:
-    """issues: missing required fields of the resource's type, joined by '; '; an
-    unknown type is one issue; empty if valid."""
+def _coded(path: str) -> str:
+    return f"exists({path}.coding, c -> c.code <> '')"
+
+
+_SUBJECT = ("subject", "resource.subject is not null")
+_MEDICATION = ("medication", "resource.medicationCodeableConcept is not null or resource.medicationReference is not null")
+_EFFECTIVE = ("effective", "resource.effectiveDateTime <> '' or resource.effectivePeriod is not null")
+_MEDICATION_CODE = ("medicationCodeableConcept.coding.code", _coded("resource.medicationCodeableConcept"))
+_CODE = (("code", "resource.code is not null"), ("code.coding.code", _coded("resource.code")))
+#: What a resource of each type must have, and when it has it, in the order of the issues.
+_REQUIRED = {
+    "Patient": (("birthDate", "resource.birthDate <> ''"), ("gender", "resource.gender <> ''")),
+    "Encounter": (("status", "resource.status <> ''"), ("class", "resource.class is not null"), _SUBJECT, ("period.start", "resource.period.start <> ''")),
+    "Condition": (_SUBJECT, *_CODE, ("clinicalStatus", "resource.clinicalStatus is not null")),
+    "MedicationRequest": (_SUBJECT, _MEDICATION, ("authoredOn", "resource.authoredOn <> ''"), _MEDICATION_CODE),
+    "MedicationStatement": (_SUBJECT, _MEDICATION, _EFFECTIVE, _MEDICATION_CODE),
+    "Observation": (
+        _SUBJECT, *_CODE, _EFFECTIVE,
+        ("value[x]", "coalesce(resource.valueQuantity is not null or resource.valueCodeableConcept is not null or resource.valueString <> '' or resource.valueBoolean is not null or resource.valueInteger is not null or resource.valueDateTime <> '', false)"),
+    ),
+}
+
+
+def validate_resources(df: DataFrame, profile_base: str | None = None) -> DataFrame:
+    """issues of a resource, joined by '; ': an unknown type is the only one; else the id,
+    the profile (where a base is given, meta.profile must include base + type in lower
+    case) and what its type must have. Empty if valid."""
     kind = F.col("resource.resourceType")
-    tests = [F.when((kind == t) & F.col(f"resource.{f}").isNull(), F.lit(f"{t}.{f} is required")) for t, fields in _REQUIRED.items() for f in fields]
-    tests.append(F.when(~F.coalesce(kind.isin(*_REQUIRED), F.lit(False)), F.lit("unsupported resource type")))
-    return df.withColumn("issues", F.concat_ws("; ", F.array_compact(F.array(*tests))))
-
-
-def safe_zip3(zip_code: Column, blank_small: bool = True) -> Column:
+    known = F.coalesce(kind.isin(*_REQUIRED), F.lit(False))
+    profiles = F.coalesce("resource.meta.profile", F.array().cast("array<string>"))
+    tests = [F.when(~F.coalesce(F.col("resource.id") != "", F.lit(False)), F.concat(kind, F.lit(".id is required")))]
+    if profile_base is not None:
+        expected = F.concat(F.lit(profile_base), F.lower(kind))
+        missing = F.concat(kind, F.lit(".meta.profile is required; expected "), expected)
+        tests.append(F.when(F.size(profiles) == 0, missing).when(~F.array_contains(profiles, expected), F.concat(kind, F.lit(".meta.profile must include "), expected)))
+    for name, fields in _REQUIRED.items():
+        tests += [F.when((kind == name) & ~F.coalesce(F.expr(there), F.lit(False)), F.lit(f"{name}.{field} is required")) for field, there in fields]
+    found = F.concat_ws("; ", F.array_compact(F.array(*tests)))
+    return df.withColumn("issues", F.when(known, found).otherwise(F.concat(F.lit("resource type is not importable: "), F.coalesce(kind, F.lit("")))))
+
+
+def safe_zip3(zip_code: Column) -> Column:
+    """The first three digits; null with fewer."""
     digits = F.substring(F.regexp_replace(zip_code, r"[^0-9]", ""), 1, 3)
-    return F.when(F.length(digits) < 3, None).when(F.lit(blank_small) & digits.isin(*SMALL_AREAS), "000").otherwise(digits)
+    return F.when(F.length(digits) == 3, digits)
 
 
 def _reference(column: str) -> Column:

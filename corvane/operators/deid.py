@@ -27,7 +27,7 @@ PATTERNS = {
 #: Names of types that have another name here.
 _ALIASES = {"EMAIL_ADDRESS": "EMAIL", "PHONE_NUMBER": "PHONE", "US_SSN": "SSN", "US_ZIP_CODE": "ZIP", "DATE_TIME": "DATE"}
 #: Three-digit zip areas with few residents.
-SMALL_ZIPS = ("036", "059", "063", "102", "203", "556", "692", "821", "823", "878", "879", "884", "893")
+SMALL_ZIPS = ("036", "059", "063", "102", "203", "556", "692", "821", "823", "878", "879", "884")
 SCORE = 0.95
 #: What a text must hold for a pattern to fit, so that most texts are searched for few.
 _NEEDS = {

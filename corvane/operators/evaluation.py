@@ -197,12 +197,21 @@ def trajectory_gate(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.bool_and(F.col("unauthorized") == 0), F.lit(True)).alias("passed"))
 
 
+#: Endings of a trace and the reason each stands for.
+_REASONS = {
+    "ABSTAINED": "insufficient_evidence", "MAX_STEPS": "max_steps", "TIMEOUT": "timeout", "DEIDENTIFICATION_FAILED": "deidentification_failed",
+    "RECOVERY_REJECTED": "recovery_rejected", "EXECUTION_ERROR": "execution_error",
+}
+
+
 def assemble_trajectories(events: DataFrame, states: DataFrame) -> DataFrame:
     """events (trace_id, phase, duration_ms, tool), states (trace_id, expected_class,
-    actual_class, allowed_tools, termination): one row per trace."""
+    actual_class, allowed_tools, termination): one row per trace. A trace that was ended
+    otherwise than COMPLETED has the reason of its ending; empty if it was."""
     per = events.groupBy("trace_id").agg(F.coalesce(F.sum(F.when(F.col("phase") == "EXIT", F.col("duration_ms"))), F.lit(0)).alias("latency_ms"), F.array_sort(F.collect_list("tool")).alias("tools"))
     out = states.join(per, "trace_id", "left").withColumn("unauthorized", F.filter(F.coalesce("tools", F.array().cast("array<string>")), lambda t: ~F.array_contains("allowed_tools", t)))
-    reason = F.when(F.col("termination") == "TIMEOUT", "TIME_LIMIT").when(F.col("termination") == "ABSTAIN", "NO_EVIDENCE")
+    ended = F.create_map(*(F.lit(x) for pair in _REASONS.items() for x in pair))
+    reason = F.when(F.coalesce("termination", F.lit("COMPLETED")) == "COMPLETED", "").otherwise(ended[F.col("termination")])
     return out.select("trace_id", F.coalesce("latency_ms", F.lit(0)).alias("latency_ms"), "unauthorized", F.when(F.col("expected_class").isNotNull(), F.col("expected_class").eqNullSafe(F.col("actual_class"))).alias("route_correct"), reason.alias("abstain_reason"))
 
 

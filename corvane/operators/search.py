@@ -3,6 +3,7 @@ reranking, citations, query handling."""
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import signals
+
 #: Queries whose vectors are sent to every task at once; more go in several passes.
 QUERY_BLOCK = 4096
 
@@ -275,14 +278,19 @@ def validate_citations(citations: DataFrame, hits: DataFrame) -> DataFrame:
 
 def citation_coverage(assertions: DataFrame, citations: DataFrame, least: float = 0.8) -> DataFrame:
     """assertions (query_id, assertion_id), citations (query_id, assertion_id, valid):
-    share of assertions with a valid citation. With enough of them (or no assertion) any
-    bad citation gives INVALID_CITATION, else VALID; with too few INVALID_CITATION if no
-    citation is valid, else INSUFFICIENT_COVERAGE."""
-    per = citations.groupBy("query_id", "assertion_id").agg(F.bool_or("valid").alias("ok"), F.bool_or(~F.col("valid")).alias("bad"))
-    joined = assertions.join(per, ["query_id", "assertion_id"], "left")
-    sums = joined.groupBy("query_id").agg((F.count_if("ok") / F.count("*")).alias("coverage"), F.coalesce(F.bool_or("bad"), F.lit(False)).alias("bad"), F.coalesce(F.bool_or("ok"), F.lit(False)).alias("any"))
+    share of assertions with a valid citation, for all queries of either table; 1 without
+    assertions. With enough of them any bad citation of the query gives INVALID_CITATION,
+    else VALID; with too few INVALID_CITATION if no citation is valid, else
+    INSUFFICIENT_COVERAGE. A citation that names no assertion of its query covers none,
+    but its being good or bad counts; a null validity is bad."""
+    valid = F.coalesce("valid", F.lit(False))
+    covered = citations.where(valid).select("query_id", "assertion_id").distinct().withColumn("ok", F.lit(True))
+    shares = assertions.select("query_id", "assertion_id").distinct().join(covered, ["query_id", "assertion_id"], "left")
+    shares = shares.groupBy("query_id").agg((F.count_if(F.coalesce("ok", F.lit(False))) / F.count("*")).alias("coverage"))
+    told = citations.groupBy("query_id").agg(F.bool_or(~valid).alias("bad"), F.bool_or(valid).alias("any"))
+    both = shares.join(told, "query_id", "full_outer").fillna({"coverage": 1.0, "bad": False, "any": False})
     status = F.when(F.col("coverage") >= least, F.when(F.col("bad"), "INVALID_CITATION").otherwise("VALID")).when(~F.col("any"), "INVALID_CITATION").otherwise("INSUFFICIENT_COVERAGE")
-    return sums.select("query_id", "coverage", status.alias("status"))
+    return both.select("query_id", "coverage", status.alias("status"))
 
 
 def split_assertions(df: DataFrame, column: str = "answer") -> DataFrame:
@@ -337,13 +345,32 @@ def cache_report(log: DataFrame) -> DataFrame:
     return seen.groupBy("model").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses")).withColumn("ratio", F.col("hits") / (F.col("hits") + F.col("misses")))
 
 
-def classify_queries(df: DataFrame, words: dict[str, tuple[str, ...]]) -> DataFrame:
-    """query_class by whole words: nothing known is OUT_OF_SCOPE; STRUCTURED wins over
-    POLICY and CLINICAL; these two together are MIXED."""
-    def has(kind: str) -> Column:
-        return F.lower("question").rlike(r"(?<![\p{L}])(" + "|".join(words[kind]) + r")(?![\p{L}])")
-
-    return df.withColumn("query_class", F.when(has("STRUCTURED"), "STRUCTURED").when(has("POLICY") & has("CLINICAL"), "MIXED").when(has("POLICY"), "POLICY").when(has("CLINICAL"), "CLINICAL").otherwise("OUT_OF_SCOPE"))
+def has_signal(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether lower-cased text holds one of the words: those of ASCII letters and digits
+    alone with no letter or digit beside them, others anywhere."""
+    single = [w for w in words if w.isascii() and w.isalnum()]
+    tests = [text.contains(w) for w in words if w not in single]
+    if single:
+        tests.append(text.rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(single) + r")(?![\p{L}\p{N}])"))
+    return functools.reduce(lambda a, b: a | b, tests)
+
+
+def classify_queries(df: DataFrame, words: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """query_class of a question. Signs of no kind, of several, or of one beside one that
+    is out of scope are MIXED; OUT_OF_SCOPE needs no other sign; structured words without
+    policy ones are STRUCTURED whatever else there is. A null or blank question is MIXED.
+    words replaces the lists of some kinds (OUT_OF_SCOPE, POLICY, CLINICAL, STRUCTURED)."""
+    lists = {"OUT_OF_SCOPE": signals.OUT_OF_SCOPE, "POLICY": signals.POLICY, "CLINICAL": signals.CLINICAL, "STRUCTURED": signals.STRUCTURED} | (words or {})
+    text = F.lower(F.trim(F.coalesce("question", F.lit(""))))
+    out, policy, clinical, structured = (has_signal(text, lists[k]) for k in ("OUT_OF_SCOPE", "POLICY", "CLINICAL", "STRUCTURED"))
+    for stem in signals.CLINICAL_STEMS if not words else ():
+        clinical = clinical | text.contains(stem)
+    kinds = sum((c.cast("int") for c in (policy, clinical, structured)), F.lit(0))
+    found = (
+        F.when(out & (kinds == 0), "OUT_OF_SCOPE").when(structured & ~policy, "STRUCTURED").when((kinds != 1) | out, "MIXED")
+        .when(policy, "POLICY").when(clinical, "CLINICAL").otherwise("MIXED")
+    )
+    return df.withColumn("query_class", found)
 
 
 def recent_turns(df: DataFrame, n: int, chars: int) -> DataFrame:

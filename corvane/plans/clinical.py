@@ -41,11 +41,85 @@ def _resources(o, l):  # noqa: E741
     return op.validate_resources(op.explode_bundles(bundles(o, l)))
 
 
-@query("l03_validate_resources", f"with ok as ({_OK}) select issues, count(*) as n from (select case when o_custkey % 9 = 0 then 'Patient.gender is required' else '' end as issues from ok union all select '' from ok union all select case when l_linenumber = 7 then 'Observation.status is required' else '' end from l join ok on l_orderkey = o_orderkey union all select 'unsupported resource type' from o where o_orderkey % 40 = 0) group by 1", o=ORDERS, l=LINES)
+@query(
+    "l03_validate_resources",
+    f"""with ok as ({_OK})
+select issues, count(*) as n from (
+  select case when o_custkey % 9 = 0 then 'Patient.gender is required' else '' end as issues from ok
+  union all select 'Condition.clinicalStatus is required' from ok
+  union all select '' from l join ok on l_orderkey = o_orderkey
+  union all select 'resource type is not importable: ' from o where o_orderkey % 40 = 0) group by 1""",
+    o=ORDERS,
+    l=LINES,
+)
 def _(o, l):  # noqa: E741
     return _resources(o, l).groupBy("issues").agg(F.count("*").alias("n"))
 
 
+#: One resource an order: its type by order, and what it lacks by customer.
+_KINDS = ("Patient", "Encounter", "Condition", "MedicationRequest", "MedicationStatement", "Observation", "Device")
+_FIELDS = {
+    "Patient": (('"birthDate":"1950-01-02"', "Patient.birthDate is required"), ('"gender":"other"', "Patient.gender is required")),
+    "Encounter": (
+        ('"status":"finished"', "Encounter.status is required"), ('"class":{"code":"AMB"}', "Encounter.class is required"), ('"subject":{"reference":"Patient/1"}', "Encounter.subject is required"),
+        ('"period":{"start":"2020-01-01"}', "Encounter.period.start is required"),
+    ),
+    "Condition": (
+        ('"subject":{"reference":"Patient/1"}', "Condition.subject is required"), ('"code":{"coding":[{"code":"x"}]}', "Condition.code is required; Condition.code.coding.code is required"),
+        ('"clinicalStatus":{"coding":[{"code":"active"}]}', "Condition.clinicalStatus is required"),
+    ),
+    "MedicationRequest": (
+        ('"subject":{"reference":"Patient/1"}', "MedicationRequest.subject is required"), ('"authoredOn":"2020-01-01"', "MedicationRequest.authoredOn is required"),
+        ('"medicationCodeableConcept":{"coding":[{"code":"x"}]},"medicationReference":{"reference":"Medication/1"}', "MedicationRequest.medication is required; MedicationRequest.medicationCodeableConcept.coding.code is required"),
+    ),
+    "MedicationStatement": (
+        ('"subject":{"reference":"Patient/1"}', "MedicationStatement.subject is required"), ('"effectivePeriod":{"start":"2020-01-01"}', "MedicationStatement.effective is required"),
+        ('"medicationCodeableConcept":{"coding":[{"code":"x"}]}', "MedicationStatement.medication is required; MedicationStatement.medicationCodeableConcept.coding.code is required"),
+    ),
+    "Observation": (
+        ('"subject":{"reference":"Patient/1"}', "Observation.subject is required"), ('"code":{"coding":[{"display":"no code"},{"code":"x"}]}', "Observation.code is required; Observation.code.coding.code is required"),
+        ('"effectiveDateTime":"2020-01-01"', "Observation.effective is required"), ('"valueString":"high"', "Observation.value[x] is required"),
+    ),
+    "Device": (),
+}
+_PROFILE = "https://profiles.example/"
+
+
+def _planted() -> tuple[str, str]:
+    """The resource of an order as JSON, and its issues: a field is lacking where its place
+    is the customer's key modulo five, the id and the profile in every seventh and third."""
+    body, issues = [], []
+    for i, kind in enumerate(_KINDS):
+        fields = _FIELDS[kind]
+        parts = "".join(f", case when o_custkey % 5 = {j} then '' else ',{text}' end" for j, (text, _) in enumerate(fields))
+        start = f"'{{{{\"resourceType\":\"{kind}\"', case when o_orderkey % 7 = 0 then '' else ',\"id\":\"r1\"' end"
+        wanted = _PROFILE + kind.lower()
+        meta = f", case o_orderkey % 3 when 0 then '' when 1 then ',\"meta\":{{{{\"profile\":[\"other\"]}}}}' else ',\"meta\":{{{{\"profile\":[\"other\",\"{wanted}\"]}}}}' end"
+        body.append(f"when {i} then concat({start}{meta}{parts.replace('{', '{{').replace('}', '}}')}, '}}}}')")
+        if kind == "Device":
+            issues.append(f"when {i} then 'resource type is not importable: Device'")
+            continue
+        order = sorted(range(len(fields)), key=lambda j: _ORDERED[kind].index(fields[j][1]))
+        lacking = "".join(f", case when o_custkey % 5 = {j} then '{fields[j][1]}' end" for j in order)
+        told = f"case o_orderkey % 3 when 0 then '{kind}.meta.profile is required; expected {wanted}' when 1 then '{kind}.meta.profile must include {wanted}' end"
+        issues.append(f"when {i} then concat_ws('; ', case when o_orderkey % 7 = 0 then '{kind}.id is required' end, {told}{lacking})")
+    return f"case o_orderkey % 7 {' '.join(body)} end", f"case o_orderkey % 7 {' '.join(issues)} end"
+
+
+_ORDERED = {kind: [message for _, message in fields] for kind, fields in _FIELDS.items()}
+_BODY, _ISSUES = _planted()
+
+
+@query(
+    "l03_validate_planted",
+    f"select o_orderkey as id, {_ISSUES.replace('{{', '{').replace('}}', '}')} as issues from t",
+    t=(f"select o_orderkey as id, {_BODY} as content from {{orders}}", "select o_orderkey, o_custkey from {orders}"),
+)
+def _(t):
+    parsed = t.select("id", F.from_json("content", op.RESOURCE).alias("resource"))
+    return op.validate_resources(parsed, _PROFILE).select("id", "issues")
+
+
 @query("l04_map_patients", f"with ok as ({_OK}), a as (select *, 2000 - (1900 + o_custkey % 100) as age, left(cast(3600 + o_custkey as varchar), 3) as z from ok) select o_orderkey as source_id, cast(o_custkey as varchar) as patient_id, case when age < 90 then 1900 + o_custkey % 100 end as birth_year, case when age >= 90 then '90+' else cast(age as varchar) end as age, case when o_custkey % 9 > 0 then 'other' end as gender, z as zip3 from a", o=ORDERS, l=LINES)
 def _(o, l):  # noqa: E741
     return op.map_patients(op.explode_bundles(bundles(o, l)), "2000-06-01").select("source_id", "patient_id", "birth_year", "age", "gender", "zip3")

@@ -169,10 +169,29 @@ def _(a, b):
 
 
 TRACE_EVENTS = "select user_id as trace_id, case when event_id % 2 = 0 then 'EXIT' else 'ENTER' end as phase, event_id % 100 as duration_ms, event_type as tool from {events} where event_id % 20 = 0 or event_id % 7 = 0"
-STATES = ("select distinct user_id as trace_id, case when user_id % 4 = 0 then null when user_id % 4 = 1 then 'A' else 'B' end as expected_class, case when user_id % 3 = 0 then 'A' else 'B' end as actual_class, array('view', 'click', 'purchase') as allowed_tools, case user_id % 3 when 0 then 'TIMEOUT' when 1 then 'ABSTAIN' else 'DONE' end as termination from {events}",
-          "select distinct user_id as trace_id, case when user_id % 4 = 0 then null when user_id % 4 = 1 then 'A' else 'B' end as expected_class, case when user_id % 3 = 0 then 'A' else 'B' end as actual_class, case user_id % 3 when 0 then 'TIMEOUT' when 1 then 'ABSTAIN' else 'DONE' end as termination from {events}")
-
-
-@query("e22_assemble_trajectories", "with p as (select trace_id, coalesce(sum(duration_ms) filter (phase = 'EXIT'), 0) as latency_ms, coalesce(string_agg(tool, ',' order by tool) filter (tool not in ('view', 'click', 'purchase')), '') as unauthorized from te group by 1) select trace_id, cast(coalesce(latency_ms, 0) as bigint) as latency_ms, coalesce(unauthorized, '') as unauthorized, case when expected_class is not null then expected_class = actual_class end as route_correct, case termination when 'TIMEOUT' then 'TIME_LIMIT' when 'ABSTAIN' then 'NO_EVIDENCE' end as abstain_reason from states left join p using (trace_id)", te=TRACE_EVENTS, states=STATES)
+_ENDING = (
+    "case user_id % 8 when 0 then 'TIMEOUT' when 1 then 'ABSTAINED' when 2 then 'MAX_STEPS' when 3 then 'DEIDENTIFICATION_FAILED'"
+    " when 4 then 'RECOVERY_REJECTED' when 5 then 'EXECUTION_ERROR' when 6 then 'COMPLETED' end as termination"
+)
+_EXPECTED = "case when user_id % 4 = 0 then null when user_id % 4 = 1 then 'A' else 'B' end as expected_class"
+_STATE = f"select distinct user_id as trace_id, {_EXPECTED}, case when user_id % 3 = 0 then 'A' else 'B' end as actual_class, {_ENDING}"
+STATES = (_STATE + ", array('view', 'click', 'purchase') as allowed_tools from {events}", _STATE + " from {events}")
+
+
+@query(
+    "e22_assemble_trajectories",
+    """with p as (
+  select trace_id, coalesce(sum(duration_ms) filter (phase = 'EXIT'), 0) as latency_ms,
+    coalesce(string_agg(tool, ',' order by tool) filter (tool not in ('view', 'click', 'purchase')), '') as unauthorized
+  from te group by 1)
+select trace_id, cast(coalesce(latency_ms, 0) as bigint) as latency_ms, coalesce(unauthorized, '') as unauthorized,
+  case when expected_class is not null then expected_class = actual_class end as route_correct,
+  case coalesce(termination, 'COMPLETED') when 'TIMEOUT' then 'timeout' when 'ABSTAINED' then 'insufficient_evidence' when 'MAX_STEPS' then 'max_steps'
+    when 'DEIDENTIFICATION_FAILED' then 'deidentification_failed' when 'RECOVERY_REJECTED' then 'recovery_rejected'
+    when 'EXECUTION_ERROR' then 'execution_error' when 'COMPLETED' then '' end as abstain_reason
+from states left join p using (trace_id)""",
+    te=TRACE_EVENTS,
+    states=STATES,
+)
 def _(te, states):
     return op.assemble_trajectories(te, states).withColumn("unauthorized", F.array_join("unauthorized", ","))

@@ -49,10 +49,29 @@ def _(requests, rules):
     return op.decide(requests, rules)
 
 
-ASKS = "select conv_id * 100 + turn as id, conv_id % 3 as role, case turn % 4 when 0 then 'CLINICAL' when 1 then 'STRUCTURED' when 2 then 'OUT_OF_SCOPE' else 'POLICY' end as query_class, concat(case when (conv_id + turn) % 3 = 0 then 'How many ' when (conv_id + turn) % 3 = 1 then 'Average ' else '' end, role) as question from {conversations}"
-TOOLS = "select * from (values ('search', 0, 'CLINICAL', false), ('search', 1, 'CLINICAL', false), ('aggregate', 0, 'STRUCTURED', true), ('lookup', 0, 'STRUCTURED', false), ('policy', 2, 'POLICY', false), ('aggregate', 2, 'STRUCTURED', true)) as t(tool, role, query_class, aggregate_only)"
+#: Questions by turn, and whether the rules take them for an aggregate.
+_QUESTIONS = (("How many ", True), ("Average ", True), ("", False), ("The MEDIAN of ", True), ("Discount for ", True), ("Name the ", False), ("Cohorts of ", True), ("Number one ", False))
+_ASK = "case (conv_id + turn) % 8 " + " ".join(f"when {i} then '{q}'" for i, (q, _) in enumerate(_QUESTIONS)) + " end"
+_AGGREGATE = ", ".join(str(i) for i, (_, yes) in enumerate(_QUESTIONS) if yes)
+ASKS = (
+    "select conv_id * 100 + turn as id, conv_id % 3 as role, (conv_id + turn) % 8 as kind, case turn % 5 when 0 then 'CLINICAL' when 1 then 'STRUCTURED'"
+    f" when 2 then 'OUT_OF_SCOPE' when 3 then 'UNKNOWN' else 'POLICY' end as query_class, concat({_ASK}, role) as question from {{conversations}}"
+)
+TOOLS = (
+    "select * from (values ('search', 0, 'CLINICAL', false), ('search', 1, 'CLINICAL', false), ('aggregate', 0, 'STRUCTURED', true), ('lookup', 0, 'STRUCTURED', false),"
+    " ('policy', 2, 'POLICY', false), ('aggregate', 2, 'STRUCTURED', true), ('aggregate', 1, 'STRUCTURED', true), ('search', 0, 'UNKNOWN', false)) as t(tool, role, query_class, aggregate_only)"
+)
 
 
-@query("g09_allowed_tools", "with f as (select distinct id, tool from requests join tools using (role, query_class) where query_class <> 'OUT_OF_SCOPE' and (not aggregate_only or regexp_matches(lower(question), 'count|average|sum|how many'))), t as (select id, string_agg(tool, ',' order by tool) as tools from f group by 1) select id, coalesce(tools, '') as tools from requests left join t using (id)", requests=ASKS, tools=TOOLS)
+@query(
+    "g09_allowed_tools",
+    f"""with f as (
+  select distinct id, tool from requests join tools using (role, query_class)
+  where query_class not in ('OUT_OF_SCOPE', 'UNKNOWN') and (not aggregate_only or kind in ({_AGGREGATE}))),
+t as (select id, string_agg(tool, ',' order by tool) as tools from f group by 1)
+select id, coalesce(tools, '') as tools from requests left join t using (id)""",
+    requests=ASKS,
+    tools=TOOLS,
+)
 def _(requests, tools):
     return op.allowed_tools(requests, tools).withColumn("tools", F.array_join("tools", ","))

@@ -253,8 +253,27 @@ def _(c, h):
     return op.validate_citations(c, h)
 
 
-@query("r19_citation_coverage", "with p as (select query_id, assertion_id, bool_or(valid) as ok, bool_or(not valid) as bad from ci group by 1, 2), s as (select query_id, count(*) filter (ok) / count(*) as coverage, coalesce(bool_or(bad), false) as bad, coalesce(bool_or(ok), false) as any_ok from a left join p using (query_id, assertion_id) group by 1) select query_id, round(coverage, 6) as coverage, case when coverage >= 0.8 and bad or coverage < 0.8 and not any_ok then 'INVALID_CITATION' when coverage < 0.8 then 'INSUFFICIENT_COVERAGE' else 'VALID' end as status from s",
-       a="select o_custkey as query_id, o_orderkey as assertion_id from {orders}", ci="select o_custkey as query_id, o_orderkey as assertion_id, o_orderkey % 50 > 0 as valid from {orders} where o_orderkey % 6 > 0 or o_custkey % 2 = 0")
+#: Every 11th order's citations name no assertion, every 13th query has no assertion.
+_ASSERTED = "select o_custkey as query_id, o_orderkey as assertion_id from {orders} where o_custkey % 13 > 0"
+_CITED = (
+    "select o_custkey as query_id, case when o_orderkey % 11 = 0 then null else o_orderkey end as assertion_id, o_orderkey % 50 > 0 as valid"
+    " from {orders} where o_orderkey % 6 > 0 or o_custkey % 2 = 0"
+)
+
+
+@query(
+    "r19_citation_coverage",
+    """with good as (select distinct query_id, assertion_id from ci where valid),
+s as (select query_id, count(good.assertion_id) / count(*) as coverage from a left join good using (query_id, assertion_id) group by 1),
+t as (select query_id, bool_or(not valid) as bad, bool_or(valid) as any_ok from ci group by 1),
+j as (
+  select query_id, coalesce(coverage, 1.0) as coverage, coalesce(bad, false) as bad, coalesce(any_ok, false) as any_ok from s full join t using (query_id))
+select query_id, round(coverage, 6) as coverage,
+  case when coverage >= 0.8 and bad or coverage < 0.8 and not any_ok then 'INVALID_CITATION' when coverage < 0.8 then 'INSUFFICIENT_COVERAGE' else 'VALID' end as status
+from j""",
+    a=_ASSERTED,
+    ci=_CITED,
+)
 def _(a, ci):
     return op.citation_coverage(a, ci).withColumn("coverage", F.round("coverage", 6))
 
@@ -290,9 +309,37 @@ def _(log):
     return op.cache_report(op.request_key(log, ("user_id", "top_k"), ("filters",))).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("r25_classify_queries", "with w as (select conv_id, turn, regexp_matches(lower(text), '(^|[^\\p{L}])(und|of)($|[^\\p{L}])') as s, regexp_matches(lower(text), '(^|[^\\p{L}])(la|the)($|[^\\p{L}])') as p, regexp_matches(lower(text), '(^|[^\\p{L}])(de|in)($|[^\\p{L}])') as c from t) select conv_id, turn, case when s then 'STRUCTURED' when p and c then 'MIXED' when p then 'POLICY' when c then 'CLINICAL' else 'OUT_OF_SCOPE' end as query_class from w", t="select conv_id, turn, text from {conversations}")
+#: Planted questions with the class that the rules give them, said once for each turn.
+_ASKED = (
+    ("What is the hospital policy", "POLICY"), ("Treatment of FEVER", "CLINICAL"), ("how many rows", "STRUCTURED"), ("count patients with pain", "STRUCTURED"),
+    ("count policies by ward", "MIXED"), ("policy on dosage", "MIXED"), ("tell me a joke", "OUT_OF_SCOPE"), ("thanks, what dose", "MIXED"), ("summary of accounts", "MIXED"),
+    ("undiagnosed cases", "CLINICAL"), ("this is history", "MIXED"), ("hi table", "STRUCTURED"), (" ", "MIXED"), ("drug label", "MIXED"), ("group by ward", "STRUCTURED"),
+    ("a standard of care", "POLICY"),
+)
+_SAID = "case (conv_id + turn) % 16 " + " ".join(f"when {i} then '{q}'" for i, (q, _) in enumerate(_ASKED)) + " end"
+_CLASS = "case (conv_id + turn) % 16 " + " ".join(f"when {i} then '{k}'" for i, (_, k) in enumerate(_ASKED)) + " end"
+
+
+@query("r25_classify_queries", f"select conv_id, turn, {_CLASS} as query_class from t", t=f"select conv_id, turn, {_SAID} as question from {{conversations}}")
+def _(t):
+    return op.classify_queries(t).select("conv_id", "turn", "query_class")
+
+
+#: Four words of the texts' languages as signals: whole texts of all turns.
+_SIGN = "regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])(und|of)($|[^\\p{L}\\p{N}])')"
+
+
+@query(
+    "r25_classify_conversations",
+    f"""with w as (
+  select conv_id, turn, {_SIGN} as s, {_SIGN.replace('und|of', 'la|the')} as p, {_SIGN.replace('und|of', 'de|in')} as c,
+    {_SIGN.replace('und|of', 'with|que')} as o from t)
+select conv_id, turn, case when o and not (s or p or c) then 'OUT_OF_SCOPE' when s and not p then 'STRUCTURED'
+  when s::int + p::int + c::int <> 1 or o then 'MIXED' when p then 'POLICY' else 'CLINICAL' end as query_class from w""",
+    t="select conv_id, turn, text from {conversations}",
+)
 def _(t):
-    words = {"STRUCTURED": ("und", "of"), "POLICY": ("la", "the"), "CLINICAL": ("de", "in")}
+    words = {"STRUCTURED": ("und", "of"), "POLICY": ("la", "the"), "CLINICAL": ("de", "in"), "OUT_OF_SCOPE": ("with", "que")}
     return op.classify_queries(t.withColumnRenamed("text", "question"), words).select("conv_id", "turn", "query_class")
 
 
