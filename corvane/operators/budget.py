@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import forget, keep, numbered
+
+#: Rows of a month or day that one task orders at a time.
+BLOCK = 20_000
 _SEVERITY = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 
 def feedback_queue(df: DataFrame) -> DataFrame:
-    """Pending feedback with its place: safety concerns first, then severity, then age."""
+    """Pending feedback with its place: safety concerns first, then severity, then age.
+    Places come from ranges of the order, so no task holds all that is pending."""
     severity = F.array_position(F.array(*map(F.lit, _SEVERITY)), F.col("severity"))
-    order = Window.partitionBy("status").orderBy(F.when(F.col("kind") == "SAFETY_CONCERN", 0).otherwise(1), severity.desc(), "created_at", "id")
-    return df.where("status = 'PENDING'").withColumn("place", F.row_number().over(order))
+    first = F.when(F.col("kind") == "SAFETY_CONCERN", 0).otherwise(1)
+    pending = df.where("status = 'PENDING'").withColumns({"_first": first, "_severity": -severity})
+    return numbered(pending, [F.col(c).asc() for c in ("_first", "_severity", "created_at", "id")], "place").drop("_first", "_severity")
 
 
 def apply_reviews(feedback: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -52,23 +57,49 @@ def spend_rollup(costs: DataFrame) -> DataFrame:
     return out
 
 
-def demand_totals(costs: DataFrame) -> DataFrame:
-    """Running totals of a day for all, role and user, as if every charge were admitted."""
-    def total(*keys):
-        return F.sum("cost").over(Window.partitionBy("day", *keys).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0))
-
-    return costs.withColumns({"day_total": total(), "role_total": total("role"), "user_total": total("user")})
-
-
-def admit(costs: DataFrame, limits: dict[str, float]) -> DataFrame:
+def demand_totals(costs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Running totals of a day for all, role and user, as if every charge were admitted.
+    A day is cut into blocks of rows; what stands before a block is the sum of the blocks'
+    totals, so no task sums up a whole day."""
+    out = numbered(costs, [F.col("ts").asc(), F.col("id").asc()], "_n", ["day"]).withColumn("_b", F.floor((F.col("_n") - 1) / block))
+    for name, keys in (("day_total", ["day"]), ("role_total", ["day", "role"]), ("user_total", ["day", "user"])):
+        here = F.sum("cost").over(Window.partitionBy(*keys, "_b").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0))
+        earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = out.groupBy(*keys, "_b").agg(F.sum("cost").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(earlier), F.lit(0)))
+        blocks = blocks.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_b").alias("_c"), "_before")
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_b") == F.col("_c")]
+        out = out.join(blocks, same).withColumn(name, here + F.col("_before")).drop("_before", "_c", *(f"_{k}" for k in keys))
+    return out.drop("_n", "_b")
+
+
+def _ledger(key, rows: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
+    """One block of a month in order, from the totals carried into it: a row for each
+    charge, and one for each total that the block adds to."""
+    before = dict(zip(carried["key"], carried["total"], strict=True))
+    spent, added, admitted = dict(before), {}, []
+    for charge in rows.sort_values("n").itertuples():
+        ok = all(spent.get(t["key"], 0.0) + charge.cost <= t["most"] for t in charge.totals)
+        for t in charge.totals if ok else ():
+            spent[t["key"]] = spent.get(t["key"], 0.0) + charge.cost
+            added[t["key"]] = added.get(t["key"], 0.0) + charge.cost
+        admitted.append((charge.id, ok))
+    month, block = key
+    told = [(month, block, i, ok, None, None) for i, ok in admitted] + [(month, block, None, None, k, v) for k, v in added.items()]
+    return pd.DataFrame(told, columns=["month", "block", "id", "admitted", "key", "total"])
+
+
+def admit(costs: DataFrame, limits: dict[str, float], block: int = BLOCK) -> DataFrame:
     """costs (id, ts, day, month, role, user, cost): a charge is admitted iff none of
     the totals of its day and month - for all, role and user - would pass its limit;
-    rejected charges do not count. Null roles and users are keys of their own.
+    rejected charges do not count. Null roles and users are keys of their own. Charges are
+    numbers of at least 0; sums are doubles.
 
     A total whose whole demand stays under its limit can reject nothing, so charges
-    that only such totals cover are admitted without order. The rest of a month is
-    ordered state: its rows stream through one task, sorted by Spark, and of them only
-    the running totals that can pass their limits are kept. Months run in parallel."""
+    that only such totals cover are admitted without order. The rest of a month is cut
+    into blocks of `block` charges in order. All blocks run at once from guessed totals -
+    what was asked for before, up to the limit; what they then add gives the next
+    guesses, and only blocks whose totals have changed run again, until none has. The
+    first blocks settle first, one a round at least, so the last guesses are true."""
     scopes = [(name, limits[name], [p] + ([] if s == "global" else [s])) for p in ("day", "month") for s in ("global", "role", "user") if (name := f"{p}_{s}") in limits]
     marked = costs
     for name, limit, keys in scopes:
@@ -76,28 +107,43 @@ def admit(costs: DataFrame, limits: dict[str, float]) -> DataFrame:
         over = over.select(*(F.col(k).alias(f"_{k}") for k in keys), F.lit(True).alias(f"binds_{name}"))
         same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
         marked = marked.join(over, same, "left").drop(*(f"_{k}" for k in keys))
-    binding = [f"binds_{name}" for name, _, _ in scopes]
-    marked = marked.select("id", "ts", "day", "month", "role", "user", "cost", *(F.coalesce(c, F.lit(False)).alias(c) for c in binding))
-    bound = reduce(lambda x, y: x | y, map(F.col, binding), F.lit(False))
-
-    def ledger(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        month, spent = "", {}
-        for rows in batches:
-            admitted = []
-            for r in rows.itertuples():
-                if r.month != month:
-                    month, spent = r.month, {}
-                totals = [((name, *(getattr(r, k) for k in keys)), limit) for name, limit, keys in scopes if getattr(r, f"binds_{name}")]
-                ok = all(spent.get(key, 0.0) + r.cost <= limit for key, limit in totals)
-                if ok:
-                    for key, _ in totals:
-                        spent[key] = spent.get(key, 0.0) + r.cost
-                admitted.append(ok)
-            yield pd.DataFrame({"id": rows["id"], "admitted": admitted})
-
-    texts = (F.col(k).cast("string").alias(k) for k in ("day", "month", "role", "user"))
-    ordered = marked.where(bound).select("id", "ts", *texts, "cost", *binding).repartition("month").sortWithinPartitions("month", "ts", "id")
-    return marked.where(~bound).select("id", F.lit(True).alias("admitted")).union(ordered.mapInPandas(ledger, "id long, admitted boolean"))
+    said = [F.when(F.col(f"binds_{n}"), F.struct(F.to_json(F.struct(F.lit(n).alias("scope"), *keys)).alias("key"), F.lit(float(m)).alias("most"))) for n, m, keys in scopes]
+    totals = F.array_compact(F.array(*said)) if said else F.array().cast("array<struct<key: string, most: double>>")
+    marked = marked.select("id", "ts", F.col("month").cast("string").alias("month"), F.col("cost").cast("double").alias("cost"), totals.alias("totals"))
+    free = marked.where("size(totals) = 0").select("id", F.lit(True).alias("admitted"))
+    bound = numbered(marked.where("size(totals) > 0"), [F.col("ts").asc(), F.col("id").asc()], "n", ["month"])
+    rows = keep(bound.withColumn("month", F.coalesce("month", F.lit(""))).withColumn("block", F.floor((F.col("n") - 1) / block)), "charges")
+
+    wanted = rows.select("month", "block", "cost", F.inline("totals"))
+    wanted = keep(wanted.groupBy("month", "block", "key").agg(F.sum("cost").alias("asked"), F.first("most").alias("most")), "wanted")
+    earlier = Window.partitionBy("month", "key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(added: DataFrame | None) -> DataFrame:
+        """Totals at the start of each block, of the keys that it holds."""
+        if added is None:
+            sums = wanted.withColumn("total", F.least("most", F.coalesce(F.sum("asked").over(earlier), F.lit(0.0))))
+        else:
+            joined = wanted.join(added, ["month", "block", "key"], "left")
+            sums = joined.withColumn("total", F.coalesce(F.sum(F.coalesce("total", F.lit(0.0))).over(earlier), F.lit(0.0)))
+        return keep(sums.select("month", "block", "key", "total"), "carried")
+
+    known, settled = carried(None), None
+    changed = rows.select("month", "block").distinct()
+    schema = "month string, block long, id long, admitted boolean, key string, total double"
+    while True:
+        again = rows.join(changed, ["month", "block"], "left_semi").groupBy("month", "block")
+        ran = again.cogroup(known.join(changed, ["month", "block"], "left_semi").groupBy("month", "block")).applyInPandas(_ledger, schema)
+        stay = ran if settled is None else ran.union(settled.join(changed, ["month", "block"], "left_anti").select(*ran.columns))
+        told = keep(stay, "settled")
+        guesses = carried(told.where("key is not null").select("month", "block", "key", "total"))
+        moved = guesses.join(known.withColumnRenamed("total", "_was"), ["month", "block", "key"]).where("total <> _was").select("month", "block").distinct()
+        if settled is not None:
+            forget(settled)
+        settled, known = told, guesses
+        changed = keep(moved, "changed")
+        if changed.isEmpty():
+            break
+    return free.union(settled.where("id is not null").select("id", "admitted"))
 
 
 def settle(reservations: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -101,6 +101,7 @@ def test_admission_equals_a_ledger(spark):
             spent[k, v] = spent.get((k, v), 0) + cost * want[i]
     costs = spark.createDataFrame(rows, "id long, ts long, day string, month string, role string, user long, cost long")
     assert {r.id: r.admitted for r in budget.admit(costs, limits).collect()} == want
+    assert {r.id: r.admitted for r in budget.admit(costs, limits, block=23).collect()} == want
     assert 50 < sum(want.values()) < 350
     assert budget.admit(costs.limit(0), limits).count() == 0
     assert budget.admit(costs, {}).where("admitted").count() == 400
