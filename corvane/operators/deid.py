@@ -175,13 +175,66 @@ def context_key(df: DataFrame, key_column: str = "document_key") -> DataFrame:
     return df.withColumn("context_key", F.coalesce(F.nullif(F.trim(key_column), F.lit("")), first["text"]))
 
 
-def deidentify_documents(fields: DataFrame, salt: bytes) -> tuple[DataFrame, DataFrame]:
-    """fields (document_id, field, text): surrogates in every field of a document under
-    one policy. Documents with a null text go to quarantine, whole and without text."""
-    bad = fields.groupBy("document_id").agg(F.bool_or(F.col("text").isNull()).alias("bad"))
-    joined = fields.join(bad, "document_id")
-    good = surrogate(detect_entities(joined.where("not bad"), "text"), salt).select("document_id", "field", "text", "spans")
-    return good, bad.where("bad").select("document_id", F.lit("DEIDENTIFY").alias("stage"), F.lit("field without text").alias("reason"))
+def deidentify_documents(fields: DataFrame, salt: bytes, policy: str = "v1") -> tuple[DataFrame, DataFrame]:
+    """fields (document_id, field, text, and policy if it varies): surrogates in every field
+    of a document, all under the document's id as their key and one policy version. A
+    document with a null text or with several policy versions goes to quarantine, whole
+    and without text."""
+    fields = fields if "policy" in fields.columns else fields.withColumn("policy", F.lit(policy))
+    told = fields.groupBy("document_id").agg(F.bool_or(F.col("text").isNull()).alias("empty"), F.min("policy").alias("policy"), F.max("policy").alias("_other"))
+    several = F.col("policy") != F.col("_other")
+    reason = F.when(F.col("empty"), "field without text").when(F.coalesce(several, F.lit(True)), "inconsistent policy version")
+    told = told.select("document_id", "policy", reason.alias("reason"))
+    kept = fields.drop("policy").join(told.where("reason is null").drop("reason"), "document_id")
+    keyed = kept.withColumn("_key", F.col("document_id").cast("string"))
+    good = surrogate(detect_entities(keyed, "text"), salt, key_column="_key").select("document_id", "field", "text", "spans", "policy")
+    return good, told.where("reason is not null").select("document_id", F.lit("DEIDENTIFY").alias("stage"), "reason")
+
+
+#: A document taken apart: sections (path, heading, level, text), tables (section_path,
+#: caption, headers, rows of cells) and metadata. Addresses of its fields, in that order.
+_FIELDS = """concat(
+  flatten(transform(sections, (s, i) -> array(struct(concat('heading/', i) as field, s.heading as text), struct(concat('text/', i) as field, s.text as text)))),
+  flatten(transform(tables, (t, i) -> concat(
+    array(struct(concat('caption/', i) as field, t.caption as text)),
+    transform(t.headers, (h, j) -> struct(concat('header/', i, '/', j) as field, h as text)),
+    flatten(transform(t.rows, (r, j) -> transform(r, (c, k) -> struct(concat('cell/', i, '/', j, '/', k) as field, c as text))))))),
+  transform(map_entries(metadata), e -> struct(concat('meta/', e.key) as field, e.value as text)))"""
+_SECTIONS = "transform(sections, (s, i) -> struct(s.path as path, told[concat('heading/', i)] as heading, s.level as level, told[concat('text/', i)] as text))"
+_TABLES = """transform(tables, (t, i) -> struct(t.section_path as section_path, told[concat('caption/', i)] as caption,
+  transform(t.headers, (h, j) -> told[concat('header/', i, '/', j)]) as headers,
+  transform(t.rows, (r, j) -> transform(r, (c, k) -> told[concat('cell/', i, '/', j, '/', k)])) as rows))"""
+
+
+def deidentify_nested(documents: DataFrame, salt: bytes, policy: str = "v1") -> tuple[DataFrame, DataFrame]:
+    """documents (document_id, sections, tables, metadata, and policy if it varies) ->
+    (the same documents with surrogates in every heading, text, caption, header, cell and
+    metadata value, with policy and counts by entity type; quarantine).
+
+    Fields are taken apart, de-identified under the document's id, and put back where they
+    were: dates of all fields move alike. Empty arrays and maps stay; null ones are empty.
+    A document with a null field is quarantined, as is an id that occurs twice, for its
+    fields could not be told apart."""
+    whole = documents.withColumns({"sections": F.expr("coalesce(sections, array())"), "tables": F.expr("coalesce(tables, array())"), "metadata": F.expr("coalesce(metadata, map())")})
+    whole = whole if "policy" in documents.columns else whole.withColumn("policy", F.lit(policy))
+    repeated = whole.groupBy("document_id").count().where("count > 1").select("document_id")
+    single = whole.join(repeated, "document_id", "left_anti")
+    fields = single.select("document_id", "policy", F.explode(F.expr(_FIELDS)).alias("f")).select("document_id", "policy", "f.*")
+    good, bad = deidentify_documents(fields, salt)
+    told = good.groupBy("document_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("field", "text"))).alias("told"),
+        F.flatten(F.collect_list(F.transform("spans", lambda s: s["entity_type"]))).alias("types"),
+    )  # one document's own fields
+    back = single.join(told, "document_id", "left").join(bad.select("document_id"), "document_id", "left_anti")
+    told_or_none = F.coalesce("told", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    back = back.withColumn("told", told_or_none).withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
+    counts = F.expr("map_from_entries(transform(array_sort(array_distinct(types)), x -> struct(x, size(filter(types, y -> y = x)))))")
+    rebuilt = back.select(
+        "document_id", F.expr(_SECTIONS).alias("sections"), F.expr(_TABLES).alias("tables"),
+        F.transform_values("metadata", lambda k, v: F.col("told")[F.concat(F.lit("meta/"), k)]).alias("metadata"), "policy", counts.alias("counts"),
+    )
+    twice = repeated.select("document_id", F.lit("DEIDENTIFY").alias("stage"), F.lit("repeated id").alias("reason"))
+    return rebuilt, bad.union(twice)
 
 
 def build_range_map(df: DataFrame) -> DataFrame:

@@ -114,6 +114,55 @@ def _(t):
     return op.deidentify_documents(fields, SALT)[0].groupBy("document_id").agg(F.count("*").alias("fields"))
 
 
+#: Nested documents from the planted fields: every 11th lacks a heading, every 13th was read
+#: under two policies.
+NESTED = PLANTED.replace("case when doc_id % 4 = 0 then '' else concat('k', cast(doc_id % 97 as varchar(9))) end as k", "cast(doc_id as varchar(19)) as k")
+_MOVED = f"cast(cast(cast(d as date) + {_SHIFT} as date) as varchar)"
+_MAIL = f"concat('EMAIL_', left({_hmac("concat('EMAIL:', mail)")}, 16))"
+_AGE = "case when cast(age as int) > 89 then '90+' else age || ' years old' end"
+_ZIP = f"case when left(zip, 3) in ({_ZIPS}) then '000' else left(zip, 3) end"
+
+
+def _nested(t):
+    date, sections, tables = F.col("d"), F.expr(
+        "array(struct('1' as path, if(id % 11 = 0, cast(null as string), concat('Seen ', d)) as heading, 1 as level, concat('mail ', mail, ' and ', d) as text),"
+        " struct('1.1' as path, 'Age' as heading, 2 as level, concat(age, ' years old') as text))"
+    ), F.expr("array(struct('1' as section_path, concat('On ', d) as caption, array('day', concat('zip ', zip)) as headers, array(array(d, 'x'), array(mail, d)) as rows))")
+    return t.select(F.col("id").alias("document_id"), sections.alias("sections"), tables.alias("tables"), F.create_map(F.lit("date"), date, F.lit("lang"), F.col("lang")).alias("metadata"), "id")
+
+
+@query(
+    "d10_nested_documents",
+    f"""select id as document_id, '1|1.1' as paths, concat('Seen ', {_MOVED}) as heading, concat('mail ', {_MAIL}, ' and ', {_MOVED}) as text, {_AGE} as age,
+  concat('On ', {_MOVED}) as caption, concat('day|zip ', {_ZIP}) as headers, concat({_MOVED}, '|x|', {_MAIL}, '|', {_MOVED}) as cells,
+  concat({_MOVED}, '|', lang) as metadata, 'v7' as policy, 'AGE=1,DATE=6,EMAIL=2,ZIP=1' as counts
+from t where id % 11 > 0""",
+    t=NESTED,
+)
+def _(t):
+    good, _ = op.deidentify_nested(_nested(t).drop("id"), SALT, "v7")
+    return good.selectExpr(
+        "document_id", "concat_ws('|', sections.path) as paths", "sections[0].heading as heading", "sections[0].text as text", "sections[1].text as age", "tables[0].caption as caption",
+        "concat_ws('|', tables[0].headers) as headers", "concat_ws('|', flatten(tables[0].rows)) as cells", "concat_ws('|', metadata['date'], metadata['lang']) as metadata", "policy",
+        "concat_ws(',', transform(map_entries(counts), e -> concat(e.key, '=', e.value))) as counts",
+    )
+
+
+@query(
+    "d10_quarantine",
+    """select id as document_id, 'DEIDENTIFY' as stage, case when id % 17 = 0 then 'repeated id' when id % 11 = 0 then 'field without text' else 'inconsistent policy version' end as reason
+from t where id % 11 = 0 or id % 17 = 0 or id % 13 = 0""",
+    t=NESTED,
+)
+def _(t):
+    """Nulls and repeated ids by the nested documents, policies by flat fields."""
+    docs = _nested(t)
+    nested = op.deidentify_nested(docs.union(docs.where("id % 17 = 0")).drop("id"), SALT)[1]
+    fields = docs.where("id % 11 > 0 and id % 17 > 0").select("document_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("field"), F.lit("text").alias("text"))
+    fields = fields.withColumn("policy", F.when((F.col("document_id") % 13 == 0) & (F.col("field") == "b"), "v2").otherwise("v1"))
+    return nested.union(op.deidentify_documents(fields, SALT)[1])
+
+
 @query("d11_build_range_map", t=T)
 def _(t):
     return op.build_range_map(op.detect_entities(t, "text")).select("id", F.explode("segments").alias("s")).select("id", "s.*")
