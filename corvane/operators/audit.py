@@ -43,7 +43,7 @@ def _json(value: str) -> str:
         out = f"replace({out}, '{a}', '{b}')"
     for code in range(32):
         short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}.get(code, f"u{code:04x}")
-        out = f"replace({out}, chr({code}), '\\\\{short}')" if code else out
+        out = f"replace({out}, chr({code}), '\\\\{short}')"
     return f"concat('\"', if({value} rlike '[\\\\x00-\\\\x1F\"\\\\\\\\]', {out}, {value}), '\"')"
 
 

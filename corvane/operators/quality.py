@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import numbered
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
@@ -91,9 +93,9 @@ def stage_violations(df: DataFrame) -> DataFrame:
 
 
 def pending_stage(df: DataFrame, run_id, state: str) -> DataFrame:
-    """Rows of a run in a state, numbered in (source_id, version_id) order."""
+    """Rows of a run in a state, numbered in (source_id, version_id) order by ranges of it."""
     rows = df.where((F.col("run_id") == F.lit(run_id)) & (F.col("status") == state))
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("run_id").orderBy("source_id", "version_id")))
+    return numbered(rows, [F.col("source_id").asc(), F.col("version_id").asc()], "position")
 
 
 def quarantine(df: DataFrame) -> DataFrame:
@@ -109,8 +111,8 @@ def phi_review(chunks: DataFrame) -> DataFrame:
 
 
 def list_queue(df: DataFrame, status: str) -> DataFrame:
-    """Queue entries of a status with their place, oldest first."""
-    return df.where(F.col("status") == status).withColumn("place", F.row_number().over(Window.partitionBy("status").orderBy("created_at", "id")))
+    """Queue entries of a status with their place, oldest first, by ranges of time."""
+    return numbered(df.where(F.col("status") == status), [F.col("created_at").asc(), F.col("id").asc()], "place")
 
 
 def completeness(df: DataFrame, columns: list[str]) -> DataFrame:

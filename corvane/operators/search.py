@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import signals
+from .tables import keep
 
 #: Queries whose vectors are sent to every task at once; more go in several passes.
 QUERY_BLOCK = 4096
@@ -62,7 +63,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     n = asked.count()
     shares = [i * QUERY_BLOCK / n for i in range(1, -(-n // QUERY_BLOCK))]
     ends = asked.agg(F.percentile_approx("query_id", shares, 10_000)).first()[0] if shares else []
-    bounds = [None, *sorted(set(ends)), None]
+    bounds, several = [None, *sorted(set(ends)), None], len(shares) > 0
     schema = "query_id long, chunk_id long, score double"
     source = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").where("embedding is not null")
     out = None
@@ -94,6 +95,9 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], names=["query_id", "chunk_id", "score"])
 
         part = source.mapInArrow(score, schema)
+        if several:  # a block's best are written before the next block comes to the driver
+            part = keep(_ranked(part, k, [F.col("score").desc(), F.col("chunk_id")]).drop("rank"), "block")
+            shared.destroy()
         out = part if out is None else out.union(part)
     return _ranked(out, k, [F.col("score").desc(), F.col("chunk_id")])
 

@@ -54,9 +54,10 @@ def _(ev):
     return op.sustained(bins, 3, 3600)
 
 
-@query("w06_absent", "select distinct user_id from ev where user_id not in (select user_id from ev where value > 60)", ev=EV)
+@query("w06_absent", "select distinct event_id // 5 as key from ev where event_id // 5 not in (select event_id // 5 from ev where value > 60)", ev=EV)
 def _(ev):
-    return op.absent(ev.select("user_id").distinct(), ev.where("value > 60").select("user_id"), ["user_id"])
+    keyed = ev.withColumn("key", F.expr("event_id div 5"))
+    return op.absent(keyed.select("key").distinct(), keyed.where("value > 60").select("key"), ["key"])
 
 
 @query("w07_lag_growth", "with " + _B + ", g as (select bin, avg(lag) over w as mean, regr_slope(lag, bin - 1704067200) over w as slope from b window w as (order by bin range between 10799 preceding and current row)) select bin, round(mean, 6) as mean from g where mean > 45 and slope > 1e-9 and isfinite(slope)", ev=EV)

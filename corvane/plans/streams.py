@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from corvane.operators.tables import shared_folder
 from corvane.sources import files as op_files
 from corvane.streaming import events as op
 
@@ -15,13 +14,7 @@ from .base import ORACLES, QUERIES, query, view
 
 
 def _places(spark) -> tuple[str, str]:
-    """In the shared folder; only if it is unset in the warehouse, or in the temporary
-    folder of a local master."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        base = f"file://{os.path.join(tempfile.gettempdir(), 'corvane-streams')}" if local else spark.conf.get("spark.sql.warehouse.dir")
-    run = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     return f"{run}/out", f"{run}/state"
 
 
@@ -31,13 +24,21 @@ def _stream(spark, sf_dir):
 
 
 def dedupe(spark, sf_dir):
-    """A-05 as a stream."""
-    return op.run_once(op.dedupe_stream(_stream(spark, sf_dir)), *_places(spark)).select("event_id", "event_type")
+    """A-05 as a stream: every seventh event comes again within the watermark, in the same
+    batch or in the next."""
+    out, state = _places(spark)
+    base, events = out.removesuffix("/out"), view(spark, sf_dir, "select event_id, event_type, ts from {events}")
+    top = events.agg(F.max("ts").alias("top"))
+    latest = events.crossJoin(F.broadcast(top)).where("ts > top - interval 5 minutes").drop("top")
+    for rows in (events.union(events.where("event_id % 7 = 0")), latest):
+        rows.write.mode("append").parquet(f"{base}/events")
+        found = op.run_once(op.dedupe_stream(op.event_stream(spark, f"{base}/events", events.schema, 10_000)), out, state)
+    return found.select("event_id", "event_type")
 
 
 def seal(spark, sf_dir):
     """A-06 as a stream; the chains verify like the batch ones."""
-    return op.run_once(op.seal_stream(_stream(spark, sf_dir)), *_places(spark)).select("chain", "seq", "event_id", "content")
+    return op.run_once(op.seal_stream(_stream(spark, sf_dir)), *_places(spark)).select("chain", "seq", "event_id", "content", "prev_hash", "hash")
 
 
 def windows(spark, sf_dir):
@@ -49,7 +50,13 @@ def windows(spark, sf_dir):
 QUERIES["a05_dedupe_stream"] = dedupe
 ORACLES["a05_dedupe_stream"] = "select event_id, event_type from events"
 QUERIES["a06_seal_stream"] = seal
-ORACLES["a06_seal_stream"] = "select user_id as chain, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, event_id, event_type as content from events"
+ORACLES["a06_seal_stream"] = """
+with recursive s as (
+  select user_id as chain, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, event_id, event_type as content from events),
+h as (
+  select chain, seq, event_id, content, '' as prev_hash, sha256('|' || content) as hash from s where seq = 0
+  union all select s.chain, s.seq, s.event_id, s.content, h.hash, sha256(h.hash || '|' || s.content) from h join s on s.chain = h.chain and s.seq = h.seq + 1)
+select * from h"""
 QUERIES["w09_window_stream"] = windows
 
 
