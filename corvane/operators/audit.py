@@ -30,7 +30,10 @@ def validate_payload(df: DataFrame, keys: tuple[str, ...] = PAYLOAD_KEYS) -> Dat
     there and each value is non-blank, one line and at most 256 characters."""
     allowed = ", ".join(f"'{k}'" for k in keys)
     out = df.withColumn("kept", F.expr(f"map_filter(payload, (k, v) -> k in ({allowed}))"))
-    safe = "coalesce(trim(e.value) <> '' and length(e.value) <= 256 and not contains(e.value, chr(10)) and not contains(e.value, chr(13)), false)"
+    safe = (
+        "coalesce(trim(e.value) <> '' and length(e.value) <= 256 and not contains(e.value, chr(10)) and not contains(e.value, "
+        "chr(13)), false)"
+    )
     return out.withColumn("valid", F.expr(f"size(kept) = size(payload) and forall(map_entries(payload), e -> {safe})"))
 
 

@@ -55,7 +55,8 @@ _REQUIRED = {
     "MedicationStatement": (_SUBJECT, _MEDICATION, _EFFECTIVE, _MEDICATION_CODE),
     "Observation": (
         _SUBJECT, *_CODE, _EFFECTIVE,
-        ("value[x]", "coalesce(resource.valueQuantity is not null or resource.valueCodeableConcept is not null or resource.valueString <> '' or resource.valueBoolean is not null or resource.valueInteger is not null or resource.valueDateTime <> '', false)"),
+        ("value[x]", "coalesce(resource.valueQuantity is not null or resource.valueCodeableConcept is not null or resource.valueString <> "
+            "'' or resource.valueBoolean is not null or resource.valueInteger is not null or resource.valueDateTime <> '', false)"),
     ),
 }
 

@@ -69,7 +69,11 @@ def detect_entities(df: DataFrame, column: str, overlaps: bool = False) -> DataF
 
 def resolve_overlaps(df: DataFrame) -> DataFrame:
     """The same rule on a column of spans, without Python."""
-    order = "(a, b) -> case when a.start <> b.start then sign(a.start - b.start) when a.stop <> b.stop then sign(b.stop - a.stop) when a.score <> b.score then sign(b.score - a.score) when a.entity_type < b.entity_type then -1 when a.entity_type > b.entity_type then 1 else 0 end"
+    order = (
+        "(a, b) -> case when a.start <> b.start then sign(a.start - b.start) when a.stop <> b.stop then sign(b.stop - a.stop) "
+        "when a.score <> b.score then sign(b.score - a.score) when a.entity_type < b.entity_type then -1 when a.entity_type > "
+        "b.entity_type then 1 else 0 end"
+    )
     order = order.replace("sign(", "int(sign(")
     order = re.sub(r"int\(sign\(([^()]*)\)", r"int(sign(\1))", order)
     return df.withColumn("spans", F.expr(f"aggregate(array_sort(filter(spans, s -> s.stop > s.start), {order}), struct(cast(array() as {SPANS}) as kept, -1 as last), (acc, s) -> if(s.start >= acc.last, struct(concat(acc.kept, array(s)) as kept, s.stop as last), acc), acc -> acc.kept)"))
@@ -200,7 +204,10 @@ _FIELDS = """concat(
     transform(t.headers, (h, j) -> struct(concat('header/', i, '/', j) as field, h as text)),
     flatten(transform(t.rows, (r, j) -> transform(r, (c, k) -> struct(concat('cell/', i, '/', j, '/', k) as field, c as text))))))),
   transform(map_entries(metadata), e -> struct(concat('meta/', e.key) as field, e.value as text)))"""
-_SECTIONS = "transform(sections, (s, i) -> struct(s.path as path, told[concat('heading/', i)] as heading, s.level as level, told[concat('text/', i)] as text))"
+_SECTIONS = (
+    "transform(sections, (s, i) -> struct(s.path as path, told[concat('heading/', i)] as heading, s.level as level, "
+    "told[concat('text/', i)] as text))"
+)
 _TABLES = """transform(tables, (t, i) -> struct(t.section_path as section_path, told[concat('caption/', i)] as caption,
   transform(t.headers, (h, j) -> told[concat('header/', i, '/', j)]) as headers,
   transform(t.rows, (r, j) -> transform(r, (c, k) -> told[concat('cell/', i, '/', j, '/', k)])) as rows))"""
@@ -240,11 +247,20 @@ def deidentify_nested(documents: DataFrame, salt: bytes, policy: str = "v1") ->
 def build_range_map(df: DataFrame) -> DataFrame:
     """segments (ts, te, ss, se): how the redacted text maps to the source, from spans
     and the length of each replacement ([TYPE])."""
-    plain = "if(s.start > acc.at, array(struct(acc.out as ts, acc.out + s.start - acc.at as te, acc.at as ss, s.start as se)), cast(array() as array<struct<ts:int,te:int,ss:int,se:int>>))"
-    own = "array(struct(acc.out + s.start - acc.at as ts, acc.out + s.start - acc.at + length(s.entity_type) + 2 as te, s.start as ss, s.stop as se))"
+    plain = (
+        "if(s.start > acc.at, array(struct(acc.out as ts, acc.out + s.start - acc.at as te, acc.at as ss, s.start as se)), "
+        "cast(array() as array<struct<ts:int,te:int,ss:int,se:int>>))"
+    )
+    own = (
+        "array(struct(acc.out + s.start - acc.at as ts, acc.out + s.start - acc.at + length(s.entity_type) + 2 as te, s.start "
+        "as ss, s.stop as se))"
+    )
     step = f"struct(concat(acc.segments, {plain}, {own}) as segments, s.stop as at, acc.out + s.start - acc.at + length(s.entity_type) + 2 as out)"
     start = "struct(cast(array() as array<struct<ts:int,te:int,ss:int,se:int>>) as segments, 0 as at, 0 as out)"
-    rest = "if(length(text) > acc.at, concat(acc.segments, array(struct(acc.out as ts, acc.out + length(text) - acc.at as te, acc.at as ss, length(text) as se))), acc.segments)"
+    rest = (
+        "if(length(text) > acc.at, concat(acc.segments, array(struct(acc.out as ts, acc.out + length(text) - acc.at as te, "
+        "acc.at as ss, length(text) as se))), acc.segments)"
+    )
     return df.withColumn("segments", F.expr(f"aggregate(spans, {start}, (acc, s) -> {step}, acc -> {rest})"))
 
 

@@ -236,7 +236,10 @@ def ablation_plan(spark, controls: dict) -> DataFrame:
 def ablation_grid(strategies: list[str], targets: list[int], overlaps: list[int]) -> str:
     """SQL of the run grid: overlap below target; the id hashes the sorted setting."""
     rows = [f"('{s}', {t}, {o})" for s in strategies for t in targets for o in overlaps if o < t]
-    return "select concat('run-', substring(sha2(concat('{\"overlap\":', o, ',\"strategy\":\"', s, '\",\"target\":', t, '}'), 256), 1, 16)) as run_id, s as strategy, t as target, o as overlap from (values " + ", ".join(rows) + ") as g(s, t, o)"
+    return (
+        "select concat('run-', substring(sha2(concat('{\"overlap\":', o, ',\"strategy\":\"', s, '\",\"target\":', t, '}'), "
+        "256), 1, 16)) as run_id, s as strategy, t as target, o as overlap from (values "
+    ) + ", ".join(rows) + ") as g(s, t, o)"
 
 
 def ablation_merge(plan: DataFrame, results: DataFrame) -> DataFrame:

@@ -27,7 +27,8 @@ def quality_snapshot(df: DataFrame) -> DataFrame:
 def quality_metrics(snapshot: DataFrame) -> DataFrame:
     """Long form (batch_id, metric, value): five metrics, 0 when nothing was seen."""
     rates = snapshot.select("batch_id", F.col("total").cast("double").alias("total"), _ratio(F.col("accepted"), F.col("total")).alias("acc"), _ratio(F.col("rejected"), F.col("total")).alias("rej"), F.col("residual_phi").cast("double").alias("res"), F.col("unique_hashes").cast("double").alias("uniq"))
-    return rates.selectExpr("batch_id", "stack(5, 'TOTAL_RECORD_COUNT', total, 'ACCEPTANCE_RATE', acc, 'REJECTION_RATE', rej, 'RESIDUAL_PHI_COUNT', res, 'UNIQUE_CONTENT_HASH_COUNT', uniq) as (metric, value)")
+    return rates.selectExpr("batch_id", "stack(5, 'TOTAL_RECORD_COUNT', total, 'ACCEPTANCE_RATE', acc, 'REJECTION_RATE', rej, 'RESIDUAL_PHI_COUNT', res, "
+        "'UNIQUE_CONTENT_HASH_COUNT', uniq) as (metric, value)")
 
 
 def evaluate_assertions(metrics: DataFrame, rules: DataFrame) -> DataFrame:

@@ -74,7 +74,8 @@ def cover_score(matches: DataFrame) -> DataFrame:
     clause; a stretch begins at the least of those and counts when that has moved on.
     """
     ends = (
-        "array_sort(flatten(transform(found, (f, i) -> transform(f.starts, s -> struct(cast(s + f.width - 1 as int) as e, cast(s as int) as s, cast(i as int) as i)))))"
+        "array_sort(flatten(transform(found, (f, i) -> transform(f.starts, s -> struct(cast(s + f.width - 1 as int) as e, "
+            "cast(s as int) as s, cast(i as int) as i)))))"
     )
     own = "aggregate(found, 0, (n, f) -> n + f.width)"
     # occurrences that end together are one step: low0 and score0 are those before it

@@ -6,16 +6,34 @@ from corvane.operators import clinical as op
 
 from .base import query
 
-ORDERS = "select o_orderkey, o_custkey, o_orderstatus, o_orderpriority, cast(o_orderdate as date) as d, year(o_orderdate) as y from {orders}"
-LINES = "select l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_quantity, year(l_shipdate) as y, cast(l_shipdate as date) as d from {lineitem}"
+ORDERS = (
+    "select o_orderkey, o_custkey, o_orderstatus, o_orderpriority, cast(o_orderdate as date) as d, year(o_orderdate) as y "
+    "from {orders}"
+)
+LINES = (
+    "select l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_quantity, year(l_shipdate) as y, cast(l_shipdate as "
+    "date) as d from {lineitem}"
+)
 
 
 def bundles(orders, lines):
     """JSON bundles from orders and line items; every 40th is broken."""
     ref = "named_struct('reference', concat('Patient/', cast(o_custkey as string)))"
-    observations = lines.groupBy("l_orderkey").agg(F.collect_list(F.expr("named_struct('resource', named_struct('resourceType', 'Observation', 'id', concat(l_orderkey, '-', l_linenumber), 'status', if(l_linenumber = 7, cast(null as string), 'final'), 'gender', cast(null as string), 'birthDate', cast(null as string), 'subject', named_struct('reference', 'Patient/0'), 'code', named_struct('coding', array(named_struct('system', 'flag', 'code', l_returnflag))), 'effectiveDateTime', cast(d as string), 'onsetDateTime', cast(null as string), 'address', cast(null as array<struct<postalCode:string>>), 'valueQuantity', named_struct('value', l_quantity, 'unit', l_linestatus)))")).alias("obs"))
+    observations = lines.groupBy("l_orderkey").agg(F.collect_list(F.expr("named_struct('resource', named_struct('resourceType', 'Observation', 'id', concat(l_orderkey, '-', l_linenumber), "
+        "'status', if(l_linenumber = 7, cast(null as string), 'final'), 'gender', cast(null as string), 'birthDate', cast(null "
+        "as string), 'subject', named_struct('reference', 'Patient/0'), 'code', named_struct('coding', "
+        "array(named_struct('system', 'flag', 'code', l_returnflag))), 'effectiveDateTime', cast(d as string), "
+        "'onsetDateTime', cast(null as string), 'address', cast(null as array<struct<postalCode:string>>), 'valueQuantity', "
+        "named_struct('value', l_quantity, 'unit', l_linestatus)))")).alias("obs"))
     joined = orders.join(observations, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    patient = "named_struct('resource', named_struct('resourceType', 'Patient', 'id', cast(o_custkey as string), 'status', cast(null as string), 'gender', if(o_custkey % 9 = 0, cast(null as string), 'other'), 'birthDate', concat(cast(1900 + o_custkey % 100 as string), '-05-17'), 'subject', cast(null as struct<reference:string>), 'code', cast(null as struct<coding:array<struct<system:string,code:string>>>), 'effectiveDateTime', cast(null as string), 'onsetDateTime', cast(null as string), 'address', array(named_struct('postalCode', cast(3600 + o_custkey as string))), 'valueQuantity', cast(null as struct<value:double,unit:string>)))"
+    patient = (
+        "named_struct('resource', named_struct('resourceType', 'Patient', 'id', cast(o_custkey as string), 'status', cast(null "
+        "as string), 'gender', if(o_custkey % 9 = 0, cast(null as string), 'other'), 'birthDate', concat(cast(1900 + o_custkey "
+        "% 100 as string), '-05-17'), 'subject', cast(null as struct<reference:string>), 'code', cast(null as "
+        "struct<coding:array<struct<system:string,code:string>>>), 'effectiveDateTime', cast(null as string), 'onsetDateTime', "
+        "cast(null as string), 'address', array(named_struct('postalCode', cast(3600 + o_custkey as string))), "
+        "'valueQuantity', cast(null as struct<value:double,unit:string>)))"
+    )
     condition = f"named_struct('resource', named_struct('resourceType', 'Condition', 'id', concat('c', o_orderkey), 'status', o_orderstatus, 'gender', cast(null as string), 'birthDate', cast(null as string), 'subject', {ref}, 'code', named_struct('coding', array(named_struct('system', 'prio', 'code', o_orderpriority))), 'effectiveDateTime', cast(null as string), 'onsetDateTime', cast(d as string), 'address', cast(null as array<struct<postalCode:string>>), 'valueQuantity', cast(null as struct<value:double,unit:string>)))"
     entry = f"concat(array({patient}, {condition}), coalesce(obs, array()))"
     body = F.expr(f"to_json(named_struct('resourceType', 'Bundle', 'type', if(o_orderkey % 30 = 0, 'batch', 'collection'), 'fhirVersion', if(o_orderkey % 35 = 0, '3.0', '4.0.1'), 'entry', {entry}))")
@@ -136,17 +154,33 @@ def _(o, l):  # noqa: E741
     return op.map_observations(op.explode_bundles(bundles(o, l.join(once, ["l_orderkey", "l_linenumber"])))).select("source_id", "resource_id", "code", "year", "value", "unit")
 
 
-@query("l06_clinical_quarantine", f"with ok as ({_OK}), q as (select 'PARSE' as stage, 'PARSE_FAILED' as reason from o where o_orderkey % 40 = 0 union all select 'PROFILE_VALIDATION', 'Patient.gender is required' from ok where o_custkey % 9 = 0 union all select 'PROFILE_VALIDATION', 'Observation.status is required' from l join ok on l_orderkey = o_orderkey where l_linenumber = 7) select stage, reason, count(*) as n from q group by 1, 2", o=ORDERS, l=LINES)
+#: The bundles' patients may lack a gender, and their conditions have no clinical status.
+@query(
+    "l06_clinical_quarantine",
+    f"""with ok as ({_OK}), q as (
+  select 'PARSE' as stage, 'PARSE_FAILED' as reason from o where o_orderkey % 40 = 0
+  union all select 'PROFILE_VALIDATION', 'Patient.gender is required' from ok where o_custkey % 9 = 0
+  union all select 'PROFILE_VALIDATION', 'Condition.clinicalStatus is required' from ok)
+select stage, reason, count(*) as n from q group by 1, 2""",
+    o=ORDERS,
+    l=LINES,
+)
 def _(o, l):  # noqa: E741
     return op.clinical_quarantine(_resources(o, l)).groupBy("stage", "reason").agg(F.count("*").alias("n"))
 
 
-@query("l07_import_run", "select (select count(distinct o_custkey) from o where o_orderkey % 2 = 1 and o_custkey not in (select o_custkey from o where o_orderkey % 2 = 0)) as inserted, (select count(*) from o where o_orderkey % 2 = 1) as accepted, (select count(*) from o where o_orderkey % 40 = 0) as quarantined", o=ORDERS)
+@query("l07_import_run", "select (select count(distinct o_custkey) from o where o_orderkey % 2 = 1 and o_custkey not in (select o_custkey from "
+    "o where o_orderkey % 2 = 0)) as inserted, (select count(*) from o where o_orderkey % 2 = 1) as accepted, (select "
+    "count(*) from o where o_orderkey % 40 = 0) as quarantined", o=ORDERS)
 def _(o):
     return op.import_run(o.where("o_orderkey % 2 = 1"), o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 40 = 0"), ["o_custkey"])
 
 
-COND = "select o_orderkey % 3 as source_id, o_custkey as patient_id, 'prio' as code_system, o_orderpriority as code, o_orderstatus as status, year(o_orderdate) as year, o_orderstatus as unit, 'dept' as type_system, substr(o_orderpriority, 1, 1) as type_code, year(o_orderdate) as start_year from {orders}"
+COND = (
+    "select o_orderkey % 3 as source_id, o_custkey as patient_id, 'prio' as code_system, o_orderpriority as code, "
+    "o_orderstatus as status, year(o_orderdate) as year, o_orderstatus as unit, 'dept' as type_system, "
+    "substr(o_orderpriority, 1, 1) as type_code, year(o_orderdate) as start_year from {orders}"
+)
 
 
 def _counts_sql(dims: str, k: int) -> str:
@@ -173,7 +207,10 @@ def _(c):
     return op.research_view(op.observation_counts(c, 1), {"unit": "F"}, ("code_system", "code", "unit", "year"), 12)
 
 
-@query("l12_k_anonymise", "with v as (select patient_id % 400 as code, count(distinct (source_id, patient_id)) as patient_count from c group by 1) select code, patient_count, (select count(*) from v where patient_count < 9) as suppressed, (select count(*) from v where patient_count >= 9) > 100 as truncated from v where patient_count >= 9 order by patient_count desc, code limit 100", c=COND)
+@query("l12_k_anonymise", "with v as (select patient_id % 400 as code, count(distinct (source_id, patient_id)) as patient_count from c group by "
+    "1) select code, patient_count, (select count(*) from v where patient_count < 9) as suppressed, (select count(*) from "
+    "v where patient_count >= 9) > 100 as truncated from v where patient_count >= 9 order by patient_count desc, code "
+    "limit 100", c=COND)
 def _(c):
     small = op.patient_counts(c.withColumn("code", F.col("patient_id") % 400), ["code"], 1).drop("row_count")
     return op.k_anonymise(small, 9, "RESEARCHER", max_rows=100)

@@ -36,7 +36,8 @@ def _(t):
     return raw.select("id", F.explode("spans").alias("s")).select("id", "s.entity_type", "s.start", "s.stop")
 
 
-@query("d03_canonical_type", "select event_id, case event_type when 'click' then 'EMAIL' when 'view' then 'PHONE' when 'error' then 'ZIP' when 'signup' then 'LOCATION' else upper(event_type) end as t from e", e="select event_id, event_type from {events}")
+@query("d03_canonical_type", "select event_id, case event_type when 'click' then 'EMAIL' when 'view' then 'PHONE' when 'error' then 'ZIP' when "
+    "'signup' then 'LOCATION' else upper(event_type) end as t from e", e="select event_id, event_type from {events}")
 def _(e):
     raw = F.when(F.col("event_type") == "click", "email_address").when(F.col("event_type") == "view", "PHONE_NUMBER").when(F.col("event_type") == "error", "us_zip_code").when(F.col("event_type") == "signup", "Location").otherwise(F.col("event_type"))
     return e.select("event_id", op.canonical_type(raw).alias("t"))
@@ -49,8 +50,10 @@ def _(t):
 
 
 #: One span of each kind in a text, from the document's own columns.
-PLANTED = """select doc_id as id, case when doc_id % 4 = 0 then '' else concat('k', cast(doc_id % 97 as varchar(9))) end as k, concat('w', cast(doc_id as varchar(19)), '@ex.org') as mail,
-cast(date '2020-01-01' + cast(doc_id % 900 as int) as varchar(10)) as d, cast(doc_id % 120 as varchar(9)) as age, lpad(cast(doc_id * 7 % 99999 as varchar(9)), 5, '0') as zip, lang from {documents}"""
+PLANTED = """select doc_id as id, case when doc_id % 4 = 0 then '' else concat('k', cast(doc_id % 97 as varchar(9))) end as k, concat('w',
+  cast(doc_id as varchar(19)), '@ex.org') as mail,
+cast(date '2020-01-01' + cast(doc_id % 900 as int) as varchar(10)) as d, cast(doc_id % 120 as varchar(9)) as age, lpad(cast(doc_id
+  * 7 % 99999 as varchar(9)), 5, '0') as zip, lang from {documents}"""
 _SHIFT = f"cast(cast(concat('0x', left({_hmac("concat('date-shift:', k)")}, 8)) as bigint) % 731 - 365 as int)"
 _ZIPS = ", ".join(f"'{z}'" for z in ("036", "059", "063", "102", "203", "556", "692", "821", "823", "878", "879", "884"))
 _FIRST = f"concat(lang, ' mail EMAIL_', left({_hmac("concat('EMAIL:', mail)")}, 16), ' on ')"
@@ -68,7 +71,10 @@ def _(t):
     return op.surrogate(op.detect_entities(t, "text"), SALT).select("id", F.md5("text").alias("h"))
 
 
-DATES = "select o_orderkey as id, cast(cast(o_orderdate as date) as varchar(10)) as d, case when o_orderkey % 5 = 0 then '' else cast(o_custkey as varchar(20)) end as k, o_orderkey % 9 as style from {orders}"
+DATES = (
+    "select o_orderkey as id, cast(cast(o_orderdate as date) as varchar(10)) as d, case when o_orderkey % 5 = 0 then '' "
+    "else cast(o_custkey as varchar(20)) end as k, o_orderkey % 9 as style from {orders}"
+)
 _STYLES = {
     0: "%Y-%m-%d", 1: "%m/%d/%Y", 2: "%m/%d/%y", 3: "%m-%d-%Y", 4: "%m-%d-%y", 5: "%Y/%m/%d", 6: "%B %d, %Y", 7: "%b %d, %Y",
 }
@@ -102,7 +108,8 @@ def _(t):
     return t.select("id", op.zip3("if(id % 11 = 0, substring(z, 1, 4), concat('zip ', z, '-1234'))").alias("zip"))
 
 
-@query("d09_context_key", "select id, case when id % 3 = 0 then concat('K', id) when id % 3 = 1 then concat('MRN ', 10000 + id) end as context_key from t", t=T)
+@query("d09_context_key", "select id, case when id % 3 = 0 then concat('K', id) when id % 3 = 1 then concat('MRN ', 10000 + id) end as "
+    "context_key from t", t=T)
 def _(t):
     keyed = t.withColumn("document_key", F.when(F.col("id") % 3 == 0, F.concat(F.lit("K"), "id")).otherwise("")).withColumn("text", F.when(F.col("id") % 3 == 1, F.concat(F.lit("see MRN "), (F.col("id") + 10000).cast("string"))).otherwise("none"))
     return op.context_key(op.detect_entities(keyed, "text")).select("id", "context_key")
@@ -125,9 +132,11 @@ _ZIP = f"case when left(zip, 3) in ({_ZIPS}) then '000' else left(zip, 3) end"
 
 def _nested(t):
     date, sections, tables = F.col("d"), F.expr(
-        "array(struct('1' as path, if(id % 11 = 0, cast(null as string), concat('Seen ', d)) as heading, 1 as level, concat('mail ', mail, ' and ', d) as text),"
+        "array(struct('1' as path, if(id % 11 = 0, cast(null as string), concat('Seen ', d)) as heading, 1 as level, "
+            "concat('mail ', mail, ' and ', d) as text),"
         " struct('1.1' as path, 'Age' as heading, 2 as level, concat(age, ' years old') as text))"
-    ), F.expr("array(struct('1' as section_path, concat('On ', d) as caption, array('day', concat('zip ', zip)) as headers, array(array(d, 'x'), array(mail, d)) as rows))")
+    ), F.expr("array(struct('1' as section_path, concat('On ', d) as caption, array('day', concat('zip ', zip)) as headers, "
+        "array(array(d, 'x'), array(mail, d)) as rows))")
     return t.select(F.col("id").alias("document_id"), sections.alias("sections"), tables.alias("tables"), F.create_map(F.lit("date"), date, F.lit("lang"), F.col("lang")).alias("metadata"), "id")
 
 
@@ -150,7 +159,8 @@ def _(t):
 
 @query(
     "d10_quarantine",
-    """select id as document_id, 'DEIDENTIFY' as stage, case when id % 17 = 0 then 'repeated id' when id % 11 = 0 then 'field without text' else 'inconsistent policy version' end as reason
+    """select id as document_id, 'DEIDENTIFY' as stage, case when id % 17 = 0 then 'repeated id'
+  when id % 11 = 0 then 'field without text' else 'inconsistent policy version' end as reason
 from t where id % 11 = 0 or id % 17 = 0 or id % 13 = 0""",
     t=NESTED,
 )
@@ -199,8 +209,10 @@ _SENS_PARTS = {
     "SOCIAL_SECURITY_NUMBER": "(^|[^\\d])\\d{3}-\\d{2}-\\d{4}($|[^\\d])",
 }
 #: Texts with one planted span of each category in turn, in ASCII so that word edges agree.
-SENS_T = """select doc_id as id, concat(case doc_id % 9 when 0 then 'has phi inside' when 1 then 'mrn: A12-9' when 2 then 'saw mr Smith' when 3 then 'on March 3rd, 2024' when 4 then 'address: 12 long road'
-when 5 then 'to joe@ex.org' when 6 then 'call +1 (212) 555-1234' when 7 then 'no 123-45-6789' else 'nothing' end, ' ', cast(doc_id % 7 as varchar(3)), lang) as text from {documents}"""
+SENS_T = """select doc_id as id, concat(case doc_id % 9 when 0 then 'has phi inside' when 1 then 'mrn: A12-9' when 2 then 'saw mr Smith'
+  when 3 then 'on March 3rd, 2024' when 4 then 'address: 12 long road'
+when 5 then 'to joe@ex.org' when 6 then 'call +1 (212) 555-1234'
+  when 7 then 'no 123-45-6789' else 'nothing' end, ' ', cast(doc_id % 7 as varchar(3)), lang) as text from {documents}"""
 _SENS = "concat_ws(',', " + ", ".join(f"case when regexp_matches(text, '{p}') then '{k}' end" for k, p in _SENS_PARTS.items()) + ")"
 
 
@@ -240,6 +252,8 @@ def _(t):
     return op.egress_decisions(rows, {"model": True, "blocked": False}, {"PUBLIC": True, "PHI": False})
 
 
-@query("d18_scan_lines", "with l as (select id, unnest(string_split(text, chr(10))) as content, unnest(range(len(string_split(text, chr(10))))) + 1 as line from t) select id, line::int as line, 'LICENSE' as rule from l where contains(lower(content), 'license') union all select id, line::int, 'SECRET' from l where regexp_matches(content, '(?i)token\\s*=')", t=T)
+@query("d18_scan_lines", "with l as (select id, unnest(string_split(text, chr(10))) as content, unnest(range(len(string_split(text, chr(10))))) "
+    "+ 1 as line from t) select id, line::int as line, 'LICENSE' as rule from l where contains(lower(content), 'license') "
+    "union all select id, line::int, 'SECRET' from l where regexp_matches(content, '(?i)token\\s*=')", t=T)
 def _(t):
     return op.scan_lines(t, {"LICENSE": "(?i)license", "SECRET": r"(?i)token\s*="})

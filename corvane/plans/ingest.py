@@ -11,7 +11,10 @@ from corvane.sources import files as op
 from .base import QUERIES, query
 
 CUR = "select source, doc_id as uri, text, md5(text) as h, length(text) as size from {documents}"
-VERSIONS = "select concat('src', cast(user_id % 20 as varchar(9))) as source, user_id as uri, md5(cast(value as varchar(40))) as fingerprint, ts as retrieved_at, event_id as id from {events}".replace("md5(cast(value as varchar(40)))", "md5(event_type)")
+VERSIONS = (
+    "select concat('src', cast(user_id % 20 as varchar(9))) as source, user_id as uri, md5(cast(value as varchar(40))) as "
+    "fingerprint, ts as retrieved_at, event_id as id from {events}"
+).replace("md5(cast(value as varchar(40)))", "md5(event_type)")
 
 
 def list_documents_file(spark, sf_dir):
@@ -32,14 +35,16 @@ def _(v):
     return op.latest_fingerprint(v)
 
 
-@query("i04_classify_changes", "select uri, case when uri % 11 = 0 then 'NEW' when uri % 7 = 0 then 'CHANGED' else 'UNCHANGED' end as change, uri % 11 = 0 or uri % 7 = 0 as should_process from c", c=CUR)
+@query("i04_classify_changes", "select uri, case when uri % 11 = 0 then 'NEW' when uri % 7 = 0 then 'CHANGED' else 'UNCHANGED' end as change, uri % "
+    "11 = 0 or uri % 7 = 0 as should_process from c", c=CUR)
 def _(c):
     now = op.fingerprint(c, "text").select("source", "uri", "fingerprint")
     before = now.where("uri % 11 <> 0").withColumn("fingerprint", F.when(F.col("uri") % 7 == 0, "0").otherwise(F.upper("fingerprint")))
     return op.classify_changes(now, before).select("uri", "change", "should_process")
 
 
-@query("i05_validate_files", "select uri, case when size = 0 then 'EMPTY' when size > 5000 then 'TOO_LARGE' when uri % 6 = 0 then 'TYPE' when uri % 8 = 0 then 'FINGERPRINT' else 'OK' end as status from c", c=CUR)
+@query("i05_validate_files", "select uri, case when size = 0 then 'EMPTY' when size > 5000 then 'TOO_LARGE' when uri % 6 = 0 then 'TYPE' when uri % "
+    "8 = 0 then 'FINGERPRINT' else 'OK' end as status from c", c=CUR)
 def _(c):
     rows = c.selectExpr("uri", "size", "if(uri % 6 = 0, 'image/png', 'text/plain') as mime", "h as fingerprint", "if(uri % 8 = 0, 'x', upper(h)) as expected")
     return op.validate_files(rows, 5000, ("text/plain",)).select("uri", "status")
@@ -108,7 +113,8 @@ def _(d):
 
 @query(
     "i11_read_text_documents",
-    """select 'TXT' as suffix, source, 'PARSED' as status, sha256(string_agg(text || chr(10), '' order by doc_id)) as text_hash, true as same from d group by 2
+    """select 'TXT' as suffix, source, 'PARSED' as status, sha256(string_agg(text || chr(10), ''
+  order by doc_id)) as text_hash, true as same from d group by 2
 union all select 'CSV', source, 'RAW_ONLY', null, null from d group by 2""",
     d="select doc_id, text, source from {documents}",
 )
@@ -125,7 +131,10 @@ def _(d):
     )
 
 
-_PATHS = "select concat('docs/', lang) as path, doc_id % 50 as record_index, cast(doc_id as varchar(20)) as document_id, text from {documents}"
+_PATHS = (
+    "select concat('docs/', lang) as path, doc_id % 50 as record_index, cast(doc_id as varchar(20)) as document_id, text "
+    "from {documents}"
+)
 
 
 @query("i14_write_documents", "select document_id, md5(text) as h, row_number() over (order by path, record_index, document_id) as place from d", d=_PATHS)
@@ -164,13 +173,17 @@ def _(c):
     return read[0].union(read[1])
 
 
-@query("i09_normalise_records", "select record_index, case when record_index % 4 = 0 then concat('record-', lpad(cast(record_index as varchar), 6, '0')) else concat('d', record_index) end as id, case when record_index % 3 = 0 then concat('src record ', case when record_index % 4 = 0 then concat('record-', lpad(cast(record_index as varchar), 6, '0')) else concat('d', record_index) end) else source end as title, case when record_index % 5 = 0 then 'en' else lang end as language from d", d="select doc_id as record_index, source, lang, text from {documents}")
+@query("i09_normalise_records", "select record_index, case when record_index % 4 = 0 then concat('record-', lpad(cast(record_index as varchar), 6, "
+    "'0')) else concat('d', record_index) end as id, case when record_index % 3 = 0 then concat('src record ', case when "
+    "record_index % 4 = 0 then concat('record-', lpad(cast(record_index as varchar), 6, '0')) else concat('d', "
+    "record_index) end) else source end as title, case when record_index % 5 = 0 then 'en' else lang end as language from d", d="select doc_id as record_index, source, lang, text from {documents}")
 def _(d):
     rows = d.selectExpr("record_index", "if(record_index % 4 = 0, ' ', concat('d', record_index)) as pmid", "if(record_index % 3 = 0, '', source) as name", "text as body", "if(record_index % 5 = 0, cast(null as string), lang) as lang")
     return op.normalise_records(rows, {"id": ("uid", "pmid"), "title": ("title", "name"), "text": ("text", "body"), "language": ("lang",)}, "src").select("record_index", "id", "title", "language")
 
 
-@query("i10_assign_document_ids", "select uri, left(sha256(concat(source, ':', 'docs/', lang, '#record=', uri, '#index=', uri)), 32) as document_id, sha256(text) as content_hash from c", c="select source, doc_id as uri, lang, text from {documents}")
+@query("i10_assign_document_ids", "select uri, left(sha256(concat(source, ':', 'docs/', lang, '#record=', uri, '#index=', uri)), 32) as document_id, "
+    "sha256(text) as content_hash from c", c="select source, doc_id as uri, lang, text from {documents}")
 def _(c):
     rows = c.selectExpr("uri", "source", "concat('docs/', lang) as path", "cast(uri as string) as id", "uri as record_index", "text")
     return op.assign_document_ids(rows).select("uri", "document_id", "content_hash")
@@ -181,13 +194,17 @@ def _(d):
     return op.limit_per_source(d, 7)
 
 
-@query("i13_license_gate", "select uri from c where source in ('src1', 'src4')", c=CUR, s=("select * from (values ('src1', array('use', 'model')), ('src2', array('use')), ('src4', array('model'))) as s(source, purposes)", "select 1 as x"))
+@query("i13_license_gate", "select uri from c where source in ('src1', 'src4')", c=CUR, s=("select * from (values ('src1', array('use', 'model')), ('src2', array('use')), ('src4', array('model'))) as s(source, "
+    "purposes)", "select 1 as x"))
 def _(c, s):
     return op.license_gate(c, s, "model").select("uri")
 
 
 BASE = "select o_orderkey as k, o_orderstatus as v from {orders} where o_orderkey % 3 > 0"
-NEW = "select o_orderkey as k, case when o_orderkey % 10 = 0 then 'Z' else o_orderstatus end as v from {orders} where o_orderkey % 5 > 0 or o_orderkey % 10 = 0"
+NEW = (
+    "select o_orderkey as k, case when o_orderkey % 10 = 0 then 'Z' else o_orderstatus end as v from {orders} where "
+    "o_orderkey % 5 > 0 or o_orderkey % 10 = 0"
+)
 
 
 @query("i15_insert_ignore", "select * from t union all select * from n where k not in (select k from t)", t=BASE, n=NEW)
@@ -200,7 +217,8 @@ def _(t, n):
     return op.upsert_checked(t, n, ["k"], ["v"])[0]
 
 
-@query("i16_upsert_conflicts", "select k, concat('{\"v\":\"', t.v, '\"}') as stored, concat('{\"v\":\"', n.v, '\"}') as offered from t join n using (k) where t.v <> n.v", t=BASE, n=NEW)
+@query("i16_upsert_conflicts", "select k, concat('{\"v\":\"', t.v, '\"}') as stored, concat('{\"v\":\"', n.v, '\"}') as offered from t join n using "
+    "(k) where t.v <> n.v", t=BASE, n=NEW)
 def _(t, n):
     return op.upsert_checked(t, n, ["k"], ["v"])[1]
 
@@ -227,7 +245,9 @@ def _(d):
     return par.extract_sections(_headed(d)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("p03_assign_section_paths", "with l as (select doc_id, unnest(range(len(string_split(text, chr(10))))) as i from d) select doc_id, i as place, case i % 3 when 0 then cast(i // 3 + 1 as varchar) when 1 then concat(i // 3 + 1, '.1') else concat(i // 3 + 1, '.1.1') end as path, i % 3 as n_parents from l", d=MD)
+@query("p03_assign_section_paths", "with l as (select doc_id, unnest(range(len(string_split(text, chr(10))))) as i from d) select doc_id, i as place, "
+    "case i % 3 when 0 then cast(i // 3 + 1 as varchar) when 1 then concat(i // 3 + 1, '.1') else concat(i // 3 + 1, "
+    "'.1.1') end as path, i % 3 as n_parents from l", d=MD)
 def _(d):
     return par.extract_sections(_headed(d)).select("doc_id", F.col("place").cast("long").alias("place"), "path", F.size("parents").cast("long").alias("n_parents"))
 
@@ -246,18 +266,23 @@ def _(t):
     return out.selectExpr("doc_id", "caption", "rows[0]['A'] as first_a", "rows[0]['B'] as first_b", "rows[1]['B'] as second_b")
 
 
-@query("p05_section_of_offset", "select t.doc_id, t.start, arg_max(path, (level, path)) as section_path from t left join s on s.doc_id = t.doc_id and t.start >= s.a and t.start < s.b group by 1, 2",
-       t="select l_orderkey as doc_id, l_partkey % 100 as start from {lineitem} where l_linenumber = 1", s="select l_orderkey as doc_id, l_partkey % 50 as a, l_partkey % 50 + l_suppkey as b, l_linenumber as level, concat(l_returnflag, cast(l_linenumber as varchar(3))) as path from {lineitem}")
+@query("p05_section_of_offset", "select t.doc_id, t.start, arg_max(path, (level, path)) as section_path from t left join s on s.doc_id = t.doc_id and "
+    "t.start >= s.a and t.start < s.b group by 1, 2",
+       t="select l_orderkey as doc_id, l_partkey % 100 as start from {lineitem} where l_linenumber = 1", s="select l_orderkey as doc_id, l_partkey % 50 as a, l_partkey % 50 + l_suppkey as b, l_linenumber as level, "
+           "concat(l_returnflag, cast(l_linenumber as varchar(3))) as path from {lineitem}")
 def _(t, s):
     return par.section_of_offset(t, s.withColumnsRenamed({"a": "start", "b": "stop"}))
 
 
-@query("p06_linearise_table", "select doc_id, concat('intro', chr(10), '| A | B |', chr(10), '| --- | --- |', chr(10), '| ', a, ' | ', b, ' |', chr(10), '| x |  |') as linearised from t", t=TB)
+@query("p06_linearise_table", "select doc_id, concat('intro', chr(10), '| A | B |', chr(10), '| --- | --- |', chr(10), '| ', a, ' | ', b, ' |', "
+    "chr(10), '| x |  |') as linearised from t", t=TB)
 def _(t):
     return par.linearise_table(_tables(t)).select("doc_id", "linearised")
 
 
-@query("p07_parse_status", "select doc_id, case when doc_id % 5 = 0 or text = '' or doc_id % 7 = 0 then 'FAILED' when doc_id % 3 = 0 then 'PARTIAL' else 'SUCCEEDED' end as parse_status, case when doc_id % 5 = 0 then 'unsupported' when text = '' then 'empty' when doc_id % 7 = 0 then 'no content' end as warning from d", d=MD)
+@query("p07_parse_status", "select doc_id, case when doc_id % 5 = 0 or text = '' or doc_id % 7 = 0 then 'FAILED' when doc_id % 3 = 0 then "
+    "'PARTIAL' else 'SUCCEEDED' end as parse_status, case when doc_id % 5 = 0 then 'unsupported' when text = '' then "
+    "'empty' when doc_id % 7 = 0 then 'no content' end as warning from d", d=MD)
 def _(d):
     rows = d.selectExpr("doc_id", "if(doc_id % 5 = 0, 'pdf', 'MD') as suffix", "encode(text, 'UTF-8') as content", "if(doc_id % 7 = 0, 0, 2) as n_sections", "if(doc_id % 3 = 0, array('w'), array()) as warnings")
     return par.parse_status(rows).select("doc_id", "parse_status", "warning")

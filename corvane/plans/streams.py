@@ -55,7 +55,8 @@ with recursive s as (
   select user_id as chain, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, event_id, event_type as content from events),
 h as (
   select chain, seq, event_id, content, '' as prev_hash, sha256('|' || content) as hash from s where seq = 0
-  union all select s.chain, s.seq, s.event_id, s.content, h.hash, sha256(h.hash || '|' || s.content) from h join s on s.chain = h.chain and s.seq = h.seq + 1)
+  union all select s.chain, s.seq, s.event_id, s.content, h.hash, sha256(h.hash || '|' || s.content) from h
+  join s on s.chain = h.chain and s.seq = h.seq + 1)
 select * from h"""
 QUERIES["w09_window_stream"] = windows
 
@@ -89,7 +90,8 @@ with s as (
   select event_id, event_id // 4 as trace_id, ts, event_type = 'error' as failed, value as latency,
     case when event_id % 97 = 0 then 3 when day(ts) <= 10 then 0 when day(ts) <= 20 then 1 else 2 end as arrival
   from events),
-tops as (select a.arrival, max(s.ts) - interval 10 minute as horizon from (select distinct arrival from s) a join s on s.arrival < a.arrival group by 1),
+tops as (select a.arrival, max(s.ts) - interval 10 minute as horizon from (select distinct arrival from s) a
+  join s on s.arrival < a.arrival group by 1),
 told as (select s.*, coalesce(ts + interval 10 minute <= horizon, false) as late from s left join tops using (arrival)),
 g as (
   select *, sum(opens) over (partition by trace_id order by ts, event_id rows unbounded preceding) as session
