@@ -51,8 +51,10 @@ def web_matches(clauses: DataFrame, postings: DataFrame) -> DataFrame:
     chosen = seeds.join(postings.select("token", "chunk_id"), "token").drop("token")
     each = chosen.select("query_id", "grp", "chunk_id", "n_asked", F.inline("clauses"))
     each = each.select("query_id", "grp", "chunk_id", "n_asked", "clause", "negated", F.size("tokens").alias("width"), F.posexplode("tokens").alias("j", "token"))
-    shifted = F.transform("positions", lambda p: p - F.col("j"))
+    shifted = F.when(F.col("j") == 0, F.col("positions")).otherwise(F.transform("positions", lambda p: p - F.col("j")))
     met = each.join(postings.select("token", "chunk_id", "positions"), ["token", "chunk_id"]).withColumn("starts", shifted)
+    # dealt by group and chunk once, for the clauses and then for the groups
+    met = met.drop("positions", "token", "j").repartition("query_id", "grp", "chunk_id")
     runs = met.groupBy("query_id", "grp", "chunk_id", "clause").agg(
         F.first("n_asked").alias("n_asked"), F.first("negated").alias("negated"), F.first("width").alias("width"), F.collect_list("starts").alias("all")
     )
