@@ -299,7 +299,8 @@ def citation_coverage(assertions: DataFrame, citations: DataFrame, least: float
 
 def split_assertions(df: DataFrame, column: str = "answer") -> DataFrame:
     """One row per assertion: the answer cut behind sentence ends and at line breaks."""
-    parts = F.filter(F.transform(F.split(column, r"(?<=[.!?])\s+|\n+"), F.trim), lambda x: x != "")
+    # given F.trim itself, transform would pass each part's place as the characters to trim
+    parts = F.filter(F.transform(F.split(column, r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x)), lambda x: x != "")
     return df.select(*(c for c in df.columns if c != column), F.posexplode(parts).alias("place", "assertion"))
 
 

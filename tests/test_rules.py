@@ -34,6 +34,12 @@ def test_areas_are_cut_to_three_digits(spark):
     assert [r[0] for r in got] == ["036", "893", None, None]
 
 
+def test_assertions_keep_their_digits(spark):
+    """The part at place 1 begins and ends with 1, that at place 2 with 2."""
+    got = spark.createDataFrame([(7, " Zero. 148.9 is 11\n2 of 22\n\n ")], "id long, answer string")
+    assert [tuple(r) for r in search.split_assertions(got).orderBy("place").collect()] == [(7, 0, "Zero."), (7, 1, "148.9 is 11"), (7, 2, "2 of 22")]
+
+
 def test_coverage_without_assertions(spark):
     a = spark.createDataFrame([(1, 1), (1, 2)], "query_id long, assertion_id long")
     c = spark.createDataFrame([(1, 1, True), (2, None, True), (3, None, True), (3, None, False), (1, 9, None)], "query_id long, assertion_id long, valid boolean")
