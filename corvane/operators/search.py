@@ -151,10 +151,26 @@ def lexical_topk(queries: DataFrame, postings: DataFrame, chunks: DataFrame, k:
 
 def cover_density(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """Score of chunks with all terms by their shortest windows: each minimal window
-    that holds all terms adds 1 / its length. One group is one query and chunk."""
-    wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("token")).withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
-    hits = wanted.join(postings.select("token", "chunk_id", "positions"), "token")
-    full = hits.groupBy("query_id", "chunk_id").agg(F.collect_list(F.struct("token", "positions")).alias("found"), F.first("n_terms").alias("n")).where("size(found) = n")
+    that holds all terms adds 1 / its length. One group is one query and chunk.
+
+    The rarest term of a query selects the chunks; the terms from there on, a few at a time by their
+    rarity, leave those that hold them all. Positions are looked up only for what is left."""
+    postings = keep(postings, "postings")
+    terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("token"))
+    often = postings.groupBy("token").agg(F.count("*").alias("df"))
+    # a query with a term that is nowhere has no chunk
+    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")))
+    asked = terms.join(often, "token", "left").groupBy("query_id").agg(ordered.alias("o")).where("o[0].df > 0")
+    asked = keep(asked.select("query_id", F.expr("transform(o, x -> x.token)").alias("tokens")), "asked")
+    held = postings.select("token", "chunk_id", F.lit(1).alias("held"))
+    found = asked.select("query_id", F.col("tokens")[0].alias("token")).join(held, "token").select("query_id", "chunk_id")
+    for first, n in ((1, 2), (3, 4), (7, 8)):
+        few = asked.select("query_id", F.size(F.slice("tokens", first + 1, n)).alias("n"), F.explode_outer(F.slice("tokens", first + 1, n)).alias("token"))
+        met = found.join(few, "query_id").join(held, ["token", "chunk_id"], "left").groupBy("query_id", "chunk_id").agg(F.count("held").alias("met"), F.first("n").alias("n"))
+        found = met.where("met = n").select("query_id", "chunk_id")
+    each = found.join(asked.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")), "query_id")
+    hits = each.join(postings.select("token", "chunk_id", "positions"), ["token", "chunk_id"])
+    full = hits.groupBy("query_id", "chunk_id").agg(F.collect_list(F.struct("token", "positions")).alias("found"), F.first("n").alias("n")).where("size(found) = n")
 
     @F.pandas_udf("double")
     def density(found: pd.Series) -> pd.Series:

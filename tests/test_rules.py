@@ -57,6 +57,41 @@ def test_coverage_without_assertions(spark):
     assert got == {1: (0.5, "INSUFFICIENT_COVERAGE"), 2: (1.0, "VALID"), 3: (1.0, "INVALID_CITATION")}
 
 
+def joined_rows(plan):
+    """Rows that come out of each join of a plan that has run."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return joined_rows(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return joined_rows(plan.plan())
+    below = [n for i in range(plan.children().size()) for n in joined_rows(plan.children().apply(i))]
+    rows = plan.metrics().get("numOutputRows")
+    return below + ([rows.get().value()] if "Join" in name and rows.isDefined() else [])
+
+
+def test_cover_density_meets_rare_terms_first(spark):
+    """Frequent words meet no chunk but those that hold a query's rare one."""
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice("abcdefghijkl") for _ in range(40)) + f" rare{i}") for i in range(300)]
+    asked = [(q, ["a", "b", "a", f"rare{q}", "c", "d", "e", "f", "g", "h", "i", "j"][: 4 + q % 9]) for q in range(300)] + [(900, ["a", "nowhere"]), (901, []), (902, ["a"])]
+    chunks = spark.createDataFrame(docs, "chunk_id long, text string")
+    df = search.cover_density(spark.createDataFrame(asked, "query_id long, terms array<string>"), search.build_postings(chunks))
+    want = {}
+    for q, terms in asked:
+        for c, text in docs:
+            words, score, start, last = text.split(), 0.0, -1, {}
+            if terms and set(terms) <= set(words):
+                for at, w in enumerate(words):
+                    last |= {w: at} if w in terms else {}
+                    if w in terms and len(last) == len(set(terms)) and min(last.values()) > start:
+                        start = min(last.values())
+                        score += 1.0 / (at - start + 1)
+                want[q, c] = round(score, 9)
+    assert {(r.query_id, r.chunk_id): round(r.score, 9) for r in df.collect()} == want
+    joins = joined_rows(df._jdf.queryExecution().executedPlan())
+    assert joins and max(joins) < 10_000  # all pairs of a query's word and a chunk with it: half a million
+
+
 def test_query_classes(spark):
     asked = {"count": "STRUCTURED", "accounts": "MIXED", None: "MIXED", "fever": "CLINICAL", "feverish": "MIXED", "hi": "OUT_OF_SCOPE", "hi, sop": "MIXED", "rediagnosed": "CLINICAL", "my blood pressures": "CLINICAL"}
     df = spark.createDataFrame([(q,) for q in asked], "question string")
