@@ -18,6 +18,8 @@ from .tables import keep
 
 #: Queries whose vectors are sent to every task at once; more go in several passes.
 QUERY_BLOCK = 4096
+#: Vectors that a task scores at a time against a block of queries.
+VECTOR_SLICE = 256
 
 
 def normalise_queries(df: DataFrame, default_k: int = 8, most_k: int = 20, default_candidates: int = 50, most_candidates: int = 100) -> DataFrame:
@@ -55,7 +57,7 @@ def _ranked(df: DataFrame, k, order: list[Column], by: str = "query_id", name: s
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """queries (query_id, vector), vectors (chunk_id, embedding) -> (query_id, chunk_id,
     score, rank): exact cosine top k, ties by chunk id. Queries go to the tasks in
-    blocks of QUERY_BLOCK; each batch of vectors is one matrix product, of which each
+    blocks of QUERY_BLOCK; VECTOR_SLICE vectors at a time are one matrix product, of which each
     task keeps k rows per query, so what is shuffled is bounded by tasks * queries * k."""
     spark = vectors.sparkSession
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").where("vector is not null")
@@ -79,7 +81,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             norm = np.linalg.norm(matrix, axis=1, keepdims=True)
             matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
             best: tuple[np.ndarray, np.ndarray] | None = None
-            for batch in batches:
+            slices = (b.slice(at, VECTOR_SLICE) for b in batches for at in range(0, b.num_rows, VECTOR_SLICE))
+            for batch in slices:
                 column = batch.column("embedding")
                 chunk = batch.column("chunk_id").to_numpy()
                 x = np.asarray(column.flatten(), np.float64).reshape(len(chunk), -1)

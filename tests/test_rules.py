@@ -107,6 +107,15 @@ def test_vector_blocks_are_one_search(spark, monkeypatch):
     assert sorted(map(tuple, search.vector_topk(queries, vectors, 3).collect())) == whole
 
 
+def test_vector_slices_are_one_search(spark, monkeypatch):
+    """Batches that a task scores in slices of seven vectors, ties among them."""
+    vectors = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(100)], "chunk_id long, embedding array<double>").coalesce(1)
+    queries = vectors.where("chunk_id % 9 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    whole = sorted(map(tuple, search.vector_topk(queries, vectors, 3).collect()))
+    monkeypatch.setattr(search, "VECTOR_SLICE", 7)
+    assert sorted(map(tuple, search.vector_topk(queries, vectors, 3).collect())) == whole
+
+
 def test_admission_of_all_events(spark, data):
     """The registered limits over all events, in one block and in small ones."""
     from corvane.plans.budget import COSTS
