@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import sliced
+
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
 
@@ -103,7 +105,7 @@ def _in_order(df: DataFrame, keep: list[str], fields: list[str], arrange, schema
     the first fields). A group is one section or table, so it is small; whole batches
     of groups go to Python at once."""
 
-    @F.pandas_udf(f"array<struct<{schema}>>")
+    @sliced(f"array<struct<{schema}>>")
     def made(groups: pd.Series) -> pd.Series:
         return groups.map(lambda rows: arrange(list(rows)))
 
@@ -137,7 +139,7 @@ def unit_arrays(sections: DataFrame, strategy: str, most: int, column: str = "te
     if strategy == "structure-v1":
         pieces = F.flatten(F.transform(F.split(text, _PARAGRAPH), lambda p: F.when(F.regexp_count(p, F.lit(TOKEN)) <= most, F.array(p)).otherwise(F.split(p, _SENTENCE))))
 
-    @F.pandas_udf("array<struct<start: int, stop: int>>")
+    @sliced("array<struct<start: int, stop: int>>")
     def spans(lengths: pd.Series, leads: pd.Series, bodies: pd.Series) -> pd.Series:
         def one(length, lead, body) -> list[dict]:
             starts = np.cumsum(length) - length + lead
@@ -161,7 +163,7 @@ def _ranges(strategy: str, threshold: float, least: int):
     """UDF of (tokens, alike, target, most, overlap): ranges of units, null if one is
     over `most`; made when called, as a UDF needs a session. Only numbers go to Python."""
 
-    @F.pandas_udf("array<struct<first: int, last: int, tokens: int>>")
+    @sliced("array<struct<first: int, last: int, tokens: int>>")
     def ranges(tokens: pd.Series, alike: pd.Series, target: pd.Series, most: pd.Series, overlap: pd.Series) -> pd.Series:
         def one(sizes, near, target, most, overlap) -> list[dict] | None:
             sizes = [int(n) for n in sizes]

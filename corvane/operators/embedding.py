@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import sliced
+
 
 def hash_embed(df: DataFrame, column: str, dim: int, kind: str = "passage") -> DataFrame:
     """embedding: words of "kind:text" hashed to signed dimensions, unit length (zero
     vectors stay)."""
 
-    @F.pandas_udf("array<float>")
+    @sliced("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         one = _hasher(dim, kind)
         return texts.map(lambda t: one(t).astype(np.float32))
@@ -48,7 +50,7 @@ def likeness_to_previous(column: str, dim: int, kind: str = "passage") -> Column
     """array of texts -> cosine of each text's hash embedding with that of the one before
     (the first: 1; of a zero vector: 0)."""
 
-    @F.pandas_udf("array<double>")
+    @sliced("array<double>")
     def alike(lists: pd.Series) -> pd.Series:
         one = _hasher(dim, kind)
 

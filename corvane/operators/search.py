@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import signals
-from .tables import keep
+from .tables import keep, sliced
 
 #: Queries whose vectors are sent to every task at once; more go in several passes.
 QUERY_BLOCK = 4096
@@ -273,7 +273,7 @@ def abstain_reason(df: DataFrame) -> DataFrame:
 def nfkc(column: Column) -> Column:
     """NFKC form; made when called, as a UDF needs a session."""
 
-    @F.pandas_udf("string")
+    @sliced("string")
     def form(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

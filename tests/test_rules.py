@@ -25,6 +25,14 @@ def test_numbered(spark):
     assert tables.numbered(df.limit(0), [F.col("v").asc()]).collect() == []
 
 
+def test_python_gets_batches_in_slices(spark):
+    size = tables.sliced("long")(lambda *columns: columns[0] * 0 + len(columns[0]))
+    df = spark.range(0, 1300, 1, 1).select("id", size("id").alias("one"), size("id", F.col("id") + 1).alias("two"))
+    got = [tuple(r) for r in df.orderBy("id").collect()]
+    assert [r[0] for r in got] == list(range(1300)) and max(max(r[1:]) for r in got) == tables.SLICE
+    assert size("id") is not None and spark.range(0).select(size("id")).collect() == []
+
+
 def test_nul_is_escaped(spark):
     row = spark.createDataFrame([("a\0b\x1f\"\\",)], "t string").select(F.expr(audit._json("t"))).first()[0]
     assert row == '"a\\u0000b\\u001f\\"\\\\"' and json.loads(row) == 'a\0b\x1f"\\'
