@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,16 @@ def token_count(column: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(column), F.lit("")), F.lit(TOKEN))
 
 
+#: What \s of a pattern matches.
+_BLANK = " \t\n\x0b\f\r"
+
+
+def word_count(text: Column) -> Column:
+    """token_count of a text that is not null, without making its tokens: each run of letters
+    and digits becomes one character, and white space none."""
+    return F.length(F.translate(F.regexp_replace(text, r"[\p{L}\p{N}]++", "x"), _BLANK, ""))
+
+
 def _spans(df: DataFrame, column: str, pattern: str, keep: list[str]) -> DataFrame:
     """Trimmed pieces between matches of pattern (place, text, start, stop), offsets in
     code points of the whole text; empty pieces are dropped."""
@@ -177,6 +189,31 @@ def _ranges(strategy: str, threshold: float, least: int):
     return ranges
 
 
+def _totals(threshold: float, least: int, most: int):
+    """UDF of (tokens, alike, targets, overlaps): for each setting whether a unit is over
+    `most`, the ranges' number, their tokens and the largest; null without units."""
+
+    @sliced("array<struct<bad: boolean, n: int, total: long, top: int>>")
+    def totals(tokens: pd.Series, alike: pd.Series, targets: pd.Series, overlaps: pd.Series) -> pd.Series:
+        def one(sizes, near, targets, overlaps) -> list[dict] | None:
+            sizes = [int(n) for n in sizes]
+            if not sizes:
+                return None
+            if max(sizes) > most:
+                return [{"bad": True, "n": 0, "total": 0, "top": None}] * len(targets)
+            before, out = [0, *itertools.accumulate(sizes)], []
+            near = None if near is None else near.tolist()
+            for target, overlap in zip(targets.tolist(), overlaps.tolist(), strict=True):
+                found = semantic_sizes(sizes, near, threshold, target, least, most, overlap) if near is not None else group_sizes(sizes, target, most, overlap)
+                sums = [before[b] - before[a] for a, b in found]
+                out.append({"bad": False, "n": len(sums), "total": sum(sums), "top": max(sums)})
+            return out
+
+        return pd.Series([one(*x) for x in zip(tokens, alike, targets, overlaps, strict=True)])
+
+    return totals
+
+
 def _chunks(sections: DataFrame, strategy: str, keep: tuple[str, ...], target: int, least: int, most: int, overlap: int, threshold: float = 0.0, dim: int = 64) -> DataFrame:
     units = unit_arrays(sections, strategy, most, dim=dim)
     alike = F.col("_alike") if strategy == "semantic-v1" else F.lit(None).cast("array<double>")
@@ -211,17 +248,27 @@ def ablation(sections: DataFrame, grid: DataFrame, most: int = 1024, least: int
     """sections (text), grid (run_id, strategy, target, overlap) -> per run: sections,
     chunks, mean_tokens, max_tokens, unchunkable_share (of the sections with units).
 
-    Each strategy's units are found once for a section; the settings are data that join
-    them, so all runs are one plan. The grid is a fixed table of a few rows."""
-    kinds = []
-    for name in ("fixed-v1", "structure-v1", "semantic-v1"):
-        units = unit_arrays(sections, name, most, dim=dim)
-        alike = F.col("_alike") if name == "semantic-v1" else F.lit(None).cast("array<double>")
-        kinds.append(units.select(F.lit(name).alias("strategy"), "_tokens", alike.alias("_alike")))
-    every = kinds[0].union(kinds[1]).union(kinds[2]).where("size(_tokens) > 0").join(F.broadcast(grid), "strategy")
-    ranged = every.withColumn("_r", _ranges("", threshold, least)("_tokens", "_alike", "target", F.lit(most), "overlap"))
-    sums = ranged.select("run_id", F.col("_r").isNull().alias("bad"), F.expr("coalesce(transform(_r, c -> c.tokens), array())").alias("t"))
-    sums = sums.select("run_id", "bad", F.size("t").alias("n"), F.expr("aggregate(t, 0L, (s, x) -> s + x)").alias("total"), F.array_max("t").alias("top"))
+    Units are found once for a section and go to Python once for each strategy, with all
+    its settings, of which only the sums come back. The grid is a fixed table of a few rows."""
+    from .embedding import likeness_to_previous
+
+    # white space holds no token, so a piece is blank if its count is 0, and trimming changes no count
+    text = F.coalesce(F.col("text"), F.lit(""))
+    counts = lambda pieces: F.transform(pieces, lambda p: word_count(p))
+    whole = F.transform(F.split(text, _PARAGRAPH), lambda p: F.struct(p.alias("p"), word_count(p).alias("n")))
+    fitting = F.transform(whole, lambda x: F.when(x["n"] <= most, F.array(x["n"])).otherwise(counts(F.split(x["p"], _SENTENCE))))
+    cut = sections.select(F.split(text, _SENTENCE).alias("_p"), F.filter(F.flatten(fitting), lambda n: n > 0).alias("_structure"))
+    trimmed = F.filter(F.transform("_p", lambda p: F.btrim(p, F.lit(_BLANK))), lambda p: p != "")
+    cut = cut.select(trimmed.alias("_p"), "_structure")
+    cut = cut.select("_structure", counts(F.col("_p")).alias("_tokens"), likeness_to_previous("_p", dim).alias("_alike"))
+    none = F.lit(None).cast("array<double>")
+    kinds = (("fixed-v1", "_tokens", none), ("structure-v1", "_structure", none), ("semantic-v1", "_tokens", F.col("_alike")))
+    every = cut.select(F.inline(F.array(*(F.struct(F.lit(name).alias("strategy"), F.col(t).alias("_tokens"), a.alias("_alike")) for name, t, a in kinds))))
+    runs = grid.groupBy("strategy").agg(F.array_sort(F.collect_list(F.struct("run_id", "target", "overlap"))).alias("_runs"))
+    every = every.join(F.broadcast(runs), "strategy")
+    told = _totals(threshold, least, most)("_tokens", "_alike", F.col("_runs.target"), F.col("_runs.overlap"))
+    each = every.select("_runs", told.alias("_t")).select(F.inline(F.arrays_zip(F.col("_runs.run_id").alias("run_id"), F.col("_t").alias("t"))))
+    sums = each.where("t is not null").select("run_id", "t.*")
     out = sums.groupBy("run_id").agg(
         F.count("*").alias("sections"), F.sum("n").alias("chunks"), F.try_divide(F.sum("total"), F.sum("n")).alias("mean_tokens"),
         F.max("top").alias("max_tokens"), F.avg(F.col("bad").cast("int")).alias("unchunkable_share"),

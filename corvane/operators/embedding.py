@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .tables import sliced
 
+#: Words whose places a task keeps between slices.
+KNOWN = 500_000
+
 
 def hash_embed(df: DataFrame, column: str, dim: int, kind: str = "passage") -> DataFrame:
     """embedding: words of "kind:text" hashed to signed dimensions, unit length (zero
@@ -25,9 +28,8 @@ def hash_embed(df: DataFrame, column: str, dim: int, kind: str = "passage") -> D
     return df.withColumn("embedding", embed(column))
 
 
-def _hasher(dim: int, kind: str) -> Callable[[str | None], np.ndarray]:
-    """text -> its vector; words met before are looked up."""
-    known: dict[str, tuple[int, int]] = {}
+def _placer(dim: int, known: dict[str, tuple[int, int]]) -> Callable[[str], tuple[int, int]]:
+    """word -> its dimension and sign; words met before are looked up in known."""
 
     def place(word: str) -> tuple[int, int]:
         if word not in known:
@@ -35,6 +37,13 @@ def _hasher(dim: int, kind: str) -> Callable[[str | None], np.ndarray]:
             known[word] = int.from_bytes(digest[:4], "big") % dim, 1 if digest[4] % 2 == 0 else -1
         return known[word]
 
+    return place
+
+
+def _hasher(dim: int, kind: str) -> Callable[[str | None], np.ndarray]:
+    """text -> its vector."""
+    place = _placer(dim, {})
+
     def one(text: str | None) -> np.ndarray:
         vector = np.zeros(dim)
         for word in f"{kind}:{text or ''}".lower().split():
@@ -50,12 +59,24 @@ def likeness_to_previous(column: str, dim: int, kind: str = "passage") -> Column
     """array of texts -> cosine of each text's hash embedding with that of the one before
     (the first: 1; of a zero vector: 0)."""
 
+    known: dict[str, tuple[int, int]] = {}
+
     @sliced("array<double>")
     def alike(lists: pd.Series) -> pd.Series:
-        one = _hasher(dim, kind)
+        if len(known) > KNOWN:
+            known.clear()
+        place = _placer(dim, known)
 
         def row(texts) -> list[float]:
-            vectors = [one(t) for t in texts]
+            if not len(texts):
+                return []
+            # all texts of a row are one count of cells; sums of signs are whole, so they are exact
+            words = [f"{kind}:{t or ''}".lower().split() for t in texts]
+            places = np.array([place(w) for own in words for w in own], np.int64).reshape(-1, 2)
+            cells = np.repeat(np.arange(len(words)) * dim, [len(own) for own in words]) + places[:, 0]
+            vectors = np.bincount(cells, places[:, 1], len(words) * dim).reshape(-1, dim)
+            norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+            vectors = list(np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0))
             return [1.0, *(float(a @ b) for a, b in zip(vectors, vectors[1:]))][: len(vectors)]
 
         return lists.map(row)

@@ -2,6 +2,9 @@
 
 import glob
 
+from pyspark.sql import functions as F
+
+from corvane.operators import chunking, evaluation
 from corvane.plans.registry import QUERIES
 
 
@@ -17,3 +20,20 @@ def test_record_files_are_few_whatever_the_ids(spark, tmp_path):
     assert len(glob.glob(f"{out}/json/*/*/part-*")) <= 4
     for kind in ("csv", "json"):
         assert sorted(r.doc_id for r in rows if r.kind == kind) == [i * 2000 for i in range(300)]
+
+
+def test_ablation_cuts_a_section_once(spark):
+    odd = ["", " \n\n \t", "a-b.  C! d\x1c e \U0001f600\U0001f600?\n \nx1y . z", "w " * 1200, "One two. " * 90 + "\n\n" + "w, " * 700 + ". End"]
+    sections = spark.createDataFrame([(t,) for t in [*odd, None]], "text string")
+    for row in sections.where("text is not null").select(chunking.word_count(F.col("text")).alias("a"), chunking.token_count("text").alias("b")).collect():
+        assert row.a == row.b
+    out = chunking.ablation(sections, evaluation.ablation_plan(spark, {"seed": 1}), least=20)
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.run_id: r for r in out.collect()}
+    assert len(got) == 27
+    for name, op in (("fixed", chunking.chunk_fixed), ("structure", chunking.chunk_structure), ("semantic", None)):
+        keyed = sections.withColumn("section_id", F.monotonically_increasing_id())
+        rows = (op(keyed, target=256, overlap=0, least=20) if op else chunking.chunk_semantic(keyed, 0.05, target=256, overlap=0, least=20)).collect()
+        run = next(r for i, r in got.items() if i.startswith(f"m25-{name}-256-0-"))
+        good = [r.tokens for r in rows if r.status == "OK"]
+        assert (run.sections, run.chunks, run.max_tokens) == (len({r.section_id for r in rows}), len(good), max(good))
