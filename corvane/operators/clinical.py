@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import keep
+
 _CODING = "array<struct<system:string,code:string,display:string>>"
 RESOURCE = (
     f"struct<resourceType:string,id:string,meta:struct<profile:array<string>>,birthDate:string,gender:string,address:array<struct<postalCode:string>>,extension:array<struct<url:string,valueString:string>>,status:string,"
@@ -25,16 +27,25 @@ def explode_bundles(df: DataFrame) -> DataFrame:
     return out.select("source_id", "position", F.col("entry.resource").alias("resource"), "error")
 
 
+#: What validate_bundles looks at; the rest of a bundle is passed over.
+_CHECKED = "resourceType string, type string, fhirVersion string, entry array<struct<resource:struct<resourceType:string,id:string>>>"
+
+
 def validate_bundles(df: DataFrame) -> DataFrame:
     """Error rows (source_id, code) per bundle: no bundle, wrong type or version, no
-    entries; and patient ids that are missing or occur in several bundles."""
-    b = df.withColumn("b", F.from_json("content", BUNDLE))
+    entries; and patient ids that are missing or occur in several bundles. Bundles are parsed
+    once, for the checked fields alone; what they say is written, as two jobs read it."""
+    b = df.select("source_id", F.from_json("content", _CHECKED).alias("b"))
     checks = [("NOT_A_BUNDLE", F.coalesce(F.col("b.resourceType"), F.lit("")) != "Bundle"), ("TYPE", ~F.coalesce(F.col("b.type"), F.lit("")).isin("transaction", "collection")), ("VERSION", ~F.coalesce(F.col("b.fhirVersion"), F.lit("")).startswith("4.0")), ("NO_ENTRIES", F.coalesce(F.size("b.entry"), F.lit(0)) <= 0)]
-    found = b.select("source_id", F.explode(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in checks)))).alias("code"))
-    patients = explode_bundles(df).where("resource.resourceType = 'Patient'").select("source_id", F.col("resource.id").alias("id"))
-    missing = patients.where("id is null").selectExpr("source_id", "'PATIENT_WITHOUT_ID' as code").distinct()
-    several = patients.groupBy("id").agg(F.countDistinct("source_id").alias("n")).where("n > 1 and id is not null")
-    return found.union(missing).union(patients.join(several, "id").selectExpr("source_id", "'DUPLICATE_PATIENT' as code").distinct())
+    patients = F.expr("if(b.resourceType = 'Bundle', transform(filter(b.entry, e -> e.resource.resourceType = 'Patient'), e -> e.resource.id), null)")
+    codes = F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in checks)))
+    told = keep(b.select("source_id", codes.alias("codes"), F.array_distinct(patients).alias("ids")), "bundles")
+    missing = F.expr("if(exists(ids, i -> i is null), array('PATIENT_WITHOUT_ID'), array())")
+    found = told.select("source_id", F.explode("codes").alias("code"))
+    without = told.select("source_id", F.explode(missing).alias("code")).distinct()
+    named = told.select("source_id", F.explode("ids").alias("id")).where("id is not null")
+    several = named.groupBy("id").agg(F.min("source_id").alias("a"), F.max("source_id").alias("z")).where("a < z").select("id")
+    return found.union(without).union(named.join(several, "id").selectExpr("source_id", "'DUPLICATE_PATIENT' as code").distinct())
 
 
 def _coded(path: str) -> str:

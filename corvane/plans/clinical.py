@@ -19,12 +19,16 @@ LINES = (
 def bundles(orders, lines):
     """JSON bundles from orders and line items; every 40th is broken."""
     ref = "named_struct('reference', concat('Patient/', cast(o_custkey as string)))"
-    observations = lines.groupBy("l_orderkey").agg(F.collect_list(F.expr("named_struct('resource', named_struct('resourceType', 'Observation', 'id', concat(l_orderkey, '-', l_linenumber), "
-        "'status', if(l_linenumber = 7, cast(null as string), 'final'), 'gender', cast(null as string), 'birthDate', cast(null "
+    # the lines alone are dealt and gathered; their resources are made of them afterwards
+    observations = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "d")).alias("obs"))
+    made = (
+        "transform(obs, x -> named_struct('resource', named_struct('resourceType', 'Observation', 'id', concat(o_orderkey, '-', x.l_linenumber), "
+        "'status', if(x.l_linenumber = 7, cast(null as string), 'final'), 'gender', cast(null as string), 'birthDate', cast(null "
         "as string), 'subject', named_struct('reference', 'Patient/0'), 'code', named_struct('coding', "
-        "array(named_struct('system', 'flag', 'code', l_returnflag))), 'effectiveDateTime', cast(d as string), "
+        "array(named_struct('system', 'flag', 'code', x.l_returnflag))), 'effectiveDateTime', cast(x.d as string), "
         "'onsetDateTime', cast(null as string), 'address', cast(null as array<struct<postalCode:string>>), 'valueQuantity', "
-        "named_struct('value', l_quantity, 'unit', l_linestatus)))")).alias("obs"))
+        "named_struct('value', x.l_quantity, 'unit', x.l_linestatus))))"
+    )
     joined = orders.join(observations, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     patient = (
         "named_struct('resource', named_struct('resourceType', 'Patient', 'id', cast(o_custkey as string), 'status', cast(null "
@@ -35,7 +39,7 @@ def bundles(orders, lines):
         "'valueQuantity', cast(null as struct<value:double,unit:string>)))"
     )
     condition = f"named_struct('resource', named_struct('resourceType', 'Condition', 'id', concat('c', o_orderkey), 'status', o_orderstatus, 'gender', cast(null as string), 'birthDate', cast(null as string), 'subject', {ref}, 'code', named_struct('coding', array(named_struct('system', 'prio', 'code', o_orderpriority))), 'effectiveDateTime', cast(null as string), 'onsetDateTime', cast(d as string), 'address', cast(null as array<struct<postalCode:string>>), 'valueQuantity', cast(null as struct<value:double,unit:string>)))"
-    entry = f"concat(array({patient}, {condition}), coalesce(obs, array()))"
+    entry = f"concat(array({patient}, {condition}), coalesce({made}, array()))"
     body = F.expr(f"to_json(named_struct('resourceType', 'Bundle', 'type', if(o_orderkey % 30 = 0, 'batch', 'collection'), 'fhirVersion', if(o_orderkey % 35 = 0, '3.0', '4.0.1'), 'entry', {entry}))")
     return joined.select(F.col("o_orderkey").alias("source_id"), F.when(F.col("o_orderkey") % 40 == 0, "{broken").otherwise(body).alias("content"))
 

@@ -1,10 +1,11 @@
 """What a query writes, builds or asks grows no faster than its input."""
 
 import glob
+import json
 
 from pyspark.sql import functions as F
 
-from corvane.operators import chunking, evaluation
+from corvane.operators import chunking, clinical, evaluation
 from corvane.plans.registry import QUERIES
 
 
@@ -37,3 +38,15 @@ def test_ablation_cuts_a_section_once(spark):
         run = next(r for i, r in got.items() if i.startswith(f"m25-{name}-256-0-"))
         good = [r.tokens for r in rows if r.status == "OK"]
         assert (run.sections, run.chunks, run.max_tokens) == (len({r.section_id for r in rows}), len(good), max(good))
+
+
+def test_bundles_are_parsed_once(spark):
+    def bundle(*patients, kind="Bundle"):
+        entries = [{"resource": {"resourceType": "Patient", "id": p}} if p else {"resource": {"resourceType": "Patient"}} for p in patients]
+        return json.dumps({"resourceType": kind, "type": "collection", "fhirVersion": "4.0.1", "entry": entries})
+
+    texts = [bundle("a", "a"), bundle("b", None), bundle("b"), bundle("a", kind="List"), "{broken", None]
+    out = clinical.validate_bundles(spark.createDataFrame(list(enumerate(texts)), "source_id long, content string"))
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
+    broken = {(i, code) for i in (4, 5) for code in ("NOT_A_BUNDLE", "TYPE", "VERSION", "NO_ENTRIES")}
+    assert {tuple(r) for r in out.collect()} == broken | {(3, "NOT_A_BUNDLE"), (1, "PATIENT_WITHOUT_ID"), (1, "DUPLICATE_PATIENT"), (2, "DUPLICATE_PATIENT")}
