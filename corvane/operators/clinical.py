@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,10 @@ _REQUIRED = {
 }
 
 
+def _lacking(name: str, fields: tuple[tuple[str, str], ...]) -> Column:
+    return F.array(*(F.when(~F.coalesce(F.expr(there), F.lit(False)), F.lit(f"{name}.{field} is required")) for field, there in fields))
+
+
 def validate_resources(df: DataFrame, profile_base: str | None = None) -> DataFrame:
     """issues of a resource, joined by '; ': an unknown type is the only one; else the id,
     the profile (where a base is given, meta.profile must include base + type in lower
@@ -84,9 +90,8 @@ def validate_resources(df: DataFrame, profile_base: str | None = None) -> DataFr
         expected = F.concat(F.lit(profile_base), F.lower(kind))
         missing = F.concat(kind, F.lit(".meta.profile is required; expected "), expected)
         tests.append(F.when(F.size(profiles) == 0, missing).when(~F.array_contains(profiles, expected), F.concat(kind, F.lit(".meta.profile must include "), expected)))
-    for name, fields in _REQUIRED.items():
-        tests += [F.when((kind == name) & ~F.coalesce(F.expr(there), F.lit(False)), F.lit(f"{name}.{field} is required")) for field, there in fields]
-    found = F.concat_ws("; ", F.array_compact(F.array(*tests)))
+    own = functools.reduce(lambda out, x: out.when(kind == x[0], _lacking(*x)), _REQUIRED.items(), F)
+    found = F.concat_ws("; ", *tests, own)
     return df.withColumn("issues", F.when(known, found).otherwise(F.concat(F.lit("resource type is not importable: "), F.coalesce(kind, F.lit("")))))
 
 
@@ -142,7 +147,10 @@ def map_observations(df: DataFrame) -> DataFrame:
 def clinical_quarantine(df: DataFrame) -> DataFrame:
     """Rejected rows of validate_resources(explode_bundles(...)) with their stage."""
     stage = F.when(F.col("error").isNotNull(), "PARSE").when(F.col("issues") != "", "PROFILE_VALIDATION").when((F.col("resource.resourceType") != "Patient") & _reference("resource.subject.reference").isNull(), "MAPPING")
-    return df.withColumn("stage", stage).where("stage is not null").select("source_id", "position", "stage", F.when(F.col("stage") == "PARSE", F.col("error")).otherwise(F.col("issues")).alias("reason"))
+    reason = F.when(F.col("error").isNotNull(), F.col("error")).otherwise(F.col("issues"))
+    # a filter on the stage would work the issues out once more
+    told = F.filter(F.array(F.struct(stage.alias("stage"), reason.alias("reason"))), lambda x: x["stage"].isNotNull())
+    return df.select("source_id", "position", F.inline(told))
 
 
 def import_run(accepted: DataFrame, existing: DataFrame, quarantined: DataFrame, keys: list[str]) -> DataFrame:

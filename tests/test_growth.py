@@ -50,3 +50,15 @@ def test_bundles_are_parsed_once(spark):
     assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
     broken = {(i, code) for i in (4, 5) for code in ("NOT_A_BUNDLE", "TYPE", "VERSION", "NO_ENTRIES")}
     assert {tuple(r) for r in out.collect()} == broken | {(3, "NOT_A_BUNDLE"), (1, "PATIENT_WITHOUT_ID"), (1, "DUPLICATE_PATIENT"), (2, "DUPLICATE_PATIENT")}
+
+
+def test_quarantine_works_issues_out_once(spark):
+    texts = ['{"resourceType": "Bundle", "entry": [{"resource": {"resourceType": "Device"}}, {"resource": {"resourceType": "Condition", "id": "c"}}]}', "{broken"]
+    exploded = clinical.explode_bundles(spark.createDataFrame(list(enumerate(texts)), "source_id long, content string"))
+    out = clinical.clinical_quarantine(clinical.validate_resources(exploded))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "importable" in line]
+    missing = "; ".join(f"Condition.{f} is required" for f in ("subject", "code", "code.coding.code", "clinicalStatus"))
+    assert {(r.source_id, r.position, r.stage, r.reason) for r in out.collect()} == {
+        (0, 0, "PROFILE_VALIDATION", "resource type is not importable: Device"), (0, 1, "PROFILE_VALIDATION", missing), (1, None, "PARSE", "PARSE_FAILED"),
+    }
