@@ -242,11 +242,15 @@ def rerank(hits: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series] | None =
 def apply_rerank(hits: DataFrame, scores: DataFrame, k: int, model: str) -> DataFrame:
     """hits (query_id, chunk_id, rank), scores (query_id, chunk_id, rerank_score,
     new_rank, model): a reply that is not exactly the candidates, once each, with
-    finite scores, ranks 1..n and the model's name leaves the order and says DEGRADED."""
+    finite scores, ranks 1..n and the model's name leaves the order and says DEGRADED.
+    Scores are written, as two joins read them; a query's distinct ids and ranks are sets, since
+    counting them would put each row three times into one task's groups."""
+    hits = hits.select("query_id", "chunk_id", "rank")
+    scores = keep(scores.select("query_id", "chunk_id", "rerank_score", "new_rank", "model"), "scores")
     n = hits.groupBy("query_id").agg(F.count("*").alias("n"))
     s = scores.join(n, "query_id", "left").join(hits.select("query_id", "chunk_id", F.lit(1).alias("asked")), ["query_id", "chunk_id"], "left")
     bad = F.col("asked").isNull() | F.col("rerank_score").isNull() | F.isnan("rerank_score") | ~F.col("new_rank").between(1, F.col("n")) | (F.col("model") != model)
-    per = s.groupBy("query_id").agg(F.bool_or(F.coalesce(bad, F.lit(True))).alias("bad"), F.count("*").alias("got"), F.countDistinct("chunk_id").alias("ids"), F.countDistinct("new_rank").alias("ranks"))
+    per = s.groupBy("query_id").agg(F.bool_or(F.coalesce(bad, F.lit(True))).alias("bad"), F.count("*").alias("got"), F.size(F.collect_set("chunk_id")).alias("ids"), F.size(F.collect_set("new_rank")).alias("ranks"))
     ok = n.join(per, "query_id", "left").select("query_id", F.coalesce(~F.col("bad") & (F.col("got") == F.col("n")) & (F.col("ids") == F.col("n")) & (F.col("ranks") == F.col("n")), F.lit(False)).alias("ok"))
     first = scores.groupBy("query_id", "chunk_id").agg(F.min("new_rank").alias("new_rank"))
     out = hits.join(ok, "query_id").join(first, ["query_id", "chunk_id"], "left")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import search as op
 from corvane.operators import websearch as web
+from corvane.operators.tables import keep
 
 from .base import query
 
@@ -245,6 +246,7 @@ select query_id, chunk_id, case when bad then rank else n + 1 - rank end as fina
   when bad then 'DEGRADED' end as reason from v join n using (query_id) join m using (query_id) where case
   when bad then rank else n + 1 - rank end <= 2""", v=RANKED_V)
 def _(v):
+    v = keep(v, "ranked")
     n = v.groupBy("query_id").agg(F.count("*").alias("n"))
     scores = v.join(n, "query_id").selectExpr("query_id", "chunk_id", "if(chunk_id % 10 = 0, cast('NaN' as double), score) as rerank_score", "cast(n + 1 - rank as int) as new_rank", "'m1' as model")
     return op.apply_rerank(v, scores, 2, "m1")

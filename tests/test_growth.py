@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from corvane.operators import chunking, clinical, evaluation
+from corvane.operators import chunking, clinical, evaluation, search
 from corvane.plans.registry import QUERIES
 
 
@@ -62,3 +62,13 @@ def test_quarantine_works_issues_out_once(spark):
     assert {(r.source_id, r.position, r.stage, r.reason) for r in out.collect()} == {
         (0, 0, "PROFILE_VALIDATION", "resource type is not importable: Device"), (0, 1, "PROFILE_VALIDATION", missing), (1, None, "PARSE", "PARSE_FAILED"),
     }
+
+
+def test_rerank_counts_without_tripling_rows(spark):
+    hits = spark.createDataFrame([(q, c, c) for q in (1, 2, 3) for c in (1, 2)], "query_id long, chunk_id long, rank int")
+    new = [(1, 1, 2), (1, 2, 1), (2, 1, 1), (2, 2, 1), (3, 1, 2)]
+    scores = spark.createDataFrame([(q, c, 0.5, r, "m") for q, c, r in new], "query_id long, chunk_id long, rerank_score double, new_rank int, model string")
+    out = search.apply_rerank(hits, scores, 2, "m")
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    kept = {(q, c, c, "DEGRADED") for q in (2, 3) for c in (1, 2)}
+    assert {tuple(r) for r in out.collect()} == {(1, 1, 2, None), (1, 2, 1, None)} | kept
