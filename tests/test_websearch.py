@@ -77,3 +77,41 @@ def test_ranks_and_empty_tables(spark):
     assert [(r.chunk_id, r["rank"]) for r in sorted(rows, key=lambda r: r["rank"])] == [(1, 1), (3, 2)]
     assert websearch.web_topk(queries.limit(0), chunks, 2).collect() == []
     assert websearch.web_topk(queries, chunks.limit(0), 2).collect() == []
+
+
+def shuffled(spark):
+    """Records that all stages so far have written for shuffles."""
+    gateway = spark.sparkContext._gateway
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_words_of_a_phrase_that_stand_apart_are_not_met(spark):
+    n = 4000
+    chunks = spark.range(n).selectExpr("id as chunk_id", "if(id = 7, 'a b c', 'a c b d') as text")
+    queries = spark.createDataFrame([(q, '"a b" c') for q in range(5)], "query_id long, query string")
+    before = shuffled(spark)
+    rows = websearch.web_topk(queries, chunks, 10).collect()
+    assert {(r.query_id, r.chunk_id) for r in rows} == {(q, 7) for q in range(5)}
+    assert shuffled(spark) - before < 4 * n
+
+
+def test_long_phrases(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("aabc") for _ in range(rng.randint(0, 40))) for _ in range(80)]
+    phrase = lambda low, high: '"' + " ".join(rng.choice("abc") for _ in range(rng.randint(low, high))) + '"'
+    asked = [f"{phrase(3, 6)} {phrase(1, 4)} -{phrase(3, 5)} or -{phrase(1, 1)} {phrase(2, 3)} {phrase(2, 5)} {phrase(1, 2)}" for _ in range(40)]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    got = {(r.query_id, r.chunk_id): r.score for r in websearch.web_topk(queries, chunks, 1000).collect()}
+    expected = {(q, c): s for q, query in enumerate(asked) for c, text in enumerate(texts) if (s := plain_score(query, text)) is not None}
+    assert expected and set(got) == set(expected)
+    assert all(abs(got[k] - expected[k]) < 1e-8 for k in got)
+
+
+def test_scores_of_neighbouring_rows_stay_apart(spark):
+    found = [[(0, 10, [5])], [(0, 3, [5])], [(0, 1, [9, 0]), (1, 2, [1, 10])]]
+    schema = "query_id long, chunk_id long, found array<struct<clause: int, width: int, starts: array<int>>>"
+    matches = spark.createDataFrame([(0, i, f) for i, f in enumerate(found)], schema).coalesce(1)
+    assert {r.chunk_id: r.score for r in websearch.cover_score(matches).collect()} == {0: 0.1, 1: 0.1, 2: round(0.1 + 0.1 / 7 + 0.1, 9)}
